@@ -3,12 +3,22 @@
 from __future__ import annotations
 
 from .common import table
+from .fingerprints import fingerprint_report
+from .mixing import MIX_SQL, mix_report
 from .secrets import secret_report
 
 
+def op2_source_mixing(spark, sf_dir):
+    return mix_report(table(spark, sf_dir, "documents"))
+
+
 def op5_secret_scan(spark, sf_dir):
     return secret_report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op5_secret_scan,)}
-ORACLES: dict[str, str] = {}
+def op9_document_fingerprints(spark, sf_dir):
+    return fingerprint_report(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op2_source_mixing, op5_secret_scan, op9_document_fingerprints)}
+ORACLES: dict[str, str] = {"op2_source_mixing": MIX_SQL}
