@@ -6,12 +6,17 @@ from .common import table
 from .fingerprints import fingerprint_report
 from .mixing import MIX_SQL, mix_report
 from .secrets import secret_report
+from .warc import ARCHIVE_SQL, archive_report
 
 
 def op2_source_mixing(spark, sf_dir):
     return mix_report(table(spark, sf_dir, "documents"))
 
 
+def op4_warc_archive(spark, sf_dir):
+    return archive_report(table(spark, sf_dir, "pages"))
+
+
 def op5_secret_scan(spark, sf_dir):
     return secret_report(table(spark, sf_dir, "documents"))
 
@@ -20,5 +25,5 @@ def op9_document_fingerprints(spark, sf_dir):
     return fingerprint_report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_source_mixing, op5_secret_scan, op9_document_fingerprints)}
-ORACLES: dict[str, str] = {"op2_source_mixing": MIX_SQL}
+QUERIES = {f.__name__: f for f in (op2_source_mixing, op4_warc_archive, op5_secret_scan, op9_document_fingerprints)}
+ORACLES: dict[str, str] = {"op2_source_mixing": MIX_SQL, "op4_warc_archive": ARCHIVE_SQL}
