@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .common import table
 from .fingerprints import fingerprint_report
+from .licenses import license_report
 from .mixing import MIX_SQL, mix_report
 from .secrets import secret_report
 from .warc import ARCHIVE_SQL, archive_report
@@ -21,9 +22,13 @@ def op5_secret_scan(spark, sf_dir):
     return secret_report(table(spark, sf_dir, "documents"))
 
 
+def op7_license_scan(spark, sf_dir):
+    return license_report(table(spark, sf_dir, "documents"))
+
+
 def op9_document_fingerprints(spark, sf_dir):
     return fingerprint_report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_source_mixing, op4_warc_archive, op5_secret_scan, op9_document_fingerprints)}
+QUERIES = {f.__name__: f for f in (op2_source_mixing, op4_warc_archive, op5_secret_scan, op7_license_scan, op9_document_fingerprints)}
 ORACLES: dict[str, str] = {"op2_source_mixing": MIX_SQL, "op4_warc_archive": ARCHIVE_SQL}
