@@ -7,6 +7,7 @@ from .fingerprints import fingerprint_report
 from .langid import language_report
 from .licenses import license_report
 from .mixing import MIX_SQL, mix_report
+from .neardup import near_duplicate_report
 from .secrets import secret_report
 from .warc import ARCHIVE_SQL, archive_report
 
@@ -19,6 +20,10 @@ def op2_source_mixing(spark, sf_dir):
     return mix_report(table(spark, sf_dir, "documents"))
 
 
+def op3_minhash_neardup(spark, sf_dir):
+    return near_duplicate_report(table(spark, sf_dir, "documents"))
+
+
 def op4_warc_archive(spark, sf_dir):
     return archive_report(table(spark, sf_dir, "pages"))
 
@@ -35,5 +40,5 @@ def op9_document_fingerprints(spark, sf_dir):
     return fingerprint_report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_source_mixing, op4_warc_archive, op5_secret_scan, op7_license_scan, op9_document_fingerprints)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_source_mixing, op3_minhash_neardup, op4_warc_archive, op5_secret_scan, op7_license_scan, op9_document_fingerprints)}
 ORACLES: dict[str, str] = {"op2_source_mixing": MIX_SQL, "op4_warc_archive": ARCHIVE_SQL}
