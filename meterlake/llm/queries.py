@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .common import table
+from .embeddings import similar_vectors
 from .fingerprints import fingerprint_report
 from .langid import language_report
 from .licenses import license_report
@@ -32,6 +33,10 @@ def op5_secret_scan(spark, sf_dir):
     return secret_report(table(spark, sf_dir, "documents"))
 
 
+def op6_embedding_neardup(spark, sf_dir):
+    return similar_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op7_license_scan(spark, sf_dir):
     return license_report(table(spark, sf_dir, "documents"))
 
@@ -40,5 +45,5 @@ def op9_document_fingerprints(spark, sf_dir):
     return fingerprint_report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_source_mixing, op3_minhash_neardup, op4_warc_archive, op5_secret_scan, op7_license_scan, op9_document_fingerprints)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_source_mixing, op3_minhash_neardup, op4_warc_archive, op5_secret_scan, op6_embedding_neardup, op7_license_scan, op9_document_fingerprints)}
 ORACLES: dict[str, str] = {"op2_source_mixing": MIX_SQL, "op4_warc_archive": ARCHIVE_SQL}
