@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .bpe import token_report
 from .common import table
 from .embeddings import similar_vectors
 from .fingerprints import fingerprint_report
@@ -45,5 +46,9 @@ def op9_document_fingerprints(spark, sf_dir):
     return fingerprint_report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_source_mixing, op3_minhash_neardup, op4_warc_archive, op5_secret_scan, op6_embedding_neardup, op7_license_scan, op9_document_fingerprints)}
+def op10_byte_bpe(spark, sf_dir):
+    return token_report(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_source_mixing, op3_minhash_neardup, op4_warc_archive, op5_secret_scan, op6_embedding_neardup, op7_license_scan, op9_document_fingerprints, op10_byte_bpe)}
 ORACLES: dict[str, str] = {"op2_source_mixing": MIX_SQL, "op4_warc_archive": ARCHIVE_SQL}
