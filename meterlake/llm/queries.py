@@ -11,6 +11,7 @@ from .licenses import license_report
 from .mixing import MIX_SQL, mix_report
 from .neardup import near_duplicate_report
 from .secrets import secret_report
+from .toolcalls import CHAT_SQL, format_chat
 from .warc import ARCHIVE_SQL, archive_report
 
 
@@ -42,6 +43,10 @@ def op7_license_scan(spark, sf_dir):
     return license_report(table(spark, sf_dir, "documents"))
 
 
+def op8_chat_tool_calls(spark, sf_dir):
+    return format_chat(table(spark, sf_dir, "conversations"))
+
+
 def op9_document_fingerprints(spark, sf_dir):
     return fingerprint_report(table(spark, sf_dir, "documents"))
 
@@ -50,5 +55,5 @@ def op10_byte_bpe(spark, sf_dir):
     return token_report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_source_mixing, op3_minhash_neardup, op4_warc_archive, op5_secret_scan, op6_embedding_neardup, op7_license_scan, op9_document_fingerprints, op10_byte_bpe)}
-ORACLES: dict[str, str] = {"op2_source_mixing": MIX_SQL, "op4_warc_archive": ARCHIVE_SQL}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_source_mixing, op3_minhash_neardup, op4_warc_archive, op5_secret_scan, op6_embedding_neardup, op7_license_scan, op8_chat_tool_calls, op9_document_fingerprints, op10_byte_bpe)}
+ORACLES: dict[str, str] = {"op2_source_mixing": MIX_SQL, "op4_warc_archive": ARCHIVE_SQL, "op8_chat_tool_calls": CHAT_SQL}
