@@ -1 +1,6 @@
 """Query registry: Spark queries and their SQL oracles."""
+
+from . import ledger, meters, timelines  # noqa: F401
+from .registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]

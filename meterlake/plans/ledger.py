@@ -1,0 +1,294 @@
+"""Queries over the usage ledger: dedup, roll-ups, filters, sinks."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import clock, exact, globs
+from ..operators import dedup, reconcile, spend
+from ..sources import tables as t
+from .registry import query
+
+KINDS = dedup.KINDS
+DEDUP_SQL = f"""
+{t.OCC_SQL},
+numbered AS (SELECT *, row_number() OVER (PARTITION BY native_id ORDER BY {t.ORDER_SQL}) AS ord FROM occ),
+held AS (
+  SELECT *, max({{'g': output, 'o': -ord, 'i': input, 'r': cache_read, 'w': cache_write}}) OVER (PARTITION BY native_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS h FROM numbered),
+classed AS (
+  SELECT *, CASE WHEN h IS NULL THEN 'new' WHEN h.i = input AND h.r = cache_read AND h.w = cache_write THEN 'replay' ELSE 'collision' END AS class FROM held),
+event AS (
+  SELECT native_id, arg_max({{'ts': ts, 'p': l_partkey, 'ok': l_orderkey, 'input': input, 'output': output, 'cache_read': cache_read, 'cache_write': cache_write}}, {{'g': output, 'o': -ord}}) AS e,
+         sum((class = 'replay')::INT)::BIGINT AS replays, sum((class = 'collision')::INT)::BIGINT AS collisions
+  FROM classed GROUP BY native_id),
+canon AS (
+  SELECT native_id, e.ts AS ts, e.p AS l_partkey, e.ok AS l_orderkey, e.input AS input, e.output AS output, e.cache_read AS cache_read, e.cache_write AS cache_write, replays, collisions FROM event)"""
+FULL_SQL = f"""
+{DEDUP_SQL},
+ledger AS (
+  SELECT c.*, o_custkey AS session, o_orderstatus AS harness, coalesce(n_name, 'unknown-account') AS account, coalesce(r_name, 'unknown-project') AS project,
+         lower(p_type) || '/' || p_brand AS model, strftime(make_timestamp(ts // 1000), '%Y-%m-%d') AS day
+  FROM canon c LEFT JOIN orders ON o_orderkey = l_orderkey LEFT JOIN customer ON c_custkey = o_custkey LEFT JOIN nation ON n_nationkey = c_nationkey
+  LEFT JOIN region ON r_regionkey = n_regionkey LEFT JOIN part ON p_partkey = l_partkey)"""
+
+
+def canonical(spark, sf_dir):
+    """One event for each message."""
+    return dedup.dedup_identities(t.occurrences(spark, sf_dir), order=t.OCCURRENCE_ORDER)
+
+
+def ledger(spark, sf_dir):
+    """Canonical events with their session's labels and their model."""
+    rows = canonical(spark, sf_dir)
+    labels, model = t.sessions(spark, sf_dir), t.models(spark, sf_dir)
+    out = rows.join(labels, rows.l_orderkey == labels.o_orderkey, "left").join(model, rows.l_partkey == model.p_partkey, "left")
+    return out.withColumn("account", spend.bucketed(F.col("account"), "account")).withColumn("project", spend.bucketed(F.col("project"), "project")).withColumn("day", clock.utc_date(F.col("ts")).cast("string"))
+
+
+@query("DD-1_identity_dedup", f"WITH {DEDUP_SQL} SELECT native_id, input, output, cache_read, cache_write, replays, collisions FROM canon")
+def dd1(spark, sf_dir):
+    return canonical(spark, sf_dir).select("native_id", *KINDS, "replays", "collisions")
+
+
+@query("DD-1_classes", f"WITH {DEDUP_SQL} SELECT class, count(*) AS n FROM classed GROUP BY class")
+def dd1_classes(spark, sf_dir):
+    return dedup.classify_identities(t.occurrences(spark, sf_dir), order=t.OCCURRENCE_ORDER).groupBy("class").agg(F.count("*").alias("n"))
+
+
+HK_SQL = f"{t.OCC_SQL}, hk AS (SELECT *, concat_ws('|', 'hk1', ts::VARCHAR, l_suppkey::VARCHAR, concat_ws(':', input::VARCHAR, cache_read::VARCHAR, cache_write::VARCHAR)) AS hkey FROM occ)"
+
+
+def _keyed(spark, sf_dir):
+    return t.occurrences(spark, sf_dir).withColumn("hkey", dedup.heuristic_key(F.col("ts"), F.col("l_suppkey")))
+
+
+@query("DD-2_heuristic_key", f"WITH {HK_SQL} SELECT hkey, count(*) AS n FROM hk GROUP BY hkey")
+def dd2(spark, sf_dir):
+    return _keyed(spark, sf_dir).groupBy("hkey").agg(F.count("*").alias("n"))
+
+
+@query("DD-3_payload_digest", f"WITH {HK_SQL} SELECT native_id, sha256(concat_ws('|', len(input::VARCHAR) || ':' || input, len(cache_read::VARCHAR) || ':' || cache_read, len(l_returnflag) || ':' || l_returnflag)) AS digest FROM hk")
+def dd3(spark, sf_dir):
+    return t.occurrences(spark, sf_dir).select("native_id", dedup.payload_digest(F.col("input"), F.col("cache_read"), F.col("l_returnflag")).alias("digest"))
+
+
+@query("DD-4_pair_quarantine")
+def dd4(spark, sf_dir):
+    rows = t.occurrences(spark, sf_dir).withColumn("hkey", F.concat_ws("|", F.col("l_suppkey").cast("string"), F.col("input").cast("string"))).withColumn("digest", dedup.payload_digest(F.col("cache_read"), F.col("cache_write")))
+    return dedup.pair_quarantine(rows, "hkey", "digest", ["ts", "l_partkey", "output"])
+
+
+@query("DD-5_version_drift", "SELECT l_linestatus AS parser, l_linenumber::BIGINT AS parser_version, count(*) AS events, CASE l_linestatus WHEN 'F' THEN 3 ELSE 5 END::INTEGER AS running FROM lineitem WHERE l_linenumber <> CASE l_linestatus WHEN 'F' THEN 3 ELSE 5 END GROUP BY ALL")
+def dd5(spark, sf_dir):
+    rows = t.table(spark, sf_dir, "lineitem").select(F.col("l_linestatus").alias("parser"), F.col("l_linenumber").cast("bigint").alias("parser_version"))
+    return dedup.version_drift(rows, {"F": 3, "O": 5})
+
+
+@query("PF-1_time_window", f"WITH {t.OCC_SQL} SELECT count(*) AS n, sum(output)::BIGINT AS output FROM occ WHERE ts >= epoch_us(TIMESTAMP '1997-01-01') * 1000 AND ts < epoch_us(TIMESTAMP '1997-07-01') * 1000")
+def pf1(spark, sf_dir):
+    rows = t.table(spark, sf_dir, "lineitem").where((F.col("l_shipdate") >= F.lit("1997-01-01").cast("timestamp_ntz")) & (F.col("l_shipdate") < F.lit("1997-07-01").cast("timestamp_ntz")))
+    return rows.agg(F.count("*").alias("n"), F.sum(F.round(F.col("l_extendedprice") * 100).cast("bigint")).alias("output"))
+
+
+FILTERS = (("project", ("ASIA", "EUROPE", "AMERICA")), ("harness", ("O", "F")))
+
+
+@query(
+    "PF-2_filter_exclusions",
+    f"""WITH {FULL_SQL}, f AS (
+  SELECT *, CASE WHEN project NOT IN ('ASIA', 'EUROPE', 'AMERICA') THEN 0 WHEN harness NOT IN ('O', 'F') THEN 1 END AS filter FROM ledger)
+SELECT filter, CASE filter WHEN 0 THEN 'project' ELSE 'harness' END AS dimension, count(*) AS events, count(DISTINCT session) AS sessions,
+       count(*) FILTER (WHERE CASE filter WHEN 0 THEN project = 'unknown-project' ELSE harness = 'unknown-harness' END) AS unknown
+FROM f WHERE filter IS NOT NULL GROUP BY filter""",
+)
+def pf2(spark, sf_dir):
+    return spend.filter_outcomes(ledger(spark, sf_dir), FILTERS)
+
+
+@query(
+    "PF-3_unknown_buckets",
+    "SELECT coalesce(nullif(CASE WHEN c_mktsegment <> 'BUILDING' THEN c_mktsegment END, ''), 'unknown-account') AS bucket, count(*) AS n FROM customer GROUP BY 1",
+)
+def pf3(spark, sf_dir):
+    rows = t.table(spark, sf_dir, "customer")
+    return rows.groupBy(spend.bucketed(F.when(F.col("c_mktsegment") != "BUILDING", F.col("c_mktsegment")), "account").alias("bucket")).agg(F.count("*").alias("n"))
+
+
+@query("PF-9_undated", f"WITH {t.OCC_SQL}, d AS (SELECT *, CASE WHEN l_returnflag <> 'N' THEN ts END AS seen FROM occ) SELECT count(seen) AS dated, count(*) - count(seen) AS undated, coalesce(sum(output) FILTER (WHERE seen IS NOT NULL), 0)::BIGINT AS output FROM d")
+def pf9(spark, sf_dir):
+    rows = t.occurrences(spark, sf_dir).withColumn("seen", F.when(F.col("l_returnflag") != "N", F.col("ts")))
+    return rows.agg(F.count("seen").alias("dated"), F.count_if(F.col("seen").isNull()).alias("undated"), F.coalesce(F.sum(F.when(F.col("seen").isNotNull(), F.col("output"))), F.lit(0)).cast("bigint").alias("output"))
+
+
+RULES = (("standard/*", "vendor-a"), ("*/brand#1?", "vendor-b"), ("s*", "vendor-c"), ("*", "vendor-d"))
+
+
+@query(
+    "PF-5_model_rules",
+    "SELECT lower(p_type) || '/' || lower(p_brand) AS model, CASE WHEN lower(p_type) LIKE 'standard' THEN 'vendor-a' WHEN lower(p_brand) LIKE 'brand#1_' THEN 'vendor-b' WHEN lower(p_type) LIKE 's%' THEN 'vendor-c' ELSE 'vendor-d' END AS vendor, count(*) AS n FROM part GROUP BY ALL",
+)
+def pf5(spark, sf_dir):
+    rows = t.table(spark, sf_dir, "part").select(F.concat(F.lower("p_type"), F.lit("/"), F.lower("p_brand")).alias("model"))
+    return rows.withColumn("vendor", globs.resolve(F.col("model"), RULES)).groupBy("model", "vendor").agg(F.count("*").alias("n"))
+
+
+@query("PF-6_account_of_model", "SELECT p_partkey, CASE WHEN p_size < 10 THEN 'team' WHEN p_partkey % 5 IN (1, 2, 3) AND p_size < 40 THEN 'k' || (p_partkey % 5) END AS account FROM part")
+def pf6(spark, sf_dir):
+    model = F.concat(F.when(F.col("p_size") < 10, "team/x").when(F.col("p_size") < 40, "gpt-x").otherwise("odd"), F.lit("-k"), (F.col("p_partkey") % 5).cast("string"))
+    return t.table(spark, sf_dir, "part").select("p_partkey", globs.account_of(model, (("team/*", "team"),), globs.BUILT_IN).alias("account"))
+
+
+@query("JN-1_event_components", f"WITH {DEDUP_SQL} SELECT native_id, kind, tokens FROM (UNPIVOT canon ON input, output, cache_read, cache_write INTO NAME kind VALUE tokens) WHERE tokens <> 0")
+def jn1(spark, sf_dir):
+    return canonical(spark, sf_dir).unpivot("native_id", list(KINDS), "kind", "tokens").where("tokens <> 0")
+
+
+@query("JN-2_session_labels", f"WITH {FULL_SQL} SELECT account, project, harness, count(*) AS events, count(DISTINCT session) AS sessions, sum(output)::BIGINT AS output FROM ledger GROUP BY ALL")
+def jn2(spark, sf_dir):
+    return ledger(spark, sf_dir).groupBy("account", "project", "harness").agg(F.count("*").alias("events"), F.count_distinct("session").alias("sessions"), F.sum("output").alias("output"))
+
+
+@query(
+    "AG-1_spend_rollup",
+    f"""WITH {FULL_SQL}
+SELECT day, account, model, count(*) AS events, sum(input)::BIGINT AS input, sum(output)::BIGINT AS output, sum(cache_read)::BIGINT AS cache_read, sum(cache_write)::BIGINT AS cache_write,
+       (3 - bit_count(grouping(day, account, model)))::INTEGER AS depth,
+       concat_ws(' / ', CASE WHEN 3 - bit_count(grouping(day, account, model)) > 0 THEN 'day=' || day END, CASE WHEN 3 - bit_count(grouping(day, account, model)) > 1 THEN 'account=' || account END,
+                 CASE WHEN 3 - bit_count(grouping(day, account, model)) > 2 THEN 'model=' || model END) AS path
+FROM ledger GROUP BY ROLLUP (day, account, model)""",
+)
+def ag1(spark, sf_dir):
+    return spend.rollup(ledger(spark, sf_dir), ["day", "account", "model"], KINDS)
+
+
+@query("AG-2_vector_sum", f"WITH {FULL_SQL} SELECT session, sum(input)::BIGINT AS input, sum(output)::BIGINT AS output, sum(cache_read)::BIGINT AS cache_read, sum(cache_write)::BIGINT AS cache_write, CASE WHEN bool_and(harness = 'F') THEN 'measured' WHEN bool_and(harness = 'O') THEN 'estimated' ELSE 'mixed' END AS quality FROM ledger GROUP BY session")
+def ag2(spark, sf_dir):
+    return ledger(spark, sf_dir).groupBy("session").agg(*[F.sum(k).alias(k) for k in KINDS], spend.quality(F.col("harness") == "F", F.col("harness") == "O").alias("quality"))
+
+
+@query("AG-3_unknown_account_coverage", f"WITH {FULL_SQL}, m AS (SELECT *, CASE WHEN account IN ('FRANCE', 'CHINA', 'NATION_3') THEN 'account' END AS lack FROM ledger) SELECT harness, count(*) AS events, coalesce(bool_or(lack IS NOT NULL), false) AS partial FROM m GROUP BY harness")
+def ag3(spark, sf_dir):
+    rows = ledger(spark, sf_dir).withColumn("missing", F.when(F.col("account").isin("FRANCE", "CHINA", "NATION_3"), F.array(F.lit("account"))).otherwise(F.array().cast("array<string>")))
+    return rows.groupBy("harness").agg(F.count("*").alias("events"), (F.size(spend.missing("missing")) > 0).alias("partial"))
+
+
+@query("AG-4_heuristic_degradation", f"WITH {FULL_SQL} SELECT account, CASE WHEN bool_or(collisions > 0) THEN 'estimated' ELSE 'measured' END AS quality, count(*) FILTER (WHERE collisions > 0) AS heuristic FROM ledger GROUP BY account")
+def ag4(spark, sf_dir):
+    return ledger(spark, sf_dir).groupBy("account").agg(F.when(F.bool_or(F.col("collisions") > 0), "estimated").otherwise("measured").alias("quality"), F.count_if(F.col("collisions") > 0).alias("heuristic"))
+
+
+@query("AG-5_distinct_sets", f"WITH {FULL_SQL} SELECT session, array_to_string(list_sort(list(DISTINCT harness)), ',') AS sources, count(DISTINCT model) AS models FROM ledger GROUP BY session")
+def ag5(spark, sf_dir):
+    return ledger(spark, sf_dir).groupBy("session").agg(F.array_join(spend.share_sets("harness"), ",").alias("sources"), F.count_distinct("model").alias("models"))
+
+
+@query("AG-6_uniform_value", f"WITH {FULL_SQL} SELECT session, CASE WHEN count(*) = count(harness) AND min(harness) = max(harness) THEN min(harness) END AS harness FROM ledger GROUP BY session")
+def ag6(spark, sf_dir):
+    return ledger(spark, sf_dir).groupBy("session").agg(spend.uniform(F.col("harness")).alias("harness"))
+
+
+@query("AG-7_replay_counts", f"WITH {HK_SQL} SELECT count(*) - count(DISTINCT native_id) AS replays, count(DISTINCT hkey) AS heuristic_keys FROM hk")
+def ag7(spark, sf_dir):
+    return _keyed(spark, sf_dir).agg((F.count("*") - F.count_distinct("native_id")).alias("replays"), F.count_distinct("hkey").alias("heuristic_keys"))
+
+
+@query("AG-15_session_bounds", f"WITH {FULL_SQL} SELECT session, min(ts) AS first_ts, max(ts) AS last_ts, count(*) AS events FROM ledger GROUP BY session")
+def ag15(spark, sf_dir):
+    return ledger(spark, sf_dir).groupBy("session").agg(F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.count("*").alias("events"))
+
+
+@query("AG-16_first_stated", f"WITH {t.OCC_SQL} SELECT l_orderkey AS session, arg_min(l_suppkey, {{'a': ts, 'b': l_partkey, 'c': l_suppkey, 'd': output}}) AS directory, count(DISTINCT l_suppkey) > 1 AS changed FROM occ WHERE l_returnflag <> 'N' GROUP BY 1")
+def ag16(spark, sf_dir):
+    rows = t.occurrences(spark, sf_dir).where("l_returnflag <> 'N'")
+    return rows.groupBy(F.col("l_orderkey").alias("session")).agg(F.min_by("l_suppkey", F.struct("ts", "l_partkey", "l_suppkey", "output")).alias("directory"), (F.count_distinct("l_suppkey") > 1).alias("changed"))
+
+
+@query(
+    "AG-18_session_export",
+    f"""WITH {t.OCC_SQL}, s AS (SELECT native_id, l_suppkey AS session, ts, input, output FROM occ),
+o AS (SELECT native_id, count(DISTINCT session) <> 1 AS ambiguous FROM s GROUP BY native_id),
+l AS (SELECT session, native_id, ts, ambiguous, kind, tokens FROM (SELECT s.*, ambiguous FROM s JOIN o USING (native_id)) UNPIVOT (tokens FOR kind IN (input, output)))
+SELECT session, kind, sum(tokens)::BIGINT AS tokens, count(*) AS events, min(ts) AS first_ts, max(ts) AS last_ts, count(*) FILTER (WHERE ambiguous) AS unresolved_events, max(ambiguous::INT) AS unresolved_rows FROM l GROUP BY session, kind""",
+)
+def ag18(spark, sf_dir):
+    return reconcile.export_sessions(t.occurrences(spark, sf_dir).withColumnRenamed("l_suppkey", "session").select("native_id", "session", "ts", "input", "output"), ["input", "output"])
+
+
+@query("AG-21_distinct_keys", "SELECT DISTINCT p_type AS key, coalesce(nullif(p_brand, 'Brand#11'), 'default') AS tier FROM part")
+def ag21(spark, sf_dir):
+    return t.table(spark, sf_dir, "part").select(F.col("p_type").alias("key"), F.coalesce(F.nullif("p_brand", F.lit("Brand#11")), F.lit("default")).alias("tier")).distinct()
+
+
+@query("AG-26_provenance", f"WITH {FULL_SQL} SELECT account, count(DISTINCT native_id)::INTEGER AS members, count(DISTINCT harness) AS sources, sha256(array_to_string(list_sort(list(DISTINCT native_id)), chr(0))) AS digest FROM ledger GROUP BY account")
+def ag26(spark, sf_dir):
+    return reconcile.provenance(ledger(spark, sf_dir), ["account"], "native_id", "harness")
+
+
+@query("SK-1_component_upsert", f"WITH {t.OCC_SQL} SELECT native_id, max(input) AS input, max(output) AS output, max(cache_read) AS cache_read, max(cache_write) AS cache_write, min(ts) AS first_ts, max(ts) AS last_ts FROM occ GROUP BY native_id")
+def sk1(spark, sf_dir):
+    from ..streaming.ingest import merge_events
+
+    rows = t.occurrences(spark, sf_dir)
+    old, new = rows.where("l_returnflag = 'N'"), rows.where("l_returnflag <> 'N'")
+    return merge_events(merge_events(None, old), new)
+
+
+@query("SK-2_orphan_delete", f"WITH {t.OCC_SQL} SELECT native_id FROM occ GROUP BY native_id HAVING bool_and(l_returnflag = 'R')")
+def sk2(spark, sf_dir):
+    rows = t.occurrences(spark, sf_dir)
+    events = rows.select("native_id").distinct()
+    return events.join(rows.where("l_returnflag <> 'R'").select("native_id"), "native_id", "left_anti")
+
+
+@query("SK-5_json_lines", "SELECT '{\"kind\":\"account\",\"n_nationkey\":' || n_nationkey || ',\"n_name\":' || to_json(n_name) || ',\"n_regionkey\":' || n_regionkey || '}' AS value FROM nation")
+def sk5(spark, sf_dir):
+    return reconcile.json_lines(t.table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey"), "account")
+
+
+@query("SK-6_envelope", f"WITH {FULL_SQL} SELECT account, '{{\"value\":\"' || sum(output)::BIGINT || '\",\"unit\":\"tokens\"}}' AS output FROM ledger GROUP BY account")
+def sk6(spark, sf_dir):
+    return ledger(spark, sf_dir).groupBy("account").agg(F.to_json(F.struct(F.sum("output").cast("string").alias("value"), F.lit("tokens").alias("unit"))).alias("output"))
+
+
+@query("SK-8_transcript_markdown", "SELECT conv_id, count(*) AS turns, array_to_string(list('**' || coalesce(role, 'unknown') || '**: ' || coalesce(text, '') ORDER BY turn), chr(10) || chr(10)) AS markdown FROM conversations GROUP BY conv_id")
+def sk8(spark, sf_dir):
+    return reconcile.transcript_markdown(t.table(spark, sf_dir, "conversations"))
+
+
+@query("SK-9_quarantine_upsert", f"WITH {t.EV_SQL} SELECT user_id AS file, event_type AS class, k, min(ts) AS first_seen, max(ts) AS last_seen, count(*) AS n FROM ev WHERE k % 3 = 0 GROUP BY ALL")
+def sk9(spark, sf_dir):
+    return t.events(spark, sf_dir).where("k % 3 = 0").groupBy(F.col("user_id").alias("file"), F.col("event_type").alias("class"), "k").agg(F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"), F.count("*").alias("n"))
+
+
+@query("AG-8_quarantine_summary", f"WITH {t.EV_SQL} SELECT event_type AS class, count(*) AS n, min(ts) AS first_seen, max(ts) AS last_seen FROM ev WHERE k % 3 = 0 GROUP BY 1")
+def ag8(spark, sf_dir):
+    return t.events(spark, sf_dir).where("k % 3 = 0").groupBy(F.col("event_type").alias("class")).agg(F.count("*").alias("n"), F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"))
+
+
+@query("SF-12_compact_count", f"WITH {FULL_SQL}, s AS (SELECT session, sum(output)::BIGINT AS n FROM ledger GROUP BY session) SELECT session, CASE WHEN n >= 1000000000 THEN (n // 1000000000) || '.' || (n // 100000000 % 10) || 'B' WHEN n >= 1000000 THEN (n // 1000000) || '.' || (n // 100000 % 10) || 'M' WHEN n >= 1000 THEN (n // 1000) || '.' || (n // 100 % 10) || 'k' ELSE n::VARCHAR END AS text FROM s")
+def sf12(spark, sf_dir):
+    return ledger(spark, sf_dir).groupBy("session").agg(F.sum("output").alias("n")).select("session", exact.compact_count(F.col("n")).alias("text"))
+
+
+@query("SF-3_date_parts", f"WITH {t.EV_SQL} SELECT event_id, strftime(make_timestamp(ts // 1000), '%Y-%m-%d') AS day, isodow(make_timestamp(ts // 1000))::INTEGER AS weekday, (ts // 60000000000 % 1440)::INTEGER AS minute FROM ev")
+def sf3(spark, sf_dir):
+    ns = F.col("ts")
+    return t.events(spark, sf_dir).select("event_id", clock.utc_date(ns).cast("string").alias("day"), clock.iso_weekday(clock.utc_date(ns)).alias("weekday"), clock.minute_of_day(ns).alias("minute"))
+
+
+@query("SF-2_rfc3339_round_trip", f"WITH {t.EV_SQL} SELECT event_id, ts, strftime(make_timestamp(ts // 1000), '%Y-%m-%dT%H:%M:%S.%f') || '000Z' AS text FROM ev")
+def sf2(spark, sf_dir):
+    text = clock.format_rfc3339(F.col("ts"))
+    return t.events(spark, sf_dir).select("event_id", clock.parse_rfc3339(text).alias("ts"), text.alias("text"))
+
+
+@query("ST-4_set_difference", "SELECT p_brand FROM part WHERE p_size < 25 EXCEPT SELECT p_brand FROM part WHERE p_size > 48")
+def st4(spark, sf_dir):
+    part = t.table(spark, sf_dir, "part")
+    return part.where("p_size < 25").select("p_brand").distinct().join(part.where("p_size > 48").select("p_brand"), "p_brand", "left_anti")
+
+
+@query("ST-3_set_intersection", "SELECT p_brand FROM part WHERE p_size < 3 INTERSECT SELECT p_brand FROM part WHERE p_size > 48")
+def st3(spark, sf_dir):
+    part = t.table(spark, sf_dir, "part")
+    return part.where("p_size < 3").select("p_brand").intersect(part.where("p_size > 48").select("p_brand"))
