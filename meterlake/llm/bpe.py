@@ -1,25 +1,28 @@
 """Byte-level BPE: a global shuffle of distinct words, and decoding by a join with the token-byte table.
 
 Encoding cuts texts into pre-tokens. A chunk of texts keeps, for each text,
-the positions' word numbers in the chunk's own list of distinct words; the
-lists are exploded to rows (chunk, number, word) and shuffled by word, so that
-each distinct word of the corpus is encoded once. The ids go back to their
-chunks, where the positions put them in order.
-
-Frequent words meet once for each chunk, not once for each place, so no word
-is hot. A chunk's size is bounded, and so is everything a task holds.
+the numbers of its pre-tokens, in order, in the chunk's own list of distinct
+words. The lists are cut in buckets by a hash of the word and shuffled by
+bucket, so that each distinct word of the corpus is encoded once. The ids go
+back to their chunks, where the positions put them in order.
+
+A frequent word meets once for each chunk, not once for each place, so no word
+is hot. Words, numbers and ids travel packed and compressed, as they are many
+and small. A chunk's size is bounded, and so is everything a task holds.
 """
 
 from __future__ import annotations
 
 import base64
 from functools import lru_cache
+from zlib import crc32
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import regex
 import tiktoken
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,7 +31,7 @@ from pyspark.sql import types as T
 from .common import slices, staged
 
 #: Pre-tokens of a chunk, about.
-CHUNK_TOKENS = 4_000_000
+CHUNK_TOKENS = 6_000_000
 MAX_CHARS = 1_000_000
 
 
@@ -59,44 +62,61 @@ def _splitter(pattern: str):
     return regex.compile(pattern)
 
 
-def _chunked(kind: T.StructType, pattern: str):
-    """Rows of documents to rows (chunk, row, places, words): of a chunk's rows, the last has the chunk's distinct words."""
+def _chunked(fields: list[str], pattern: str, buckets: int):
+    """Documents to rows of packs (kind 0: documents, their token counts, their word numbers) and of words (kind 1: numbers, lengths, bytes of a bucket's words)."""
 
     def run(batches):
         split, task, made = _splitter(pattern), TaskContext.get().partitionId(), 0
+        squeeze = zstandard.ZstdCompressor(level=3).compress
         number: dict[str, int] = {}
+        held: list[tuple] = []
         tokens = 0
 
-        def close(part):
-            """The chunk's words, beside a row without a document."""
-            nonlocal number, tokens, made
+        def close():
+            """A chunk's rows. Frequent words get the low numbers, which take the fewest bytes."""
+            nonlocal number, held, tokens, made
             chunk = task << 24 | made
-            words = pa.array([list(number)], pa.list_(pa.string()))
-            number, tokens, made = {}, 0, made + 1
-            return pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([False]), *[pa.nulls(1, f.type) for f in part.schema], pa.nulls(1, pa.binary()), words], ["chunk", "doc", *part.schema.names, "places", "words"])
+            counts = np.zeros(len(number), np.int64)
+            for _, _, at in held:
+                counts += np.bincount(at, minlength=len(number))
+            order = np.argsort(-counts, kind="stable")
+            rank = np.empty(len(number), np.uint32)
+            rank[order] = np.arange(len(number), dtype=np.uint32)
+            for part, sizes, at in held:
+                rows = pa.StructArray.from_arrays([part.column(f) for f in fields], fields)
+                yield _row(rows.type, chunk, 0, 0, rows, b"", squeeze(_squeeze(sizes)), squeeze(_squeeze(rank[at])))
+            words = [w.encode("utf-8", "surrogatepass") for w in number]
+            of = np.array([crc32(w) % buckets for w in words], np.int64)[order]
+            by = np.argsort(of, kind="stable")
+            cuts = np.searchsorted(of[by], np.arange(buckets + 1))
+            kind = held[0][0].schema if held else None
+            nothing = pa.StructArray.from_arrays([pa.array([], kind.field(f).type) for f in fields], fields)
+            for bucket in np.flatnonzero(np.diff(cuts)).tolist():
+                ranks = by[cuts[bucket] : cuts[bucket + 1]]
+                own = [words[i] for i in order[ranks].tolist()]
+                sizes = np.array([len(w) for w in own], np.uint32)
+                yield _row(nothing.type, chunk, 1, bucket, nothing, squeeze(_squeeze(np.diff(ranks, prepend=0).astype(np.uint32))), squeeze(_squeeze(sizes)), squeeze(b"".join(own)))
+            number, held, tokens, made = {}, [], 0, made + 1
 
-        last = None
         for batch in batches:
             for part, texts in slices(batch, "text", MAX_CHARS):
-                places = []
-                for t in texts:
-                    found = split.findall(t)
-                    tokens += len(found)
-                    places.append(_squeeze(np.array([number.setdefault(w, len(number)) for w in found], np.uint32)))
-                kept = part.drop_columns(["text"])
-                last = kept
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(part.num_rows, task << 24 | made)), pa.array(np.full(part.num_rows, True)), *kept.columns, pa.array(places, pa.binary()), pa.nulls(part.num_rows, pa.list_(pa.string()))],
-                    ["chunk", "doc", *kept.schema.names, "places", "words"],
-                )
+                at = [np.array([number.setdefault(w, len(number)) for w in split.findall(t)], np.uint32) for t in texts]
+                sizes = np.array([len(x) for x in at], np.uint32)
+                held.append((part, sizes, np.concatenate(at)))
+                tokens += int(sizes.sum())
                 if tokens >= CHUNK_TOKENS:
-                    yield close(last)
-        if last is not None and tokens:
-            yield close(last)
+                    yield from close()
+        if held:
+            yield from close()
 
     return run
 
 
+def _row(kind: pa.DataType, chunk: int, what: int, bucket: int, docs: pa.StructArray, *data: bytes) -> pa.RecordBatch:
+    rows = pa.ListArray.from_arrays(pa.array([0, len(docs)], pa.int32()), docs)
+    return pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([what], pa.int32()), pa.array([bucket], pa.int32()), rows, *[pa.array([d], pa.binary()) for d in data]], ["chunk", "kind", "bucket", "docs", "ranks", "sizes", "data"])
+
+
 def _squeeze(x: np.ndarray) -> bytes:
     """Numbers in one, two or four bytes each: the low bytes, then a plane of the next, so far as any is needed."""
     low = (x & np.uint32(0x7F)).astype(np.uint8)
@@ -123,41 +143,59 @@ def _stretch(data: bytes) -> np.ndarray:
 
 
 def _encode_words(path: str, pattern: str):
-    """Rows sorted by word, with each distinct word encoded once."""
+    """Rows sorted by bucket: words to ids, each distinct word of a bucket encoded once."""
 
     def run(batches):
-        enc, before, ids = encoder(path, pattern), None, b""
+        enc, now, known = encoder(path, pattern), None, {}
+        squeeze, loose = zstandard.ZstdCompressor(level=3).compress, zstandard.ZstdDecompressor().decompress
         for batch in batches:
-            out = []
-            for w in batch.column("word").to_pylist():
-                if w != before:
-                    before, ids = w, np.array(enc.encode_ordinary(w), "<u2" if enc.n_vocab <= 1 << 16 else "<u4").tobytes()
-                out.append(ids)
-            yield pa.RecordBatch.from_arrays([batch.column("chunk"), batch.column("no"), pa.array(out, pa.binary())], ["chunk", "no", "ids"])
+            for i in range(batch.num_rows):
+                bucket = batch.column("bucket")[i].as_py()
+                if bucket != now:
+                    now, known = bucket, {}
+                sizes, data = _stretch(loose(batch.column("sizes")[i].as_py())), loose(batch.column("data")[i].as_py())
+                ends = np.cumsum(sizes).tolist()
+                ids = []
+                for a, b in zip([0, *ends[:-1]], ends, strict=True):
+                    word = data[a:b]
+                    found = known.get(word)
+                    if found is None:
+                        found = known[word] = enc.encode_ordinary(word.decode("utf-8", "surrogatepass"))
+                    ids.append(found)
+                out = [squeeze(_squeeze(np.array([len(x) for x in ids], np.uint32))), squeeze(np.array([y for x in ids for y in x], _kind(enc)).tobytes())]
+                yield pa.RecordBatch.from_arrays([batch.column("chunk").slice(i, 1), batch.column("ranks").slice(i, 1), *[pa.array([x], pa.binary()) for x in out]], ["chunk", "ranks", "sizes", "data"])
 
     return run
 
 
-def _reassemble(fields: list[str], wide: bool):
-    """A chunk's documents and the ids of its words, to documents with ids in order."""
-
-    def run(docs: pa.Table, words: pa.Table):
-        no = words.column("no").to_numpy()
-        flat = pa.concat_arrays(words.column("ids").chunks) if words.num_rows else pa.array([], pa.binary())
-        kind = np.dtype("<u4" if wide else "<u2")
-        starts, sizes = np.zeros(len(no), np.int64), np.zeros(len(no), np.int64)
-        if len(no):
-            offsets = np.frombuffer(flat.buffers()[1], np.int32, len(flat) + 1, 4 * flat.offset) // kind.itemsize
-            ids = np.frombuffer(flat.buffers()[2] or b"", kind, offsets[-1])
-            starts[no], sizes[no] = offsets[:-1], np.diff(offsets)
-        out = []
-        for places in docs.column("places").to_pylist():
-            at = _stretch(places)
+def _kind(enc: tiktoken.Encoding) -> str:
+    return "<u2" if enc.n_vocab <= 1 << 16 else "<u4"
+
+
+def _reassemble(fields: list[str], path: str, pattern: str):
+    """A chunk's packs and its words' ids, to documents with ids in order."""
+
+    def run(packs: pa.Table, words: pa.Table):
+        loose = zstandard.ZstdDecompressor().decompress
+        parts = [[loose(x) for x in words.column(c).to_pylist()] for c in ("ranks", "sizes", "data")]
+        ranks = np.concatenate([np.zeros(0, np.int64), *[np.cumsum(_stretch(x).astype(np.int64)) for x in parts[0]]])
+        lengths = np.concatenate([np.zeros(0, np.int64), *[_stretch(x).astype(np.int64) for x in parts[1]]])
+        ids = np.frombuffer(b"".join(parts[2]), _kind(encoder(path, pattern)))
+        starts, sizes = np.zeros(len(ranks), np.int64), np.zeros(len(ranks), np.int64)
+        starts[ranks], sizes[ranks] = np.cumsum(lengths) - lengths, lengths
+        docs, out = [], []
+        for rows, counts, places in zip(packs.column("docs"), packs.column("sizes").to_pylist(), packs.column("data").to_pylist(), strict=True):
+            at = _stretch(loose(places))
             n = sizes[at]
-            total = int(n.sum())
-            run_starts = np.cumsum(n) - n
-            out.append((ids[np.repeat(starts[at] - run_starts, n) + np.arange(total)] if total else np.zeros(0)).astype("<u4").tobytes())
-        return pa.Table.from_arrays([*[docs.column(c) for c in fields], pa.array(out, pa.binary())], [*fields, "ids"])
+            ends = np.cumsum(n)
+            total = int(ends[-1]) if len(ends) else 0
+            flat = ids[np.repeat(starts[at] - ends + n, n) + np.arange(total)].astype("<u4").tobytes() if total else b""
+            stops = np.cumsum(_stretch(loose(counts)).astype(np.int64))
+            stops = 4 * np.concatenate(([0], ends))[stops]
+            docs.append(rows.values)
+            out += [flat[a:b] for a, b in zip([0, *stops[:-1].tolist()], stops.tolist(), strict=True)]
+        joined = pa.concat_arrays(docs)
+        return pa.Table.from_arrays([*joined.flatten(), pa.array(out, pa.binary())], [*fields, "ids"])
 
     return run
 
@@ -166,19 +204,22 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str = public_token
     """docs without text, plus ids binary: the tokens as little-endian unsigned 32-bit integers.
 
     Null text counts as empty and has no ids. Special tokens' strings are
-    ordinary text. Every row is encoded, repeated ones too. Columns called
-    chunk, doc, places, words or ids aren't allowed besides; tokens() takes any.
+    ordinary text. Every row is encoded, repeated ones too. A column called ids
+    isn't allowed besides.
     """
     path = path or public_tokenizers.path("byte_bpe_50k.tiktoken")
     rest = [f for f in docs.schema.fields if f.name != "text"]
     fields = [f.name for f in rest]
-    schema = T.StructType([T.StructField("chunk", T.LongType()), T.StructField("doc", T.BooleanType()), *[T.StructField(f.name, f.dataType) for f in rest], T.StructField("places", T.BinaryType()), T.StructField("words", T.ArrayType(T.StringType()))])
-    chunks = staged(docs.select(*fields, "text").mapInArrow(_chunked(docs.schema, pattern), schema), "chunks")
-    words = chunks.where("not doc").select("chunk", F.posexplode("words").alias("no", "word"))
-    coded = words.repartition("word").sortWithinPartitions("word").mapInArrow(_encode_words(path, pattern), "chunk bigint, no int, ids binary")
-    own = chunks.where("doc").select("chunk", *fields, "places")
-    out = T.StructType([*[T.StructField(f.name, f.dataType) for f in rest], T.StructField("ids", T.BinaryType())])
-    return own.groupBy("chunk").cogroup(coded.groupBy("chunk")).applyInArrow(_reassemble(fields, len(ranks(path)) > 1 << 16), out)
+    buckets = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    schema = T.StructType([T.StructField("chunk", T.LongType()), T.StructField("kind", T.IntegerType()), T.StructField("bucket", T.IntegerType()), T.StructField("docs", T.ArrayType(T.StructType(rest)))])
+    for c in ("ranks", "sizes", "data"):
+        schema = schema.add(c, T.BinaryType())
+    chunks = staged(docs.select(*fields, "text").mapInArrow(_chunked(fields, pattern, buckets), schema), "chunks")
+    words = chunks.where("kind = 1").select("chunk", "bucket", "ranks", "sizes", "data")
+    coded = words.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_encode_words(path, pattern), "chunk bigint, ranks binary, sizes binary, data binary")
+    packs = chunks.where("kind = 0").select("chunk", "docs", "sizes", "data")
+    out = T.StructType([*rest, T.StructField("ids", T.BinaryType())])
+    return packs.groupBy("chunk").cogroup(coded.groupBy("chunk")).applyInArrow(_reassemble(fields, path, pattern), out)
 
 
 def decode(coded: DataFrame, path: str | None = None) -> DataFrame:

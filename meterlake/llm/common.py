@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from itertools import pairwise
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -64,3 +66,37 @@ def slices(batch: pa.RecordBatch, column: str, max_chars: int) -> Iterator[tuple
         held += len(t)
     if start < len(texts):
         yield batch.slice(start), texts[start:]
+
+
+def groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """Runs of rows with equal keys (whole numbers), from batches sorted by them; one run is held at a time."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        columns = [batch.column(k).to_numpy() for k in keys]
+        change = np.zeros(max(0, batch.num_rows - 1), bool)
+        for c in columns:
+            change |= c[1:] != c[:-1]
+        bounds = [0, *(np.flatnonzero(change) + 1).tolist(), batch.num_rows]
+        for a, b in pairwise(bounds):
+            if a == b:
+                continue
+            part = batch.slice(a, b - a)
+            if held and any(held[0].column(k)[0] != part.column(k)[0] for k in keys):
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(part)
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def dealt_in_blocks(rows: DataFrame, key: str, item: str, block: int) -> DataFrame:
+    """rows plus mine, p and q, sorted by (key, p, q) in their partitions: groups in which any two rows of a key meet.
+
+    A key's rows are cut in blocks of about `block` by a hash of item; a group
+    is a pair of blocks, and mine a row's own, so that pairs inside a block can
+    be left to the groups with p = q.
+    """
+    full = rows.groupBy(key).count().where(F.col("count") > block).select(key, F.ceil(F.col("count") / block).cast("int").alias("blocks"))
+    dealt = rows.join(full, key, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("mine", F.pmod(F.xxhash64(item), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("p", F.least("mine", "other")).withColumn("q", F.greatest("mine", "other"))
+    return dealt.drop("blocks", "other").repartition(key, "p", "q").sortWithinPartitions(key, "p", "q")

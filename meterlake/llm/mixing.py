@@ -80,7 +80,7 @@ def position(offset: Column, take: Column) -> Column:
     return (seg - 1) * width + F.when(a + root > 0, 2 * done / (a + root)).otherwise(F.lit(0.0))
 
 
-def mix(docs: DataFrame, weights: Callable[[Column], Column] = repeating_weights, most: int = 3) -> DataFrame:
+def mix(docs: DataFrame, weights: Callable[[Column], Column] = repeating_weights, most: int = 3, words: Column | None = None) -> DataFrame:
     """docs plus size, source_size, target, take, before, taken and the plan's share and reached.
 
     docs has doc_id, text and source; other columns pass through. Null text has
@@ -88,10 +88,10 @@ def mix(docs: DataFrame, weights: Callable[[Column], Column] = repeating_weights
     count as an empty id. Rows with equal ids and sizes are interchangeable.
     Words are taken from whole passes over a source, then from its first
     documents, the last of which may be taken in part. A source without words
-    gets none.
+    gets none. words: a document's size, where docs has it instead of text.
     """
     skey = F.coalesce(F.concat(F.lit("0"), F.col("source")), F.lit("1"))
-    sized = docs.select(F.struct(*docs.columns).alias("row"), skey.alias("skey"), word_count().alias("size"), _hash60().alias("h"))
+    sized = docs.select(F.struct(*docs.columns).alias("row"), skey.alias("skey"), (word_count() if words is None else words).alias("size"), _hash60().alias("h"))
     sized = sized.withColumn("bin", F.shiftright("h", 60 - RANGE_BITS).cast("int"))
     bins = sized.groupBy("skey", "bin").agg(F.sum("size").alias("bin_size"))
     plan = source_plan(bins.withColumnRenamed("bin_size", "size"), weights, most)
@@ -119,7 +119,7 @@ def training_order(docs: DataFrame, weights: Callable[[Column], Column] = repeat
 
 def mix_report(docs: DataFrame) -> DataFrame:
     """The contract's columns for each document, range-sorted by the position of its first word taken (null: none taken)."""
-    mixed = mix(docs.select("doc_id", "source", F.col("text")))
+    mixed = mix(docs.select("doc_id", "source", word_count().alias("words")), words=F.col("words"))
     at = F.when(F.col("taken") > 0, F.round(position(F.col("before"), F.col("take")), 6))
     return mixed.select("doc_id", "size", "source_size", "target", "taken", at.alias("position")).repartitionByRange("position", "doc_id").sortWithinPartitions("position", "doc_id")
 

@@ -10,9 +10,9 @@ bands miss once in 190,000 pairs.
 Classes that share a band's bucket are linked in two passes, neither of which
 makes all pairs of a bucket. First each class is compared with its bucket's
 least and greatest class. Then, in buckets whose classes aren't yet in one
-component, classes of different components are compared. What a pass leaves
-uncompared is already connected, so no component is missed. Every link is
-confirmed on the full sets.
+component, tasks compare classes of different components, as long as they are
+different, and give only the links. What is left uncompared is already
+connected, so no component is missed. Every link is confirmed on the full sets.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER_AZ, row_key, slices, staged
+from .common import LOWER_AZ, dealt_in_blocks, groups, row_key, slices, staged
 from .components import components
 
 SHINGLE, PERCENT = 5, 75
@@ -33,6 +33,8 @@ BANDS, ROWS = 32, 4
 MOST_BITS = 40
 #: Texts that one task compares with the same pivot, at most.
 PIVOT_TEXTS = 2000
+#: Classes of a bucket that make a block of the second pass.
+BLOCK = 500
 MAX_CHARS = 1_000_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -179,6 +181,61 @@ def _alike(a: str, b: str) -> Column:
     return sizes & (bits <= MOST_BITS)
 
 
+def _open_pairs(group: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a, b, differing bits) of a group's rows that may be similar and aren't connected yet."""
+    n, s0, s1, component, mine = (group.column(c).to_numpy() for c in ("n", "s0", "s1", "component", "mine"))
+    if (component == component[0]).all():
+        return (np.zeros(0, np.int64),) * 3
+    bits = np.bitwise_count(s0[:, None] ^ s0[None, :]) + np.bitwise_count(s1[:, None] ^ s1[None, :])
+    ok = (bits <= MOST_BITS) & (component[:, None] != component[None, :])
+    ok &= 100 * np.minimum(n[:, None], n[None, :]) >= PERCENT * np.maximum(n[:, None], n[None, :])
+    if group.column("p")[0] != group.column("q")[0]:
+        ok &= mine[:, None] != mine[None, :]
+    a, b = np.nonzero(np.triu(ok, 1))
+    return a, b, bits[a, b]
+
+
+def _needed(batches):
+    """(band, p, q, mine, node) of the rows that have a partner to be compared with."""
+    for group in groups(batches, ["band", "p", "q"]):
+        a, b, _ = _open_pairs(group)
+        if len(a):
+            yield from group.select(["band", "p", "q", "mine", "node"]).take(pa.array(np.union1d(a, b))).to_batches()
+
+
+def _settle(batches):
+    """Links between a group's components. A pair is looked at in the first bucket that it shares, and only while nothing has connected it."""
+    for group in groups(batches, ["band", "p", "q"]):
+        a, b, bits = _open_pairs(group)
+        if not len(a):
+            continue
+        bands = np.array(group.column("bands").to_pylist(), np.int64)
+        equal = bands[a] == bands[b]
+        first = bands[a, equal.argmax(axis=1)] == group.column("band")[0].as_py()
+        order = np.argsort(bits[first], kind="stable")
+        a, b = a[first][order], b[first][order]
+        texts, component, node = group.column("text").to_pylist(), group.column("component").to_pylist(), group.column("node").to_pylist()
+        used = np.union1d(a, b).tolist()
+        sets: dict[int, np.ndarray] = {}
+        for start in range(0, len(used), 50):
+            sets.update(zip(used[start : start + 50], shingle_sets([texts[i] for i in used[start : start + 50]]), strict=True))
+        root = {c: c for c in component}
+
+        def find(c, root=root):
+            while root[c] != c:
+                root[c] = c = root[root[c]]
+            return c
+
+        links = []
+        for i, j in zip(a.tolist(), b.tolist(), strict=True):
+            x, y = find(component[i]), find(component[j])
+            if x != y and similar(sets[i], sets[j]):
+                root[max(x, y)] = min(x, y)
+                links.append((node[i], node[j]))
+        if links:
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], pa.int64()), pa.array([y for _, y in links], pa.int64())], ["a", "b"])
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(rk, doc_id, n_shingles, component_id, kept, copies) for each row of docs (doc_id, text).
 
@@ -211,11 +268,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     # Second pass: buckets that hold more than one component yet.
     labelled = shared.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     mixed = labelled.groupBy("band").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1").select("band")
-    open_ = staged(labelled.join(mixed, "band", "left_semi").select("band", "node", "n", "s0", "s1", "component"), "open")
-    rest = open_.alias("x").join(open_.alias("y"), (F.col("x.band") == F.col("y.band")) & (F.col("x.component") < F.col("y.component")) & _alike("x", "y"))
-    rest = rest.select(F.col("x.node").alias("node"), F.col("y.node").alias("pivot")).distinct()
-    done = first.union(first.select(F.col("pivot").alias("node"), F.col("node").alias("pivot")))
-    more = staged(verified(staged(rest.join(done, ["node", "pivot"], "left_anti"), "rest"), texts), "more")
+    open_ = labelled.join(mixed, "band", "left_semi").select("band", "node", "n", "s0", "s1", "component")
+    needed = staged(dealt_in_blocks(open_, "band", "node", BLOCK).mapInArrow(_needed, "band bigint, p int, q int, mine int, node bigint"), "needed")
+    about = classes.select("node", "n", "s0", "s1", "bands").join(found, "node", "left").withColumn("component", F.coalesce("component", "node")).join(texts, "node")
+    again = needed.join(about, "node").repartition("band", "p", "q").sortWithinPartitions("band", "p", "q")
+    more = staged(again.mapInArrow(_settle, "a bigint, b bigint"), "more")
     found = components(links.union(more))
     grouped = classes.select("node", "least").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     names = grouped.groupBy("component").agg(F.min("least").alias("component_id"))

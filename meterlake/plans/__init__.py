@@ -1,6 +1,6 @@
 """Query registry: Spark queries and their SQL oracles."""
 
-from . import fits, ledger, meters, timelines, values  # noqa: F401
+from . import fits, health, ledger, meters, timelines, values  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
