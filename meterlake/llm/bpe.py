@@ -205,10 +205,10 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str = public_token
 
     Null text counts as empty and has no ids. Special tokens' strings are
     ordinary text. Every row is encoded, repeated ones too. A column called ids
-    isn't allowed besides.
+    is replaced.
     """
     path = path or public_tokenizers.path("byte_bpe_50k.tiktoken")
-    rest = [f for f in docs.schema.fields if f.name != "text"]
+    rest = [f for f in docs.schema.fields if f.name not in ("text", "ids")]
     fields = [f.name for f in rest]
     buckets = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     schema = T.StructType([T.StructField("chunk", T.LongType()), T.StructField("kind", T.IntegerType()), T.StructField("bucket", T.IntegerType()), T.StructField("docs", T.ArrayType(T.StructType(rest)))])
@@ -223,7 +223,8 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str = public_token
 
 
 def decode(coded: DataFrame, path: str | None = None) -> DataFrame:
-    """coded plus decoded binary: each row's ids joined with the token-byte table, which every task holds whole."""
+    """coded plus decoded binary: each row's ids joined with the token-byte table, which every task holds whole. A column called decoded is replaced."""
+    coded = coded.drop("decoded")
     path = path or public_tokenizers.path("byte_bpe_50k.tiktoken")
 
     def run(batches):

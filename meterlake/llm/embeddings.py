@@ -205,7 +205,7 @@ def _compare(batches):
 
 
 def similar_vectors(vectors: DataFrame) -> DataFrame:
-    """(vec_id, n_links, component_id, kept) for each row of vectors (vec_id, embedding array<float>).
+    """(vec_id, n_links, component_id, kept) for each row of vectors (vec_id, embedding: array of floats or doubles).
 
     Vectors that are null, empty or zero, or that hold null or non-finite
     components, link with nothing, and vectors of different lengths don't link.
@@ -218,8 +218,9 @@ def similar_vectors(vectors: DataFrame) -> DataFrame:
     keyed = rows.withColumn("good", good).withColumn("node", F.when(F.col("good"), F.xxhash64("embedding")))
     fine = keyed.where("good").groupBy("node", "vec_id").agg(F.first("embedding").alias("embedding"))
     classes = staged(fine.groupBy("node").agg(F.min("vec_id").alias("least"), F.count("*").alias("weight"), F.first("embedding").alias("embedding")), "vectors")
-    entries = classes.mapInArrow(_entries, "key bigint, t int, home boolean, node bigint, weight bigint, embedding array<float>")
-    full = classes.select("node", "weight", "embedding").mapInArrow(_entries, "key bigint, t int, home boolean, node bigint, weight bigint, embedding array<float>").groupBy("key").count().where(F.col("count") > BLOCK).select("key", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
+    schema = f"key bigint, t int, home boolean, node bigint, weight bigint, embedding {vectors.schema['embedding'].dataType.simpleString()}"
+    entries = classes.mapInArrow(_entries, schema)
+    full = classes.select("node", "weight", "embedding").mapInArrow(_entries, schema).groupBy("key").count().where(F.col("count") > BLOCK).select("key", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
     dealt = entries.join(full, "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("key", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "t", "home", "block", "node", "weight", "embedding")

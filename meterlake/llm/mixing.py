@@ -83,13 +83,21 @@ def position(offset: Column, take: Column) -> Column:
 def mix(docs: DataFrame, weights: Callable[[Column], Column] = repeating_weights, most: int = 3, words: Column | None = None) -> DataFrame:
     """docs plus size, source_size, target, take, before, taken and the plan's share and reached.
 
-    docs has doc_id, text and source; other columns pass through. Null text has
+    docs has doc_id, text and source; other columns pass through, but for those
+    of the added columns' names, which are replaced. Null text has
     size 0; null source is a source of its own, after all others; null ids
     count as an empty id. Rows with equal ids and sizes are interchangeable.
     Words are taken from whole passes over a source, then from its first
     documents, the last of which may be taken in part. A source without words
     gets none. words: a document's size, where docs has it instead of text.
     """
+    mixed = _placed(docs, weights, most, words)
+    facts = [c for c in mixed.columns if c != "row"]
+    return mixed.select(*[F.col("row")[c].alias(c) for c in docs.columns if c not in facts], *facts)
+
+
+def _placed(docs: DataFrame, weights: Callable[[Column], Column], most: int, words: Column | None) -> DataFrame:
+    """What mix() gives, with docs' own columns in the struct row."""
     skey = F.coalesce(F.concat(F.lit("0"), F.col("source")), F.lit("1"))
     sized = docs.select(F.struct(*docs.columns).alias("row"), skey.alias("skey"), (word_count() if words is None else words).alias("size"), _hash60().alias("h"))
     sized = sized.withColumn("bin", F.shiftright("h", 60 - RANGE_BITS).cast("int"))
@@ -102,19 +110,21 @@ def mix(docs: DataFrame, weights: Callable[[Column], Column] = repeating_weights
     passes = F.when(F.col("source_size") > 0, F.expr("take div source_size")).otherwise(F.lit(0))
     part = F.col("take") - passes * F.col("source_size") - F.col("before")
     taken = passes * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), part))
-    return placed.select("row.*", "size", "source_size", "target", "take", "before", taken.cast("bigint").alias("taken"), "share", "reached")
+    return placed.select("row", "size", "source_size", "target", "take", "before", taken.cast("bigint").alias("taken"), "share", "reached")
 
 
 def training_order(docs: DataFrame, weights: Callable[[Column], Column] = repeating_weights, most: int = 3) -> DataFrame:
     """docs' columns, a row for each time that the mix takes a document, range-sorted by training position.
 
     A document taken in part counts as taken if that is half of it or more.
+    Columns of any names pass through. Documents without words aren't taken.
     """
-    mixed = mix(docs, weights, most)
+    mixed = _placed(docs, weights, most, None)
     copies = F.floor((F.col("taken") + F.col("size") / 2) / F.col("size")).cast("int")
     each = mixed.where("size > 0").withColumn("copies", copies).where("copies > 0").withColumn("pass", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
     at = position(F.col("pass") * F.col("source_size") + F.col("before"), F.col("take"))
-    return each.withColumn("__at", at).repartitionByRange("__at", "doc_id").sortWithinPartitions("__at", "doc_id").select(*docs.columns)
+    placed = each.select("row", at.alias("at"), F.col("row")["doc_id"].alias("id"))
+    return placed.repartitionByRange("at", "id").sortWithinPartitions("at", "id").select("row.*")
 
 
 def mix_report(docs: DataFrame) -> DataFrame:

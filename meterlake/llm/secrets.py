@@ -121,6 +121,8 @@ def candidates(docs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     union, which can only add candidates.
     """
     queries = {i: q for i, r in enumerate(rules) if (q := trigram_query(r.regex))}
+    if not queries:
+        return docs.sparkSession.createDataFrame([], "rk bigint, rules array<int>")
     grams = sorted({g for q in queries.values() for clause in q for alternative in clause for g in alternative})
     lower = F.lower(doc_text())
     postings = docs.select(row_key("doc_id", "text").alias("rk"), lower.alias("low")).select(
@@ -187,29 +189,34 @@ def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = BASE_RULES + MORE_RU
     """docs plus found array<struct<start, rule, kind, end>>, sorted by start, then by the rules' order.
 
     Null text counts as empty. Repeated rows each keep their own result. Other
-    columns pass through, so they may not be called `found`.
+    columns pass through; one called found is replaced.
     """
+    found = _with_spans(docs, rules)
+    return found.select(*[F.col("row")[c].alias(c) for c in docs.columns if c != "found"], "found")
+
+
+def _with_spans(docs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    """(row, text, found): docs' rows as structs beside their text and spans."""
     forced = {i for i, r in enumerate(rules) if trigram_query(r.regex)}
-    keyed = docs.withColumn("__rk", row_key("doc_id", "text"))
-    hits = candidates(docs, rules).withColumnRenamed("rk", "__rk").withColumnRenamed("rules", "__rules")
-    joined = keyed.join(hits.hint("shuffle_hash"), "__rk", "left")
+    keyed = docs.select(F.struct(*docs.columns).alias("row"), row_key("doc_id", "text").alias("rk"))
+    joined = keyed.join(candidates(docs, rules).hint("shuffle_hash"), "rk", "left").select("row", F.col("row")["text"].alias("text"), "rules")
     text = doc_text()
     span = "array<struct<start:int,rule:int,kind:string,end:int>>"
     parts = []
     for i, rule in enumerate(rules):
         found = rule_spans(text, rule, i)
         if i in forced:
-            found = F.when(F.coalesce(F.array_contains("__rules", i), F.lit(False)), found).otherwise(F.array().cast(span))
+            found = F.when(F.coalesce(F.array_contains("rules", i), F.lit(False)), found).otherwise(F.array().cast(span))
         parts.append(found)
-    return joined.withColumn("found", F.array_sort(F.concat(*parts))).select(*docs.columns, "found")
+    return joined.select("row", "text", F.array_sort(F.concat(*parts)).alias("found"))
 
 
 def redact(docs: DataFrame, rules: tuple[Rule, ...] = BASE_RULES + MORE_RULES) -> DataFrame:
     """docs with every found span of text replaced by [SECRET]; overlapping spans are replaced as one.
 
-    Null text stays null. The other columns are untouched.
+    Null text stays null. The other columns are untouched, whatever their names.
     """
-    found = find_secrets(docs, rules)
+    found = _with_spans(docs, rules)
     cut = F.aggregate(
         "found",
         F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
@@ -219,7 +226,8 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = BASE_RULES + MORE_RULES) -
         ).otherwise(F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["out"].alias("out"))),
         lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.lit(2147483647))),
     )
-    return found.withColumn("text", F.when(F.size("found") > 0, cut).otherwise(F.col("text"))).select(*docs.columns)
+    clean = F.when(F.size("found") > 0, cut).otherwise(F.col("text"))
+    return found.select("row", clean.alias("text")).select(*[F.col("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def secret_report(docs: DataFrame) -> DataFrame:
