@@ -25,6 +25,8 @@ from .common import slices
 SIZES = (3, 4)
 #: Slots that an n-gram sets, and slots for each n-gram of the fullest filter.
 PROBES, ROOM = 2, 32
+#: Hash ranges of a language's ids that are counted: 2**RANGE_BITS.
+RANGE_BITS = 12
 #: Labelled rows of a language that are learned from, at most: those whose ids' hashes are smallest.
 MOST_ROWS = 3000
 #: An n-gram is at home in a language if it was met so often there, at this part of its highest rate in any language.
@@ -151,12 +153,17 @@ def learn(docs: DataFrame, most_rows: int = MOST_ROWS) -> Model:
     of their ids, read without their texts.
     """
     rank = F.xxhash64("doc_id")
-    ranked = docs.where("lang is not null").select("lang", rank.alias("r")).withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("r"))).where(F.col("n") <= most_rows)
-    cuts = {r["lang"]: r["cut"] for r in ranked.groupBy("lang").agg(F.max("r").alias("cut")).collect()}
-    if not cuts:
+    named = docs.where("lang is not null").select("lang", rank.alias("r"), F.shiftright(rank, 64 - RANGE_BITS).alias("range"))
+    # Counts of hash ranges show which ranges hold the smallest hashes, so that only those ranges' rows are ranked, however many a language has.
+    before = F.sum("rows").over(Window.partitionBy("lang").orderBy("range")) - F.col("rows")
+    least = named.groupBy("lang", "range").agg(F.count("*").alias("rows")).withColumn("before", before).where(F.col("before") < most_rows)
+    last = {r["lang"]: r["last"] for r in least.groupBy("lang").agg(F.max("range").alias("last")).collect()}
+    if not last:
         return Model([], [], 1, np.zeros(0))
-    cut = F.element_at(F.create_map(*[F.lit(x) for pair in cuts.items() for x in pair]), F.col("lang"))
-    sample = docs.where("lang is not null and text is not null").where(rank <= cut).select("lang", "text")
+    of_lang = lambda values: F.element_at(F.create_map(*[F.lit(x) for pair in values.items() for x in pair]), F.col("lang"))
+    ranked = named.where(F.col("range") <= of_lang(last)).withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("r"))).where(F.col("n") <= most_rows)
+    cuts = {r["lang"]: r["cut"] for r in ranked.groupBy("lang").agg(F.max("r").alias("cut")).collect()}
+    sample = docs.where("lang is not null and text is not null").where(rank <= of_lang(cuts)).select("lang", "text")
     counts = sample.mapInArrow(_counted, "lang string, h bigint, n bigint").groupBy("lang", "h").agg(F.sum("n").alias("n"))
     rates = counts.withColumn("all", F.sum("n").over(Window.partitionBy("lang"))).where(F.col("n") >= LEAST_COUNT).withColumn("rate", F.col("n") / F.col("all"))
     home = rates.withColumn("most", F.max("rate").over(Window.partitionBy("h"))).where(F.col("rate") >= AT_HOME * F.col("most")).select("lang", "h", "all").toPandas()
