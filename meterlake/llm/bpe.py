@@ -102,10 +102,11 @@ def _chunked(fields: list[str], pattern: str, buckets: int):
             for part, texts in slices(batch, "text", MAX_CHARS):
                 at = [np.array([number.setdefault(w, len(number)) for w in split.findall(t)], np.uint32) for t in texts]
                 sizes = np.array([len(x) for x in at], np.uint32)
-                held.append((part, sizes, np.concatenate(at)))
+                held.append((part.select(fields), sizes, np.concatenate(at)))
                 tokens += int(sizes.sum())
                 if tokens >= CHUNK_TOKENS:
                     yield from close()
+                    pa.default_memory_pool().release_unused()
         if held:
             yield from close()
 
@@ -172,30 +173,43 @@ def _kind(enc: tiktoken.Encoding) -> str:
     return "<u2" if enc.n_vocab <= 1 << 16 else "<u4"
 
 
+def _word_ids(coded: list[tuple[bytes, bytes, bytes]], kind: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A chunk's words' ids, and for the word of each number where they start and how many they are."""
+    loose = zstandard.ZstdDecompressor().decompress
+    parts = [[loose(x) for x in column] for column in zip(*coded, strict=True)] or [[], [], []]
+    ranks = np.concatenate([np.zeros(0, np.int64), *[np.cumsum(_stretch(x).astype(np.int64)) for x in parts[0]]])
+    lengths = np.concatenate([np.zeros(0, np.int64), *[_stretch(x).astype(np.int64) for x in parts[1]]])
+    starts, sizes = np.zeros(len(ranks), np.int64), np.zeros(len(ranks), np.int64)
+    starts[ranks], sizes[ranks] = np.cumsum(lengths) - lengths, lengths
+    return np.frombuffer(b"".join(parts[2]), kind), starts, sizes
+
+
 def _reassemble(fields: list[str], path: str, pattern: str):
-    """A chunk's packs and its words' ids, to documents with ids in order."""
+    """Rows sorted by chunk, its words' ids before its packs, to documents with ids in order. One chunk's ids and one pack are held at a time."""
 
-    def run(packs: pa.Table, words: pa.Table):
+    def run(batches):
         loose = zstandard.ZstdDecompressor().decompress
-        parts = [[loose(x) for x in words.column(c).to_pylist()] for c in ("ranks", "sizes", "data")]
-        ranks = np.concatenate([np.zeros(0, np.int64), *[np.cumsum(_stretch(x).astype(np.int64)) for x in parts[0]]])
-        lengths = np.concatenate([np.zeros(0, np.int64), *[_stretch(x).astype(np.int64) for x in parts[1]]])
-        ids = np.frombuffer(b"".join(parts[2]), _kind(encoder(path, pattern)))
-        starts, sizes = np.zeros(len(ranks), np.int64), np.zeros(len(ranks), np.int64)
-        starts[ranks], sizes[ranks] = np.cumsum(lengths) - lengths, lengths
-        docs, out = [], []
-        for rows, counts, places in zip(packs.column("docs"), packs.column("sizes").to_pylist(), packs.column("data").to_pylist(), strict=True):
-            at = _stretch(loose(places))
-            n = sizes[at]
-            ends = np.cumsum(n)
-            total = int(ends[-1]) if len(ends) else 0
-            flat = ids[np.repeat(starts[at] - ends + n, n) + np.arange(total)].astype("<u4").tobytes() if total else b""
-            stops = np.cumsum(_stretch(loose(counts)).astype(np.int64))
-            stops = 4 * np.concatenate(([0], ends))[stops]
-            docs.append(rows.values)
-            out += [flat[a:b] for a, b in zip([0, *stops[:-1].tolist()], stops.tolist(), strict=True)]
-        joined = pa.concat_arrays(docs)
-        return pa.Table.from_arrays([*joined.flatten(), pa.array(out, pa.binary())], [*fields, "ids"])
+        now, coded, found = None, [], None
+        for batch in batches:
+            for i in range(batch.num_rows):
+                chunk, kind, rows, ranks, counts, data = (batch.column(c)[i] for c in ("chunk", "kind", "docs", "ranks", "sizes", "data"))
+                if chunk.as_py() != now:
+                    now, coded, found = chunk.as_py(), [], None
+                if kind.as_py() == 1:
+                    coded.append((ranks.as_py(), counts.as_py(), data.as_py()))
+                    continue
+                if found is None:
+                    coded, found = [], _word_ids(coded, _kind(encoder(path, pattern)))
+                ids, starts, sizes = found
+                at = _stretch(loose(data.as_py()))
+                n = sizes[at]
+                ends = np.cumsum(n)
+                total = int(ends[-1]) if len(ends) else 0
+                flat = ids[np.repeat(starts[at] - ends + n, n) + np.arange(total)].astype("<u4").tobytes()
+                stops = np.cumsum(_stretch(loose(counts.as_py())).astype(np.int64))
+                stops = (4 * np.concatenate(([0], ends))[stops]).tolist()
+                out = pa.array([flat[a:b] for a, b in zip([0, *stops[:-1]], stops, strict=True)], pa.binary())
+                yield pa.RecordBatch.from_arrays([*rows.values.flatten(), out], [*fields, "ids"])
 
     return run
 
@@ -217,9 +231,10 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str = public_token
     chunks = staged(docs.select(*fields, "text").mapInArrow(_chunked(fields, pattern, buckets), schema), "chunks")
     words = chunks.where("kind = 1").select("chunk", "bucket", "ranks", "sizes", "data")
     coded = words.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_encode_words(path, pattern), "chunk bigint, ranks binary, sizes binary, data binary")
-    packs = chunks.where("kind = 0").select("chunk", "docs", "sizes", "data")
+    packs = chunks.where("kind = 0").drop("bucket")
+    both = packs.unionByName(coded.withColumn("kind", F.lit(1)), allowMissingColumns=True)
     out = T.StructType([*rest, T.StructField("ids", T.BinaryType())])
-    return packs.groupBy("chunk").cogroup(coded.groupBy("chunk")).applyInArrow(_reassemble(fields, path, pattern), out)
+    return both.repartition("chunk").sortWithinPartitions("chunk", F.desc("kind")).mapInArrow(_reassemble(fields, path, pattern), out)
 
 
 def decode(coded: DataFrame, path: str | None = None) -> DataFrame:

@@ -8,6 +8,7 @@ from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,16 +57,16 @@ def doc_text() -> Column:
 
 
 def slices(batch: pa.RecordBatch, column: str, max_chars: int) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
-    """A batch in runs of rows whose texts together stay near max_chars, so that memory follows that bound."""
-    texts = [t or "" for t in batch.column(column).to_pylist()]
+    """A batch in runs of rows whose texts together stay near max_chars, so that memory follows that bound: only a run's texts become strings."""
+    texts = batch.column(column)
     start, held = 0, 0
-    for i, t in enumerate(texts):
-        if i > start and held + len(t) > max_chars:
-            yield batch.slice(start, i - start), texts[start:i]
+    for i, n in enumerate(pc.utf8_length(texts).fill_null(0).to_pylist()):
+        if i > start and held + n > max_chars:
+            yield batch.slice(start, i - start), [t or "" for t in texts.slice(start, i - start).to_pylist()]
             start, held = i, 0
-        held += len(t)
+        held += n
     if start < len(texts):
-        yield batch.slice(start), texts[start:]
+        yield batch.slice(start), [t or "" for t in texts.slice(start).to_pylist()]
 
 
 def groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
