@@ -16,7 +16,8 @@ def nanos(ts: Column) -> Column:
 
 def parse_rfc3339(text: Column) -> Column:
     """Nanoseconds of an RFC 3339 text with an offset; digits beyond nine are cut off, a 60th second runs into the next minute; null if malformed."""
-    shape = r"^(\d{4}-\d{2}-\d{2})[Tt ](\d{2}):(\d{2}):(\d{2})(?:\.(\d+))?([Zz]|[+-]\d{2}:\d{2})$"
+    text = F.trim(text)
+    shape = r"^(\d{4}-\d{2}-\d{2})T(\d{2}):(\d{2}):(\d{2})(?:\.(\d+))?([Zz]|[+-]\d{2}:\d{2})$"
     part = lambda k: F.regexp_extract(text, shape, k)
     day = F.try_to_timestamp(part(1), F.lit("yyyy-MM-dd"))
     hour, minute, second = (part(k).cast("int") for k in (2, 3, 4))
@@ -56,3 +57,25 @@ def schedule_contains(days: Column, start: Column, end: Column, ns: Column) -> C
 def next_grid(ns: Column, anchor: int, step: int) -> Column:
     """The first boundary of a fixed grid after an instant."""
     return ns - F.pmod(ns - anchor, F.lit(step)) + step
+
+
+def day_number(text: Column) -> Column:
+    """1 for mon to 7 for sun, in any case; null for any other text."""
+    at = F.array_position(F.array(*[F.lit(d) for d in ("mon", "tue", "wed", "thu", "fri", "sat", "sun")]), F.lower(F.trim(text)))
+    return F.nullif(at, F.lit(0)).cast("int")
+
+
+def hours_window(text: Column) -> Column:
+    """struct<start, end> in minutes of HH:MM-HH:MM; null if malformed, empty or over midnight."""
+    shape = r"^\s*(\d\d):(\d\d)\s*-\s*(\d\d):(\d\d)\s*$"
+    a, b, c, d = (F.regexp_extract(text, shape, k).try_cast("int") for k in (1, 2, 3, 4))
+    ok = (a <= 23) & (c <= 23) & (b <= 59) & (d <= 59) & (a * 60 + b < c * 60 + d)
+    return F.when(ok, F.struct((a * 60 + b).alias("start"), (c * 60 + d).alias("end")))
+
+
+def duration_seconds(text: Column) -> Column:
+    """Seconds of a whole number with one unit, s, m, h or d; null for anything else."""
+    shape = r"^\s*(\d+)([smhd])\s*$"
+    unit = F.regexp_extract(text, shape, 2)
+    scale = F.when(unit == "s", 1).when(unit == "m", 60).when(unit == "h", 3600).when(unit == "d", 86_400).cast("bigint")
+    return F.try_multiply(F.regexp_extract(text, shape, 1).try_cast("bigint"), scale)

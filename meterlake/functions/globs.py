@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Vendors that are known without a rule, by the start of the model id.
@@ -48,3 +48,14 @@ def shadowed(rules: Sequence[tuple[str, str]]) -> list[tuple[str, str]]:
                 out.append((later, earlier))
                 break
     return out
+
+
+def shadowing(rules: DataFrame) -> DataFrame:
+    """rules(position, glob) to (position, by): each rule that can never fire, and the first prefix rule before it that matches all it can match.
+
+    Joined on the prefixes of what a glob must start with, so that no two rules meet for nothing.
+    """
+    head = F.regexp_extract("glob", r"^[^*?]*", 0)
+    prefix = rules.where(F.regexp_like("glob", F.lit(r"^[^*?]*\*$"))).groupBy(head.alias("prefix")).agg(F.min("position").alias("by"))
+    starts = rules.select("position", F.explode(F.transform(F.sequence(F.lit(0), F.length(head)), lambda n: F.substring(head, F.lit(1), n))).alias("prefix"))
+    return starts.join(prefix, "prefix").where("by < position").groupBy("position").agg(F.min("by").alias("by"))

@@ -76,6 +76,12 @@ def theil_sen(points: DataFrame, by: Sequence[str], most: int = 400) -> DataFram
     return rest.select(*by, "slope", "intercept", "n")
 
 
+def scalar_fit(points: DataFrame, by: Sequence[str]) -> DataFrame:
+    """(by, slope, residual): the line of median slope through readings taken at face value, and their mean distance from it."""
+    off = F.abs(F.col("intercept") + F.col("slope") * F.col("x") - F.col("y"))
+    return points.join(theil_sen(points, by), list(by)).groupBy(*by).agg(F.first("slope").alias("slope"), F.avg(off).alias("residual"))
+
+
 def slope_spread(points: DataFrame, by: Sequence[str]) -> DataFrame:
     """(by, lo, hi): the pairwise slopes at the 16th (index rounded down) and 84th percentile (rounded up)."""
     numbered = points.withColumn("i", F.row_number().over(Window.partitionBy(*by).orderBy("x", "y")))

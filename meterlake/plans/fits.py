@@ -98,6 +98,19 @@ def ml3(spark, sf_dir):
     return calibration.slope_spread(points, ["account"]).select("account", F.round("lo", 6).alias("lo"), F.round("hi", 6).alias("hi"))
 
 
+@query(
+    "ML-6_scalar_fit",
+    f"""WITH {RUN_SQL}, p AS (SELECT account, (credits - min(credits) OVER (PARTITION BY account)) / 1e6 AS x, used_ppm::DOUBLE AS y, row_number() OVER (PARTITION BY account ORDER BY credits, used_ppm) AS i FROM cr),
+s AS (SELECT a.account, quantile_cont((b.y - a.y) / (b.x - a.x), 0.5) AS slope FROM p a JOIN p b ON a.account = b.account AND a.i < b.i AND abs(b.x - a.x) > 1e-6 GROUP BY 1),
+l AS (SELECT p.account, slope, quantile_cont(y - slope * x, 0.5) AS intercept FROM p JOIN s USING (account) GROUP BY p.account, slope)
+SELECT account, round(slope, 3) AS slope, round(avg(abs(intercept + slope * x - y)), 3) AS residual FROM p JOIN l USING (account) GROUP BY account, slope""",
+)
+def ml6(spark, sf_dir):
+    least = F.min("credits").over(Window.partitionBy("account"))
+    points = with_credits(spark, sf_dir).select("account", ((F.col("credits") - least) / 1e6).alias("x"), F.col("used_ppm").cast("double").alias("y"))
+    return calibration.scalar_fit(points, ["account"]).select("account", F.round("slope", 3).alias("slope"), F.round("residual", 3).alias("residual"))
+
+
 @query("ML-2_huber")
 def ml2(spark, sf_dir):
     half = RES // 2

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import clock, exact, globs
+from ..functions import clock, exact, globs, json_paths
 from ..operators import dedup, reconcile, spend
 from ..sources import tables as t
 from .registry import query
@@ -292,3 +292,57 @@ def st4(spark, sf_dir):
 def st3(spark, sf_dir):
     part = t.table(spark, sf_dir, "part")
     return part.where("p_size < 3").select("p_brand").intersect(part.where("p_size > 48").select("p_brand"))
+
+
+@query(
+    "PF-7_shadowed_rules",
+    """WITH r AS (SELECT p_partkey AS rule, CASE p_size % 3 WHEN 0 THEN p_brand WHEN 1 THEN p_brand[1:6 + p_size % 2] || '*' ELSE p_brand || '?' END AS pattern FROM part),
+heads AS (SELECT rule, regexp_extract(pattern, '^[^*?]*') AS head FROM r), earlier AS (SELECT min(rule) AS shadow, regexp_extract(pattern, '^[^*?]*') AS prefix FROM r WHERE ends_with(pattern, '*') GROUP BY prefix)
+SELECT heads.rule, min(shadow) AS shadow FROM heads JOIN earlier ON shadow < heads.rule AND starts_with(head, prefix) GROUP BY heads.rule""",
+)
+def pf7(spark, sf_dir):
+    size, brand = F.col("p_size"), F.col("p_brand")
+    glob = F.when(size % 3 == 0, brand).when(size % 3 == 1, F.concat(F.substring(brand, F.lit(1), 6 + size % 2), F.lit("*"))).otherwise(F.concat(brand, F.lit("?")))
+    found = globs.shadowing(t.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("position"), glob.alias("glob")))
+    return found.select(F.col("position").alias("rule"), F.col("by").alias("shadow"))
+
+
+@query(
+    "SF-1_rfc3339_parse",
+    f"WITH {t.EV_SQL} SELECT event_id, CASE event_id % 5 WHEN 0 THEN ts + 123 WHEN 1 THEN ts - 9000000000000 WHEN 2 THEN ts // 60000000000 * 60000000000 + 60000000000 END AS ts FROM ev",
+)
+def sf1(spark, sf_dir):
+    text = clock.format_rfc3339(F.col("ts"))
+    part = lambda n: F.substring(text, 1, n)
+    forms = [F.concat(part(26), F.lit("123999Z")), F.concat(part(29), F.lit("+02:30")), F.concat(part(17), F.lit("60Z")), F.translate(text, "T", " "), F.concat(part(19), F.lit(".Z"))]
+    return t.events(spark, sf_dir).select("event_id", clock.parse_rfc3339(F.element_at(F.array(*forms), (F.col("event_id") % 5 + 1).cast("int"))).alias("ts"))
+
+
+@query(
+    "SF-26_schedule_text",
+    f"""WITH {t.EV_SQL} SELECT event_id, CASE WHEN k % 8 < 7 THEN (k % 8 + 1)::INT END AS day, CASE WHEN k % 30 < (k * 7) % 24 THEN (k % 30 * 60 + k % 60)::INT END AS opens,
+CASE k % 5 WHEN 0 THEN k WHEN 1 THEN k * 60 WHEN 2 THEN k * 3600 WHEN 3 THEN k * 86400 END AS seconds FROM ev""",
+)
+def sf26(spark, sf_dir):
+    k = F.col("k")
+    pick = lambda words, n: F.element_at(F.array(*[F.lit(w) for w in words]), (k % n + 1).cast("int"))
+    two = lambda n: F.lpad(n.cast("string"), 2, "0")
+    hours = F.concat(two(k % 30), F.lit(":"), two(k % 60), F.lit(" - "), two((k * 7) % 24), F.lit(":"), two(k % 60))
+    return t.events(spark, sf_dir).select(
+        "event_id",
+        clock.day_number(pick(("mon", " Tue", "WED", "thu ", "fri", "sat", "sun", "day"), 8)).alias("day"),
+        clock.hours_window(hours)["start"].alias("opens"),
+        clock.duration_seconds(F.concat(k.cast("string"), pick(("s", "m", "h", "d", "w"), 5))).alias("seconds"),
+    )
+
+
+@query(
+    "SF-24_field_types",
+    f"""WITH {t.EV_SQL}, f AS (SELECT unnest([('id', 'integer'), ('use', 'object'), ('use.k', CASE WHEN k % 3 = 0 THEN 'float' ELSE 'integer' END), ('use.on', 'bool'), ('tags', 'array'), ('tags[]', 'object'), ('tags[].n', 'null')]) AS p FROM ev)
+SELECT p[1] AS path, p[2] AS type, count(*) AS records FROM f GROUP BY ALL""",
+)
+def sf24(spark, sf_dir):
+    k = F.col("k").cast("string")
+    number = F.when(F.col("k") % 3 == 0, F.concat(k, F.lit(".5"))).otherwise(k)
+    text = F.concat(F.lit('{"id":'), F.col("event_id").cast("string"), F.lit(',"use":{"k":'), number, F.lit(',"on":true},"tags":["'), F.col("event_type"), F.lit('",{"n":null}]}'))
+    return json_paths.field_paths(t.events(spark, sf_dir).select(text.alias("record")), "record")

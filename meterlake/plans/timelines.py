@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.clock import format_rfc3339
 from ..operators import attribution as a
+from ..sources import databases
 from ..sources import tables as t
 from .registry import query
 
@@ -164,3 +166,25 @@ def liveness(spark, sf_dir):
     now = t.events(spark, sf_dir).agg(F.max("ts").alias("now"))
     rows = t.events(spark, sf_dir, "view").groupBy(F.col("user_id").alias("session")).agg(F.max("ts").alias("last_seen"))
     return rows.join(F.broadcast(now)).select("session", "last_seen", (F.col("last_seen") >= F.col("now") - 86_400_000_000_000).alias("live"))
+
+
+@query(
+    "SC-15_tracker_events",
+    f"""WITH {t.EV_SQL}, r AS (SELECT event_id AS upstream_id, ts, CASE WHEN event_type <> 'click' THEN CASE k % 3 WHEN 0 THEN 'claim' WHEN 1 THEN 'release' END END AS moved, event_type, k FROM ev WHERE k % 7 <> 0 AND event_type <> 'signup')
+SELECT upstream_id, 'task-' || (k % 20) AS task, ts, coalesce(moved, 'unknown:' || CASE WHEN event_type = 'click' THEN 'comment' ELSE 'status_changed' END) AS kind, CASE WHEN k % 2 = 0 THEN 'agent-' || (k % 5) END AS actor FROM r""",
+)
+def sc15(spark, sf_dir):
+    k, busy = F.col("k"), F.lit("in_progress")
+    rows = t.events(spark, sf_dir).withColumn("upstream_id", F.col("event_id"))
+    records = rows.select(
+        "upstream_id",
+        F.concat(F.lit("task-"), (k % 20).cast("string")).alias("task"),
+        F.when(F.col("event_type") == "click", "comment").otherwise("status_changed").alias("event_type"),
+        F.when(k % 3 == 1, busy).otherwise("open").alias("old_value"),
+        F.when(k % 3 == 0, busy).otherwise("closed").alias("new_value"),
+        F.when(k % 2 == 0, F.concat(F.lit("agent-"), (k % 5).cast("string"))).otherwise("").alias("actor"),
+        F.when(k % 7 == 0, "yesterday").otherwise(format_rfc3339(F.col("ts"))).alias("occurred_at"),
+    )
+    events, _ = databases.task_events(records, "tracker")
+    stored = rows.where("event_type = 'signup'").select(F.lit("tracker").alias("tracker"), "upstream_id")
+    return databases.unseen(events, stored).drop("tracker")

@@ -4,7 +4,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from meterlake.functions import clock, exact, globs
+from meterlake.functions import clock, exact, globs, json_paths
 
 
 def _round_away(n, d):
@@ -41,3 +41,16 @@ def test_globs(spark):
 def test_compact_counts(spark):
     rows = spark.createDataFrame([(999,), (1234,), (1_299_999,), (2_000_000_000,)], "n bigint")
     assert [r.t for r in rows.select(exact.compact_count(F.col("n")).alias("t")).collect()] == ["999", "1.2k", "1.2M", "2.0B"]
+
+
+def test_schedule_texts(spark):
+    rows = spark.createDataFrame([("Mon", "09:00-17:30", "48h"), (" sun ", "17:00-09:00", "1.5h"), ("monday", "09:00-09:00", "60"), ("", "9:00-10:00", "99999999999999999999d"), (None, None, None)], "d string, h string, t string")
+    got = rows.select(clock.day_number(F.col("d")).alias("d"), clock.hours_window(F.col("h")).alias("h"), clock.duration_seconds(F.col("t")).alias("t")).collect()
+    assert [r.d for r in got] == [1, 7, None, None, None]
+    assert [r.h and tuple(r.h) for r in got] == [(540, 1050), None, None, None, None]
+    assert [r.t for r in got] == [172_800, None, None, None, None]
+
+
+def test_field_paths(spark):
+    rows = spark.createDataFrame([('[{"a": 1}, {"a": 1.0}]',), ("no json",), (None,), ("7",), ("[" * 5000,)], "t string")
+    assert {tuple(r) for r in json_paths.field_paths(rows, "t").collect()} == {("[]", "object", 1), ("[].a", "float", 1)}

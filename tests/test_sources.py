@@ -1,11 +1,12 @@
 """Transcripts, quota bodies, incremental ingest."""
 
 import json
+import sqlite3
 
 from pyspark.sql import functions as F
 
 from meterlake.operators import attribution
-from meterlake.sources import quotas, transcripts
+from meterlake.sources import databases, quotas, transcripts
 from meterlake.streaming import ingest
 
 
@@ -92,3 +93,42 @@ def test_ancestors_in_cycles(spark):
     m = spark.createDataFrame([(4,)], "session int")
     got = {r.session: (r.ancestor, r.depth) for r in attribution.governing_ancestor(s, m, depth=6).collect()}
     assert got == {1: (None, None), 2: (None, None), 3: (4, 1), 4: (4, 0), 5: (4, 2)}
+
+
+def test_messages_of_a_database(spark, tmp_path):
+    use = lambda **tokens: {"role": "assistant", "providerID": "p", "modelID": "m", "time": {"created": 1, "completed": 2}, "tokens": tokens}
+    records = [
+        use(input=3, output=5, reasoning=2, cache={"read": 1, "write": 4}, odd=6),
+        use(input=3, output=-3, reasoning=10, total=10),
+        use(input=3, output=-3, reasoning=10, total=11),
+        use(input=3),
+        use(output=1),
+        use(input=3, output=1, cache=7),
+        {"role": "user"},
+        {"role": "assistant"},
+    ]
+    db = sqlite3.connect(tmp_path / "a.db")
+    db.execute("PRAGMA journal_mode=WAL")
+    db.execute("CREATE TABLE message (id TEXT, session_id TEXT, time_created INTEGER, data TEXT)")
+    db.execute("CREATE TABLE session (id TEXT, directory TEXT)")
+    db.execute("INSERT INTO session VALUES ('s', '/w')")
+    db.executemany("INSERT INTO message VALUES (?, 's', 9, ?)", [(f"m{i}", json.dumps(r)) for i, r in enumerate(records)] + [("m8", "{half")])
+    db.commit()
+    db.close()
+    read = lambda select: databases.read_sqlite(spark, str(tmp_path), select)
+    events, faults = databases.parse_opencode(read(databases.MESSAGES), read(databases.DIRECTORIES))
+    got = {e.event_id: e for e in events.collect()}
+    assert sorted(got) == ["m0", "m1", "m3"]
+    e = got["m0"]
+    assert (e.input, e.output, e.cache_read, e.cache_write, e.unknown, e.missing) == (3, 7, 1, 4, {"odd": 6}, [])
+    assert (e.session, e.directory, e.model, e.ts) == ("opencode:s", "/w", "p/m", 2_000_000)
+    assert got["m1"].output == 7 and got["m3"].missing == ["output", "cache_read", "cache_write"]
+    assert sorted((r["line"], r["class"]) for r in faults.collect()) == [(3, "wrong_field_type"), (5, "missing_required_field"), (6, "wrong_field_type"), (8, "missing_required_field"), (9, "truncated_structure")]
+
+
+def test_tracker_records_without_a_time_are_set_aside(spark):
+    rows = [(1, "t", "status_changed", "open", "in_progress", "", "2024-01-01T00:00:00Z"), (2, "t", "status_changed", "in_progress", "closed", "x", "2024-01-01T00:00:01Z"), (3, "t", "note", None, None, None, "soon")]
+    events, aside = databases.task_events(spark.createDataFrame(rows, databases.TASK_RECORDS[1]), "k")
+    assert sorted((e.upstream_id, e.kind, e.actor) for e in events.collect()) == [(1, "claim", None), (2, "release", "x")]
+    assert [(r.upstream_id, r.raw) for r in aside.collect()] == [(3, "soon")]
+    assert databases.unseen(events.union(events), events.where("upstream_id = 1")).count() == 1
