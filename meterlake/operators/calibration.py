@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -11,9 +11,12 @@ from pyspark.sql import functions as F
 
 from ..functions.clock import SECOND
 from ..functions.exact import floor_div
+from ..llm.common import staged
 
 # What settles a plateau.
 POINTS, SPACING, SPAN, UNITS = 3, 300 * SECOND, 600 * SECOND, 0
+# Of long series: points in a block, rows whose pairs are made at once, bits of a slope that a pass settles.
+BLOCK, STRIP, DIGIT = 2048, 64, 16
 
 
 def settled(rows: DataFrame, by: Sequence[str], points: int = POINTS, spacing: int = SPACING, span: int = SPAN, units: int = UNITS) -> DataFrame:
@@ -60,19 +63,97 @@ def blocks(rows: DataFrame, by: Sequence[str]) -> DataFrame:
     return used.select(*by, F.col("ts").alias("start"), F.col("spent").alias("credits"), (F.coalesce(F.lead("before").over(w), F.col("final")) - F.col("before")).alias("delta"))
 
 
-def theil_sen(points: DataFrame, by: Sequence[str], most: int = 400) -> DataFrame:
-    """(by, slope, intercept, n): the median of slopes of pairs whose x differ by more than 1e-6, and the median remainder.
+def _ordered(slopes: np.ndarray) -> np.ndarray:
+    """Whole numbers in the order of the slopes; both zeros are one, NaN is last."""
+    bits = np.where(np.isnan(slopes), np.nan, slopes + 0.0).view(np.int64)
+    return bits ^ ((bits >> 63) & np.int64(2**63 - 1))
 
-    Pairs of one series only: a calibration experiment has tens of
-    observations. A series beyond `most` points is refused, not sampled.
+
+def _slopes(df: pd.DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The slopes of a group's pairs as ordered numbers, and how often each occurs; a strip of rows at a time."""
+    p, q = df["p"].iloc[0], df["q"].iloc[0]
+    one, two = (df.loc[df["mine"] == k, ["x", "y", "w"]].to_numpy(float) for k in (p, q))
+    for start in range(0, len(one), STRIP):
+        a, b = one[start : start + STRIP], two[start:] if p == q else two
+        dx = b[:, 0] - a[:, :1]
+        far = ~(np.abs(dx) <= 1e-6)
+        if p == q:
+            far &= np.arange(len(b)) > np.arange(len(a))[:, None]
+        yield _ordered((b[:, 1] - a[:, 1:2])[far] / dx[far]), (b[:, 2] * a[:, 2:])[far]
+
+
+def _large_ranked(points: DataFrame, by: Sequence[str], places: Sequence[Callable[[Column], Column]]) -> DataFrame:
+    """ranked_slopes for series of any size: points(by, x, y, w, blocks), each once.
+
+    A series is cut in blocks, and each pair of blocks is a group that counts
+    its slopes by their next DIGIT bits among those that share the bits found
+    so far. Four passes settle all bits; no slope leaves its group.
+    """
+    dealt = points.withColumn("mine", F.pmod(F.xxhash64("x", "y"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select(*by, "x", "y", "w", "mine", F.least("mine", "other").alias("p"), F.greatest("mine", "other").alias("q"))
+    keys = ", ".join(f"{k} {points.schema[k].dataType.simpleString()}" for k in by)
+
+    def counter(shift: int):
+        def count(df: pd.DataFrame) -> pd.DataFrame:
+            prefixes = df["prefixes"].iloc[0] if "prefixes" in df else [None]
+            sums = np.zeros((len(prefixes), 1 << DIGIT), np.int64)
+            for slopes, times in _slopes(df):
+                for t, prefix in enumerate(prefixes):
+                    chosen = slice(None) if prefix is None else slopes >> (shift + DIGIT) == prefix
+                    digit = (slopes[chosen] >> shift) + (1 << DIGIT - 1) if prefix is None else slopes[chosen] >> shift & (1 << DIGIT) - 1
+                    sums[t] += np.bincount(digit, times[chosen], 1 << DIGIT).astype(np.int64)
+            t, digit = sums.nonzero()
+            out = {**{k: [df[k].iloc[0]] * len(t) for k in by}, "t": t, "digit": digit - (1 << DIGIT - 1 if prefixes[0] is None else 0), "c": sums[t, digit]}
+            return pd.DataFrame(out).astype({"t": "int32", "digit": "int64"})
+
+        return count
+
+    found = None
+    for shift in range(64 - DIGIT, -1, -DIGIT):
+        asked = dealt if found is None else dealt.join(F.broadcast(found.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("t", "prefix")))["prefix"].alias("prefixes"))), list(by))
+        counted = asked.groupBy(*by, "p", "q").applyInPandas(counter(shift), f"{keys}, t int, digit bigint, c bigint").groupBy(*by, "t", "digit").agg(F.sum("c").alias("c"))
+        run = counted.withColumn("before", F.sum("c").over(Window.partitionBy(*by, "t").orderBy("digit")) - F.col("c"))
+        if found is None:
+            total = F.sum("c").over(Window.partitionBy(*by))
+            run = run.withColumn("total", total).select("*", F.posexplode(F.array(*[place(F.col("total")) for place in places])).alias("rank_of", "left"))
+            run = run.select(*by, F.col("rank_of").alias("t"), F.lit(0).cast("bigint").alias("prefix"), "digit", "c", "before", "left")
+        else:
+            run = run.join(found, [*by, "t"])
+        here = run.where((F.col("before") <= F.col("left")) & (F.col("left") < F.col("before") + F.col("c")))
+        found = here.select(*by, "t", (F.col("prefix") * (1 << DIGIT) + F.col("digit")).alias("prefix"), (F.col("left") - F.col("before")).alias("left"))
+
+    def slope(ordered: pd.Series) -> pd.Series:
+        bits = ordered.to_numpy(np.int64)
+        return pd.Series((bits ^ ((bits >> 63) & np.int64(2**63 - 1))).view(float))
+
+    exact = found.withColumn("slope", F.pandas_udf(slope, "double")("prefix"))
+    return exact.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("t", "slope")))["slope"].alias("s"))
+
+
+def ranked_slopes(points: DataFrame, by: Sequence[str], places: Sequence[Callable[[Column], Column]], few: int = 400) -> DataFrame:
+    """(by, s): of the slopes of a series' pairs whose x differ by more than 1e-6, in order, those at the places (counted from 0, given the number of slopes).
+
+    A series of up to `few` points gathers its slopes; a longer one counts
+    them in groups of pairs. The results are the same.
     """
-    sized = points.withColumn("n", F.count("*").over(Window.partitionBy(*by)))
-    ok = sized.where(F.col("n") <= most).withColumn("i", F.row_number().over(Window.partitionBy(*by).orderBy("x", "y")))
-    a, b = ok.alias("a"), ok.alias("b")
-    same = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in by]
-    pairs = a.join(b, [*same, F.col("a.i") < F.col("b.i"), F.abs(F.col("b.x") - F.col("a.x")) > 1e-6])
-    slopes = pairs.groupBy(*[F.col(f"a.{k}") for k in by]).agg(F.expr("percentile((b.y - a.y) / (b.x - a.x), 0.5)").alias("slope"))
-    rest = ok.join(slopes, list(by)).groupBy(*by).agg(F.first("slope").alias("slope"), F.expr("percentile(y - slope * x, 0.5)").alias("intercept"), F.count("*").alias("n"))
+    known = points.where(" and ".join(f"`{c}` is not null" for c in (*by, "x", "y"))).select(*by, "x", "y")
+    long = F.broadcast(known.groupBy(*by).agg(F.count("*").alias("points")).where(F.col("points") > few))
+    numbered = known.join(long, list(by), "left_anti").withColumn("i", F.row_number().over(Window.partitionBy(*by).orderBy("x", "y")))
+    a, b = numbered.alias("a"), numbered.alias("b")
+    pairs = a.join(b, [*[F.col(f"a.{k}") == F.col(f"b.{k}") for k in by], F.col("a.i") < F.col("b.i"), F.abs(F.col("b.x") - F.col("a.x")) > 1e-6])
+    slopes = pairs.groupBy(*[F.col(f"a.{k}") for k in by]).agg(F.array_sort(F.collect_list((F.col("b.y") - F.col("a.y")) / (F.col("b.x") - F.col("a.x")))).alias("s"))
+    total = F.size("s").cast("bigint")
+    short = slopes.select(*by, F.array(*[F.element_at("s", (place(total) + 1).cast("int")) for place in places]).alias("s"))
+    # Written once: every pass must see the same rows.
+    once = staged(known.join(long, list(by)).groupBy(*by, "x", "y", "points").agg(F.count("*").alias("w")).select(*by, "x", "y", "w", F.ceil(F.col("points") / BLOCK).cast("int").alias("blocks")), "points")
+    return short if once.isEmpty() else short.unionByName(_large_ranked(once, by, places))
+
+
+def theil_sen(points: DataFrame, by: Sequence[str]) -> DataFrame:
+    """(by, slope, intercept, n): the median of slopes of pairs whose x differ by more than 1e-6, and the median remainder."""
+    middle = [lambda n: F.floor((n - 1) / 2), lambda n: F.floor(n / 2)]
+    slopes = ranked_slopes(points, by, middle).select(*by, (F.col("s")[0] * 0.5 + F.col("s")[1] * 0.5).alias("slope"))
+    rest = points.join(slopes, list(by)).groupBy(*by).agg(F.first("slope").alias("slope"), F.expr("percentile(y - slope * x, 0.5)").alias("intercept"), F.count("*").alias("n"))
     return rest.select(*by, "slope", "intercept", "n")
 
 

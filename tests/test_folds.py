@@ -1,5 +1,7 @@
 """Order-dependent rules, by hand-made rows."""
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from meterlake.operators import calibration, dedup, timeline
@@ -85,3 +87,38 @@ def test_huber_resists_an_outlier(spark):
 def test_all_reasons_reports_every_failure(spark):
     (row,) = spark.range(1).select(calibration.all_reasons((F.lit(False), "x"), (F.lit(True), "y"), (F.lit(None).cast("boolean"), "z")).alias("r")).collect()
     assert row.r == ["x", "z"]
+
+
+def pair_slopes(x, y):
+    i, j = np.triu_indices(len(x), 1)
+    far = np.abs(x[j] - x[i]) > 1e-6
+    return np.sort((y[j] - y[i])[far] / (x[j] - x[i])[far])
+
+
+@pytest.fixture(scope="module")
+def long_series(spark):
+    """Two series of more than 400 points, one of them cut in blocks, with ties and repeats; and a short one."""
+    rng = np.random.default_rng(5)
+    made = {"hot": (rng.integers(0, 900, 2600), rng.integers(-50, 50, 2600)), "long": (rng.integers(0, 10**6, 402), rng.integers(-(10**6), 10**6, 402)), "short": (np.arange(5), np.array([0, 3, 1, 9, 4]))}
+    made = {k: (x.astype(float), 0.3 * x + y) for k, (x, y) in made.items()}
+    rows = [(k, float(a), float(b)) for k, (x, y) in made.items() for a, b in zip(x, y, strict=True)]
+    return made, spark.createDataFrame([*rows, (None, 1.0, 1.0), (None, 2.0, 2.0)], "k string, x double, y double").repartition(3)
+
+
+def test_theil_sen_of_long_series(long_series):
+    made, points = long_series
+    got = {r.k: r for r in calibration.theil_sen(points, ["k"]).collect()}
+    assert set(got) == set(made)
+    for k, (x, y) in made.items():
+        slope = np.median(pair_slopes(x, y))
+        assert got[k].slope == slope and got[k].n == len(x)
+        assert abs(got[k].intercept - np.median(y - slope * x)) < 1e-9
+
+
+def test_scalar_fit_of_long_series(long_series):
+    made, points = long_series
+    got = {r.k: r for r in calibration.scalar_fit(points, ["k"]).collect()}
+    assert set(got) == set(made)
+    for k, (x, y) in made.items():
+        slope = np.median(pair_slopes(x, y))
+        assert abs(got[k].residual - np.abs(np.median(y - slope * x) + slope * x - y).mean()) < 1e-9
