@@ -165,13 +165,8 @@ def scalar_fit(points: DataFrame, by: Sequence[str]) -> DataFrame:
 
 def slope_spread(points: DataFrame, by: Sequence[str]) -> DataFrame:
     """(by, lo, hi): the pairwise slopes at the 16th (index rounded down) and 84th percentile (rounded up)."""
-    numbered = points.withColumn("i", F.row_number().over(Window.partitionBy(*by).orderBy("x", "y")))
-    a, b = numbered.alias("a"), numbered.alias("b")
-    pairs = a.join(b, [*[F.col(f"a.{k}") == F.col(f"b.{k}") for k in by], F.col("a.i") < F.col("b.i"), F.abs(F.col("b.x") - F.col("a.x")) > 1e-6])
-    slopes = pairs.groupBy(*[F.col(f"a.{k}") for k in by]).agg(F.array_sort(F.collect_list((F.col("b.y") - F.col("a.y")) / (F.col("b.x") - F.col("a.x")))).alias("s"))
-    last = F.size("s") - 1
-    at = lambda i: F.element_at("s", (F.least(F.greatest(i, F.lit(0)), last) + 1).cast("int"))
-    return slopes.select(*by, at(F.floor(last * 16 / 100)).alias("lo"), at(F.ceil(last * 84 / 100)).alias("hi"))
+    ends = [lambda n: F.floor((n - 1) * 16 / 100), lambda n: F.ceil((n - 1) * 84 / 100)]
+    return ranked_slopes(points, by, ends).select(*by, F.col("s")[0].alias("lo"), F.col("s")[1].alias("hi"))
 
 
 def huber(points: DataFrame, by: Sequence[str], steps: int = 100) -> DataFrame:

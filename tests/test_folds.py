@@ -122,3 +122,16 @@ def test_scalar_fit_of_long_series(long_series):
     for k, (x, y) in made.items():
         slope = np.median(pair_slopes(x, y))
         assert abs(got[k].residual - np.abs(np.median(y - slope * x) + slope * x - y).mean()) < 1e-9
+
+
+def test_slope_spread_of_long_series_gathers_no_array(long_series, monkeypatch):
+    made, points = long_series
+    few = []
+    ranked = calibration._large_ranked
+    monkeypatch.setattr(calibration, "_large_ranked", lambda rows, *a: few.extend(r.k for r in rows.select("k").distinct().collect()) or ranked(rows, *a))
+    got = {r.k: r for r in calibration.slope_spread(points, ["k"]).collect()}
+    assert set(got) == set(made) and sorted(few) == ["hot", "long"]
+    for k, (x, y) in made.items():
+        s = pair_slopes(x, y)
+        last = len(s) - 1
+        assert (got[k].lo, got[k].hi) == (s[last * 16 // 100], s[(last * 84 + 99) // 100])
