@@ -14,13 +14,13 @@ from ..functions.exact import floor_div
 from ..llm.common import staged
 
 # What settles a plateau.
-POINTS, SPACING, SPAN, UNITS = 3, 300 * SECOND, 600 * SECOND, 0
+POINTS, SPACING, SPAN, UNITS, WITHIN = 3, 300 * SECOND, 600 * SECOND, 0, 3600 * SECOND
 # Of long series: points in a block, rows whose pairs are made at once, bits of a slope that a pass settles.
 BLOCK, STRIP, DIGIT = 2048, 64, 16
 
 
-def settled(rows: DataFrame, by: Sequence[str], points: int = POINTS, spacing: int = SPACING, span: int = SPAN, units: int = UNITS) -> DataFrame:
-    """(by, settled_at): when each series first held still for `points` observations far enough apart, of one resolution, that changed by no more than units of it."""
+def plateau_ends(rows: DataFrame, by: Sequence[str], points: int = POINTS, spacing: int = SPACING, span: int = SPAN, units: int = UNITS, within: int | None = None) -> DataFrame:
+    """rows plus ok: whether a series held still up to this row, for `points` observations far enough apart, of one resolution, that changed by no more than units of it and took no longer than `within`."""
     w = Window.partitionBy(*by).orderBy("ts")
     frame = w.rowsBetween(1 - points, 0)
     gapped = rows.withColumn("gap", F.col("ts") - F.lag("ts").over(w))
@@ -32,7 +32,70 @@ def settled(rows: DataFrame, by: Sequence[str], points: int = POINTS, spacing: i
         & (F.max("used_ppm").over(frame) - F.min("used_ppm").over(frame) <= units * F.col("resolution"))
         & (F.min("resolution").over(frame) == F.max("resolution").over(frame))
     )
-    return gapped.withColumn("ok", plateau).where("ok").groupBy(*by).agg(F.min("ts").alias("settled_at"))
+    if within is not None:
+        plateau = plateau & (F.col("ts") - F.min("ts").over(frame) <= within)
+    return gapped.withColumn("ok", plateau)
+
+
+def settled(rows: DataFrame, by: Sequence[str], points: int = POINTS, spacing: int = SPACING, span: int = SPAN, units: int = UNITS) -> DataFrame:
+    """(by, settled_at): when each series first held still."""
+    return plateau_ends(rows, by, points, spacing, span, units).where("ok").groupBy(*by).agg(F.min("ts").alias("settled_at"))
+
+
+def passive_intervals(rows: DataFrame, by: Sequence[str], **plateau: int) -> DataFrame:
+    """rows(by, ts, observation, used_ppm, resolution, resets_at) -> (by, start, end, settled, reset_inside): the intervals that passive calibration considers.
+
+    They lie between the ends of consecutive settled plateaus where a series
+    has two or more, else between consecutive observations, unsettled. start
+    and end are the observations there. A reset is inside if any observation
+    of the interval names one, or if usage fell by more than the resolution.
+    """
+    w = Window.partitionBy(*by).orderBy("ts", "observation")
+    flagged = plateau_ends(rows, by, **({"within": WITHIN} | plateau))
+    # A plateau has the resolution of the series' first observation.
+    flagged = flagged.withColumn("ok", F.col("ok") & (F.col("resolution") == F.first("resolution").over(w.rowsBetween(Window.unboundedPreceding, 0))))
+    flagged = flagged.withColumn("settled", F.count_if("ok").over(Window.partitionBy(*by)) >= 2)
+    flagged = flagged.withColumn("edge", F.col("ok") | ~F.col("settled"))
+    pieces = flagged.withColumn("piece", F.count_if("edge").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    at = F.struct("ts", "observation", "used_ppm", "resolution")
+    found = pieces.where("edge").select(*by, "piece", "settled", at.alias("start"), F.lead(at).over(w).alias("end")).where("end is not null")
+    # An edge ends one interval and begins the next.
+    inside = pieces.where("resets_at is not null").select(*by, "resets_at", F.explode(F.when(F.col("edge"), F.array(F.col("piece") - 1, "piece")).otherwise(F.array("piece"))).alias("piece"))
+    named = inside.join(found, [*by, "piece"]).where((F.col("resets_at") > F.col("start.ts")) & (F.col("resets_at") < F.col("end.ts"))).select(*by, "piece", F.lit(True).alias("named")).distinct()
+    fell = F.col("end.used_ppm") < F.col("start.used_ppm") - F.col("start.resolution")
+    return found.join(named, [*by, "piece"], "left").select(*by, "start", "end", "settled", (fell | F.coalesce("named", F.lit(False))).alias("reset_inside"))
+
+
+#: Columns of evidence on an interval, each with the reason that it gives when false or unknown. In the reference's order.
+PASSIVE_CONDITIONS = {
+    "attributed": "high_confidence_account_attribution",
+    "both_sides": "meter_observations_on_both_sides",
+    "no_reset": "no_reset_inside",
+    "same_tier": "unchanged_plan_tier",
+    "exact_usage": "exact_contributing_usage",
+    "known_components": "no_unknown_token_components",
+    "covered": "sufficient_meter_coverage",
+    "alone": "no_second_local_session_or_consumer",
+    "permitted": "exclusivity_policy_permits_passive",
+    "settled": "server_side_settlement_satisfied",
+    "no_anomaly": "meter_window_anomaly",
+    "no_mismatch": "external_validation_mismatch",
+}
+
+
+def passive_reasons(intervals: DataFrame) -> DataFrame:
+    """passive_intervals plus columns of evidence -> the same plus reasons: every condition that fails. An interval without any is eligible."""
+    checked = intervals.withColumns({"both_sides": F.col("start").isNotNull() & F.col("end").isNotNull(), "no_reset": ~F.col("reset_inside")})
+    return checked.withColumn("reasons", all_reasons(*[(F.col(c), reason) for c, reason in PASSIVE_CONDITIONS.items()])).drop("both_sides", "no_reset")
+
+
+def passive_points(intervals: DataFrame, by: Sequence[str]) -> DataFrame:
+    """passive_reasons(credits) -> (by, x, y) for a fit: the first eligible interval's start at no credits, then each one's end at the credits so far."""
+    w = Window.partitionBy(*by).orderBy("start.ts", "start.observation")
+    eligible = intervals.where(F.size("reasons") == 0).withColumns({"x": F.sum("credits").over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("double"), "first": F.row_number().over(w) == 1})
+    point = lambda x, at: F.struct(x.alias("x"), F.col(f"{at}.used_ppm").cast("double").alias("y"))
+    end = point(F.col("x"), "end")
+    return eligible.select(*by, F.explode(F.when(F.col("first"), F.array(point(F.lit(0.0), "start"), end)).otherwise(F.array(end))).alias("p")).select(*by, "p.x", "p.y")
 
 
 def reset_partition(rows: DataFrame, by: Sequence[str]) -> DataFrame:

@@ -135,3 +135,32 @@ def test_slope_spread_of_long_series_gathers_no_array(long_series, monkeypatch):
         s = pair_slopes(x, y)
         last = len(s) - 1
         assert (got[k].lo, got[k].hi) == (s[last * 16 // 100], s[(last * 84 + 99) // 100])
+
+
+MINUTE = 60 * 10**9
+
+
+def readings(spark, series):
+    """Readings ten minutes apart, of resolution 10; those of a series that are (used, reset) name a reset, in minutes."""
+    rows = [(a, i * 10 * MINUTE, i, *((u[0], 10, u[1] * MINUTE) if isinstance(u, tuple) else (u, 10, None))) for a, us in series.items() for i, u in enumerate(us)]
+    return spark.createDataFrame(rows, "a string, ts bigint, observation bigint, used_ppm bigint, resolution bigint, resets_at bigint")
+
+
+def test_passive_intervals_lie_between_plateau_ends(spark):
+    two = [100] * 4 + [150, 200, 200, 200, (200, 75), 50, 50, 50]
+    rows = readings(spark, {"two": two, "one": [5, 5, 5, 90], "raw": [10, 40, 20], "single": [7]})
+    got = sorted((r.a, r.start.observation, r.end.observation, r.settled, r.reset_inside) for r in calibration.passive_intervals(rows, ["a"]).collect())
+    plateaus = [("two", 2, 3, True, False), ("two", 3, 7, True, False), ("two", 7, 8, True, True), ("two", 8, 11, True, True)]
+    assert got == [("one", 0, 1, False, False), ("one", 1, 2, False, False), ("one", 2, 3, False, False), ("raw", 0, 1, False, False), ("raw", 1, 2, False, True), *plateaus]
+
+
+def test_passive_conditions_and_points(spark):
+    rows = readings(spark, {"s": [100] * 3 + [200] * 3 + [300] * 3 + [400] * 3, "raw": [1, 2]})
+    found = calibration.passive_intervals(rows, ["a"])
+    evidence = {c: F.lit(True) for c in calibration.PASSIVE_CONDITIONS if c not in ("both_sides", "no_reset", "settled")}
+    judged = calibration.passive_reasons(found.withColumns({**evidence, "alone": F.col("end.observation") != 8, "same_tier": F.when(F.col("end.observation") != 8, True), "credits": F.lit(5)}))
+    reasons = {(r.a, r.end.observation): r.reasons for r in judged.collect()}
+    assert reasons == {("s", 5): [], ("s", 8): ["unchanged_plan_tier", "no_second_local_session_or_consumer"], ("s", 11): [], ("raw", 1): ["server_side_settlement_satisfied"]}
+    points = calibration.passive_points(judged, ["a"])
+    assert sorted((r.a, r.x, r.y) for r in points.collect()) == [("s", 0.0, 100.0), ("s", 5.0, 200.0), ("s", 10.0, 400.0)]
+    assert [r.slope for r in calibration.theil_sen(points, ["a"]).collect()] == [30.0]
