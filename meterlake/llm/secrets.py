@@ -38,11 +38,18 @@ BASE_RULES = (
     Rule("access", r"AKIA[A-Z0-9]+", 0, 18),
     Rule("hex", r"[0-9a-f]+", 0, 16),
 )
+#: A private key from its BEGIN on: through END, if no other run of five dashes comes first; else through lines of base64 (after an encrypted key's headers; \\n may be written out). Possessive, so that no text makes the match go back or recurse.
+PEM = (
+    r"-----BEGIN [A-Z ]*PRIVATE KEY-----"
+    r"(?:[^-]*+(?:-{1,4}+[^-]++)*+-----END [A-Z ]*PRIVATE KEY-----"
+    r"|(?:(?:\\[rn]|[\r\n])++[ \t]*+[A-Za-z-]++:\x20[^\r\n\\]*+){0,4}+"
+    r"(?:(?:(?:\\[rn]|[\r\n])++[ \t]*+[A-Za-z0-9+/=]++[ \t]*+(?![^\r\n\\\"'])|[ \t]++[A-Za-z0-9+/=]{40,}+))*+)"
+)
 MORE_RULES = (
     Rule("forge", r"gh[pousr]_[A-Za-z0-9]+", 0, 40),
     Rule("chat", r"xox[abprs]-[A-Za-z0-9-]+", 0, 20),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 0, 40),
-    Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+    Rule("pem", PEM),
 )
 #: A run of literals stands for at most so many strings; beyond it the run is cut.
 MOST_STRINGS = 64
