@@ -6,11 +6,11 @@ has the columns of `documents`, and so has each stage's result but the last's.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meterlake.llm.bpe import encode
-from meterlake.llm.common import row_key, staged, table
+from meterlake.llm.common import WORD, table, text_key, whole
 from meterlake.llm.langid import identify, learn
 from meterlake.llm.mixing import training_order
 from meterlake.llm.neardup import near_duplicates
@@ -28,12 +28,16 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, that with the smallest id; of repeated rows, one. Documents without words stay."""
+    """One row of each group of near-duplicates: with the smallest id (null: largest), then the least SHA-256 of its text, then the least lang, source and n_chars. Rows without words stay, repeated ones too."""
     docs = docs.select(*COLUMNS)
-    keep = near_duplicates(docs).where("kept").select("rk", (F.col("n_shingles") == 0).alias("empty"))
-    joined = docs.withColumn("rk", row_key("doc_id", "text")).join(keep.hint("merge"), "rk")
-    nth = F.row_number().over(Window.partitionBy("rk").orderBy("rk"))
-    return joined.withColumn("nth", nth).where("nth = 1 or empty").select(*COLUMNS)
+    worded = F.coalesce(F.regexp_like("text", F.lit(WORD)), F.lit(False))
+    rest = ("lang", "source", "n_chars")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "rk"))
+    keep = near_duplicates(docs).where("n_shingles > 0").groupBy("component").agg(first.alias("first")).select("first.rk", F.col("first.doc_id").alias("kept_id"))
+    # Equal rows are made one before the shuffle, so that no task gets all copies of a text.
+    once = docs.where(worded).groupBy(text_key().alias("rk"), "doc_id").agg(F.first("text").alias("text"), F.min(F.struct(*rest)).alias("rest"))
+    found = once.join(keep.hint("merge"), (once["rk"] == keep["rk"]) & once["doc_id"].eqNullSafe(keep["kept_id"]))
+    return found.select("doc_id", "text", *[f"rest.{c}" for c in rest]).select(*COLUMNS).union(docs.where(~worded))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -64,8 +68,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on sf_dir's documents; each result is written to the shared folder and read again."""
-    docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = staged(stage(spark, docs, sf_dir), f"pipeline-{name}")
-    return docs
+    """All stages on sf_dir's documents. Each result is written to the shared folder and read again; all but the last's are deleted when that is written."""
+
+    def pipeline(docs: DataFrame) -> DataFrame:
+        for name, stage in STAGES[:-1]:
+            docs = whole(lambda d, stage=stage: stage(spark, d, sf_dir), f"pipeline-{name}")(docs)
+        return STAGES[-1][1](spark, docs, sf_dir)
+
+    return whole(pipeline)(table(spark, sf_dir, "documents"))

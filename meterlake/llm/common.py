@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from functools import wraps
 from itertools import pairwise
 
 import numpy as np
@@ -38,17 +40,63 @@ def shared_dir(spark: SparkSession) -> str:
     return "/tmp/checkpoints"
 
 
+#: Folders staged since each open scratch() began, the innermost last.
+_scratch: list[list[str]] = []
+
+
+def _folder(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A path of its own in the shared folder. What is written there goes with the scratch() around it, or else when the session ends."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if _scratch:
+        _scratch[-1].append(path)
+    else:
+        fs, at = _folder(spark, path)
+        fs.deleteOnExit(at)
+    return path
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write df once to the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = new_folder(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def row_key(*cols: str) -> Column:
-    """A 64-bit key of a row's own values. Equal rows share it."""
-    return F.xxhash64(*cols)
+@contextmanager
+def scratch(spark: SparkSession):
+    """What is staged inside is deleted at the end: read it before."""
+    _scratch.append([])
+    try:
+        yield
+    finally:
+        for path in _scratch.pop():
+            fs, at = _folder(spark, path)
+            fs.delete(at, True)
+
+
+def whole(make: Callable[..., DataFrame], name: str = "") -> Callable[..., DataFrame]:
+    """Stages what make(df, ...) returns and deletes all that it staged on the way."""
+
+    @wraps(make)
+    def run(df: DataFrame, *args, **kwargs) -> DataFrame:
+        path = new_folder(df.sparkSession, name or make.__name__)
+        with scratch(df.sparkSession):
+            made = make(df, *args, **kwargs)
+            made.write.option("compression", "zstd").parquet(path)
+        return df.sparkSession.read.schema(made.schema).parquet(path)
+
+    return run
+
+
+def text_key() -> Column:
+    """The SHA-256 of a text, 32 bytes; null for null."""
+    return F.unhex(F.sha2("text", 256))
 
 
 def doc_text() -> Column:
@@ -90,14 +138,16 @@ def groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Ta
         yield pa.Table.from_batches(held)
 
 
-def dealt_in_blocks(rows: DataFrame, key: str, item: str, block: int) -> DataFrame:
+def dealt_in_blocks(rows: DataFrame, key: str, item: str, block: int, size: str, most: int) -> DataFrame:
     """rows plus mine, p and q, sorted by (key, p, q) in their partitions: groups in which any two rows of a key meet.
 
-    A key's rows are cut in blocks of about `block` by a hash of item; a group
-    is a pair of blocks, and mine a row's own, so that pairs inside a block can
-    be left to the groups with p = q.
+    A key's rows are cut in blocks of about `block` rows, or fewer so that their
+    sizes sum to about `most`, by a hash of item; a group is a pair of blocks,
+    and mine a row's own, so that pairs inside a block can be left to the groups
+    with p = q.
     """
-    full = rows.groupBy(key).count().where(F.col("count") > block).select(key, F.ceil(F.col("count") / block).cast("int").alias("blocks"))
+    blocks = F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum(size) / most)).cast("int")
+    full = rows.groupBy(key).agg(blocks.alias("blocks")).where("blocks > 1")
     dealt = rows.join(full, key, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("mine", F.pmod(F.xxhash64(item), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("p", F.least("mine", "other")).withColumn("q", F.greatest("mine", "other"))
     return dealt.drop("blocks", "other").repartition(key, "p", "q").sortWithinPartitions(key, "p", "q")

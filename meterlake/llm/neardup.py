@@ -12,7 +12,12 @@ makes all pairs of a bucket. First each class is compared with its bucket's
 least and greatest class. Then, in buckets whose classes aren't yet in one
 component, tasks compare classes of different components, as long as they are
 different, and give only the links. What is left uncompared is already
-connected, so no component is missed. Every link is confirmed on the full sets.
+connected, so no component is missed.
+
+A set's shingles are 128-bit hashes of their words' BLAKE2b digests, and a class
+is the sets with one 128-bit digest; both are used to find candidates and equal
+sets. Links between classes are confirmed on the texts' own words, numbered
+without hashes. A class's number is drawn when the table of classes is written.
 """
 
 from __future__ import annotations
@@ -24,54 +29,119 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER_AZ, dealt_in_blocks, groups, row_key, slices, staged
+from .common import LOWER_AZ, dealt_in_blocks, groups, slices, staged, text_key, whole
 from .components import components
 
 SHINGLE, PERCENT = 5, 75
 BANDS, ROWS = 32, 4
-#: Of 128 signature bits, similar classes differ in 16; so many more is over six standard deviations.
+#: Of 128 signature bits, classes of similarity 0.75 differ in 16 on average; chances that they differ in more than these are 3 in 10**9, far below those that all bands miss.
 MOST_BITS = 40
 #: Texts that one task compares with the same pivot, at most.
-PIVOT_TEXTS = 2000
-#: Classes of a bucket that make a block of the second pass.
-BLOCK = 500
+PIVOT_TEXTS = 256
+#: Classes of a bucket that make a block of the second pass, and the shingles in them, at most about.
+BLOCK, BLOCK_SHINGLES = 500, 2_000_000
 MAX_CHARS = 1_000_000
+#: Bytes of the words whose digests a task remembers.
+WORD_BYTES = 1 << 26
 _BASE = np.uint64(0x9E3779B97F4A7C15)
+_LANES = (np.uint64(0xD6E8FEB86659FD93), np.uint64(0xC2B2AE3D27D4EB4F))
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd base modulo 2**64 and of its inverse."""
-    inverse = np.uint64(pow(int(_BASE), -1, 1 << 64))
-    up, down = np.full(n, _BASE, np.uint64), np.full(n, inverse, np.uint64)
-    up[:1] = down[:1] = 1
-    return np.cumprod(up), np.cumprod(down)
+class _Digests(dict):
+    """Words to their numbers in data, which holds 16 bytes of BLAKE2b for each."""
 
+    def __init__(self):
+        self.data, self.held = bytearray(), 0
 
-def shingle_sets(texts: list[str]) -> list[np.ndarray]:
-    """Each text's distinct shingles as sorted 64-bit hashes.
+    def __missing__(self, word: bytes) -> int:
+        n = self[word] = len(self.data) // 16
+        self.data += hashlib.blake2b(word, digest_size=16).digest()
+        self.held += len(word) + 100
+        return n
 
-    All texts are hashed in one go: a running polynomial over their words
-    joined by blanks gives any shingle's hash as a difference.
-    """
-    words = [t.encode("utf-8", "surrogatepass").translate(LOWER_AZ).split() for t in texts]
+
+_digests = _Digests()
+
+
+def _words(text: str) -> list[bytes]:
+    return text.encode("utf-8", "surrogatepass").translate(LOWER_AZ).split()
+
+
+def _distinct(x: np.ndarray) -> np.ndarray:
+    """The sorted distinct values."""
+    x = np.sort(x)
+    return x[np.concatenate(([True], x[1:] != x[:-1]))] if len(x) else x
+
+
+def shingle_sets(texts: list[str]) -> list[np.ndarray]:
+    """Each text's distinct shingles as 128-bit hashes: two rows of 64-bit numbers, sorted by the first, then the second."""
+    global _digests
+    if _digests.held > WORD_BYTES:
+        _digests = _Digests()
+    words = [_words(t) for t in texts]
     counts = np.array([len(w) for w in words], np.int64)
     if not counts.sum():
-        return [np.zeros(0, np.uint64) for _ in texts]
-    data = np.frombuffer(b" ".join(b" ".join(w) for w in words if w) + b" ", np.uint8)
-    ends = np.flatnonzero(data == 32)
-    starts = np.concatenate(([0], ends[:-1] + 1))
-    up, down = _powers(len(data) + 1)
-    running = np.concatenate((np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:-1])))
+        return [np.zeros((2, 0), np.uint64) for _ in texts]
+    numbers = np.fromiter((n for w in words for n in map(_digests.__getitem__, w)), np.int64, int(counts.sum()))
+    digests = np.frombuffer(bytes(_digests.data), np.uint64).reshape(-1, 2)
     per = np.where(counts > 0, np.maximum(counts - SHINGLE + 1, 1), 0)
-    first_word = np.concatenate(([0], np.cumsum(counts)[:-1]))
-    first_shingle = np.concatenate(([0], np.cumsum(per)))
-    at = np.arange(first_shingle[-1]) + np.repeat(first_word - first_shingle[:-1], per)
-    begin, end = starts[at], ends[at + np.repeat(np.minimum(counts, SHINGLE) - 1, per)]
-    h = (running[end] - running[begin]) * down[begin]
-    h ^= h >> np.uint64(32)
-    h *= np.uint64(0xD6E8FEB86659FD93)
-    h ^= h >> np.uint64(32)
-    return [np.unique(h[a:b]) for a, b in zip(first_shingle[:-1], first_shingle[1:], strict=True)]
+    bounds = np.concatenate(([0], np.cumsum(per)))
+    at = np.arange(bounds[-1]) + np.repeat(np.cumsum(counts) - counts - bounds[:-1], per)
+    width = np.repeat(np.minimum(counts, SHINGLE), per)
+    short = np.flatnonzero(width < SHINGLE)
+    lanes = []
+    for lane, odd in enumerate(_LANES):
+        of_word = digests[:, lane][numbers]
+        h = width.astype(np.uint64) * _BASE
+        for k in range(SHINGLE):
+            more = h ^ of_word[np.minimum(at + k, len(of_word) - 1)]
+            more *= odd
+            more ^= more >> np.uint64(29)
+            more *= _BASE
+            more ^= more >> np.uint64(32)
+            over = short[width[short] <= k]
+            more[over] = h[over]
+            h = more
+        lanes.append(h)
+    out = []
+    for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+        x, y = lanes[0][a:b], lanes[1][a:b]
+        order = np.argsort(x)
+        x, y = x[order], y[order]
+        same = x[1:] == x[:-1]
+        if (y[1:][same] != y[:-1][same]).any():
+            order = np.lexsort((y, x))
+            x, y = x[order], y[order]
+            same = (x[1:] == x[:-1]) & (y[1:] == y[:-1])
+        keep = np.concatenate(([True], ~same)) if b > a else np.zeros(0, bool)
+        out.append(np.stack((x[keep], y[keep])))
+    return out
+
+
+def _ranks(x: np.ndarray) -> np.ndarray:
+    """For each number how many distinct ones are smaller."""
+    order = np.argsort(x)
+    out = np.empty(len(x), np.uint64)
+    s = x[order]
+    out[order] = np.concatenate((np.zeros(1, np.uint64), np.cumsum(s[1:] != s[:-1], dtype=np.uint64))) if len(x) else x
+    return out
+
+
+def exact_sets(texts: list[list[bytes]]) -> list[np.ndarray]:
+    """Each word list's distinct shingles as sorted numbers, equal across the lists exactly where the words are: words are numbered, then pairs of words, pairs of pairs, and those with a fifth."""
+    number: dict[bytes, int] = {}
+    wide, bounds = [], [0]
+    for words in texts:
+        w = np.fromiter((number.setdefault(x, len(number) + 1) for x in words), np.uint64, len(words))
+        if 0 < len(w) < SHINGLE:
+            w = np.concatenate((w, np.zeros(SHINGLE - len(w), np.uint64)))
+        wide.append(w)
+        bounds.append(bounds[-1] + max(0, len(w) - SHINGLE + 1))
+    at = [np.concatenate([w[k : len(w) - SHINGLE + 1 + k] for w in wide if len(w)] or [np.zeros(0, np.uint64)]) for k in range(SHINGLE)]
+    half = np.uint64(32)
+    pairs = [_ranks(at[k] << half | at[k + 1]) for k in (0, 2)]
+    keys = _ranks(pairs[0] << half | pairs[1]) << half | at[4]
+    return [_distinct(keys[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
 
 
 def _permute(x: np.ndarray, odd1: int, odd2: int) -> np.ndarray:
@@ -86,9 +156,9 @@ def _permute(x: np.ndarray, odd1: int, odd2: int) -> np.ndarray:
 
 def signatures(sets: list[np.ndarray]) -> np.ndarray:
     """The circulant MinHash coordinates of non-empty sets, a row for each set."""
-    sizes = np.array([len(s) for s in sets])
+    sizes = np.array([s.shape[1] for s in sets])
     offsets = np.concatenate(([0], np.cumsum(sizes)[:-1]))
-    once = _permute((np.concatenate(sets) >> np.uint64(32)).astype(np.uint32), 0x7FEB352D, 0x846CA68B)
+    once = _permute((np.concatenate([s[0] for s in sets]) >> np.uint64(32)).astype(np.uint32), 0x7FEB352D, 0x846CA68B)
     out = np.empty((BANDS * ROWS, len(sets)), np.uint32)
     for k in range(BANDS * ROWS):
         out[k] = np.minimum.reduceat(_permute(once - np.uint32(k), 0x2C1B3C6D, 0x297A2D39), offsets)
@@ -115,46 +185,51 @@ def _signed(batches):
     for batch in batches:
         for part, texts in slices(batch, "text", MAX_CHARS):
             sets = shingle_sets(texts)
-            some = [s for s in sets if len(s)]
+            sizes = np.array([s.shape[1] for s in sets], np.int64)
+            some = [s for s in sets if s.shape[1]]
             bands, sketch = np.zeros((len(sets), BANDS), np.uint64), np.zeros((len(sets), 2), np.uint64)
             if some:
                 sig = signatures(some)
-                full = np.array([len(s) > 0 for s in sets])
-                bands[full], sketch[full] = _band_keys(sig), _sketch(sig)
-            digest = np.frombuffer(b"".join(hashlib.blake2b(s.tobytes(), digest_size=8).digest() for s in sets), np.int64)
+                bands[sizes > 0], sketch[sizes > 0] = _band_keys(sig), _sketch(sig)
+            digest = np.frombuffer(b"".join(hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets), np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays(
                 [
                     part.column("doc_id"),
                     part.column("rk"),
-                    pa.array([len(s) for s in sets], pa.int64()),
-                    pa.array(digest),
+                    pa.array(sizes),
+                    pa.array(digest[:, 0]),
+                    pa.array(digest[:, 1]),
                     pa.array(sketch[:, 0].view(np.int64)),
                     pa.array(sketch[:, 1].view(np.int64)),
                     pa.ListArray.from_arrays(pa.array(np.arange(0, len(sets) * BANDS + 1, BANDS), pa.int32()), pa.array(bands.reshape(-1).view(np.int64))),
                 ],
-                ["doc_id", "rk", "n", "node", "s0", "s1", "bands"],
+                ["doc_id", "rk", "n", "d0", "d1", "s0", "s1", "bands"],
             )
 
 
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
-    """Whether two sorted sets of distinct hashes have a Jaccard similarity of PERCENT or more."""
-    both = len(np.intersect1d(a, b, assume_unique=True))
+    """Whether two sorted sets of distinct numbers have a Jaccard similarity of PERCENT or more."""
+    if 100 * min(len(a), len(b)) < PERCENT * max(len(a), len(b)):
+        return False
+    both = int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum()) if len(b) else 0
     return 100 * both >= PERCENT * (len(a) + len(b) - both) and both > 0
 
 
 def _confirm(batches):
-    """Rows come sorted by (pivot, part, not the pivot itself); keeps the links that hold on the full sets."""
-    now, held = None, None
+    """Rows come sorted by (pivot, part, not the pivot itself); keeps the links that hold on the full sets. One pivot's words are held at a time."""
+    now, held = None, []
     for batch in batches:
         pivots, parts, nodes = (batch.column(c).to_pylist() for c in ("pivot", "part", "node"))
         at, good = 0, []
         for part, texts in slices(batch, "text", MAX_CHARS):
-            for i, s in enumerate(shingle_sets(texts), at):
+            words = [_words(t) for t in texts]
+            lead, *sets = exact_sets([held, *words])
+            for i, s in enumerate(sets, at):
                 if nodes[i] == pivots[i]:
-                    now, held = (pivots[i], parts[i]), s
+                    now, held, lead = (pivots[i], parts[i]), words[i - at], s
                 elif now != (pivots[i], parts[i]):
                     raise ValueError("a pivot's text doesn't precede those compared with it")
-                elif similar(held, s):
+                elif similar(lead, s):
                     good.append(i)
             at += part.num_rows
         yield pa.RecordBatch.from_arrays([pa.array([nodes[i] for i in good], pa.int64()), pa.array([pivots[i] for i in good], pa.int64())], ["a", "b"])
@@ -216,9 +291,7 @@ def _settle(batches):
         a, b = a[first][order], b[first][order]
         texts, component, node = group.column("text").to_pylist(), group.column("component").to_pylist(), group.column("node").to_pylist()
         used = np.union1d(a, b).tolist()
-        sets: dict[int, np.ndarray] = {}
-        for start in range(0, len(used), 50):
-            sets.update(zip(used[start : start + 50], shingle_sets([texts[i] for i in used[start : start + 50]]), strict=True))
+        sets = dict(zip(used, exact_sets([_words(texts[i]) for i in used]), strict=True))
         root = {c: c for c in component}
 
         def find(c, root=root):
@@ -236,23 +309,25 @@ def _settle(batches):
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], pa.int64()), pa.array([y for _, y in links], pa.int64())], ["a", "b"])
 
 
+@whole
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """(rk, doc_id, n_shingles, component_id, kept, copies) for each row of docs (doc_id, text).
-
-    rk is the row's key. Null texts and texts without words have no shingles,
-    are their own component and are linked with nothing. Fewer than five words
-    make one shingle. Rows with a null id take part but never name a component
-    that has other ids. Repeated rows share a component, and all are kept if one
-    is; copies counts them.
+    """(rk, doc_id, n_shingles, component, component_id, kept, copies) for each distinct row of docs (doc_id, text).
+
+    rk is the text's SHA-256, component a component's own number. Null texts and
+    texts without words have no shingles, are their own component (component is
+    null) and are linked with nothing. Fewer than five words make one shingle.
+    Rows with a null id take part but never name a component that has other
+    ids. Repeated rows share a component, and all are kept if one is; copies
+    counts them. An empty table gives an empty one. Texts may be of any length:
+    a task holds one of them beside a bounded run of others. Other columns are
+    ignored, whatever their names.
     """
-    keyed = docs.select("doc_id", row_key("doc_id", "text").alias("rk"), "text")
+    keyed = docs.select("doc_id", text_key().alias("rk"), "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    signed = staged(keyed.mapInArrow(_signed, f"doc_id {kind}, rk bigint, n bigint, node bigint, s0 bigint, s1 bigint, bands array<bigint>"), "signed")
-    # node: a class of equal sets, by their digest.
-    classes = staged(
-        signed.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("least"), F.min("rk").alias("rk"), F.first("n").alias("n"), F.first("s0").alias("s0"), F.first("s1").alias("s1"), F.first("bands").alias("bands")),
-        "classes",
-    )
+    signed = staged(keyed.mapInArrow(_signed, f"doc_id {kind}, rk binary, n bigint, d0 bigint, d1 bigint, s0 bigint, s1 bigint, bands array<bigint>"), "signed")
+    # A class of equal sets, by their digest; node is its number from here on.
+    facts = [F.min("doc_id").alias("least"), F.min("rk").alias("rk"), *[F.first(c).alias(c) for c in ("n", "s0", "s1", "bands")]]
+    classes = staged(signed.where("n > 0").groupBy("d0", "d1").agg(*facts).withColumn("node", F.monotonically_increasing_id()), "classes")
     banded = classes.select("node", "n", "s0", "s1", F.explode("bands").alias("band"))
     ends = banded.groupBy("band").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi")
     shared = staged(banded.join(ends, "band").select("band", "node", "n", "s0", "s1", "lo", "hi"), "buckets")
@@ -269,17 +344,18 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     labelled = shared.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     mixed = labelled.groupBy("band").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1").select("band")
     open_ = labelled.join(mixed, "band", "left_semi").select("band", "node", "n", "s0", "s1", "component")
-    needed = staged(dealt_in_blocks(open_, "band", "node", BLOCK).mapInArrow(_needed, "band bigint, p int, q int, mine int, node bigint"), "needed")
+    needed = staged(dealt_in_blocks(open_, "band", "node", BLOCK, "n", BLOCK_SHINGLES).mapInArrow(_needed, "band bigint, p int, q int, mine int, node bigint"), "needed")
     about = classes.select("node", "n", "s0", "s1", "bands").join(found, "node", "left").withColumn("component", F.coalesce("component", "node")).join(texts, "node")
     again = needed.join(about, "node").repartition("band", "p", "q").sortWithinPartitions("band", "p", "q")
     more = staged(again.mapInArrow(_settle, "a bigint, b bigint"), "more")
-    found = components(links.union(more))
-    grouped = classes.select("node", "least").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    # The second pass' links join components of the first, so its labels are a good start.
+    found = staged(components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more)), "components")
+    grouped = classes.select("d0", "d1", "node", "least").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     names = grouped.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = grouped.join(names, "component").select("node", "component_id")
-    rows = signed.groupBy("rk", "doc_id", "n", "node").agg(F.count("*").alias("copies"))
-    out = rows.join(named, "node", "left").withColumn("component_id", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")))
-    return out.select("rk", "doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "copies")
+    named = grouped.join(names, "component").select("d0", "d1", "component", "component_id")
+    rows = signed.groupBy("rk", "doc_id", "n", "d0", "d1").agg(F.count("*").alias("copies"))
+    out = rows.join(named, ["d0", "d1"], "left").withColumn("component_id", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")))
+    return out.select("rk", "doc_id", F.col("n").alias("n_shingles"), "component", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "copies")
 
 
 def near_duplicate_report(docs: DataFrame) -> DataFrame:

@@ -17,7 +17,7 @@ from itertools import product
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import doc_text, row_key
+from .common import doc_text
 
 parser = re._parser  # the standard library's regex parser
 
@@ -132,7 +132,7 @@ def candidates(docs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
         return docs.sparkSession.createDataFrame([], "rk bigint, rules array<int>")
     grams = sorted({g for q in queries.values() for clause in q for alternative in clause for g in alternative})
     lower = F.lower(doc_text())
-    postings = docs.select(row_key("doc_id", "text").alias("rk"), lower.alias("low")).select(
+    postings = docs.select(F.xxhash64("doc_id", "text").alias("rk"), lower.alias("low")).select(
         "rk", F.explode(F.filter(F.array(*[F.when(F.contains("low", F.lit(g)), n) for n, g in enumerate(grams)]), lambda x: x.isNotNull())).alias("gram")
     )
     # Intersecting: the trigrams of one row as a bit per trigram, a word of 60 bits at a time.
@@ -205,7 +205,7 @@ def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = BASE_RULES + MORE_RU
 def _with_spans(docs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     """(row, text, found): docs' rows as structs beside their text and spans."""
     forced = {i for i, r in enumerate(rules) if trigram_query(r.regex)}
-    keyed = docs.select(F.struct(*docs.columns).alias("row"), row_key("doc_id", "text").alias("rk"))
+    keyed = docs.select(F.struct(*docs.columns).alias("row"), F.xxhash64("doc_id", "text").alias("rk"))
     joined = keyed.join(candidates(docs, rules).hint("shuffle_hash"), "rk", "left").select("row", F.col("row")["text"].alias("text"), "rules")
     text = doc_text()
     span = "array<struct<start:int,rule:int,kind:string,end:int>>"

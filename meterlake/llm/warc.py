@@ -14,14 +14,13 @@ revisit it.
 from __future__ import annotations
 
 import hashlib
-import uuid
 
 import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir
+from .common import new_folder, whole
 
 #: Shorter payloads are never revisited.
 LEAST_REVISIT = 100
@@ -138,10 +137,11 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
     return joined.union(revisits).mapInArrow(_restore, "record binary, page_id bigint, url string, record_type string, refers_to bigint, payload_digest string, payload_bytes bigint")
 
 
+@whole
 def archive_report(pages: DataFrame) -> DataFrame:
-    """Writes an archive of pages to the shared folder, reads it back and gives the contract's columns."""
+    """Writes an archive of pages to the shared folder, reads it back and gives the contract's columns. The archive is deleted once they are written."""
     spark = pages.sparkSession
-    path = f"{shared_dir(spark)}/archive-{uuid.uuid4().hex}"
+    path = new_folder(spark, "archive")
     write_archive(pages, path)
     facts = read_archive(spark, path).drop("record", "url")
     whole = facts.where("record_type = 'response'")

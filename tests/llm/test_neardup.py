@@ -1,14 +1,18 @@
 """Near-duplicates against brute force over all pairs."""
 
+import pathlib
 import random
 import re
 
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from meterlake.llm.common import shared_dir
 from meterlake.llm.components import components
-from meterlake.llm.neardup import _permute, near_duplicate_report, shingle_sets
+from meterlake.llm import neardup
+from meterlake.llm.neardup import _permute, exact_sets, near_duplicate_report, shingle_sets, similar
 
 from .conftest import ROWS, SCHEMA, plain
 
@@ -103,7 +107,57 @@ def test_components(spark):
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.text(alphabet="aB \n\té\x0b", max_size=60), min_size=1, max_size=4))
 def test_shingle_sets(texts):
-    assert [len(s) for s in shingle_sets(texts)] == [len(shingles(t)) for t in texts]
+    assert [s.shape[1] for s in shingle_sets(texts)] == [len(shingles(t)) for t in texts]
+    sets, want = exact_sets([neardup._words(t) for t in texts]), [shingles(t) for t in texts]
+    assert [len(s) for s in sets] == [len(s) for s in want]
+    for i in range(len(texts)):
+        for j in range(i):
+            both = len(want[i] & want[j])
+            assert len(np.intersect1d(sets[i], sets[j])) == both
+            assert similar(sets[i], sets[j]) == (both > 0 and 100 * both >= 75 * len(want[i] | want[j]))
+
+
+def test_words_of_one_polynomial_hash(spark):
+    """Thue-Morse words, which every polynomial modulo 2**64 confuses, and texts made of them."""
+    word = "a"
+    while len(word) < 1024:
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    rows = [(1, word), (2, other), (3, f"x {word} y z"), (4, f"x {other} y z"), (5, word.upper())]
+    df = spark.createDataFrame([(d, t, None, None, None) for d, t in rows], SCHEMA)
+    assert plain(near_duplicate_report(df)) == brute(rows)
+
+
+def test_classes_of_one_digest_are_confirmed(spark):
+    """Links hold on the words themselves, whatever their hashes."""
+    a, b = exact_sets([[b"p", b"q", b"r", b"s", b"t"], [b"p", b"q", b"r", b"s", b"u"]])
+    assert not similar(a, b)
+
+
+@pytest.mark.parametrize("block", [(500, 2_000_000), (7, 2_000_000), (500, 900)])
+def test_long_common_bucket(spark, monkeypatch, block):
+    """Long unlike texts with one passage, which meet in buckets, and near copies of each; blocks by rows and by shingles."""
+    monkeypatch.setattr(neardup, "BLOCK", block[0])
+    monkeypatch.setattr(neardup, "BLOCK_SHINGLES", block[1])
+    rng, rows = random.Random(8), []
+    passage = [f"p{i}" for i in range(300)]
+    for g in range(12):
+        own = [f"g{g}w{rng.randrange(10_000)}" for _ in range(170)]
+        for _ in range(5):
+            words = passage + own
+            words[rng.randrange(len(words))] = f"x{len(rows)}"
+            rows.append((len(rows), " ".join(words)))
+    rng.shuffle(rows)
+    df = spark.createDataFrame([(d, t, None, None, None) for d, t in rows], SCHEMA)
+    assert plain(near_duplicate_report(df)) == brute(rows)
+
+
+def test_staged_folders_go(spark, edge):
+    folder = pathlib.Path(shared_dir(spark).removeprefix("file:"))
+    near_duplicate_report(edge).count()
+    before = set(folder.iterdir())
+    assert near_duplicate_report(edge).count() == len(ROWS)
+    assert len(set(folder.iterdir()) - before) == 1
 
 
 def test_permutation():

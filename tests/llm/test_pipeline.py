@@ -9,7 +9,7 @@ import corpus_pipeline as pipeline
 from meterlake.llm.bpe import ranks
 from meterlake.llm.secrets import BASE_RULES
 
-from .conftest import DATA, ROWS, plain
+from .conftest import BASE, DATA, ROWS, SCHEMA, plain
 from .test_neardup import brute
 from .test_text_scans import brute_tokens, spans
 
@@ -54,6 +54,16 @@ def test_stages_on_edges(spark, edge, none, clashing):
     assert len(kept) == len(set(kept)) and len(kept) < len(ROWS)
 
 
+def test_one_of_each_group(spark):
+    """Repeated rows, one id with near-equal texts, null ids: a group leaves one row; rows without words all stay."""
+    rows = [(1, BASE), (1, BASE), (1, BASE + " too"), (None, BASE), (None, "another text of six words here"), (None, "another text of six words here"), (3, ""), (3, ""), (4, None), (4, None)]
+    df = spark.createDataFrame([(d, t, f"l{i}", None, i) for i, (d, t) in enumerate(rows)], SCHEMA)
+    got = [tuple(r)[:3] for r in pipeline.near_duplicate(spark, df, "").collect()]
+    assert len([r for r in got if r[1]]) == 2 and len([r for r in got if not r[1]]) == 4
+    assert [r for r in got if r[0] == 1][0][1] in (BASE, BASE + " too") and sum(r[0] == 1 for r in got) == 1
+    assert (None, "another text of six words here", "l4") in got
+
+
 def test_run(spark):
     got = pipeline.run(spark, str(DATA))
     assert got.columns == ["doc_id", "lang", "source", "n_tokens", "ids"] and got.count() > 50
