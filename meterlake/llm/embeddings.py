@@ -9,6 +9,10 @@ Equal vectors are one class, with a weight. Links are counted where they are
 found: a pair that meets in several cells counts in the first of them only, so
 no pairs are written; a cell's connected classes leave as one label each.
 Cells of many entries are cut in blocks, and each pair of blocks is a group.
+
+Cells get finer as vectors get more, so that the share of all pairs that meet
+falls with the square root of their number; tables are added until a pair at
+the threshold is found as often as RECALL says.
 """
 
 from __future__ import annotations
@@ -18,15 +22,19 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import groups, staged, whole
 from .components import components
 
-TABLES, PROBES = 5, 4
-#: Length of the lattice's unit, against projections whose coordinates have the vectors' lengths as deviation. Smaller: fewer vectors meet, fewer links are found.
-SCALE = 2.0
+PROBES = 4
+#: Chance that a pair of the least cosine meets in some table, by the rate at which simulated ones meet in one.
+RECALL = 0.97
+#: Length of the lattice's unit at SCALE_ROWS vectors, against projections whose coordinates have the vectors' lengths as deviation. A cell's volume falls with the eighth power of the length, hence the root.
+SCALE, SCALE_ROWS, SCALE_ROOT = 1.4, 50_000, 1 / 16
+SIMULATED = 8_000
 LEAST_COSINE = 0.9
 #: Entries of a cell that make a block.
 BLOCK = 2048
@@ -71,17 +79,38 @@ def decode(x: np.ndarray) -> np.ndarray:
     return np.where((((x - a) ** 2).sum(axis=1) <= ((x - b) ** 2).sum(axis=1))[:, None], a, b)
 
 
-def cell_keys(unit: np.ndarray, tables: int = TABLES, probes: int = PROBES, scale: float = SCALE) -> np.ndarray:
-    """int64 keys (vector, table, 1 + probes) of unit vectors' own cells, which come first, and of the cells that they probe."""
+def cells(x: np.ndarray, probes: int = PROBES) -> np.ndarray:
+    """(vector, 1 + probes, 8): the points nearest to x, then those that it leans to most."""
+    home = decode(x)
+    lean = (x - home) @ roots().T
+    near = np.argpartition(-lean, probes, axis=1)[:, :probes]
+    return np.concatenate((home[:, None, :], home[:, None, :] + roots()[near]), axis=1)
+
+
+@lru_cache(maxsize=64)
+def lattice(n: int) -> tuple[float, int]:
+    """(scale, tables) for n vectors.
+
+    Projections of two unit vectors are normal with their cosine as correlation,
+    whatever their length, so the rate of meeting is that of simulated ones.
+    """
+    scale = SCALE * (SCALE_ROWS / max(n, 1)) ** SCALE_ROOT
+    rng = np.random.default_rng(SEED)
+    a, b = rng.standard_normal((2, SIMULATED, 8))
+    b = LEAST_COSINE * a + (1 - LEAST_COSINE**2) ** 0.5 * b
+    shift = rng.uniform(0, 2, (SIMULATED, 8))
+    x, y = cells(a / scale + shift), cells(b / scale + shift)
+    met = (x[:, :1] == y).all(axis=2).any(axis=1) | (y[:, :1] == x).all(axis=2).any(axis=1)
+    return scale, max(1, int(np.ceil(np.log(1 - RECALL) / np.log(1 - min(met.mean(), 0.999)))))
+
+
+def cell_keys(unit: np.ndarray, scale: float, tables: int) -> np.ndarray:
+    """int64 keys (vector, table, 1 + PROBES) of unit vectors' own cells, which come first, and of the cells that they probe."""
     n, dim = unit.shape
-    out = np.empty((n, tables, 1 + probes), np.uint64)
+    out = np.empty((n, tables, 1 + PROBES), np.uint64)
     for t in range(tables):
         p, shift = _projection(t, dim)
-        x = unit @ p / scale + shift
-        home = decode(x)
-        lean = (x - home) @ roots().T
-        near = np.argsort(-lean, axis=1, kind="stable")[:, :probes]
-        points = np.concatenate((home[:, None, :], home[:, None, :] + roots()[near]), axis=1)
+        points = cells(unit @ p / scale + shift)
         h = np.full(points.shape[:2], (t + 1) * 1000003 + dim, np.uint64)
         for k in range(8):
             h ^= np.rint(2 * points[:, :, k]).astype(np.int64).view(np.uint64)
@@ -97,26 +126,25 @@ def _units(vectors: list) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _entries(batches):
-    """(key, t, home, node, weight, embedding): a row for each cell that a class lies in or probes."""
-    for batch in batches:
-        sizes = np.array([len(v) for v in batch.column("embedding").to_pylist()])
-        for dim in np.unique(sizes):
-            of_dim = np.flatnonzero(sizes == dim)
-            for start in range(0, len(of_dim), 500):
-                part = batch.take(pa.array(of_dim[start : start + 500]))
-                keys = cell_keys(_units(part.column("embedding").to_pylist()))
-                n, tables, cells = keys.shape
-                rows = pa.array(np.repeat(np.arange(n), tables * cells))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(keys.reshape(-1)),
-                        pa.array(np.tile(np.repeat(np.arange(tables, dtype=np.int32), cells), n)),
-                        pa.array(np.tile(np.arange(cells) == 0, n * tables)),
-                        *[part.column(c).take(rows) for c in ("node", "weight", "embedding")],
-                    ],
-                    ["key", "t", "home", "node", "weight", "embedding"],
-                )
+def _entries(scale: float, tables: int):
+    """(key, t, home, node): a row for each cell that a class lies in or probes."""
+
+    def run(batches):
+        for batch in batches:
+            sizes = np.array([len(v) for v in batch.column("embedding").to_pylist()])
+            for dim in np.unique(sizes):
+                of_dim = np.flatnonzero(sizes == dim)
+                for start in range(0, len(of_dim), 500):
+                    part = batch.take(pa.array(of_dim[start : start + 500]))
+                    keys = cell_keys(_units(part.column("embedding").to_pylist()), scale, tables)
+                    n, _, each = keys.shape
+                    rows = pa.array(np.repeat(np.arange(n), tables * each))
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(keys.reshape(-1)), pa.array(np.tile(np.repeat(np.arange(tables, dtype=np.int32), each), n)), pa.array(np.tile(np.arange(each) == 0, n * tables)), part.column("node").take(rows)],
+                        ["key", "t", "home", "node"],
+                    )
+
+    return run
 
 
 def first_meeting(keys: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -142,7 +170,7 @@ def _labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         label = now
 
 
-def _group(key: int, t: int, p: int, q: int, home: np.ndarray, block: np.ndarray, node: np.ndarray, weight: np.ndarray, vectors: list) -> list[tuple]:
+def _group(key: int, t: int, p: int, q: int, home: np.ndarray, block: np.ndarray, node: np.ndarray, weight: np.ndarray, vectors: list, scale: float, tables: int) -> list[tuple]:
     """(node, links, root) of the classes of one group that have a partner in it."""
     order = np.lexsort((~home, node))  # a class may both lie in the cell and probe nothing else there: one row for each
     keep = order[np.concatenate(([True], node[order][1:] != node[order][:-1]))]
@@ -160,7 +188,7 @@ def _group(key: int, t: int, p: int, q: int, home: np.ndarray, block: np.ndarray
         return []
     used, spot = np.unique(np.concatenate((a, b)), return_inverse=True)
     ua, ub = spot[: len(a)], spot[len(a) :]
-    keys = np.concatenate([cell_keys(x[used[s : s + 500]]) for s in range(0, len(used), 500)])
+    keys = np.concatenate([cell_keys(x[used[s : s + 500]], scale, tables) for s in range(0, len(used), 500)])
     links = np.zeros(len(used), np.int64)
     for s in range(0, len(a), 100_000):
         pa_, pb = ua[s : s + 100_000], ub[s : s + 100_000]
@@ -172,63 +200,53 @@ def _group(key: int, t: int, p: int, q: int, home: np.ndarray, block: np.ndarray
     return [(int(node[u]), int(n), int(node[used[r]])) for u, n, r in zip(used, links, root, strict=True)]
 
 
-def _compare(batches):
+def _compare(scale: float, tables: int):
     """Rows come sorted by (key, p, q); a group's rows are held until the next begins."""
-    names = ("key", "p", "q", "t", "home", "block", "node", "weight", "embedding")
-    held: list[pa.RecordBatch] = []
-
-    def flush(parts):
-        table = pa.Table.from_batches(parts)
-        if table.num_rows < 2 or not pa.compute.any(table.column("home")).as_py():
-            return []
-        key, p, q, t, home, block, node, weight = (table.column(c).to_numpy() for c in names[:-1])
-        return _group(int(key[0]), int(t[0]), int(p[0]), int(q[0]), home.astype(bool), block, node, weight, table.column("embedding").to_pylist())
-
-    def out(rows):
-        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(3)], ["node", "links", "root"])
-
-    for batch in batches:
-        key, p, q = (batch.column(c).to_numpy() for c in names[:3])
-        cuts = np.flatnonzero((key[1:] != key[:-1]) | (p[1:] != p[:-1]) | (q[1:] != q[:-1])) + 1
-        rows, bounds = [], [0, *cuts.tolist(), batch.num_rows]
-        for a, b in zip(bounds, bounds[1:]):
-            if a == b:
+    names = ("key", "t", "p", "q", "home", "block", "node", "weight")
+
+    def run(batches):
+        for group in groups(batches, ["key", "p", "q"]):
+            if group.num_rows < 2 or not pc.any(group.column("home")).as_py():
                 continue
-            part = batch.slice(a, b - a)
-            if held and [held[0].column(c)[0].as_py() for c in names[:3]] != [part.column(c)[0].as_py() for c in names[:3]]:
-                rows += flush(held)
-                held = []
-            held.append(part)
-        yield out(rows)
-    if held:
-        yield out(flush(held))
+            key, t, p, q, home, block, node, weight = (group.column(c).to_numpy() for c in names)
+            found = _group(int(key[0]), int(t[0]), int(p[0]), int(q[0]), home.astype(bool), block, node, weight, group.column("embedding").to_pylist(), scale, tables)
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], ["node", "links", "root"])
+
+    return run
 
 
+@whole
 def similar_vectors(vectors: DataFrame) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for each row of vectors (vec_id, embedding: array of floats or doubles).
 
     Vectors that are null, empty or zero, or that hold null or non-finite
     components, link with nothing, and vectors of different lengths don't link.
     Rows with equal id and vector are one vector and each get its result. A
-    null id never names a component that has other ids.
+    null id never names a component that has other ids. An empty table gives an
+    empty one; other columns are ignored, whatever their names.
     """
     rows = vectors.select("vec_id", "embedding")
     bad = F.exists("embedding", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
     good = F.coalesce((F.size("embedding") > 0) & ~bad & F.exists("embedding", lambda v: v != 0), F.lit(False))
-    keyed = rows.withColumn("good", good).withColumn("node", F.when(F.col("good"), F.xxhash64("embedding")))
-    fine = keyed.where("good").groupBy("node", "vec_id").agg(F.first("embedding").alias("embedding"))
-    classes = staged(fine.groupBy("node").agg(F.min("vec_id").alias("least"), F.count("*").alias("weight"), F.first("embedding").alias("embedding")), "vectors")
-    schema = f"key bigint, t int, home boolean, node bigint, weight bigint, embedding {vectors.schema['embedding'].dataType.simpleString()}"
-    entries = classes.mapInArrow(_entries, schema)
-    full = classes.select("node", "weight", "embedding").mapInArrow(_entries, schema).groupBy("key").count().where(F.col("count") > BLOCK).select("key", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
-    dealt = entries.join(full, "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    digest = F.when(F.col("good"), F.unhex(F.sha2(F.to_json(F.struct("embedding")), 256)))
+    keyed = rows.withColumn("good", good).withColumn("digest", digest)
+    fine = keyed.where("good").groupBy("digest", "vec_id").agg(F.first("embedding").alias("embedding"))
+    # A class of equal vectors, by the SHA-256 of their components as written; node is its number from here on.
+    classes = fine.groupBy("digest").agg(F.min("vec_id").alias("least"), F.count("*").alias("weight"), F.first("embedding").alias("embedding"))
+    classes = staged(classes.withColumn("node", F.monotonically_increasing_id()), "vectors")
+    scale, tables = lattice(classes.count())
+    entries = staged(classes.select("node", "embedding").mapInArrow(_entries(scale, tables), "key bigint, t int, home boolean, node bigint"), "entries")
+    # Cells in which something can meet, with their blocks.
+    met = entries.groupBy("key").agg(F.count("*").alias("n"), F.bool_or("home").alias("lived")).where("n > 1 and lived").select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    dealt = entries.join(met, "key").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("key", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "t", "home", "block", "node", "weight", "embedding")
-    found = staged(dealt.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q").mapInArrow(_compare, "node bigint, links bigint, root bigint"), "links")
+    dealt = dealt.select("key", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "t", "home", "block", "node").join(classes.select("node", "weight", "embedding"), "node")
+    found = staged(dealt.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q").mapInArrow(_compare(scale, tables), "node bigint, links bigint, root bigint"), "links")
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
-    grouped = classes.select("node", "least", "weight").join(components(found.select(F.col("node").alias("a"), F.col("root").alias("b"))), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    grouped = classes.select("digest", "node", "least", "weight").join(components(found.select(F.col("node").alias("a"), F.col("root").alias("b"))), "node", "left").withColumn("component", F.coalesce("component", "node"))
     names = grouped.groupBy("component").agg(F.min("least").alias("component_id"))
-    facts = grouped.join(names, "component").join(links, "node", "left").select("node", "component_id", (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("links"))
-    out = keyed.select("vec_id", "node").join(facts, "node", "left")
-    component = F.when(F.col("node").isNull(), F.col("vec_id")).otherwise(F.col("component_id"))
+    facts = grouped.join(names, "component").join(links, "node", "left").select("digest", "component_id", (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("links"))
+    out = keyed.select("vec_id", "digest").join(facts, "digest", "left")
+    component = F.when(F.col("digest").isNull(), F.col("vec_id")).otherwise(F.col("component_id"))
     return out.select("vec_id", F.coalesce("links", F.lit(0)).cast("bigint").alias("n_links"), component.alias("component_id"), F.col("vec_id").eqNullSafe(component).alias("kept"))

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from meterlake.llm.embeddings import decode, roots, similar_vectors
+from meterlake.llm.embeddings import cell_keys, decode, lattice, roots, similar_vectors
 from meterlake.llm.fingerprints import BINS, fingerprint, fingerprint_report, likeness
 from meterlake.llm.mixing import MIX_SQL, mix, mix_report, training_order
 from meterlake.llm.toolcalls import CHAT_SQL, format_chat
@@ -237,14 +237,55 @@ def test_vectors_recall(spark):
     assert sum(got[d][1] == want[d][1] for d in want) >= 0.95 * len(want)
 
 
+def planted(n, seed, least=0.9, most=0.95):
+    """n random vectors of 64 dimensions, and for each a partner at a cosine between least and most."""
+    rng = np.random.default_rng(seed)
+    a = rng.standard_normal((n, 64))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    r = rng.standard_normal((n, 64))
+    r -= (r * a).sum(axis=1, keepdims=True) * a
+    r /= np.linalg.norm(r, axis=1, keepdims=True)
+    cos = rng.uniform(least, most, (n, 1))
+    return np.concatenate((a, cos * a + np.sqrt(1 - cos**2) * r))
+
+
+def test_planted_vectors(spark):
+    """Pairs at 0.90 to 0.95, the hardest to find, and a cluster over several blocks' worth of links."""
+    rng = np.random.default_rng(9)
+    x = planted(400, 5)
+    near = x[:1] + 0.02 * rng.standard_normal((60, 64))
+    rows = [(i, v.tolist()) for i, v in enumerate(np.concatenate((x, near)))]
+    want = brute_vectors(rows)
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in similar_vectors(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")).collect()}
+    pairs = [i for i in range(1, 400) if want[i][0]]
+    assert len(pairs) > 390 and sum(got[i][0] > 0 for i in pairs) >= 0.93 * len(pairs)
+    assert all(got[d][0] <= want[d][0] for d in want)
+    assert sum(n for n, _ in got.values()) >= 0.95 * sum(n for n, _ in want.values())
+
+
+def test_share_of_pairs_falls():
+    """Twice the root of the number, half the share of random pairs that meet; planted pairs are found all the same."""
+    shares = []
+    for n in (2_000, 32_000):
+        x = planted(3_000, n)
+        scale, tables = lattice(n)
+        keys = cell_keys(x, scale, tables)
+        meet = lambda a, b: ((keys[a][:, :, :1] == keys[b]).any(axis=(1, 2)) | (keys[b][:, :, :1] == keys[a]).any(axis=(1, 2))).mean()  # noqa: B023, E731
+        at = np.arange(3_000)
+        assert meet(at, at + 3_000) >= 0.95
+        shares.append(np.mean([meet(at, np.roll(at, k)) for k in range(1, 30)]))
+    assert shares[1] < shares[0] / 2
+
+
 def test_vector_edges(spark):
     rng = np.random.default_rng(4)
     v = rng.standard_normal(16).tolist()
-    rows = [(1, v), (2, v), (3, [2 * x for x in v]), (4, [-x for x in v]), (5, None), (6, []), (7, [0.0] * 16), (8, [float("nan")] + v[1:]), (9, [None] + v[1:]), (10, v[:8]), (11, [float("inf")] + v[1:]), (12, [1e-30 * x for x in v]), (2, v)]
+    rows = [(1, v), (2, v), (3, [2 * x for x in v]), (4, [-x for x in v]), (5, None), (6, []), (7, [0.0] * 16), (8, [float("nan")] + v[1:]), (9, [None] + v[1:]), (10, v[:8]), (11, [float("inf")] + v[1:]), (12, [1e-30 * x for x in v]), (2, v), (None, [9.0 + x for x in range(16)]), (13, [9.0 + x for x in range(16)])]
     for kind in ("float", "double"):
         df = spark.createDataFrame([(*r, 0) for r in rows], f"vec_id bigint, embedding array<{kind}>, node int")
         got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in similar_vectors(df).collect()}
         assert got[1] == (3, 1, True) and got[2] == (3, 1, False) and got[3] == (3, 1, False) and got[12] == (3, 1, False)
+        assert got[None] == (1, 13, False) and got[13] == (1, 13, True)
         assert all(got[i] == (0, i, True) for i in (4, 5, 6, 7, 8, 9, 10, 11))
         assert similar_vectors(df).count() == len(rows) and similar_vectors(df.where("false")).count() == 0
 
