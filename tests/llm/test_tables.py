@@ -77,6 +77,30 @@ def test_curriculum(spark):
     assert order.count("a") == order.count("b") == 1000
 
 
+def test_zero_weights(spark, sample):
+    """Sources of weight zero are never taken; the others share all words, if any has weight."""
+    rows = [(i, "w " * 10, s) for i, s in enumerate(["a", "b", None] * 20)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    only = lambda rank: F.when(rank == 2, F.array(F.lit(1.0), F.lit(2.0), F.lit(0.0))).otherwise(F.array(F.lit(0.0), F.lit(0.0), F.lit(0.0)))
+    got = mix(df, only).collect()
+    assert all((r["taken"] == 30) == (r["source"] == "b") and (r["taken"] == 0) == (r["source"] != "b") for r in got)
+    assert {r["source"] for r in training_order(df, only).collect()} == {"b"}
+    nothing = lambda rank: F.array(F.lit(0.0), F.lit(0.0))
+    assert {r["taken"] for r in mix(df, nothing).collect()} == {0} and training_order(df, nothing).count() == 0
+
+
+def test_positions_follow_the_schedule(sample):
+    """What a source has given by a time is its integrated weight up to it."""
+    at = {r["doc_id"]: r["position"] for r in mix_report(sample).collect()}
+    rows = [r for r in mix(sample).collect() if r["taken"]]
+    names = sorted({r["source"] for r in sample.select("source").collect()}, key=lambda s: (s is None, s))
+    assert len({round(t, 2) for t in at.values() if t is not None}) > 20
+    for r in rows:
+        a, b = (1.5, 0.5) if names.index(r["source"]) % 2 == 0 else (0.5, 1.5)
+        t = at[r["doc_id"]]
+        assert a * t + (b - a) * t * t / 2 == pytest.approx(r["before"] / r["take"], abs=1e-5)
+
+
 # WARC
 
 
