@@ -27,9 +27,9 @@ SIZES = (3, 4)
 PROBES, ROOM = 2, 32
 #: Hash ranges of a language's ids that are counted: 2**RANGE_BITS.
 RANGE_BITS = 12
-#: Labelled rows of a language that are learned from, at most: those whose ids' hashes are smallest.
+#: Distinct labelled rows of a language that are learned from, at most about: those whose hashes of id and text are smallest.
 MOST_ROWS = 3000
-#: An n-gram is at home in a language if it was met so often there, at this part of its highest rate in any language.
+#: An n-gram is at home in a language if it was met so often there (or as often as any, where a language's none was), at this part of its highest rate in any language.
 LEAST_COUNT, AT_HOME = 3, 0.25
 #: Characters that are worked on at once.
 MAX_CHARS = 300_000
@@ -148,25 +148,30 @@ def _counted(batches):
 def learn(docs: DataFrame, most_rows: int = MOST_ROWS) -> Model:
     """A model from the rows of docs (doc_id, text, lang) with text and lang.
 
-    Of each language most_rows rows at most are learned from, so the n-grams
-    that reach the driver are bounded too; which rows those are follows hashes
-    of their ids, read without their texts.
+    Of each language about most_rows distinct rows at most are learned from, so
+    the n-grams that reach the driver are bounded too; which rows those are
+    follows hashes of id and text, so neither null nor repeated ids matter. A
+    language is learned however rare it is, if its texts hold any n-gram.
     """
-    rank = F.xxhash64("doc_id")
-    named = docs.where("lang is not null").select("lang", rank.alias("r"), F.shiftright(rank, 64 - RANGE_BITS).alias("range"))
+    rank = F.xxhash64("doc_id", "text")
+    named = docs.where("lang is not null and text is not null").select("lang", rank.alias("r"), F.shiftright(rank, 64 - RANGE_BITS).alias("range"))
     # Counts of hash ranges show which ranges hold the smallest hashes, so that only those ranges' rows are ranked, however many a language has.
     before = F.sum("rows").over(Window.partitionBy("lang").orderBy("range")) - F.col("rows")
-    least = named.groupBy("lang", "range").agg(F.count("*").alias("rows")).withColumn("before", before).where(F.col("before") < most_rows)
+    least = named.groupBy("lang", "range").agg(F.approx_count_distinct("r").alias("rows")).withColumn("before", before).where(F.col("before") < most_rows)
     last = {r["lang"]: r["last"] for r in least.groupBy("lang").agg(F.max("range").alias("last")).collect()}
     if not last:
         return Model([], [], 1, np.zeros(0))
     of_lang = lambda values: F.element_at(F.create_map(*[F.lit(x) for pair in values.items() for x in pair]), F.col("lang"))
-    ranked = named.where(F.col("range") <= of_lang(last)).withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("r"))).where(F.col("n") <= most_rows)
+    near = named.where(F.col("range") <= of_lang(last)).select("lang", "r").distinct()
+    ranked = near.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("r"))).where(F.col("n") <= most_rows)
     cuts = {r["lang"]: r["cut"] for r in ranked.groupBy("lang").agg(F.max("r").alias("cut")).collect()}
-    sample = docs.where("lang is not null and text is not null").where(rank <= of_lang(cuts)).select("lang", "text")
+    sample = docs.where("lang is not null and text is not null").where(rank <= of_lang(cuts)).groupBy("lang", rank.alias("r")).agg(F.first("text").alias("text")).select("lang", "text")
     counts = sample.mapInArrow(_counted, "lang string, h bigint, n bigint").groupBy("lang", "h").agg(F.sum("n").alias("n"))
-    rates = counts.withColumn("all", F.sum("n").over(Window.partitionBy("lang"))).where(F.col("n") >= LEAST_COUNT).withColumn("rate", F.col("n") / F.col("all"))
-    home = rates.withColumn("most", F.max("rate").over(Window.partitionBy("h"))).where(F.col("rate") >= AT_HOME * F.col("most")).select("lang", "h", "all").toPandas()
+    of = Window.partitionBy("lang")
+    enough = F.col("n") >= F.least(F.lit(LEAST_COUNT), F.max("n").over(of))
+    rates = counts.select("lang", "h", "n", F.sum("n").over(of).alias("all"), enough.alias("enough")).where("enough").withColumn("rate", F.col("n") / F.col("all"))
+    home = rates.withColumn("most", F.max("rate").over(Window.partitionBy("h"))).withColumn("best", F.max(F.col("rate") / F.col("most")).over(of))
+    home = home.where(F.col("rate") / F.col("most") >= F.least(F.lit(AT_HOME), F.col("best"))).select("lang", "h", "all").toPandas()
     met = home.groupby("lang")["all"].first()
     langs = sorted(met.index, key=lambda x: (-met[x], x)) or sorted(cuts)
     most = int(home.groupby("lang").size().max()) if len(home) else 1
@@ -187,7 +192,10 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     """docs plus lang_pred (und where text is null or has no letter) and score (0 to 1); columns of these names are replaced.
 
     A text whose n-grams no language holds gets the most frequent language at
-    score 0. Only the text is looked at; repeated rows repeat their result.
+    score 0. Of languages with one score the more frequent wins, then the first
+    by name. Only the text is looked at, whatever its length, a bounded piece at
+    a time; repeated rows and ids each get their result. An empty table gives an
+    empty one, and without any labelled row all are und at score 0.
     """
     docs = docs.drop("lang_pred", "score")
     shared = docs.sparkSession.sparkContext.broadcast(model)

@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -9,7 +10,7 @@ import pytest
 import tiktoken
 
 from meterlake.llm.bpe import _squeeze, _stretch, decode, encode, ranks, token_report
-from meterlake.llm.langid import grams, identify, language_report, learn
+from meterlake.llm.langid import grams, held_out, identify, language_report, learn
 from meterlake.llm.licenses import BASE_PHRASES, evaluate, license_report, to_postfix
 from meterlake.llm.secrets import BASE_RULES, MORE_RULES, Rule, find_secrets, redact, secret_report, trigram_query
 
@@ -53,6 +54,48 @@ def test_language_edges(sample, edge, none, clashing):
     assert {r["lang_pred"] for r in identify(edge, nothing).collect()} == {"und"}
 
 
+def plain_grams(text):
+    """Blank-ended n-grams of the runs of letters, one by one."""
+    for run in re.findall(r"[^\W\d_]+", (text or "").lower()):
+        padded = f" {''.join(c for c in run if c.isalpha())} "
+        for n in (3, 4):
+            yield from (padded[i : i + n] for i in range(len(padded) - n + 1))
+
+
+def test_language_against_exact_sets(spark):
+    """Predictions and scores by exact sets of n-grams: Bloom filters differ by their false positives at most."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = [(r["lang"], r["text"], not r["held"]) for r in docs.select("doc_id", "lang", "text", held_out().alias("held")).collect() if r["text"]]
+    counts = {}
+    for lang, text in [(lang, text) for lang, text, taught in rows if lang is not None and taught]:
+        counts.setdefault(lang, Counter()).update(plain_grams(text))
+    rate = {lang: {g: n / c.total() for g, n in c.items() if n >= min(3, max(c.values()))} for lang, c in counts.items()}
+    home = {lang: {g for g, x in of.items() if x >= 0.25 * max(r.get(g, 0) for r in rate.values())} for lang, of in rate.items()}
+    model = learn(docs.where(~held_out()))
+    assert sorted(model.langs) == sorted(home)
+    got, scores = model.predict([t for _, t, _ in rows])
+    for lang, score, (_, text, _) in zip(got, scores, rows, strict=True):
+        found = list(plain_grams(text))
+        share = {k: sum(g in h for g in found) / len(found) for k, h in home.items()} if found else {}
+        if not share:
+            assert lang == "und" and score == 0
+            continue
+        assert abs(share[lang] - max(share.values())) < 0.02 and abs(score - share[lang]) < 0.02
+
+
+def test_rare_languages(spark):
+    """A language with one short text is learned; so is one beside many repeated rows and null ids."""
+    english = [(i, f"the river number {w} runs past the old mill where children play", "en") for i, w in enumerate("abcdefghijklmnopqrst" * 3)]
+    other = [(None, "zum quvvax brelo xondri", "xx"), (7, "mirta solpen dakuri", "yy")]
+    repeated = [(1, "the same words again and again", "en")] * 50 + [(None, f"null ids everywhere {i}", "en") for i in "abcdef"]
+    df = spark.createDataFrame(english + other + repeated, "doc_id bigint, text string, lang string")
+    model = learn(df)
+    assert sorted(model.langs) == ["en", "xx", "yy"] and model.langs[0] == "en"
+    got, scores = model.predict(["quvvax zum", "solpen dakuri", "the old mill", "日本", "42"])
+    assert got == ["xx", "yy", "en", "en", "und"] and scores[3] < 0.05 and scores[4] == 0
+    assert learn(df, most_rows=5).langs[0] == "en" and sorted(learn(df, most_rows=5).langs) == ["en", "xx", "yy"]
+
+
 # Secrets
 
 
