@@ -33,6 +33,26 @@ MORE_PHRASES = {
     "public domain": "public-domain",
     "permission is hereby granted": "permissive-notice",
     "redistribution and use in source and binary forms": "bsd-notice",
+    "licensed under the apache": "apache",
+    "released under the mit": "mit",
+    "boost software license": "bsl",
+    "artistic license": "artistic",
+    "python software foundation license": "psf",
+    "european union public licence": "eupl",
+    "open font license": "ofl",
+    "open database license": "odbl",
+    "academic free license": "afl",
+    "eclipse distribution license": "edl",
+    "server side public license": "sspl",
+    "business source license": "busl",
+    "gnu free documentation license": "gfdl",
+    "attribution noncommercial": "cc-nc",
+    "attribution sharealike": "cc-sa",
+    "no rights reserved": "cc0",
+    "copyright c": "copyright",
+    "proprietary and confidential": "proprietary",
+    "provided as is without warranty": "no-warranty",
+    "without warranty of any kind": "no-warranty",
 }
 TAG = "spdx license identifier"
 # Licences that ask for no more than notice.
@@ -85,24 +105,24 @@ def to_postfix(expression: str) -> list[str] | None:
 
 
 def evaluate(postfix: list[str], allowed: frozenset[str] = PERMISSIVE) -> tuple[list[str], bool]:
-    """An expression's licences (`x with y` is the one licence x-with-y) and whether the allowed ones alone satisfy it. An exception never forbids what its licence allows."""
-    licences: list[str] = []
-    stack: list[tuple[str, bool]] = []
+    """An expression's licences and whether the allowed ones alone satisfy it.
+
+    `x with y` is the one licence x-with-y, at its own place; an exception
+    behind a bracket goes to each licence in it. An exception never forbids what
+    its licence allows.
+    """
+    stack: list[tuple[list[str], bool]] = []
     for token in postfix:
         if token not in _BINDS:
             name = token.rstrip(".")
-            licences.append(name)
-            stack.append((name, name in allowed))
+            stack.append(([name], name in allowed))
             continue
         (b, right), (a, left) = stack.pop(), stack.pop()
         if token == "with":
-            joined = f"{a}-with-{b}"
-            licences = [x for x in licences if x != b]
-            licences = [joined if x == a else x for x in licences]
-            stack.append((joined, left))
+            stack.append(([f"{x}-with-{y}" for x in a for y in b], left))
         else:
-            stack.append(("", left or right if token == "or" else left and right))
-    return sorted(set(licences)), stack[0][1]
+            stack.append((a + b, left or right if token == "or" else left and right))
+    return sorted(set(stack[0][0])), stack[0][1]
 
 
 @lru_cache(maxsize=1)
@@ -137,9 +157,10 @@ def scan_text(text: str) -> dict:
 def find_licenses(docs: DataFrame, max_chars: int = 2_000_000) -> DataFrame:
     """doc_id, n_words, places array<struct<word, words, phrase, label, base>>, expressions array<struct<text, licences, permitted>>.
 
-    docs has doc_id and text; other columns are ignored. Null text counts as
-    empty. Each row is read by itself, so repeated rows repeat their result.
-    Texts are held max_chars at a time.
+    docs has doc_id and text; other columns are ignored, whatever their names.
+    Null text counts as empty. Each row is read by itself, so repeated rows and
+    ids repeat their result; an empty table gives an empty one. Texts of any
+    length are read whole, held max_chars at a time or one by one.
     """
     place = pa.struct([("word", pa.int64()), ("words", pa.int64()), ("phrase", pa.string()), ("label", pa.string()), ("base", pa.bool_())])
     expression = pa.struct([("text", pa.string()), ("licences", pa.list_(pa.string())), ("permitted", pa.bool_())])
@@ -163,7 +184,7 @@ def find_licenses(docs: DataFrame, max_chars: int = 2_000_000) -> DataFrame:
 
 
 def license_report(docs: DataFrame) -> DataFrame:
-    """The contract's columns for each document. score: 1 less a half for each place or expression found."""
+    """The contract's columns for each document, and permitted: whether permissive licences alone satisfy all of its expressions; null where it has none. score: 1 less a half for each place or expression found."""
     base = F.filter("places", lambda p: p["base"])
     listed = lambda labels: F.array_join(F.array_sort(F.array_distinct(labels)), ",")
     named = F.transform("places", lambda p: p["label"])
@@ -179,4 +200,5 @@ def license_report(docs: DataFrame) -> DataFrame:
         listed(of_base).alias("base_labels"),
         listed(F.concat(named, expressed)).alias("labels"),
         (1 - F.pow(F.lit(0.5), F.size("places") + F.size("expressions"))).alias("score"),
+        F.when(F.size("expressions") > 0, F.forall("expressions", lambda e: e["permitted"])).alias("permitted"),
     )

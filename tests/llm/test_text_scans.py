@@ -11,7 +11,7 @@ import tiktoken
 
 from meterlake.llm.bpe import _squeeze, _stretch, decode, encode, ranks, token_report
 from meterlake.llm.langid import grams, held_out, identify, language_report, learn
-from meterlake.llm.licenses import BASE_PHRASES, evaluate, license_report, to_postfix
+from meterlake.llm.licenses import BASE_PHRASES, MORE_PHRASES, evaluate, license_report, to_postfix
 from meterlake.llm.secrets import BASE_RULES, MORE_RULES, Rule, find_secrets, redact, secret_report, trigram_query
 
 from .conftest import ROWS, plain
@@ -201,6 +201,34 @@ def test_rule_without_trigrams_scans_all(spark):
 # Licences
 
 
+def brute_labels(text):
+    """(labels, score, permitted) by looking at every word for every phrase."""
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    labels, places = set(), 0
+    for phrase, label in (BASE_PHRASES | MORE_PHRASES).items():
+        p = phrase.split()
+        n = sum(words[i : i + len(p)] == p for i in range(len(words)))
+        places += n
+        labels |= {label} if n else set()
+    allowed = []
+    for m in re.finditer(r"(?i)spdx-license-identifier[ \t]*:[ \t]*([A-Za-z0-9.+:() \t-]+)", text or ""):
+        if postfix := to_postfix(m[1]):
+            names, ok = evaluate(postfix)
+            labels |= set(names)
+            allowed.append(ok)
+    return ",".join(sorted(labels)), 1 - 0.5 ** (places + len(allowed)), all(allowed) if allowed else None
+
+
+def test_license_labels(spark, sample, edge):
+    """Labels, score and permitted of whole tables against brute force, and expressions whose value decides."""
+    for df, rows in ((sample, texts_of(sample)), (edge, [r[:2] for r in ROWS])):
+        want = sorted(((d, *brute_labels(t)) for d, t in rows), key=repr)
+        assert plain(license_report(df).select("doc_id", "labels", "score", "permitted")) == want
+    rows = [(1, "SPDX-License-Identifier: MIT OR GPL-3.0"), (2, "SPDX-License-Identifier: MIT AND GPL-3.0"), (3, "SPDX-License-Identifier: MIT\nSPDX-License-Identifier: GPL-3.0"), (4, "MIT License"), (5, "SPDX-License-Identifier: OR")]
+    got = dict(license_report(spark.createDataFrame(rows, "doc_id int, text string")).select("doc_id", "permitted").collect())
+    assert got == {1: True, 2: False, 3: False, 4: None, 5: None}
+
+
 def brute_license(rows):
     out = []
     for d, t in rows:
@@ -236,6 +264,9 @@ def test_licenses(sample, edge, none, clashing):
         ("(MIT OR GPL-3.0) AND X", ["gpl-3.0", "mit", "x"], False),
         ("Apache-2.0 WITH LLVM-exception", ["apache-2.0-with-llvm-exception"], True),
         ("MIT and then prose", ["mit", "then"], False),
+        ("GPL-2.0 OR GPL-2.0 WITH Classpath-exception-2.0", ["gpl-2.0", "gpl-2.0-with-classpath-exception-2.0"], False),
+        ("(MIT OR ISC) WITH x", ["isc-with-x", "mit-with-x"], True),
+        ("MIT WITH a AND ISC WITH a OR a", ["a", "isc-with-a", "mit-with-a"], True),
     ],
 )
 def test_expressions(expression, licences, permitted):
