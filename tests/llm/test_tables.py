@@ -170,7 +170,7 @@ def test_explicit_calls(spark):
     facts = {k: (r["kind"], r["level"], r["status"]) for k, r in got.items()}
     assert facts[1, 1, 0] == ("call", 1, "unanswered") and facts[1, 1, 1] == ("call", 0, "answered")
     assert facts[1, 2, 0] == ("result", 0, "linked") and facts[1, 3, 0] == ("result", 0, "late") and facts[1, 3, 1][2] == "orphan"
-    assert [facts[1, 4, i][2] for i in range(3)] == ["invalid"] * 3
+    assert [facts[1, 4, i][2] for i in range(3)] == ["invalid", "unanswered", "invalid"] and [got[1, 4, i]["known"] for i in range(3)] == [True, False, False]
     assert facts[1, 5, 0] == ("call", None, "cyclic") and facts[1, 6, 0][2] == "repeat"
     assert facts[None, 0, -1] == ("call", 0, "answered") and facts[None, 1, -1][2] == "linked"
     assert facts[2, 0, -1][2] == "invalid" and facts[2, None, -2] == ("message", None, "plain")
@@ -179,6 +179,80 @@ def test_explicit_calls(spark):
     assert format_chat(df.where("false")).count() == 0
 
 
+NUMBERS = {
+    "100": "100", "1e2": "100", "100.0": "100", "1.00E+2": "100", "-0": "-0", "0.0": "0", "0e9": "0", "-12.50": "-12.5", "1e21": "1e+21", "12345678901234567890123456789012345678901234567890": "12345678901234567890123456789012345678901234567890",
+    "0.000001": "0.000001", "1e-7": "1e-7", "123e-9": "1.23e-7", "0.1e1": "1", "1e400": "1e+400", "1e99999999999": "1e99999999999", "123456.789e3": "123456789", "1e20": "100000000000000000000",
+}
+
+
+def test_canonical_json(spark):
+    """Numbers keep all digits and equal ones are written alike; keys are sorted at every depth; strings that look like numbers or marks stay."""
+    rows = [(i, 0, "tool", f'<tool_result>{{"id": "a", "content": [{n}, {{"b": {n}, "a": "{n}"}}]}}</tool_result>') for i, n in enumerate(NUMBERS)]
+    odd = ["\x01", "\x01\x01", "\x015", "a\x015", '"\x015', '\\"\x015"', "é\n\u2028", '{"a":1}', "-", "x" * 100_000, "\\n" * 50_000]
+    rows += [(100 + i, 0, "tool", f"<tool_result>{json.dumps({'id': 'a', 'content': {t[:99]: [t, 1.0], '': {'z': 1, 'b': [True, None]}}})}</tool_result>") for i, t in enumerate(odd)]
+    got = {r["conv_id"]: r["json"] for r in format_chat(spark.createDataFrame(rows, "conv_id bigint, turn int, role string, text string")).where("kind = 'result'").collect()}
+    for i, (n, want) in enumerate(NUMBERS.items()):
+        want = "0" if n == "-0" else want
+        assert got[i] == f'{{"content":[{want},{{"a":"{n}","b":{want}}}],"id":"a"}}'
+    for i, t in enumerate(odd):
+        assert json.loads(got[100 + i]) == {"content": {t[:99]: [t, 1], "": {"z": 1, "b": [True, None]}}, "id": "a"}
+        assert '"":{"b":[true,null],"z":1}' in got[100 + i]
+
+
+def brute_chat(rows, schemas):
+    """(conv, turn, idx) to (kind, level, status) of explicit calls and results, one at a time."""
+    calls, results = [], []
+    for conv, turn, role, text in rows:
+        if role == "assistant":
+            calls += [(conv, turn, i, json.loads(x)) for i, x in enumerate(re.findall("(?s)<tool_call>(.*?)</tool_call>", text))]
+        results += [(conv, turn, i, json.loads(x)) for i, x in enumerate(re.findall("(?s)<tool_result>(.*?)</tool_result>", text))]
+    first, deps = {}, defaultdict(set)
+    for conv, turn, i, c in calls:
+        first[conv, c["id"]] = min(first.get((conv, c["id"]), (turn, i)), (turn, i))
+        deps[conv, c["id"]] |= set(c.get("depends_on", []))
+    level = {}
+    for _ in range(len(first) + 1):
+        for key in first:
+            own = [(key[0], d) for d in deps[key] if (key[0], d) in first]
+            if all(d in level for d in own):
+                level[key] = 1 + max((level[d] for d in own), default=-1)
+    answer = {}
+    for conv, turn, i, r in results:
+        key = conv, r["id"]
+        if key in first and turn >= first[key][0]:
+            answer[key] = min(answer.get(key, (turn, i)), (turn, i))
+    out = {}
+    for conv, turn, i, c in calls:
+        key, args = (conv, c["id"]), c["arguments"]
+        bad = c["name"] in schemas and (not isinstance(args.get("x"), int))
+        status = "invalid" if bad else "repeat" if (turn, i) != first[key] else "cyclic" if key not in level else "answered" if key in answer else "unanswered"
+        out[conv, turn, i, "call"] = (level.get(key), status)
+    for conv, turn, i, r in results:
+        key = conv, r["id"]
+        status = "orphan" if key not in first else "early" if turn < first[key][0] else "linked" if answer[key] == (turn, i) else "late"
+        out[conv, turn, i, "result"] = (level.get(key), status)
+    return out
+
+
+def test_explicit_calls_against_brute_force(spark):
+    rng = random.Random(11)
+    rows = []
+    for conv in range(12):
+        for turn in range(14):
+            if rng.random() < 0.5:
+                made = [{"id": f"c{rng.randrange(12)}", "name": rng.choice(("add", "other")), "arguments": rng.choice(({"x": 1}, {"x": "1"}, {})), "depends_on": [f"c{rng.randrange(14)}" for _ in range(rng.randrange(3))]} for _ in range(rng.randrange(1, 4))]
+                rows.append((conv, turn, "assistant", " ".join(f"<tool_call>{json.dumps(c)}</tool_call>" for c in made)))
+            else:
+                rows.append((conv, turn, "tool", "".join(f'<tool_result>{{"id": "c{rng.randrange(14)}", "content": {rng.randrange(9)}}}</tool_result>' for _ in range(rng.randrange(1, 4)))))
+    # A chain of calls, each on the one before.
+    rows += [(99, t, "assistant", f'<tool_call>{{"id": "k{t}", "name": "add", "arguments": {{"x": 1}}, "depends_on": ["k{t - 1}"]}}</tool_call>') for t in range(6)]
+    schemas = {"add": {"x": ("integer", True)}}
+    df = spark.createDataFrame(rows, "conv_id bigint, turn int, role string, text string")
+    got = {(r["conv_id"], r["turn"], r["idx"], r["kind"]): (r["level"], r["status"]) for r in format_chat(df, schemas).where("kind <> 'message'").collect()}
+    assert got == brute_chat(rows, schemas)
+    assert plain(format_chat(df.union(df.where("turn = 3")), schemas).where("turn = 3")) == sorted(plain(format_chat(df, schemas).where("turn = 3")) * 2, key=repr)
+
+
 # Fingerprints
 
 
