@@ -120,9 +120,13 @@ def cell_keys(unit: np.ndarray, scale: float, tables: int) -> np.ndarray:
     return out.view(np.int64)
 
 
-def _units(vectors: list) -> np.ndarray:
-    x = np.array(vectors, np.float64)
-    x /= np.abs(x).max(axis=1, keepdims=True)
+def _matrix(vectors: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    """Lists of one length as rows."""
+    return np.asarray(pc.list_flatten(vectors), np.float64).reshape(len(vectors), -1)
+
+
+def _units(x: np.ndarray) -> np.ndarray:
+    x = x / np.abs(x).max(axis=1, keepdims=True)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
@@ -131,12 +135,12 @@ def _entries(scale: float, tables: int):
 
     def run(batches):
         for batch in batches:
-            sizes = np.array([len(v) for v in batch.column("embedding").to_pylist()])
+            sizes = pc.list_value_length(batch.column("embedding")).to_numpy()
             for dim in np.unique(sizes):
                 of_dim = np.flatnonzero(sizes == dim)
                 for start in range(0, len(of_dim), 500):
                     part = batch.take(pa.array(of_dim[start : start + 500]))
-                    keys = cell_keys(_units(part.column("embedding").to_pylist()), scale, tables)
+                    keys = cell_keys(_units(_matrix(part.column("embedding"))), scale, tables)
                     n, _, each = keys.shape
                     rows = pa.array(np.repeat(np.arange(n), tables * each))
                     yield pa.RecordBatch.from_arrays(
@@ -170,12 +174,12 @@ def _labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         label = now
 
 
-def _group(key: int, t: int, p: int, q: int, home: np.ndarray, block: np.ndarray, node: np.ndarray, weight: np.ndarray, vectors: list, scale: float, tables: int) -> list[tuple]:
+def _group(key: int, t: int, p: int, q: int, home: np.ndarray, block: np.ndarray, node: np.ndarray, weight: np.ndarray, vectors: np.ndarray, scale: float, tables: int) -> list[tuple]:
     """(node, links, root) of the classes of one group that have a partner in it."""
     order = np.lexsort((~home, node))  # a class may both lie in the cell and probe nothing else there: one row for each
     keep = order[np.concatenate(([True], node[order][1:] != node[order][:-1]))]
     home, block, node, weight = home[keep], block[keep], node[keep], weight[keep]
-    x = _units([vectors[i] for i in keep])
+    x = _units(vectors[keep])
     pairs_a, pairs_b = [], []
     for i in np.array_split(np.flatnonzero(home), max(1, len(x) * int(home.sum()) // 2_000_000)):
         r, c = np.nonzero(x[i] @ x.T >= LEAST_COSINE)
@@ -209,7 +213,7 @@ def _compare(scale: float, tables: int):
             if group.num_rows < 2 or not pc.any(group.column("home")).as_py():
                 continue
             key, t, p, q, home, block, node, weight = (group.column(c).to_numpy() for c in names)
-            found = _group(int(key[0]), int(t[0]), int(p[0]), int(q[0]), home.astype(bool), block, node, weight, group.column("embedding").to_pylist(), scale, tables)
+            found = _group(int(key[0]), int(t[0]), int(p[0]), int(q[0]), home.astype(bool), block, node, weight, _matrix(group.column("embedding")), scale, tables)
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], ["node", "links", "root"])
 
