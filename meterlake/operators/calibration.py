@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.clock import SECOND
 from ..functions.exact import floor_div
-from ..llm.common import staged
+from ..sources.staging import staged
 
 # What settles a plateau.
 POINTS, SPACING, SPAN, UNITS, WITHIN = 3, 300 * SECOND, 600 * SECOND, 0, 3600 * SECOND

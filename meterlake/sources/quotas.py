@@ -8,7 +8,7 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.clock import SECOND, next_grid, parse_rfc3339
+from ..functions.clock import SECOND, hours_window, next_grid, parse_rfc3339
 from ..functions.exact import PPM
 
 WINDOW = ("body", "key", "scope_kind", "scope_name", "used_ppm", "resolution_ppm", "quantization", "reset_kind", "reset_at")
@@ -76,16 +76,32 @@ def opencode_windows(bodies: DataFrame) -> DataFrame:
     return _window(each.where(limit > 0), key=F.col("k"), scope_kind=F.lit("account"), used_ppm=F.least(F.round(used * PPM / limit).cast("bigint"), F.lit(PPM)), resolution_ppm=F.lit(1), quantization=F.lit("exact"), reset_kind=F.when(reset.isNull(), "not_started").otherwise("known"), reset_at=reset)
 
 
-def read_rate_book(spark: SparkSession, path: str) -> DataFrame:
-    """(card, vendor, model, token_class, rate micros, currency, start, end, days, from_min, to_min) of a TOML rate book. A book is a page of prices, read by the driver."""
+def rate_cards(cards: DataFrame) -> DataFrame:
+    """cards(card, vendor, rate text, effective_start, schedule struct<days, hours_utc>, and others) plus rate in millionths, start, days (a bitmask from Monday on), from_min and to_min.
+
+    A rate that isn't a decimal number of six places at most is null. A schedule
+    without days holds on all of them, one without hours all day; without a
+    schedule all three are null.
+    """
     days = ("mon", "tue", "wed", "thu", "fri", "sat", "sun")
+    shape = r"^([0-9]+)(?:\.([0-9]{0,6}))?$"
+    whole, part = F.regexp_extract("rate", shape, 1), F.regexp_extract("rate", shape, 2)
+    rate = F.when(F.regexp_like("rate", F.lit(shape)), whole.cast("bigint") * PPM + F.rpad(part, 6, "0").cast("bigint"))
+    s = F.col("schedule")
+    mask = sum((F.when(F.array_contains(s["days"], d), 1 << i).otherwise(0) for i, d in enumerate(days)), F.lit(0))
+    hours = hours_window(s["hours_utc"])
+    out = cards.withColumn("rate", rate).withColumn("start", F.col("effective_start").cast("date"))
+    out = out.withColumn("days", F.when(s.isNotNull(), F.when(s["days"].isNull(), 127).otherwise(mask)).cast("int"))
+    out = out.withColumn("from_min", F.when(s.isNotNull(), F.when(s["hours_utc"].isNull(), 0).otherwise(hours["start"])).cast("int"))
+    return out.withColumn("to_min", F.when(s.isNotNull(), F.when(s["hours_utc"].isNull(), 1440).otherwise(hours["end"])).cast("int"))
+
+
+def read_rate_book(spark: SparkSession, path: str) -> DataFrame:
+    """(card, vendor, model, token_class, rate in millionths, currency, start, end, days, from_min, to_min) of a TOML rate book. A book is a page of prices, read by the driver."""
+    names = ("vendor", "model", "token_class", "rate", "currency", "effective_start", "effective_end")
     out = []
     for i, c in enumerate(tomllib.loads(Path(path).read_text()).get("card", []), 1):
-        s = c.get("schedule") or {}
-        hours = [int(x[:2]) * 60 + int(x[3:]) for x in s["hours_utc"].split("-")] if s.get("hours_utc") else [0, 1440] if s else [None, None]
-        whole, _, part = str(c.get("rate", "")).partition(".")
-        rate = int(whole) * PPM + int(part[:6].ljust(6, "0")) if whole.isdigit() and (part == "" or part.isdigit()) and len(part) <= 6 else None
-        mask = sum(1 << days.index(d) for d in s.get("days", days)) if s else None
-        out.append((i, c.get("vendor"), c.get("model"), c.get("token_class"), rate, c.get("currency"), c.get("effective_start"), c.get("effective_end"), mask, *hours))
-    rows = spark.createDataFrame(out, "card int, vendor string, model string, token_class string, rate bigint, currency string, start string, end string, days int, from_min int, to_min int")
-    return rows.withColumn("start", F.col("start").cast("date")).withColumn("end", F.col("end").cast("date"))
+        s = c.get("schedule") or None
+        out.append((i, *[None if c.get(k) is None else str(c[k]) for k in names], s and (s.get("days"), s.get("hours_utc"))))
+    rows = spark.createDataFrame(out, "card int, vendor string, model string, token_class string, rate string, currency string, effective_start string, effective_end string, schedule struct<days:array<string>,hours_utc:string>")
+    return rate_cards(rows).withColumn("end", F.col("effective_end").cast("date")).select("card", "vendor", "model", "token_class", "rate", "currency", "start", "end", "days", "from_min", "to_min")

@@ -26,15 +26,21 @@ PI = ({"input": "input", "output": "output", "cacheRead": "cache_read", "cacheWr
 FLOOR_TOKENS, CHARS_PER_TOKEN = 34_492, 4
 
 
-def discover(spark: SparkSession, root: str, pattern: str = "*.jsonl") -> DataFrame:
-    """(file, size, modified) of the files below root whose names match, sorted."""
-    rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root)
+def _files(spark: SparkSession, root: str, pattern: str, hidden: Sequence[str]) -> DataFrame:
+    """Spark's listing leaves out folders whose names begin with a dot or an underscore; those below root that hold transcripts are named by globs."""
+    paths = [root, *[f"{root.rstrip('/')}/{h}" for h in hidden]]
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(paths)
+
+
+def discover(spark: SparkSession, root: str, pattern: str = "*.jsonl", hidden: Sequence[str] = ()) -> DataFrame:
+    """(file, size, modified) of the files below root, and below the hidden folders named, whose names match, sorted."""
+    rows = _files(spark, root, pattern, hidden)
     return rows.select(F.col("path").alias("file"), F.col("length").alias("size"), F.col("modificationTime").alias("modified")).orderBy("file")
 
 
-def read_lines(spark: SparkSession, root: str, pattern: str = "*.jsonl") -> DataFrame:
+def read_lines(spark: SparkSession, root: str, pattern: str = "*.jsonl", hidden: Sequence[str] = ()) -> DataFrame:
     """lines(file, line, text) of all matching files; a last line without its newline is still being written and is left out."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root)
+    files = _files(spark, root, pattern, hidden)
     whole = files.select(F.col("path").alias("file"), F.decode("content", "UTF-8").alias("body"))
     lines = whole.select("file", F.posexplode(F.split("body", "\n", -1)).alias("line", "text"), F.size(F.split("body", "\n", -1)).alias("n"))
     return lines.where((F.col("line") < F.col("n") - 1) & (F.trim("text") != "")).select("file", (F.col("line") + 1).alias("line"), F.trim("text").alias("text"))

@@ -3,9 +3,10 @@
 import json
 import sqlite3
 
+import pytest
 from pyspark.sql import functions as F
 
-from meterlake.operators import attribution
+from meterlake.operators import attribution, records
 from meterlake.sources import databases, quotas, transcripts
 from meterlake.streaming import ingest
 
@@ -42,16 +43,16 @@ def test_generated_output(spark):
 
 def test_quota_bodies(spark):
     body = lambda j: spark.createDataFrame([("b", json.dumps(j), 0)], "body string, text string, observed bigint")
-    rows = {(r.key, r.scope_kind, r.scope_name): (r.used_ppm, r.reset_kind) for r in quotas.anthropic_windows(body({"five_hour": {"utilization": 8.0, "resets_at": None}, "seven_day": {"utilization": 91.5, "resets_at": "2024-01-01T00:00:00Z"}, "seven_day_opus": {"utilization": 1, "resets_at": None}})).collect()}
-    assert rows == {("five_hour", "account", None): (80_000, "not_started"), ("seven_day", "account", None): (915_000, "known"), ("seven_day", "model", "opus"): (10_000, "not_started")}
+    rows = {(r.key, r.scope_kind, r.scope_name): (r.used_ppm, r.reset_kind) for r in quotas.anthropic_windows(body({"five_hour": {"utilization": 27.0, "resets_at": None}, "seven_day": {"utilization": 91.5, "resets_at": "2024-01-01T00:00:00Z"}, "seven_day_opus": {"utilization": 1, "resets_at": None}})).collect()}
+    assert rows == {("five_hour", "account", None): (270_000, "not_started"), ("seven_day", "account", None): (915_000, "known"), ("seven_day", "model", "opus"): (10_000, "not_started")}
     rows = quotas.codex_windows(body({"payload": {"rate_limits": {"primary": {"used_percent": 0, "window_minutes": 300, "resets_at": 18001}, "secondary": {"used_percent": 12, "window_minutes": 10080, "resets_at": 99}}}})).collect()
     assert sorted((r.key, r.used_ppm, r.reset_kind) for r in rows) == [("10080m", 120_000, "known"), ("300m", 0, "not_started")]
     (row,) = quotas.agy_windows(body({"groups": [{"buckets": [{"bucketId": "g", "window": "5h", "resetTime": "2024-01-01T00:00:00Z", "remainingFraction": 0.25}]}]})).collect()
     assert (row.used_ppm, row.scope_kind) == (750_000, "group")
     rows = quotas.opencode_windows(body({"access": {"meters": {"week": {"limitMicroCents": "3000", "usedMicroCents": "1000"}, "bad": {"limitMicroCents": "x"}}}})).collect()
     assert [(r.key, r.used_ppm) for r in rows] == [("week", 333_333)]
-    rows = quotas.ollama_windows(body({"limits": {"session": {"usage": 0.163}, "weekly": {"usage": 0.4}}})).collect()
-    assert sorted((r.key, r.used_ppm, r.reset_at) for r in rows) == [("session", 163_000, 18_000 * 10**9), ("weekly", 400_000, 604_800 * 10**9)]
+    rows = quotas.ollama_windows(body({"limits": {"session": {"usage": 0.271}, "weekly": {"usage": 0.4}}})).collect()
+    assert sorted((r.key, r.used_ppm, r.reset_at) for r in rows) == [("session", 271_000, 18_000 * 10**9), ("weekly", 400_000, 604_800 * 10**9)]
 
 
 def test_rate_book(spark, tmp_path):
@@ -60,6 +61,39 @@ def test_rate_book(spark, tmp_path):
     assert (row.rate, row.days, row.from_min, row.to_min, row.end) == (1_250_000, 3, 480, 1050, None)
 
 
+def test_formats_by_path(spark, tmp_path):
+    """Each file goes to the parser of the first glob that its path matches, and is read from disk."""
+    at = "2024-01-01T00:00:00Z"
+    _write(tmp_path / "pi" / "a.jsonl", [{"type": "session", "id": "s", "cwd": "/w"}, {"type": "message", "id": "o", "timestamp": at, "message": {"id": "m", "model": "x", "usage": {"input": 4, "output": 2, "cacheRead": 1}}}, {"type": "message", "message": {"usage": {"output": 2}}}])
+    _write(tmp_path / "run" / ".system_generated" / "b.jsonl", [{"type": "USER", "content": "x" * 40}, {"type": "PLANNER_RESPONSE", "created_at": at, "content": "y" * 9}, {"type": "PLANNER_RESPONSE"}])
+    hidden = ("*/.system_generated",)
+    found = transcripts.discover(spark, str(tmp_path), hidden=hidden).collect()
+    assert [r.file.rsplit("/", 1)[1] for r in found] == ["a.jsonl", "b.jsonl"] and all(r.size > 0 for r in found)
+    events, faults = transcripts.parse(transcripts.read_lines(spark, str(tmp_path), hidden=hidden), [("*/pi/*", "pi"), ("*", "agy")])
+    got = {(e.format, e.session): (e.input, e.output, e.cache_read, e.quality) for e in events.collect()}
+    assert got == {("pi", "pi:s"): (4, 2, 1, "reported"), ("agy", "agy:run"): (34_492 + 10, 2, 0, "estimated")}
+    assert sorted((r["format"], r["line"], r["class"]) for r in faults.collect()) == [("agy", 3, "missing_required_field"), ("pi", 3, "missing_required_field")]
+
+
+def test_projection_generations(spark, tmp_path):
+    """A projection is replaced by its own or a later generation only; what is missing or old says so."""
+    path, schema = str(tmp_path / "p"), "account int, used int, generation bigint"
+    accounts = spark.createDataFrame([(1,), (2,), (3,)], "account int")
+    records.publish(spark.createDataFrame([(1, 5, 7), (1, 6, 8), (2, 9, 3)], schema), path, ["account"], ["generation"])
+    got = {r.account: (r.state, r.reason, r.used) for r in records.read_projection(spark, path, accounts, "account", 2).collect()}
+    assert got == {1: ("available", None, 6), 2: ("stale", "old_generation", 9), 3: ("unavailable", "missing", None)}
+    with pytest.raises(ValueError, match="older"):
+        records.publish(spark.createDataFrame([(3, 1, 7)], schema), path, ["account"], ["generation"])
+    records.publish(spark.read.parquet(path).union(spark.createDataFrame([(3, 1, 9)], schema)), path, ["account"], ["generation"])
+    assert records.read_projection(spark, path, accounts, "account", 9).where("state = 'available'").count() == 3
+
+
+def test_ancestors_of_long_chains_and_cycles(spark):
+    rows = [(i, i + 1) for i in range(70)] + [(100, 101), (101, 100), (102, None)]
+    got = {(r.session, r.ancestor): r.depth for r in records.ancestors(spark.createDataFrame(rows, "session int, parent int")).collect()}
+    assert got[0, 70] == 70 and sum(s == 0 for s, _ in got) == 70 and {k for k in got if k[0] >= 100} == {(100, 101), (101, 100), (100, 100), (101, 101)}
+
+
 def test_batches_in_any_split_give_one_ledger(spark, tmp_path):
     rows = [(f"m{i % 7}", i, i * 3 % 11, i % 5, 0, 0) for i in range(60)]
     schema = "native_id string, ts bigint, input bigint, output bigint, cache_read bigint, cache_write bigint"
