@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-import uuid
-from collections.abc import Callable, Iterator
-from contextlib import contextmanager
-from functools import wraps
+from collections.abc import Iterator
 from itertools import pairwise
 
 import numpy as np
@@ -14,6 +11,10 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.staging import new_folder, scratch, shared_dir, staged, whole
+
+__all__ = ["LOWER_AZ", "WORD", "dealt_in_blocks", "doc_text", "groups", "new_folder", "scratch", "shared_dir", "slices", "staged", "table", "text_key", "whole"]
+
 #: Bytes that separate words: space, \t \n \v \f \r. bytes.split() cuts at exactly these.
 WORD = r"[^\x20\x09-\x0D]+"
 #: bytes.translate table that lower-cases A-Z and leaves every other byte alone.
@@ -24,76 +25,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share.
-
-    The session names it in spark.checkpoint.dir. Only a local session without
-    that setting gets one of its own; a cluster without it is an error.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir("/tmp/checkpoints")
-    return "/tmp/checkpoints"
-
-
-#: Folders staged since each open scratch() began, the innermost last.
-_scratch: list[list[str]] = []
-
-
-def _folder(spark: SparkSession, path: str):
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
-
-
-def new_folder(spark: SparkSession, name: str) -> str:
-    """A path of its own in the shared folder. What is written there goes with the scratch() around it, or else when the session ends."""
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    if _scratch:
-        _scratch[-1].append(path)
-    else:
-        fs, at = _folder(spark, path)
-        fs.deleteOnExit(at)
-    return path
-
-
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write df once to the shared folder and read it back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = new_folder(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-@contextmanager
-def scratch(spark: SparkSession):
-    """What is staged inside is deleted at the end: read it before."""
-    _scratch.append([])
-    try:
-        yield
-    finally:
-        for path in _scratch.pop():
-            fs, at = _folder(spark, path)
-            fs.delete(at, True)
-
-
-def whole(make: Callable[..., DataFrame], name: str = "") -> Callable[..., DataFrame]:
-    """Stages what make(df, ...) returns and deletes all that it staged on the way."""
-
-    @wraps(make)
-    def run(df: DataFrame, *args, **kwargs) -> DataFrame:
-        path = new_folder(df.sparkSession, name or make.__name__)
-        with scratch(df.sparkSession):
-            made = make(df, *args, **kwargs)
-            made.write.option("compression", "zstd").parquet(path)
-        return df.sparkSession.read.schema(made.schema).parquet(path)
-
-    return run
-
-
 def text_key() -> Column:
     """The SHA-256 of a text, 32 bytes; null for null."""
     return F.unhex(F.sha2("text", 256))
