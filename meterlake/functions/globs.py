@@ -29,13 +29,13 @@ def resolve(value: Column, rules: Sequence[tuple[str, str]], unmapped: str | Non
 
 
 def account_of(model: Column, prefixes: Sequence[tuple[str, str]], rules: Sequence[tuple[str, str]]) -> Column:
-    """The account that a model id names: by its prefix; else by a -k1, -k2 or -k3 ending, if some rule matches what stands before it."""
+    """The account that a model id names: by its prefix; else, for an id ending in -k1, -k2 or -k3, the vendor of its first rule and that slot, if the rule matches what stands before the ending too."""
     bare = F.regexp_replace(model, r"-k[123]$", "")
     slot = F.regexp_extract(model, r"-(k[123])$", 1)
-    known = F.lit(False)
-    for glob, _ in rules:
-        known = known | matches(bare, glob)
-    return F.coalesce(resolve(model, prefixes), F.when((slot != "") & known, slot))
+    named = F.lit(None).cast("string")
+    for glob, vendor in reversed(rules):
+        named = F.when(matches(model, glob), F.when(matches(bare, glob), F.concat(F.lit(f"{vendor}-"), slot))).otherwise(named)
+    return F.coalesce(resolve(model, prefixes), F.when((slot != "") & (bare != ""), named))
 
 
 def shadowed(rules: Sequence[tuple[str, str]]) -> list[tuple[str, str]]:

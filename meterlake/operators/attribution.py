@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exact import share_ppm
+from ..sources.staging import staged
 from .timeline import asof
 
 
@@ -83,23 +84,46 @@ def sessions_of_actors(actors: DataFrame, sessions: DataFrame, digits: int = 8)
     return joined.select(*actors.columns, F.when(F.col("n") == 1, F.col("session")).alias("session"), state.alias("state"))
 
 
-def governing_ancestor(sessions: DataFrame, marked: DataFrame, depth: int = 50) -> DataFrame:
-    """(session, ancestor, depth): the nearest session on the way up, itself included, that has markers; null if none within depth.
+def governing_ancestor(sessions: DataFrame, marked: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """(by, session, ancestor, depth): the nearest session on the way up, itself included, that has markers; null if there is none.
 
-    A recursive query walks all sessions at once. Going round a cycle finds
-    nothing new, and the depth ends it.
+    by: columns beside session that name it, such as a namespace; a parent lies
+    in its session's. The way up is doubled in each round, so that rounds grow
+    with the logarithm of its length. No way is longer than there are sessions:
+    one that still hasn't ended then goes round a cycle and finds nothing.
     """
-    spark = sessions.sparkSession
-    sessions.createOrReplaceTempView("_lineage")
-    marked.select("session").distinct().createOrReplaceTempView("_marked")
-    return spark.sql(f"""
-        WITH RECURSIVE up(session, at, depth, found) AS (
-          SELECT s.session, s.session, 0, m.session IS NOT NULL FROM _lineage s LEFT JOIN _marked m ON m.session = s.session
-          UNION ALL
-          SELECT u.session, l.parent, u.depth + 1, m.session IS NOT NULL
-          FROM up u JOIN _lineage l ON l.session = u.at LEFT JOIN _marked m ON m.session = l.parent
-          WHERE NOT u.found AND l.parent IS NOT NULL AND u.depth < {depth})
-        SELECT session, min_by(at, depth) FILTER (WHERE found) AS ancestor, min(depth) FILTER (WHERE found) AS depth FROM up GROUP BY session""")
+    key = [*by, "session"]
+    has = marked.select(*key).distinct().withColumn("done", F.lit(True))
+    nodes = sessions.select(*key, "parent").union(marked.select(*key, F.lit(None))).groupBy(*key).agg(F.min("parent").alias("parent"))
+    step = nodes.join(has, key, "left").select(*key, F.when(F.col("done"), F.col("session")).otherwise(F.col("parent")).alias("at"), F.when(F.col("done"), 0).otherwise(1).cast("bigint").alias("depth"), F.coalesce("done", F.lit(False)).alias("done"))
+    ways = staged(step, "ways")
+    left = ways.count()
+    while left and ways.where("not done and at is not null").limit(1).count():
+        on = [F.col(f"x.{c}").eqNullSafe(F.col(f"y.{c}")) for c in by] + [F.col("x.at") == F.col("y.session")]
+        new = ways.alias("x").join(ways.alias("y"), on, "left")
+        go = ~F.col("x.done") & F.col("x.at").isNotNull()
+        ways = staged(new.select(*[f"x.{c}" for c in key], F.when(go, F.col("y.at")).otherwise(F.col("x.at")).alias("at"), (F.col("x.depth") + F.when(go, F.coalesce("y.depth", F.lit(0))).otherwise(0)).alias("depth"), (F.col("x.done") | (go & F.coalesce("y.done", F.lit(False)))).alias("done")), "ways")
+        left //= 2
+    return ways.join(sessions.select(*key).distinct(), key, "left_semi").select(*key, F.when(F.col("done"), F.col("at")).alias("ancestor"), F.when(F.col("done"), F.col("depth")).alias("depth"))
+
+
+def overlapping_sessions(sessions: DataFrame, width: int, bin_width: int) -> DataFrame:
+    """(session, overlapping): how many other sessions (session, a, b) overlap [a, a + width] of each.
+
+    Counted without pairs: those that start by its end, less those that end
+    before its start. Running counts are taken inside bins of time and completed
+    by the bins' own totals; bins are ranked in one task, their number being
+    that of all time over bin_width.
+    """
+    none, zero = F.lit(None).cast(sessions.schema["session"].dataType), F.lit(0)
+    marks = sessions.select(F.col("a").alias("at"), F.lit(1).alias("starts"), zero.alias("ends"), none.alias("session"), zero.alias("late")).union(sessions.select("b", zero, F.lit(1), none, F.lit(2)))
+    asks = sessions.select((F.col("a") + width).alias("at"), zero.alias("starts"), zero.alias("ends"), "session", F.lit(1).alias("late")).union(sessions.select("a", zero, zero, "session", F.lit(-1)))
+    rows = marks.union(asks).withColumn("bin", F.floor(F.col("at") / bin_width))
+    before = Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+    totals = rows.groupBy("bin").agg(F.sum("starts").alias("s"), F.sum("ends").alias("e")).select("bin", F.coalesce(F.sum("s").over(before), zero).alias("s"), F.coalesce(F.sum("e").over(before), zero).alias("e"))
+    w = Window.partitionBy("bin").orderBy("at", "late").rowsBetween(Window.unboundedPreceding, 0)
+    run = rows.join(totals, "bin").withColumn("started", F.col("s") + F.sum("starts").over(w)).withColumn("ended", F.col("e") + F.sum("ends").over(w)).where("session is not null")
+    return run.groupBy("session").agg((F.max(F.when(F.col("late") == 1, F.col("started"))) - F.max(F.when(F.col("late") == -1, F.col("ended"))) - 1).alias("overlapping"))
 
 
 def attribution_quality(attributed: DataFrame, kinds: Sequence[str], evidence: str, by: Sequence[str] = ()) -> DataFrame:
@@ -131,5 +155,5 @@ def explicit_claim(requests: DataFrame, markers: DataFrame) -> DataFrame:
 def task_report(attributed: DataFrame) -> DataFrame:
     """(bucket, is_task, tokens, events, sessions, share_ppm): tasks and the overhead beside them; the shares are of all tokens, which both conserve."""
     out = attributed.groupBy("bucket").agg(F.sum("tokens").cast("bigint").alias("tokens"), F.count("*").alias("events"), F.count_distinct("session").alias("sessions"))
-    total = F.sum("tokens").over(Window.partitionBy())
-    return out.withColumn("is_task", F.col("bucket").startswith("task-")).withColumn("share_ppm", share_ppm(F.col("tokens"), total.cast("bigint")))
+    total = F.lit(attributed.agg(F.sum("tokens").cast("bigint")).first()[0]).cast("bigint")
+    return out.withColumn("is_task", F.col("bucket").startswith("task-")).withColumn("share_ppm", share_ppm(F.col("tokens"), total))

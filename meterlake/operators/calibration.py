@@ -233,61 +233,73 @@ def slope_spread(points: DataFrame, by: Sequence[str]) -> DataFrame:
 
 
 def huber(points: DataFrame, by: Sequence[str], steps: int = 100) -> DataFrame:
-    """(by, slope, loss, steps): a line through the origin that comes as near the admissible intervals (x, lo, hi, resolution) as Huber's loss allows.
+    """(by, slope, intercept, loss, steps): a line that comes as near the admissible intervals (x, lo, hi, resolution) as Huber's loss allows.
 
-    One Arrow group for each experiment; the loop is short and a series small.
+    Starts from the line of median slope through the intervals' middles, which
+    any number of points may have, and goes down the loss' gradient in equal
+    steps that shrink with the points' spread. A series without two different x
+    has no row. The loop needs a series' points over and over: one Arrow group
+    holds them as four columns.
     """
+    start = theil_sen(points.select(*by, "x", ((F.col("lo") + F.col("hi")) / 2).alias("y")), by).where("slope is not null")
 
     def fit(df: pd.DataFrame) -> pd.DataFrame:
         x, lo, hi = (df[c].to_numpy(float) for c in ("x", "lo", "hi"))
         delta = float(np.clip(df["resolution"].max() / 2, 100, 5000))
-        slope = float(np.median(((lo + hi) / 2)[x > 0] / x[x > 0])) if (x > 0).any() else 0.0
-        scale = float((x * x).sum()) or 1.0
+        slope, intercept = float(df["slope"].iloc[0]), float(df["intercept"].iloc[0])
+        # Mean square of x about zero is its variance plus its mean's square.
+        rate = min(max(1.0 / (1.0 + float((x * x).mean())), 1e-5), 0.5) / len(x)
+        outside = lambda y: y - np.clip(y, lo, hi)
         done = 0
         for done in range(1, steps + 1):
-            y = slope * x
-            off = np.where(y < lo, y - lo, np.where(y > hi, y - hi, 0.0))
-            change = float((np.clip(off, -delta, delta) * x).sum()) / scale
-            slope -= change
-            if abs(change) <= 1e-12 * max(1.0, abs(slope)):
+            pull = np.clip(outside(intercept + slope * x), -delta, delta)
+            up, tilt = rate * float(pull.sum()), rate * float((pull * x).sum())
+            intercept, slope = intercept - up, slope - tilt
+            if abs(up) < 1e-6 and abs(tilt) < 1e-7:
                 break
-        y = slope * x
-        off = np.abs(np.where(y < lo, y - lo, np.where(y > hi, y - hi, 0.0)))
+        off = np.abs(outside(intercept + slope * x))
         loss = float(np.where(off <= delta, off * off / 2, delta * (off - delta / 2)).sum())
-        return pd.DataFrame({**{k: [df[k].iloc[0]] for k in by}, "slope": [slope], "loss": [loss], "steps": [done]})
+        return pd.DataFrame({**{k: [df[k].iloc[0]] for k in by}, "slope": [slope], "intercept": [intercept], "loss": [loss], "steps": [done]})
 
     keys = ", ".join(f"{k} {points.schema[k].dataType.simpleString()}" for k in by)
-    return points.groupBy(*by).applyInPandas(fit, f"{keys}, slope double, loss double, steps int")
+    both = points.select(*by, "x", "lo", "hi", "resolution").join(start.select(*by, "slope", "intercept"), list(by))
+    return both.groupBy(*by).applyInPandas(fit, f"{keys}, slope double, intercept double, loss double, steps int")
 
 
 def gram(points: DataFrame, by: Sequence[str], xs: Sequence[str], y: str) -> DataFrame:
-    """(by, n, yy, xy_i, xx_i_j): the sums that a least-squares fit through the origin needs, in one aggregate."""
+    """(by, n, yy, xy_i, xx_i_j, flat_i): the sums that a least-squares fit through the origin needs, and which columns hold one value, in one aggregate."""
     sums = [F.count("*").alias("n"), F.sum(F.col(y) * F.col(y)).alias("yy")]
     sums += [F.sum(F.col(x) * F.col(y)).alias(f"xy_{i}") for i, x in enumerate(xs)]
     sums += [F.sum(F.col(a) * F.col(b)).alias(f"xx_{i}_{j}") for i, a in enumerate(xs) for j, b in enumerate(xs) if i <= j]
+    sums += [(F.min(x) == F.max(x)).alias(f"flat_{i}") for i, x in enumerate(xs)]
     return points.groupBy(*by).agg(*sums)
 
 
-def least_squares(points: DataFrame, by: Sequence[str], xs: Sequence[str], y: str, ridge: float = 0.0, most_condition: float = 1e6) -> DataFrame:
+def least_squares(points: DataFrame, by: Sequence[str], xs: Sequence[str], y: str, ridge: float = 0.0, most_condition: float = 1e6, least_rows: int = 2) -> DataFrame:
     """(by, kind, estimate, std_error, lo, hi, refusal) for each x: the fit through the origin over unit-norm columns, or why there is none.
 
-    Sums are distributed; only the small system is solved in a task. Refused
-    are ill-conditioned and empty columns, too few rows, and estimates that are
-    below zero by more than two standard errors.
+    Rows in which no x is above zero carry no signal and are left out. Sums are
+    distributed; only the small systems are solved in tasks. Refused are, in
+    this order, fewer rows than least_rows, no more rows than columns, columns
+    that hold one value throughout (an intercept by another name),
+    ill-conditioned ones, and estimates below zero by more than two standard
+    errors.
     """
     k = len(xs)
 
-    def solve(df: pd.DataFrame) -> pd.DataFrame:
+    def rows_of(df: pd.DataFrame) -> pd.DataFrame:
         out = []
-        for _, r in df.iterrows():
+        for r in df.to_dict("records"):
             g = np.array([[r[f"xx_{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)], float)
             v, n = np.array([r[f"xy_{i}"] for i in range(k)], float), int(r["n"])
             norm = np.sqrt(np.diag(g))
             refusal, est, err = None, np.full(k, np.nan), np.full(k, np.nan)
-            if n <= k:
+            if n < least_rows:
                 refusal = "too_few_rows"
-            elif (norm == 0).any():
-                refusal = "empty_column"
+            elif n <= k:
+                refusal = "underidentified"
+            elif any(r[f"flat_{i}"] for i in range(k)):
+                refusal = "constant_column"
             else:
                 unit = g / np.outer(norm, norm) + ridge * np.eye(k)
                 values = np.linalg.eigvalsh(unit)
@@ -304,9 +316,17 @@ def least_squares(points: DataFrame, by: Sequence[str], xs: Sequence[str], y: st
                 out.append([*[r[b] for b in by], x, est[i], err[i], est[i] - 1.96 * err[i], est[i] + 1.96 * err[i], refusal])
         return pd.DataFrame(out, columns=[*by, "kind", "estimate", "std_error", "lo", "hi", "refusal"])
 
-    sums = gram(points, by, xs, y)
+    signal = F.lit(False)
+    for x in xs:
+        signal = signal | F.coalesce(F.col(x) > 0, F.lit(False))
+    sums = gram(points.where(signal), by, xs, y)
     keys = ", ".join(f"{b} {points.schema[b].dataType.simpleString()}" for b in by)
-    return sums.groupBy(*by).applyInPandas(solve, f"{keys}, kind string, estimate double, std_error double, lo double, hi double, refusal string")
+
+    def solve(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for df in frames:
+            yield rows_of(df)
+
+    return sums.mapInPandas(solve, f"{keys}, kind string, estimate double, std_error double, lo double, hi double, refusal string")
 
 
 def admissible(used: Column, resolution: Column, quantization: Column) -> Column:

@@ -69,19 +69,21 @@ def holds(attempts: DataFrame, cadence: int, cap: int, longest: int) -> DataFram
     return merge_intervals(both.select("account", "start", (F.col("start") + F.col("length")).alias("end")), ["account"])
 
 
-def expected_opportunities(policies: DataFrame, held: DataFrame, until: int) -> DataFrame:
-    """(account, expected): how many samples policies (account, ts, cadence) asked for until an instant.
+def expected_opportunities(policies: DataFrame, held: DataFrame, since: int, until: int) -> DataFrame:
+    """(account, expected, covered): how many samples policies (account, ts, cadence) asked for in [since, until), and from when on one was in force.
 
     Time is cut at each change of policy; in each slice the time that isn't
-    held, divided by its cadence, counts in whole numbers.
+    held, divided by its cadence, counts in whole numbers. Time before an
+    account's first policy owes nothing; an account without one in the interval
+    has no row.
     """
     w = Window.partitionBy("account").orderBy("ts")
-    slices = policies.withColumn("stop", F.least(F.coalesce(F.lead("ts").over(w), F.lit(until)), F.lit(until))).where(F.col("stop") > F.col("ts"))
+    slices = policies.select("account", "cadence", F.greatest("ts", F.lit(since)).alias("ts"), F.least(F.coalesce(F.lead("ts").over(w), F.lit(until)), F.lit(until)).alias("stop")).where(F.col("stop") > F.col("ts"))
     s, h = slices.alias("s"), held.alias("h")
     joined = s.join(h, (F.col("s.account") == F.col("h.account")) & (F.col("h.start") < F.col("s.stop")) & (F.col("h.end") > F.col("s.ts")), "left")
-    covered = F.least("s.stop", "h.end") - F.greatest("s.ts", "h.start")
+    covered = F.when(F.col("h.start").isNotNull(), F.least("s.stop", "h.end") - F.greatest("s.ts", "h.start"))
     per = joined.groupBy("s.account", "s.ts", "s.stop", "s.cadence").agg(F.coalesce(F.sum(covered), F.lit(0)).cast("bigint").alias("held"))
-    return per.groupBy("account").agg(F.sum(trunc_div(F.col("stop") - F.col("ts") - F.col("held"), F.col("cadence"))).cast("bigint").alias("expected"))
+    return per.groupBy("account").agg(F.sum(trunc_div(F.col("stop") - F.col("ts") - F.col("held"), F.col("cadence"))).cast("bigint").alias("expected"), F.min("ts").alias("covered"))
 
 
 def newest(rows: DataFrame, by: Sequence[str], order: Sequence[str], n: int) -> DataFrame:
@@ -124,10 +126,10 @@ def freshness(latest: DataFrame, now: int, horizon: int, command: int) -> DataFr
     return latest.withColumn("v", verdict).select(*latest.columns, "v.state", "v.reason")
 
 
-def burn_rate(used_ppm: Column, start: Column, nominal: Column, now: int) -> Column:
-    """Used part over elapsed part of a window in millionths; null when capped, not started or under 1% elapsed."""
-    elapsed = clamp(F.lit(now) - start, 0, nominal)
-    return F.when((used_ppm < 1_000_000) & (elapsed > 0) & (elapsed * 100 >= nominal), trunc_div(used_ppm * nominal, elapsed))
+def burn_rate(used_ppm: Column, start: Column, nominal: Column, now: Column) -> Column:
+    """Used part over elapsed part of a window in millionths; null when capped, not started or under 1% elapsed. Exact for any nanoseconds."""
+    elapsed, whole = clamp(now - start, 0, nominal).cast("decimal(38,0)"), nominal.cast("decimal(38,0)")
+    return F.when((used_ppm < 1_000_000) & (elapsed > 0) & (elapsed * 100 >= whole), F.call_function("div", used_ppm.cast("decimal(19,0)") * nominal.cast("decimal(19,0)"), elapsed)).cast("bigint")
 
 
 def frozen_rate(rows: DataFrame, cycle_start: int) -> DataFrame:
@@ -145,26 +147,27 @@ def due(latest: DataFrame, now: int, lead: int) -> DataFrame:
 
 
 def selection(windows: DataFrame, now: int) -> DataFrame:
-    """windows(account, idx, used_ppm, reset_at, nominal, weight) -> (account, verdict, runway, gap).
+    """windows(account, idx, used_ppm, reset_at, nominal, weight, and burn where it is known) -> (account, verdict, runway, gap).
 
     Windows without reset and use aren't looked at. Any full one: exhausted_now.
     Else any that can't be measured: unknown. Else any that runs out before its
     reset: projected_exhaustion, with the least time left. Else through_reset.
     gap: the weighted mean of what is left against the time that is left, held
-    inside 100.
+    inside 100. burn: used over elapsed part; where it isn't given it follows from both.
     """
     live = windows.where(F.col("reset_at").isNotNull() | (F.col("used_ppm") > 0))
     left = F.col("reset_at") - now
     measurable = F.coalesce((left > 0) & (left <= F.col("nominal")), F.lit(False))
     time_left = left * 100.0 / F.col("nominal")
-    burn = F.col("used_ppm") / 10_000.0 / (100.0 - time_left)
+    derived = F.col("used_ppm") / 10_000.0 / (100.0 - time_left)
+    burn = F.coalesce("burn", derived) if "burn" in windows.columns else derived
     rest = 100.0 - F.col("used_ppm") / 10_000.0
     measured = live.withColumn("ok", measurable & (F.coalesce(time_left, F.lit(100.0)) < 100.0))
     measured = measured.withColumn("gap", F.when(F.col("ok"), (rest - burn * time_left) / time_left)).withColumn("runs", F.when(F.col("ok") & (burn > 0), rest / 100.0 / burn * F.col("nominal"))).withColumn("short", F.when(F.col("ok"), F.coalesce(F.col("runs") < left, F.lit(False))))
     out = measured.groupBy("account").agg(
         F.bool_or(F.col("used_ppm") >= 1_000_000).alias("full"), F.bool_and("ok").alias("all_ok"), F.bool_or("short").alias("short"),
-        F.min(F.when(F.col("short"), F.floor("runs"))).alias("least"), F.sum(F.when(F.col("ok"), F.col("gap") * F.col("weight"))).alias("g"), F.sum(F.when(F.col("ok"), F.col("weight"))).alias("w"),
+        F.min(F.when(F.col("short"), F.round("runs"))).alias("least"), F.sum(F.when(F.col("ok"), F.col("gap") * F.col("weight"))).alias("g"), F.sum(F.when(F.col("ok"), F.col("weight"))).alias("w"),
     )
     verdict = F.when(F.col("full"), "exhausted_now").when(~F.col("all_ok"), "unknown").when(F.col("short"), "projected_exhaustion").otherwise("through_reset")
-    gap = F.when(~F.col("full"), F.greatest(F.lit(-100.0), F.least(F.lit(100.0), F.col("g") / F.col("w"))))
+    gap = F.when(~F.col("full") & (F.col("w") > 0), F.greatest(F.lit(-100.0), F.least(F.lit(100.0), F.col("g") / F.col("w"))))
     return out.select("account", verdict.alias("verdict"), F.when(F.col("full"), F.lit(0)).when(F.col("all_ok") & F.col("short"), F.col("least")).cast("bigint").alias("runway"), gap.alias("gap"))

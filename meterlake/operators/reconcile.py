@@ -23,18 +23,33 @@ def rolling_residual(intervals: DataFrame, by: Sequence[str], least: int, floor_
 
 
 def residual_patterns(rows: DataFrame, by: Sequence[str], order: str) -> DataFrame:
-    """(by, pattern): all_positive, all_negative, step_change (the halves' means have different signs) or alternating (signs alternate and cancel out)."""
+    """(by, n, patterns array) of each key's residuals (whole numbers) in order; shorter runs than three have no pattern.
+
+    persistently_positive and persistently_negative: all of one sign. From four
+    on, alternating_net_zero: each sign differs from the one before, none is
+    zero, and five times the net sum is no more than the sum of sizes; else
+    step_change: the means of both halves, cut to whole numbers, differ by so
+    much that n times it reaches the sum of sizes.
+    """
     w = Window.partitionBy(*by).orderBy(order)
-    all_ = Window.partitionBy(*by)
-    s = rows.withColumn("i", F.row_number().over(w)).withColumn("n", F.count("*").over(all_)).withColumn("turns", F.coalesce(F.signum("residual") != F.signum(F.lag("residual").over(w)), F.lit(True)))
+    sign, big = F.signum("residual"), F.col("residual").cast("decimal(38,0)")
+    s = rows.withColumn("i", F.row_number().over(w)).withColumn("n", F.count("*").over(Window.partitionBy(*by)))
+    s = s.withColumn("turns", (sign != 0) & F.coalesce(sign != F.signum(F.lag("residual").over(w)), F.lit(True)))
     half = trunc_div(F.col("n"), 2)
-    out = s.groupBy(*by).agg(
-        F.bool_and(F.col("residual") > 0).alias("up"), F.bool_and(F.col("residual") < 0).alias("down"), F.count("*").alias("n"),
-        F.sum(F.when(F.col("i") <= half, F.col("residual"))).alias("a"), F.sum(F.when(F.col("i") > half, F.col("residual"))).alias("b"),
-        F.bool_and(F.col("turns") & (F.col("residual") != 0)).alias("turns"), F.sum("residual").alias("net"), F.max(F.abs("residual")).alias("most"),
+    facts = s.groupBy(*by).agg(
+        F.count("*").alias("n"), F.bool_and(F.col("residual") > 0).alias("up"), F.bool_and(F.col("residual") < 0).alias("down"), F.bool_and("turns").alias("turns"),
+        F.coalesce(F.sum(F.when(F.col("i") <= half, big)), F.lit(0)).alias("a"), F.sum(F.when(F.col("i") > half, big)).alias("b"), F.sum(big).alias("net"), F.sum(F.abs(big)).alias("size"),
     )
-    pattern = F.when(F.col("n") < 2, "too_short").when(F.col("up"), "all_positive").when(F.col("down"), "all_negative").when(F.col("turns") & (F.abs("net") <= F.col("most")), "alternating").when(F.signum("a") * F.signum("b") < 0, "step_change").otherwise("none")
-    return out.select(*by, pattern.alias("pattern"))
+    whole = lambda total, count: F.call_function("div", total, F.greatest(count, F.lit(1)).cast("decimal(38,0)"))
+    step = F.abs(whole(F.col("b"), F.col("n") - trunc_div(F.col("n"), 2)) - whole(F.col("a"), trunc_div(F.col("n"), 2)))
+    many = (F.col("n") >= 4) & (F.col("size") > 0)
+    found = [
+        F.when((F.col("n") >= 3) & F.col("up"), "persistently_positive"),
+        F.when((F.col("n") >= 3) & F.col("down"), "persistently_negative"),
+        F.when(many & F.col("turns") & (F.abs("net") * 5 <= F.col("size")), "alternating_net_zero"),
+        F.when(many & ~F.col("turns") & (step > 0) & (step * F.col("n") >= F.col("size")), "step_change"),
+    ]
+    return facts.select(*by, "n", F.filter(F.array(*found), lambda x: x.isNotNull()).alias("patterns"))
 
 
 def retention(backups: DataFrame, keep: dict[str, int], newest_verified: bool = True) -> DataFrame:

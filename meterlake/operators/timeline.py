@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,15 +25,18 @@ def asof(events: DataFrame, facts: DataFrame, by: Sequence[str], ts: str, keep:
     return both.where("__event is not null").select(*by, ts, "__event.*", *[F.col(f"__held.{c}").alias(c) for c in keep])
 
 
-def gaps(rows: DataFrame, by: Sequence[str], ts: str) -> DataFrame:
-    """Each row with the instant before it and the gap between them, null for the first."""
+def gaps(rows: DataFrame, by: Sequence[str], ts: str, start: int, end: int, keys: DataFrame | None = None) -> DataFrame:
+    """(by, previous, ts, gap) over [start, end): from start to each key's first instant, between its instants, and from the last to end. keys names those that may have no instant and so one gap."""
+    inside = rows.where((F.col(ts) >= start) & (F.col(ts) < end)).select(*by, F.col(ts).cast("bigint").alias(ts))
+    every = inside.select(*by).distinct() if keys is None else keys.select(*by).distinct()
     w = Window.partitionBy(*by).orderBy(ts)
-    return rows.withColumn("previous", F.lag(ts).over(w)).withColumn("gap", F.col(ts) - F.col("previous"))
+    out = inside.union(every.withColumn(ts, F.lit(end).cast("bigint"))).withColumn("previous", F.coalesce(F.lag(ts).over(w), F.lit(start)))
+    return out.withColumn("gap", F.col(ts) - F.col("previous"))
 
 
 def longest_gap(gapped: DataFrame, by: Sequence[str], ts: str) -> DataFrame:
     """The longest gap of each key; of equal ones the last."""
-    return gapped.where("gap is not null").groupBy(*by).agg(F.max(F.struct("gap", ts)).alias("m")).select(*by, F.col("m.gap").alias("gap"), F.col(f"m.{ts}").alias("until"))
+    return gapped.groupBy(*by).agg(F.max(F.struct("gap", ts)).alias("m")).select(*by, F.col("m.gap").alias("gap"), F.col(f"m.{ts}").alias("until"))
 
 
 def merge_intervals(rows: DataFrame, by: Sequence[str], start: str = "start", end: str = "end") -> DataFrame:
@@ -44,13 +48,30 @@ def merge_intervals(rows: DataFrame, by: Sequence[str], start: str = "start", en
 
 
 def thin_instants(rows: DataFrame, by: Sequence[str], ts: str, apart: int) -> DataFrame:
-    """Of each key's instants those that lie more than `apart` after the last one kept, as an exact ordered fold."""
-    kept = F.aggregate(
-        F.array_sort(F.collect_list(ts)),
-        F.array().cast("array<bigint>"),
-        lambda acc, t: F.when((F.size(acc) == 0) | (t - F.element_at(acc, -1) > apart), F.concat(acc, F.array(t))).otherwise(acc),
-    )
-    return rows.groupBy(*by).agg(kept.alias("kept")).select(*by, F.explode("kept").alias(ts))
+    """Of each key's instants those that lie more than `apart` after the last one kept, as an exact ordered fold.
+
+    An instant more than `apart` after the one before it is always kept, so the
+    runs between such instants are folded apart: sorted rows stream by, and one
+    kept instant is held.
+    """
+    w = Window.partitionBy(*by).orderBy(ts)
+    runs = rows.select(*by, ts).where(F.col(ts).isNotNull()).withColumn("__run", F.sum(F.coalesce((F.col(ts) - F.lag(ts).over(w) > apart).cast("int"), F.lit(0))).over(w))
+    keys = [*by, "__run"]
+
+    def fold(batches):
+        now, kept = None, None
+        for batch in batches:
+            key = list(zip(*(batch.column(k).to_pylist() for k in keys), strict=True))
+            keep = []
+            for k, t in zip(key, batch.column(ts).to_pylist(), strict=True):
+                if k != now or t - kept > apart:
+                    now, kept = k, t
+                    keep.append(True)
+                else:
+                    keep.append(False)
+            yield batch.filter(pa.array(keep, pa.bool_())).select([*by, ts])
+
+    return runs.repartition(*keys).sortWithinPartitions(*keys, ts).mapInArrow(fold, runs.drop("__run").schema)
 
 
 def islands(rows: DataFrame, by: Sequence[str], order: Sequence[str], reset: Column) -> DataFrame:

@@ -233,10 +233,18 @@ def ag23(spark, sf_dir):
     return reconcile.rolling_residual(rows, ["account"], 5, 200_000)
 
 
-@query("WN-14_residual_patterns")
+@query(
+    "WN-14_residual_patterns",
+    f"""WITH {BLOCK_SQL}, r AS (SELECT account, start, delta - 40 * credits AS residual FROM blk),
+s AS (SELECT *, row_number() OVER w AS i, count(*) OVER (PARTITION BY account) AS n, sign(residual) <> 0 AND coalesce(sign(residual) <> sign(lag(residual) OVER w), true) AS turns FROM r WINDOW w AS (PARTITION BY account ORDER BY start)),
+f AS (SELECT account, n, bool_and(residual > 0) AS up, bool_and(residual < 0) AS down, bool_and(turns) AS turns, coalesce(sum(residual) FILTER (WHERE i <= n // 2), 0)::BIGINT AS a, sum(residual) FILTER (WHERE i > n // 2)::BIGINT AS b, sum(residual)::BIGINT AS net, sum(abs(residual))::BIGINT AS size FROM s GROUP BY account, n),
+st AS (SELECT *, abs(sign(b) * (abs(b) // (n - n // 2)) - sign(a) * (abs(a) // greatest(n // 2, 1))) AS step FROM f)
+SELECT account, n, concat_ws(',', CASE WHEN n >= 3 AND up THEN 'persistently_positive' END, CASE WHEN n >= 3 AND down THEN 'persistently_negative' END,
+  CASE WHEN n >= 4 AND size > 0 AND turns AND abs(net) * 5 <= size THEN 'alternating_net_zero' END, CASE WHEN n >= 4 AND size > 0 AND NOT turns AND step > 0 AND step * n >= size THEN 'step_change' END) AS patterns FROM st""",
+)
 def wn14(spark, sf_dir):
     rows = blocks(spark, sf_dir).select("account", "start", (F.col("delta") - 40 * F.col("credits")).alias("residual"))
-    return reconcile.residual_patterns(rows, ["account"], "start")
+    return reconcile.residual_patterns(rows, ["account"], "start").withColumn("patterns", F.array_join("patterns", ","))
 
 
 @query("SF-18_residual_uncertainty", f"WITH {BLOCK_SQL} SELECT account, start, least(credits * 35, credits * 45, (credits + 10) * 35, (credits + 10) * 45) AS lo, greatest(credits * 35, credits * 45, (credits + 10) * 35, (credits + 10) * 45) AS hi FROM blk")

@@ -132,9 +132,9 @@ def pf5(spark, sf_dir):
     return rows.withColumn("vendor", globs.resolve(F.col("model"), RULES)).groupBy("model", "vendor").agg(F.count("*").alias("n"))
 
 
-@query("PF-6_account_of_model", "SELECT p_partkey, CASE WHEN p_size < 10 THEN 'team' WHEN p_partkey % 5 IN (1, 2, 3) AND p_size < 40 THEN 'k' || (p_partkey % 5) END AS account FROM part")
+@query("PF-6_account_of_model", "SELECT p_partkey, CASE WHEN p_size < 10 THEN 'team' WHEN p_partkey % 5 IN (1, 2, 3) AND p_size < 30 THEN 'openai-k' || (p_partkey % 5) WHEN p_partkey % 5 IN (1, 2, 3) AND p_size < 40 THEN 'anthropic-k' || (p_partkey % 5) END AS account FROM part")
 def pf6(spark, sf_dir):
-    model = F.concat(F.when(F.col("p_size") < 10, "team/x").when(F.col("p_size") < 40, "gpt-x").otherwise("odd"), F.lit("-k"), (F.col("p_partkey") % 5).cast("string"))
+    model = F.concat(F.when(F.col("p_size") < 10, "team/x").when(F.col("p_size") < 30, "gpt-x").when(F.col("p_size") < 40, "claude-x").otherwise("odd"), F.lit("-k"), (F.col("p_partkey") % 5).cast("string"))
     return t.table(spark, sf_dir, "part").select("p_partkey", globs.account_of(model, (("team/*", "team"),), globs.BUILT_IN).alias("account"))
 
 

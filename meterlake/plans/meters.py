@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 
 from ..functions import clock
 from ..functions.clock import SECOND
-from ..operators import dedup, meter, timeline
+from ..operators import coverage, dedup, meter, timeline
 from ..sources import tables as t
 from .registry import query
 
 HOUR, DAY = 3600 * SECOND, 86_400 * SECOND
+#: The interval of coverage and of what is expected in it.
+SINCE, UNTIL = 1_704_200_000 * SECOND, 1_706_500_000 * SECOND
 M_SQL = f"{t.EV_SQL}, {t.METER_SQL}, mr AS (SELECT *, (ts // {DAY} + 1) * {DAY} AS reset_at FROM meter)"
 A_SQL = f"{t.EV_SQL}, {t.ATT_SQL}"
 
@@ -40,9 +42,10 @@ def wn2(spark, sf_dir):
     return meter.transitions(observations(spark, sf_dir)).select("observation", "anomaly")
 
 
-@query("WN-3_longest_gap", f"WITH {M_SQL}, g AS (SELECT account, ts, ts - lag(ts) OVER (PARTITION BY account ORDER BY ts) AS gap FROM meter) SELECT account, max(gap) AS gap, arg_max(ts, {{'g': gap, 't': ts}}) AS until FROM g WHERE gap IS NOT NULL GROUP BY account")
+@query("WN-3_longest_gap", f"WITH {M_SQL}, i AS (SELECT account, ts FROM meter WHERE ts >= {SINCE} AND ts < {UNTIL} UNION ALL SELECT DISTINCT user_id, {UNTIL} FROM ev), g AS (SELECT account, ts, ts - coalesce(lag(ts) OVER (PARTITION BY account ORDER BY ts), {SINCE}) AS gap FROM i) SELECT account, max(gap) AS gap, arg_max(ts, {{'g': gap, 't': ts}}) AS until FROM g GROUP BY account")
 def wn3(spark, sf_dir):
-    return timeline.longest_gap(timeline.gaps(t.meter(spark, sf_dir), ["account"], "ts"), ["account"], "ts")
+    accounts = t.events(spark, sf_dir).select(F.col("user_id").alias("account"))
+    return timeline.longest_gap(timeline.gaps(t.meter(spark, sf_dir), ["account"], "ts", SINCE, UNTIL, accounts), ["account"], "ts")
 
 
 @query(
@@ -99,20 +102,49 @@ def wn7(spark, sf_dir):
     return meter.holds(t.attempts(spark, sf_dir), 300 * SECOND, 4 * HOUR, 24 * HOUR)
 
 
-UNTIL = 1_707_000_000 * SECOND
 POLICY_SQL = f"pol AS (SELECT user_id AS account, ts, (300 + k * 10) * 1000000000 AS cadence FROM ev WHERE event_type = 'signup')"
+EXPECT_SQL = f"""sl AS (SELECT account, cadence, greatest(ts, {SINCE}) AS ts, least(coalesce(lead(ts) OVER (PARTITION BY account ORDER BY ts), {UNTIL}), {UNTIL}) AS stop FROM pol),
+x AS (SELECT sl.account, sl.ts, stop, cadence, coalesce(sum(CASE WHEN held.s IS NOT NULL THEN least(stop, held.e) - greatest(sl.ts, held.s) END), 0)::BIGINT AS off FROM sl LEFT JOIN held ON held.account = sl.account AND held.s < stop AND held.e > sl.ts WHERE stop > sl.ts GROUP BY ALL),
+expect AS (SELECT account, sum((stop - ts - off) // cadence)::BIGINT AS expected, min(ts) AS covered FROM x GROUP BY account)"""
+COVERAGE_SQL = f"""WITH {HOLD_SQL}, {POLICY_SQL}, {EXPECT_SQL}, accounts AS (SELECT DISTINCT account FROM (SELECT account FROM pol UNION ALL SELECT account FROM att)),
+tries AS (SELECT account, count(*) AS attempted, count(*) FILTER (WHERE outcome = 'interrupted') AS unfinished, count(*) FILTER (WHERE outcome = 'success') AS observed FROM att WHERE ts >= {SINCE} AND ts < {UNTIL} GROUP BY account),
+base AS (SELECT a.account, expected, coalesce(covered, {SINCE}) AS covered, coalesce(attempted, 0) AS attempted, coalesce(unfinished, 0) AS unfinished, coalesce(observed, 0) AS observed FROM accounts a LEFT JOIN expect USING (account) LEFT JOIN tries USING (account)),
+inst AS (SELECT att.account, ts, outcome = 'success' AS seen FROM att JOIN base USING (account) WHERE ts >= covered AND ts < {UNTIL}),
+ends AS (SELECT account, ts FROM inst UNION ALL SELECT account, {UNTIL} FROM base),
+seen AS (SELECT account, ts FROM inst WHERE seen UNION ALL SELECT account, {UNTIL} FROM base),
+g AS (SELECT account, coalesce(lag(ts) OVER (PARTITION BY account ORDER BY ts), covered) AS s, ts AS e FROM ends JOIN base USING (account)),
+o AS (SELECT account, coalesce(lag(ts) OVER (PARTITION BY account ORDER BY ts), covered) AS s, ts AS e FROM seen JOIN base USING (account)),
+res AS (SELECT DISTINCT user_id AS account, (ts // {DAY} + 1) * {DAY} AS ts FROM ev WHERE event_type = 'view'),
+cad AS (SELECT res.account, res.ts, pol.cadence FROM res ASOF JOIN pol ON res.account = pol.account AND res.ts >= pol.ts),
+severe AS (SELECT account, count(*) AS severe FROM g WHERE EXISTS (SELECT 1 FROM cad WHERE cad.account = g.account AND cad.ts BETWEEN g.s AND g.e AND g.e - g.s > cad.cadence + {60 * SECOND}) GROUP BY account)
+SELECT b.account, expected, attempted, unfinished, observed, CASE WHEN expected > 0 THEN ((2 * least(attempted, expected) * 1000000 + expected) // (2 * expected))::BIGINT END AS attempt_ppm,
+       CASE WHEN attempted > unfinished THEN ((2 * least(observed, attempted - unfinished) * 1000000 + (attempted - unfinished)) // (2 * (attempted - unfinished)))::BIGINT END AS measured_ppm,
+       (SELECT max(e - s) FROM g WHERE g.account = b.account) AS no_attempt, (SELECT max(e - s) FROM o WHERE o.account = b.account) AS no_observation, coalesce(severe, 0) AS severe
+FROM base b LEFT JOIN severe USING (account)"""
+
+
+def policies(spark, sf_dir):
+    return t.events(spark, sf_dir, "signup").select(F.col("user_id").alias("account"), "ts", ((300 + F.col("k") * 10) * SECOND).alias("cadence"))
+
+
+def held(spark, sf_dir):
+    return meter.holds(t.attempts(spark, sf_dir), 300 * SECOND, 4 * HOUR, 24 * HOUR)
 
 
 @query(
     "WN-8_expected_opportunities",
-    f"""WITH {HOLD_SQL}, {POLICY_SQL}, sl AS (SELECT *, least(coalesce(lead(ts) OVER (PARTITION BY account ORDER BY ts), {UNTIL}), {UNTIL}) AS stop FROM pol),
-x AS (SELECT sl.account, sl.ts, stop, cadence, coalesce(sum(least(stop, held.e) - greatest(sl.ts, held.s)), 0)::BIGINT AS off FROM sl LEFT JOIN held ON held.account = sl.account AND held.s < stop AND held.e > sl.ts WHERE stop > sl.ts GROUP BY ALL)
-SELECT account, sum((stop - ts - off) // cadence)::BIGINT AS expected FROM x GROUP BY account""",
+    f"WITH {HOLD_SQL}, {POLICY_SQL}, {EXPECT_SQL} SELECT account, expected FROM expect",
 )
 def wn8(spark, sf_dir):
-    held = meter.holds(t.attempts(spark, sf_dir), 300 * SECOND, 4 * HOUR, 24 * HOUR)
-    policies = t.events(spark, sf_dir, "signup").select(F.col("user_id").alias("account"), "ts", ((300 + F.col("k") * 10) * SECOND).alias("cadence"))
-    return meter.expected_opportunities(policies, held, UNTIL)
+    return meter.expected_opportunities(policies(spark, sf_dir), held(spark, sf_dir), SINCE, UNTIL).select("account", "expected")
+
+
+@query("CV-2_coverage_report", COVERAGE_SQL)
+def cv2(spark, sf_dir):
+    """Sampling of each account over an interval; windows reset at midnight after a reading."""
+    resets = observations(spark, sf_dir).select("account", F.col("reset_at").alias("ts")).distinct()
+    tries = t.attempts(spark, sf_dir).select("account", "ts", (F.col("outcome") != "interrupted").alias("finished"), (F.col("outcome") == "success").alias("observed"))
+    return coverage.report(policies(spark, sf_dir), tries, held(spark, sf_dir), resets, SINCE, UNTIL)
 
 
 @query("WN-13_frozen_rate", f"WITH {M_SQL} SELECT account, min(ts) AS capped_at FROM meter WHERE least(used_ppm * 100, 1000000) >= 1000000 AND ts > 1704200000000000000 GROUP BY account")
@@ -202,12 +234,8 @@ def sf6(spark, sf_dir):
 
 @query("SF-7_burn_rate", f"WITH {M_SQL}, b AS (SELECT observation, used_ppm, greatest(0, least(ts + 3600000000000 - (reset_at - {DAY}), {DAY})) AS elapsed FROM mr) SELECT observation, CASE WHEN used_ppm < 1000000 AND elapsed > 0 AND elapsed::HUGEINT * 100 >= {DAY} THEN (used_ppm::HUGEINT * {DAY} // elapsed)::BIGINT END AS rate FROM b")
 def sf7(spark, sf_dir):
-    nominal = F.lit(DAY // SECOND)
-    rows = observations(spark, sf_dir)
-    elapsed = F.greatest(F.lit(0), F.least(F.col("ts") + HOUR - (F.col("reset_at") - DAY), F.lit(DAY)))
-    wide = lambda c: c.cast("decimal(38,0)")
-    rate = F.when((F.col("used_ppm") < 1_000_000) & (elapsed > 0) & (wide(elapsed) * 100 >= DAY), F.call_function("div", wide(F.col("used_ppm")) * nominal * SECOND, wide(elapsed)))
-    return rows.select("observation", rate.cast("bigint").alias("rate"))
+    # Each window of a day is looked at an hour after the reading.
+    return observations(spark, sf_dir).select("observation", meter.burn_rate(F.col("used_ppm"), F.col("reset_at") - DAY, F.lit(DAY), F.col("ts") + HOUR).alias("rate"))
 
 
 @query("SF-14_due_decision", f"WITH {LATEST_SQL}, x AS (SELECT la.account, r.s AS s, observed, la.account % 11 = 0 AS forced, {NOW} - (la.account % 5) * {HOUR} AS reset_at, {NOW} + (la.account % 7) * {300 * SECOND} AS nxt FROM la LEFT JOIN ob USING (account)), y AS (SELECT *, CASE WHEN forced THEN 'forced' WHEN reset_at <= {NOW} AND coalesce(s < reset_at, true) THEN 'post_reset' WHEN nxt > {NOW} AND nxt - {NOW} <= {600 * SECOND} AND coalesce({NOW} - observed > {600 * SECOND}, true) THEN 'reset_edge' WHEN s IS NULL THEN 'never_sampled' ELSE 'cadence' END AS why FROM x) SELECT account, why, CASE why WHEN 'cadence' THEN greatest(s + {300 * SECOND}, 0) ELSE {NOW} END AS due_at FROM y")
@@ -248,13 +276,14 @@ def ag27(spark, sf_dir):
 
 
 @query("AG-25_selection_verdict", f"""WITH {M_SQL}, w AS (SELECT account, arg_max({{'u': least(used_ppm * 60, 1000000), 'r': CASE WHEN observation % 3 <> 0 THEN reset_at END}}, {{'t': ts, 'o': observation}}) AS x FROM mr GROUP BY account),
-v AS (SELECT account, x.u AS u, x.r - (x.r // {DAY} * {DAY} - {DAY // 4}) AS rest, x.r AS r FROM w WHERE x.r IS NOT NULL OR x.u > 0)
-SELECT account, CASE WHEN u >= 1000000 THEN 'exhausted_now' WHEN r IS NULL THEN 'unknown' WHEN (100.0 - u / 10000.0) / 100.0 / nullif(u / 10000.0 / 75.0, 0) * {DAY} < {DAY // 4} THEN 'projected_exhaustion' ELSE 'through_reset' END AS verdict FROM v""")
+v AS (SELECT account, x.u AS u, x.r AS r, 100.0::DOUBLE - x.u / 10000.0::DOUBLE AS rest, x.u / 10000.0::DOUBLE / 75.0::DOUBLE AS burn FROM w WHERE x.r IS NOT NULL OR x.u > 0),
+d AS (SELECT *, CASE WHEN u >= 1000000 THEN 'exhausted_now' WHEN r IS NULL THEN 'unknown' WHEN burn > 0 AND rest / 100.0::DOUBLE / burn * {DAY} < {DAY // 4} THEN 'projected_exhaustion' ELSE 'through_reset' END AS verdict FROM v)
+SELECT account, verdict, CASE verdict WHEN 'exhausted_now' THEN 0 WHEN 'projected_exhaustion' THEN round(rest / 100.0::DOUBLE / burn * {DAY} / 1000000000)::BIGINT END AS runway_s, CASE WHEN verdict <> 'exhausted_now' AND r IS NOT NULL THEN round(greatest(-100.0, least(100.0, (rest - burn * 25.0::DOUBLE) / 25.0::DOUBLE)), 6) END AS gap FROM d""")
 def ag25(spark, sf_dir):
     # Every window is looked at a quarter of a day before its reset.
     rows = observations(spark, sf_dir).select("account", "ts", "observation", F.least(F.col("used_ppm") * 60, F.lit(1_000_000)).alias("used_ppm"), F.when(F.col("observation") % 3 != 0, F.lit(NOW + DAY // 4)).alias("reset_at"))
     last = rows.groupBy("account").agg(F.max_by(F.struct("used_ppm", "reset_at"), F.struct("ts", "observation")).alias("x")).select("account", "x.*", F.lit(0).alias("idx"), F.lit(DAY).alias("nominal"), F.lit(1.0).alias("weight"))
-    return meter.selection(last, NOW).select("account", "verdict")
+    return meter.selection(last, NOW).select("account", "verdict", F.round(F.col("runway") / SECOND).cast("bigint").alias("runway_s"), F.round("gap", 6).alias("gap"))
 
 
 @query("SK-4_projection", f"WITH {M_SQL} SELECT account, max(ts) AS ts, arg_max(used_ppm, {{'t': ts, 'o': observation}}) AS used_ppm FROM meter GROUP BY account")

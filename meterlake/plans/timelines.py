@@ -108,7 +108,7 @@ LINEAGE_SQL = "s AS (SELECT c_custkey AS session, CASE WHEN c_custkey % 7 <> 0 T
     f"""WITH RECURSIVE {LINEAGE_SQL}, up AS (
   SELECT s.session, s.session AS node, 0 AS depth, m.session IS NOT NULL AS found FROM s LEFT JOIN m USING (session)
   UNION ALL
-  SELECT u.session, s.parent, u.depth + 1, m.session IS NOT NULL FROM up u JOIN s ON s.session = u.node LEFT JOIN m ON m.session = s.parent WHERE NOT u.found AND s.parent IS NOT NULL AND u.depth < 50)
+  SELECT u.session, s.parent, u.depth + 1, m.session IS NOT NULL FROM up u JOIN s ON s.session = u.node LEFT JOIN m ON m.session = s.parent WHERE NOT u.found AND s.parent IS NOT NULL)
 SELECT session, arg_min(node, depth) FILTER (WHERE found) AS ancestor, min(depth) FILTER (WHERE found)::INTEGER AS depth FROM up GROUP BY session""",
 )
 def jn13(spark, sf_dir):
@@ -122,15 +122,8 @@ def jn13(spark, sf_dir):
     f"WITH {t.EV_SQL}, s AS (SELECT user_id AS session, min(ts) AS a, max(ts) AS b FROM ev WHERE event_type = 'click' GROUP BY 1) SELECT x.session, count(y.session) AS overlapping FROM s x LEFT JOIN s y ON x.session <> y.session AND y.a <= x.a + 3600000000000 AND y.b >= x.a GROUP BY x.session",
 )
 def jn14(spark, sf_dir):
-    # Overlap with a window [a, a + 1 h], counted without pairs: all sessions, less those that start after it, less those that end before it.
     s = t.events(spark, sf_dir, "click").groupBy(F.col("user_id").alias("session")).agg(F.min("ts").alias("a"), F.max("ts").alias("b"))
-    marks = s.select(F.col("a").alias("at"), F.lit(1).alias("starts"), F.lit(0).alias("ends"), F.lit(None).cast("bigint").alias("session"), F.lit(0).alias("late")).union(s.select(F.col("b"), F.lit(0), F.lit(1), F.lit(None).cast("bigint"), F.lit(2)))
-    asks = s.select((F.col("a") + 3_600_000_000_000).alias("at"), F.lit(0).alias("starts"), F.lit(0).alias("ends"), "session", F.lit(1).alias("late")).union(s.select(F.col("a"), F.lit(0), F.lit(0), "session", F.lit(-1)))
-    from pyspark.sql import Window
-
-    w = Window.orderBy("at", "late").rowsBetween(Window.unboundedPreceding, 0)
-    run = marks.union(asks).withColumn("started", F.sum("starts").over(w)).withColumn("ended", F.sum("ends").over(w)).where("session is not null")
-    return run.groupBy("session").agg((F.max(F.when(F.col("late") == 1, F.col("started"))) - F.max(F.when(F.col("late") == -1, F.col("ended"))) - 1).alias("overlapping"))
+    return a.overlapping_sessions(s, 3_600_000_000_000, 86_400_000_000_000)
 
 
 @query("WN-18_explicit_claim", f"WITH {t.EV_SQL}, {t.MARK_SQL}, {t.USE_SQL}, g AS (SELECT session, ts, count(DISTINCT account) AS n, min(account) AS account, okey FROM mark GROUP BY session, ts, okey), l AS (SELECT session, ts, arg_max({{'n': n, 'a': account}}, coalesce(okey, -1)) AS g FROM g GROUP BY session, ts) SELECT use.event_id, CASE WHEN l.g IS NULL THEN 'none' WHEN l.g.n > 1 THEN 'conflict' ELSE 'claimed' END AS state, CASE WHEN l.g.n = 1 THEN l.g.a END AS account FROM use ASOF LEFT JOIN l ON use.session = l.session AND use.ts >= l.ts")

@@ -98,15 +98,15 @@ def sf10(spark, sf_dir):
     return rows.select("l_orderkey", valuation.credits({k: F.col(k) for k in CREDIT_RATES}, CREDIT_RATES).alias("credits"))
 
 
-@query("SF-11_window_points", f"WITH {DEDUP_SQL}, c AS (SELECT l_orderkey, ({CREDIT_SQL})::BIGINT AS credits FROM canon GROUP BY l_orderkey) SELECT l_orderkey, (credits - 1000) // 1300 AS lo, -(-(credits + 1000) // 1100) + CASE WHEN (credits + 1000) % 1100 <> 0 THEN 1 ELSE 0 END AS hi FROM c WHERE credits >= 1000")
+@query("SF-11_window_points", f"WITH {DEDUP_SQL}, c AS (SELECT l_orderkey, ({CREDIT_SQL})::BIGINT AS credits FROM canon GROUP BY l_orderkey) SELECT l_orderkey, greatest(credits - 1000, 0) // 1300 AS lo, -(-(credits + 1000) // 1100) + CASE WHEN (credits + 1000) % 1100 <> 0 THEN 1 ELSE 0 END AS hi FROM c")
 def sf11(spark, sf_dir):
-    rows = sf10(spark, sf_dir).where("credits >= 1000")
-    return rows.withColumn("p", valuation.window_points(F.col("credits") - 1000, F.col("credits") + 1000, 1100, 1300)).select("l_orderkey", "p.lo", "p.hi")
+    rows = sf10(spark, sf_dir)
+    return rows.withColumn("p", valuation.window_points(F.greatest(F.col("credits") - 1000, F.lit(0)), F.col("credits") + 1000, 1100, 1300)).select("l_orderkey", "p.lo", "p.hi")
 
 
-@query("SF-13_basis_points", "SELECT o_orderkey, CASE WHEN o_custkey % 5 <> 0 THEN CASE WHEN n < 0 THEN -((2 * -n + 2 * 0 + b) // (2 * b)) ELSE (2 * n + b) // (2 * b) END END AS bp FROM (SELECT o_orderkey, o_custkey, (round(o_totalprice * 100)::BIGINT - 5000000) * 10000 AS n, abs((o_custkey % 5) * 100000) AS b FROM orders) WHERE o_custkey % 5 <> 0")
+@query("SF-13_basis_points", "SELECT o_orderkey, CASE WHEN o_custkey % 5 <> 0 THEN CASE WHEN n < 0 THEN -((2 * -n + 2 * 0 + b) // (2 * b)) ELSE (2 * n + b) // (2 * b) END END AS bp FROM (SELECT o_orderkey, o_custkey, (round(o_totalprice * 100)::BIGINT - 5000000) * 10000 AS n, abs((o_custkey % 5) * 100000) AS b FROM orders)")
 def sf13(spark, sf_dir):
-    rows = t.table(spark, sf_dir, "orders").where("o_custkey % 5 <> 0").select("o_orderkey", F.round(F.col("o_totalprice") * 100).cast("bigint").alias("v"), ((F.col("o_custkey") % 5) * 100_000).alias("b"))
+    rows = t.table(spark, sf_dir, "orders").select("o_orderkey", F.round(F.col("o_totalprice") * 100).cast("bigint").alias("v"), ((F.col("o_custkey") % 5) * 100_000).alias("b"))
     return rows.select("o_orderkey", exact.basis_points(F.col("b") + F.col("v") - 5_000_000, F.col("b")).alias("bp"))
 
 

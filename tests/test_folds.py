@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from meterlake.operators import calibration, dedup, timeline
+from meterlake.operators import calibration, coverage, dedup, reconcile, timeline
 
 
 def test_identity_dedup_judges_against_the_row_kept_then(spark):
@@ -43,8 +43,10 @@ def test_touching_intervals_merge(spark):
 
 def test_longest_gap_takes_the_last_of_equals(spark):
     rows = spark.createDataFrame([(1, t) for t in (0, 5, 10, 12)], "a int, ts bigint")
-    (row,) = timeline.longest_gap(timeline.gaps(rows, ["a"], "ts"), ["a"], "ts").collect()
+    (row,) = timeline.longest_gap(timeline.gaps(rows, ["a"], "ts", 0, 15), ["a"], "ts").collect()
     assert (row.gap, row.until) == (5, 10)
+    got = {r.a: (r.gap, r.until) for r in timeline.longest_gap(timeline.gaps(rows, ["a"], "ts", -7, 30, spark.range(1, 3).toDF("a")), ["a"], "ts").collect()}
+    assert got == {1: (18, 30), 2: (37, 30)}
 
 
 def test_everything_from_the_first_drop_is_after_the_reset(spark):
@@ -76,6 +78,9 @@ def test_least_squares_recovers_and_refuses(spark):
     got = {(r.arm, r.kind): (r.estimate, r.refusal) for r in calibration.least_squares(rows, ["arm"], ["p", "q"], "y").collect()}
     assert abs(got["g", "p"][0] - 3) < 1e-6 and abs(got["g", "q"][0] - 2) < 1e-6 and got["g", "p"][1] is None
     assert got["b", "p"][1] == "ill_conditioned"
+    flat = [("f", 3.0, float(i), 7.0 * i) for i in range(1, 9)] + [("f", 0.0, 0.0, 99.0)] * 3 + [("u", 1.0, 2.0, 3.0), ("u", 2.0, 1.0, 3.0)] + [("w", 1.0, 2.0, 3.0)]
+    got = {r.arm: r.refusal for r in calibration.least_squares(spark.createDataFrame(flat, "arm string, p double, q double, y double"), ["arm"], ["p", "q"], "y").collect()}
+    assert got == {"f": "constant_column", "u": "underidentified", "w": "too_few_rows"}
 
 
 def test_huber_resists_an_outlier(spark):
@@ -84,6 +89,79 @@ def test_huber_resists_an_outlier(spark):
     assert abs(row.slope - 10) < 1
 
 
+def test_huber_takes_the_same_steps_as_a_plain_loop(spark):
+    rng = np.random.default_rng(3)
+    rows = []
+    for k in "ab":
+        for x in rng.uniform(0, 5, 30):
+            y = 7 + 300 * x + rng.normal(0, 80) + (4000 if rng.random() < 0.1 else 0)
+            rows.append((k, float(x), float(y - 20), float(y + 20), 400.0))
+    got = {r.k: r for r in calibration.huber(spark.createDataFrame(rows, "k string, x double, lo double, hi double, resolution double"), ["k"]).collect()}
+    for k in "ab":
+        own = [r for r in rows if r[0] == k]
+        x, mid = np.array([r[1] for r in own]), np.array([(r[2] + r[3]) / 2 for r in own])
+        slope = float(np.median(pair_slopes(x, mid)))
+        intercept = float(np.median(mid - slope * x))
+        mean = sum(x) / len(x)
+        rate = min(max(1 / (1 + sum((v - mean) ** 2 for v in x) / len(x) + mean**2), 1e-5), 0.5) / len(x)
+        for _ in range(100):
+            pull = []
+            for (_, v, lo, hi, _), _ in zip(own, x, strict=True):
+                y = intercept + slope * v
+                off = y - lo if y < lo else y - hi if y > hi else 0.0
+                pull.append(off if abs(off) <= 200 else 200 * np.sign(off))
+            a, b = rate * sum(pull), rate * sum(p * v for p, v in zip(pull, x, strict=True))
+            intercept, slope = intercept - a, slope - b
+            if abs(a) < 1e-6 and abs(b) < 1e-7:
+                break
+        assert got[k].slope == pytest.approx(slope, rel=1e-9) and got[k].intercept == pytest.approx(intercept, rel=1e-9)
+
+
+def test_patterns_of_residuals(spark):
+    runs = {"up": [1, 2, 3], "down": [-1, -2, -3, -4], "short": [5, 5], "alternating": [5, -5, 5, -5], "alternating_off": [9, -1, 9, -1], "step": [0, 0, 100, 100], "step_up": [1, 1, 100, 100], "none": [0, 1, 0, 1, 0], "zeros": [0, 0, 0, 0]}
+    rows = [(k, i, v) for k, vs in runs.items() for i, v in enumerate(vs)]
+    got = {r.k: r.patterns for r in reconcile.residual_patterns(spark.createDataFrame(rows, "k string, i int, residual bigint"), ["k"], "i").collect()}
+    assert got == {"up": ["persistently_positive"], "down": ["persistently_negative"], "short": [], "alternating": ["alternating_net_zero"], "alternating_off": [], "step": ["step_change"], "step_up": ["persistently_positive", "step_change"], "none": [], "zeros": []}
+
+
+MINUTE = 60 * 10**9
+
+
+def _report(spark, minutes, policies=((0, 5),), attempts=(), resets=(), held=()):
+    """The coverage of one account over so many minutes. policies: (at, cadence); attempts: (at, finished, observed); all in minutes."""
+    table = lambda rows, schema: spark.createDataFrame([(1, *(int(x * MINUTE) if isinstance(x, (int, float)) and not isinstance(x, bool) else x for x in r)) for r in rows], f"account int, {schema}")
+    out = coverage.report(table(policies, "ts bigint, cadence bigint"), table(attempts, "ts bigint, finished boolean, observed boolean"), table(held, "start bigint, end bigint"), table([(r,) for r in resets], "ts bigint"), 0, minutes * MINUTE).collect()
+    return out[0].asDict() if out else None
+
+
+def test_coverage_scenarios(spark):
+    tries = lambda n, seen=False, first=0: [(first + 5 * i, True, seen) for i in range(n)]
+    r = _report(spark, 60)
+    assert (r["expected"], r["attempted"], r["attempt_ppm"], r["measured_ppm"], r["no_attempt"]) == (12, 0, 0, None, 60 * MINUTE)
+    r = _report(spark, 60, attempts=tries(12))
+    assert (r["attempted"], r["observed"], r["attempt_ppm"], r["measured_ppm"]) == (12, 0, 1_000_000, 0)
+    r = _report(spark, 60, attempts=[(5 * i, True, i % 2 == 1) for i in range(1, 7)])
+    assert (r["attempt_ppm"], r["measured_ppm"]) == (500_000, 500_000)
+    r = _report(spark, 120, attempts=tries(1, True))
+    assert r["no_attempt"] == 120 * MINUTE
+    r = _report(spark, 60, attempts=[(5, True, True), (10, False, False), (15, True, True)])
+    assert (r["attempted"], r["unfinished"], r["observed"], r["measured_ppm"]) == (3, 1, 2, 1_000_000)
+    r = _report(spark, 60, attempts=[(5, True, True)], resets=[33])
+    assert r["severe"] == 1
+    assert _report(spark, 60, attempts=tries(12) + [(27, True, False)], resets=[30])["severe"] == 0
+    r = _report(spark, 60, attempts=tries(12) + [(27, True, False)])
+    assert (r["expected"], r["attempted"], r["attempt_ppm"]) == (12, 13, 1_000_000)
+    assert _report(spark, 60, policies=[(0, 5), (30, 15)])["expected"] == 8
+    r = _report(spark, 60, policies=[(30, 5)], attempts=[(10, True, True), (40, True, True)])
+    assert (r["expected"], r["attempted"], r["no_attempt"]) == (6, 2, 20 * MINUTE)
+    r = _report(spark, 60, policies=[], attempts=tries(1))
+    assert (r["expected"], r["attempt_ppm"], r["no_attempt"]) == (None, None, 60 * MINUTE)
+    r = _report(spark, 60, held=[(0, 60)])
+    assert (r["expected"], r["attempt_ppm"]) == (0, None)
+    r = _report(spark, 60, attempts=[(20, True, True)], resets=[20, 20.05])
+    assert r["severe"] == 2
+
+
 def test_all_reasons_reports_every_failure(spark):
     (row,) = spark.range(1).select(calibration.all_reasons((F.lit(False), "x"), (F.lit(True), "y"), (F.lit(None).cast("boolean"), "z")).alias("r")).collect()
     assert row.r == ["x", "z"]

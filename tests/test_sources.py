@@ -125,8 +125,11 @@ def test_contended_claims(spark):
 def test_ancestors_in_cycles(spark):
     s = spark.createDataFrame([(1, 2), (2, 1), (3, 4), (4, None), (5, 3)], "session int, parent int")
     m = spark.createDataFrame([(4,)], "session int")
-    got = {r.session: (r.ancestor, r.depth) for r in attribution.governing_ancestor(s, m, depth=6).collect()}
+    got = {r.session: (r.ancestor, r.depth) for r in attribution.governing_ancestor(s, m).collect()}
     assert got == {1: (None, None), 2: (None, None), 3: (4, 1), 4: (4, 0), 5: (4, 2)}
+    chain = spark.createDataFrame([("x", i, i + 1) for i in range(90)] + [("y", 90, None)], "space string, session int, parent int")
+    got = {(r.space, r.session): (r.ancestor, r.depth) for r in attribution.governing_ancestor(chain, spark.createDataFrame([("x", 90), ("y", 7)], "space string, session int"), ["space"]).collect()}
+    assert got["x", 0] == (90, 90) and got["x", 89] == (90, 1) and got["y", 90] == (None, None)
 
 
 def test_messages_of_a_database(spark, tmp_path):
