@@ -36,8 +36,8 @@ SHINGLE, PERCENT = 5, 75
 BANDS, ROWS = 32, 4
 #: Of 128 signature bits, classes of similarity 0.75 differ in 16 on average; chances that they differ in more than these are 3 in 10**9, far below those that all bands miss.
 MOST_BITS = 40
-#: Texts that one task compares with the same pivot, at most.
-PIVOT_TEXTS = 256
+#: Texts that one task compares with the same pivot, about, and the numbers by which a pivot's pairs are spread before that.
+PIVOT_TEXTS, SALTS = 256, 64
 #: Classes of a bucket that make a block of the second pass, and the shingles in them, at most about.
 BLOCK, BLOCK_SHINGLES = 500, 2_000_000
 MAX_CHARS = 1_000_000
@@ -238,12 +238,17 @@ def _confirm(batches):
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """pairs(node, pivot) whose texts are similar, as (a, b). texts has (node, text), one for each node.
 
-    A pivot's pairs are dealt out in parts of PIVOT_TEXTS about, each of which
-    gets a copy of the pivot's text; a task keeps one pivot's set at a time.
+    The pairs of a pivot that has more than PIVOT_TEXTS are dealt out in parts
+    of about so many, each of which gets a copy of the pivot's text; a task
+    keeps one pivot's words at a time. How many parts there are is looked up by
+    pivot and one of SALTS numbers, so that a pivot's pairs don't meet for it.
     """
-    sized = pairs.groupBy("pivot").agg(F.ceil(F.count("*") / PIVOT_TEXTS).cast("int").alias("parts"))
-    members = pairs.join(sized, "pivot").select("node", "pivot", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part"))
-    leads = sized.select(F.col("pivot").alias("node"), "pivot", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    salt = F.pmod(F.xxhash64("node", F.lit(1)), F.lit(SALTS)).cast("int")
+    full = pairs.groupBy("pivot").count().where(F.col("count") > PIVOT_TEXTS).select("pivot", F.ceil(F.col("count") / PIVOT_TEXTS).cast("int").alias("parts"))
+    spread = full.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    members = pairs.withColumn("salt", salt).join(spread, ["pivot", "salt"], "left").select("node", "pivot", F.pmod(F.xxhash64("node"), F.coalesce("parts", F.lit(1))).cast("int").alias("part"))
+    sized = pairs.select("pivot").distinct().join(full, "pivot", "left")
+    leads = sized.select(F.col("pivot").alias("node"), "pivot", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part"))
     rows = members.union(leads).join(texts, "node")
     dealt = rows.repartition("pivot", "part").sortWithinPartitions("pivot", "part", F.col("node") != F.col("pivot"))
     return dealt.select("pivot", "part", "node", "text").mapInArrow(_confirm, "a bigint, b bigint")
