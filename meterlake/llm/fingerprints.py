@@ -1,9 +1,9 @@
 """Document fingerprints: one-permutation MinHash with optimal densification.
 
 A text's distinct 5-word shingles are hashed once. A hash's high bits name its
-bin, and each bin keeps its least hash. An empty bin copies from the filled bin
-that a hash of (empty bin, filled bin) ranks first, which is the bin that
-uniform probing would meet first. Of each bin the low 4 bits are kept, as one
+bin, and each bin keeps its least hash. An empty bin tries the others in an
+order of its own, a permutation drawn from a hash of its number, and copies
+from the first filled one. Of each bin the low 4 bits are kept, as one
 hexadecimal digit; likeness corrects for digits that agree by chance.
 
 All of it is DataFrame functions: no Python runs on the executors.
@@ -35,16 +35,20 @@ def _bin(h: Column) -> Column:
 
 def _shingles(hashes: Column) -> Column:
     n = F.size(hashes)
-    some = F.transform(F.sequence(F.lit(1), F.greatest(n - (SHINGLE - 1), F.lit(1))), lambda i: F.xxhash64(F.slice(hashes, i, SHINGLE)))
-    return F.when(n > 0, some).otherwise(F.array().cast("array<bigint>"))
+    five = F.transform(F.sequence(F.lit(0), F.greatest(n - SHINGLE, F.lit(0))), lambda i: F.xxhash64(*[F.get(hashes, i + k) for k in range(SHINGLE)]))
+    return F.when(n >= SHINGLE, five).when(n > 0, F.array(F.xxhash64(hashes))).otherwise(F.array().cast("array<bigint>"))
 
 
 def _pack(firsts: Column) -> Column:
     """The least hash of each filled bin, to one digit for each of BINS bins."""
-    digit = lambda h: F.substring(F.lit("0123456789abcdef"), (h.bitwiseAND(F.lit((1 << LOW_BITS) - 1)) + 1).cast("int"), F.lit(1))
-    borrowed = lambda i: F.array_min(F.transform(firsts, lambda h: F.struct(F.xxhash64(i, _bin(h)).alias("rank"), digit(h).alias("digit"))))["digit"]
-    own = F.map_from_arrays(F.transform(firsts, lambda h: _bin(h).cast("int")), F.transform(firsts, digit))
-    return let(own, lambda m: F.array_join(F.transform(F.sequence(F.lit(0), F.lit(BINS - 1)), lambda i: F.coalesce(F.try_element_at(m, i), borrowed(i))), ""))
+    low = lambda x, bits: F.shiftright(x, bits).bitwiseAND(F.lit(BINS - 1))
+    every = F.sequence(F.lit(0), F.lit(BINS - 1))
+    digits = F.map_from_arrays(F.transform(firsts, lambda h: _bin(h).cast("int")), F.transform(firsts, lambda h: F.substring(F.lit("0123456789abcdef"), (h.bitwiseAND(F.lit((1 << LOW_BITS) - 1)) + 1).cast("int"), F.lit(1))))
+    # Exclusive or, an odd factor and a shift each permute the numbers below BINS.
+    tried = lambda t, h: F.pmod(t.bitwiseXOR(low(h, 0)) * low(h, BIN_BITS).bitwiseOR(F.lit(1)) + low(h, 2 * BIN_BITS), F.lit(BINS)).cast("int")
+    borrowed = lambda slots, i: let(F.xxhash64(i), lambda h: F.aggregate(every, F.lit(None).cast("string"), lambda found, t: F.coalesce(found, F.get(slots, tried(t.cast("bigint"), h)))))
+    filled = lambda slots: F.array_join(F.transform(every, lambda i: F.coalesce(F.get(slots, i), borrowed(slots, i))), "")
+    return let(let(digits, lambda m: F.transform(every, lambda i: F.try_element_at(m, i))), filled)
 
 
 def fingerprint(text: Column) -> Column:
@@ -54,7 +58,7 @@ def fingerprint(text: Column) -> Column:
     Fewer than five words make one shingle.
     """
     words = F.filter(F.split(F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    firsts = lambda s: F.filter(s, lambda h, i: (i == 0) | (_bin(h) != _bin(F.element_at(s, F.greatest(i, F.lit(1))))))
+    firsts = lambda s: F.filter(s, lambda h, i: F.coalesce(_bin(h) != _bin(F.get(s, i - 1)), F.lit(True)))
     return let(
         F.transform(words, lambda w: F.xxhash64(w)),
         lambda hashes: let(

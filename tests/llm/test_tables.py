@@ -9,6 +9,7 @@ from collections import defaultdict
 import duckdb
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from meterlake.llm.embeddings import cell_keys, decode, lattice, roots, similar_vectors
@@ -274,6 +275,43 @@ def test_edits(sample, edge, none, clashing):
         assert 0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1 and len(r["fingerprint"]) in (0, BINS)
 
 
+def plain_fingerprint(text):
+    """One permutation, one bin after the other. xxhash's seed 42 and chaining are those of Spark's function."""
+    words = [w for w in re.split(r"[\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or "")) if w]
+    if not words:
+        return ""
+    hashes = [xxhash.xxh64_intdigest(w.encode(), 42) for w in words]
+    least = {}
+    for i in range(max(1, len(words) - 4)):
+        h = 42
+        for x in hashes[i : i + 5]:
+            h = xxhash.xxh64_intdigest(x.to_bytes(8, "little"), h)
+        signed = h - (1 << 64) if h >> 63 else h
+        least[h >> 57] = min(least.get(h >> 57, signed), signed)
+    out = ""
+    for i in range(BINS):
+        h = xxhash.xxh64_intdigest(i.to_bytes(4, "little"), 42)
+        order = [i] + [((t ^ h & 127) * (h >> 7 & 127 | 1) + (h >> 14 & 127)) % BINS for t in range(BINS)]
+        assert sorted(order[1:]) == list(range(BINS))
+        out += f"{least[next(j for j in order if j in least)] & 15:x}"
+    return out
+
+
+def test_fingerprints_against_plain_code(spark, sample, edge):
+    for df in (sample, edge):
+        rows = df.select("text", fingerprint(F.coalesce("text", F.lit(""))).alias("fp")).collect()
+        assert all(r["fp"] == plain_fingerprint(r["text"]) for r in rows)
+    got = fingerprint_report(sample).collect()
+    texts = {r["doc_id"]: r["text"] for r in sample.collect()}
+    ids = sorted(texts, reverse=True)
+    follows = dict(zip(ids, ids[1:] + ids[:1], strict=True))
+    for r in got:
+        a, b = plain_fingerprint(texts[r["doc_id"]]), plain_fingerprint(texts[follows[r["doc_id"]]])
+        same = sum(x == y for x, y in zip(a, b, strict=False)) / BINS
+        want = 1.0 if a == b else 0.0 if "" in (a, b) else max(0.0, (same - 1 / 16) / (15 / 16))
+        assert r["near_next"] == pytest.approx(want)
+
+
 def test_likeness(spark):
     """Estimates lie near the exact similarity and average out to it."""
     rng = random.Random(3)
