@@ -10,9 +10,9 @@ found: a pair that meets in several cells counts in the first of them only, so
 no pairs are written; a cell's connected classes leave as one label each.
 Cells of many entries are cut in blocks, and each pair of blocks is a group.
 
-Cells get finer as vectors get more, so that the share of all pairs that meet
-falls with the square root of their number; tables are added until a pair at
-the threshold is found as often as RECALL says.
+Cells get finer as vectors get more, so that the share of random pairs that meet
+in a table falls with the square root of their number; tables are added until a
+pair at the threshold is found as often as RECALL says.
 """
 
 from __future__ import annotations
