@@ -7,9 +7,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.clock import DAY
 from ..functions.exact import share_ppm
 from ..sources.staging import staged
-from .timeline import asof
+from .timeline import asof, asof_by_bins
+
+#: The last of the five classes of account evidence (fixed values): launcher or hook, provider identity, credential mapping, inference from time, none.
+NO_EVIDENCE = 5
 
 
 def attribute_accounts(usage: DataFrame, markers: DataFrame) -> DataFrame:
@@ -24,33 +28,41 @@ def attribute_accounts(usage: DataFrame, markers: DataFrame) -> DataFrame:
     return out.withColumn("account", F.coalesce("account", F.lit("unknown-account")))
 
 
-def boundaries(claims: DataFrame) -> DataFrame:
-    """(session, ts, claimed array, released array): what happens at each instant of a timeline; other kinds of events are left out."""
+def boundaries(claims: DataFrame, by: Sequence[str] = ("session",)) -> DataFrame:
+    """(by, ts, claimed array, released array): what happens at each instant of a timeline; other kinds of events are left out."""
     known = claims.where(F.col("kind").isin("claim", "release"))
-    return known.groupBy("session", "ts").agg(
+    return known.groupBy(*by, "ts").agg(
         F.array_sort(F.collect_set(F.when(F.col("kind") == "claim", F.col("task")))).alias("claimed"),
         F.array_sort(F.collect_set(F.when(F.col("kind") == "release", F.col("task")))).alias("released"),
     )
 
 
-def attribute_tasks(usage: DataFrame, claims: DataFrame, unmapped: Column | None = None, tracker: bool = True) -> DataFrame:
+#: What a timeline says where no claim of its own is open; only then may another one speak.
+UNCOVERED = ("before_first_claim", "after_release_with_no_next_claim", "unclaimed_session")
+
+
+def attribute_tasks(usage: DataFrame, claims: DataFrame, unmapped: Column | None = None, tracker: bool = True, shared: bool = False, width: int = DAY) -> DataFrame:
     """usage plus bucket: the task claimed when it happened, or why there is none.
 
     Releases of an instant apply before its claims. Several tasks claimed at one
     instant are contended until a later single claim; releasing doesn't end
-    that.
+    that. A shared timeline holds for all sessions; it is cut in bins of `width`,
+    so that no task has to sort all usage.
     """
-    marks = boundaries(claims)
-    claimed = marks.where(F.size("claimed") > 0).select("session", "ts", F.col("ts").alias("claim_ts"), "claimed")
-    first = marks.groupBy("session").agg(F.min("ts").alias("first_ts"))
-    at = asof(usage, claimed, ["session"], "ts", ["claim_ts", "claimed"]).withColumn("task", F.when(F.size("claimed") == 1, F.element_at("claimed", 1)))
-    released = claims.where(F.col("kind") == "release").select("session", F.col("task").alias("of"), "ts", F.col("ts").alias("release_ts"))
+    by = [] if shared else ["session"]
+    at_or_before = (lambda *a: asof_by_bins(*a, width)) if shared else asof
+    marks = boundaries(claims, by)
+    claimed = marks.where(F.size("claimed") > 0).select(*by, "ts", F.col("ts").alias("claim_ts"), "claimed")
+    first = marks.groupBy(*by).agg(F.min("ts").alias("first_ts"))
+    at = at_or_before(usage, claimed, by, "ts", ["claim_ts", "claimed"]).withColumn("task", F.when(F.size("claimed") == 1, F.element_at("claimed", 1)))
+    released = claims.where(F.col("kind") == "release").select(*by, F.col("task").alias("of"), "ts", F.col("ts").alias("release_ts"))
     keyed = at.withColumn("of", F.coalesce("task", F.lit("")))
-    done = asof(keyed, released, ["session", "of"], "ts", ["release_ts"]).drop("of")
-    joined = done.join(first, "session", "left")
+    done = at_or_before(keyed, released, [*by, "of"], "ts", ["release_ts"]).drop("of")
+    joined = done.join(F.broadcast(first)) if shared else done.join(first, "session", "left")
     bucket = (
         F.when(F.lit(False) if unmapped is None else unmapped, "unmapped_session")
-        .when(F.col("first_ts").isNull(), "unclaimed_session" if tracker else "tracker_unavailable")
+        .when(F.lit(not tracker) & F.col("first_ts").isNull(), "tracker_unavailable")
+        .when(F.col("first_ts").isNull(), "unclaimed_session")
         .when(F.col("ts") < F.col("first_ts"), "before_first_claim")
         .when(F.col("claim_ts").isNull(), "after_release_with_no_next_claim")
         .when(F.size("claimed") >= 2, "contended")
@@ -60,6 +72,20 @@ def attribute_tasks(usage: DataFrame, claims: DataFrame, unmapped: Column | None
     return joined.withColumn("bucket", bucket).drop("claim_ts", "claimed", "task", "release_ts", "first_ts")
 
 
+def attribute_overlaid(usage: DataFrame, claims: DataFrame, width: int = DAY) -> DataFrame:
+    """usage plus bucket, by two timelines: a session's own claims, and those that name no session.
+
+    The second one speaks where the first has no claim open, and only if there
+    is any; contention among a session's own claims stands. Usage without a
+    session is unmapped.
+    """
+    own = attribute_tasks(usage, claims.where("session is not null"), F.col("session").isNull())
+    names = claims.where("session is null and kind in ('claim', 'release')")
+    both = attribute_tasks(own.withColumnRenamed("bucket", "own"), names, shared=True, width=width)
+    exist = names.agg((F.count("*") > 0).alias("exist"))
+    return both.join(F.broadcast(exist)).withColumn("bucket", F.when(F.col("own").isin(*UNCOVERED) & F.col("exist"), F.col("bucket")).otherwise(F.col("own"))).drop("own", "exist")
+
+
 def straddles(windows: DataFrame, claims: DataFrame) -> DataFrame:
     """windows(session, start, end) plus ambiguous: whether an end lies beyond the next boundary after its start."""
     marks = claims.where(F.col("kind").isin("claim", "release")).select("session", F.col("ts").alias("mark")).distinct()
@@ -69,11 +95,6 @@ def straddles(windows: DataFrame, claims: DataFrame) -> DataFrame:
     return both.withColumn("next", nxt).where("w is not null").select("w.*", F.coalesce(F.col("w.end") > F.col("next"), F.lit(False)).alias("ambiguous"))
 
 
-def overlay(own: Column, fallback: Column, has_fallback: Column) -> Column:
-    """A session's own bucket, unless that names no task and a fallback timeline exists."""
-    return F.when(own.startswith("task-") | ~has_fallback, own).otherwise(fallback)
-
-
 def sessions_of_actors(actors: DataFrame, sessions: DataFrame, digits: int = 8) -> DataFrame:
     """actors(actor) plus session and state: the one session whose id starts with the actor's trailing digits, by an equi-join on that prefix."""
     prefix = sessions.select(F.lower(F.substring("native_id", 1, digits)).alias("fragment"), "native_id")
@@ -126,16 +147,26 @@ def overlapping_sessions(sessions: DataFrame, width: int, bin_width: int) -> Dat
     return run.groupBy("session").agg((F.max(F.when(F.col("late") == 1, F.col("started"))) - F.max(F.when(F.col("late") == -1, F.col("ended"))) - 1).alias("overlapping"))
 
 
-def attribution_quality(attributed: DataFrame, kinds: Sequence[str], evidence: str, by: Sequence[str] = ()) -> DataFrame:
-    """Tokens of each kind by evidence class, with the attributed part in millionths."""
-    long = attributed.select(*by, evidence, F.col("is_attributed"), F.explode(F.map_from_arrays(F.array(*[F.lit(k) for k in kinds]), F.array(*[F.col(k) for k in kinds]))).alias("kind", "tokens"))
-    out = long.groupBy(*by, "kind", evidence).agg(F.sum("tokens").cast("bigint").alias("tokens"), F.sum(F.when(F.col("is_attributed"), F.col("tokens")).otherwise(0)).cast("bigint").alias("attributed"))
+def attribution_quality(attributed: DataFrame, kinds: Sequence[str], evidence: str, since: int, by: Sequence[str] = ()) -> DataFrame:
+    """(by, scope, kind, class_1 ... class_5, tokens, attributed, attributed_ppm, undated): tokens of each kind by evidence class, over all history and over sessions that started at or after `since`.
+
+    The last class (also null) is no evidence; all others are attributed. Rows
+    without a start can't be placed in the recent scope: they are counted as
+    undated there. All sums are taken in one aggregate, then laid out as rows.
+    """
+    scopes = {"all_history": F.lit(True), "recent": F.coalesce(F.col("started") >= since, F.lit(False))}
+    klass = F.coalesce(F.col(evidence), F.lit(NO_EVIDENCE))
+    of = lambda scope, kind, c: F.coalesce(F.sum(F.when(scopes[scope] & (klass == c), F.col(kind))), F.lit(0)).cast("bigint")
+    rows = [F.struct(F.lit(s).alias("scope"), F.lit(k).alias("kind"), *[of(s, k, c).alias(f"class_{c}") for c in range(1, NO_EVIDENCE + 1)], (F.count_if(F.col("started").isNull()) if s == "recent" else F.lit(0).cast("bigint")).alias("undated")) for s in scopes for k in kinds]
+    out = attributed.groupBy(*by).agg(F.array(*rows).alias("rows")).select(*by, F.inline("rows"))
+    some = sum((F.col(f"class_{c}") for c in range(2, NO_EVIDENCE)), F.col("class_1"))
+    out = out.withColumn("attributed", some).withColumn("tokens", F.col("attributed") + F.col(f"class_{NO_EVIDENCE}"))
     return out.withColumn("attributed_ppm", share_ppm(F.col("attributed"), F.col("tokens")))
 
 
 def breaches(quality: DataFrame, floor_ppm: int) -> DataFrame:
-    """Rows whose attributed part lies below the floor, by cross-multiplication."""
-    return quality.where((F.col("tokens") > 0) & (F.col("attributed") * 1_000_000 < F.lit(floor_ppm) * F.col("tokens")))
+    """Rows whose attributed part lies below the floor, by cross-multiplication; without tokens there is no part."""
+    return quality.where((F.col("tokens") > 0) & (F.col("attributed").cast("decimal(38,0)") * 1_000_000 < F.lit(floor_ppm) * F.col("tokens").cast("decimal(38,0)")))
 
 
 def resolve_axis(votes: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -157,3 +188,9 @@ def task_report(attributed: DataFrame) -> DataFrame:
     out = attributed.groupBy("bucket").agg(F.sum("tokens").cast("bigint").alias("tokens"), F.count("*").alias("events"), F.count_distinct("session").alias("sessions"))
     total = F.lit(attributed.agg(F.sum("tokens").cast("bigint")).first()[0]).cast("bigint")
     return out.withColumn("is_task", F.col("bucket").startswith("task-")).withColumn("share_ppm", share_ppm(F.col("tokens"), total))
+
+
+def task_sessions(attributed: DataFrame, sessions: DataFrame) -> DataFrame:
+    """(bucket, session, run, tokens, events): a task's usage by session, with the run that sessions(session, run) names."""
+    out = attributed.where(F.col("bucket").startswith("task-")).groupBy("bucket", "session").agg(F.sum("tokens").cast("bigint").alias("tokens"), F.count("*").alias("events"))
+    return out.join(sessions.select("session", "run"), "session", "left").select("bucket", "session", "run", "tokens", "events")

@@ -4,9 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.clock import DAY
+from ..functions.exact import floor_div
+
 KINDS = ("input", "output", "cache_read", "cache_write")
 
 
@@ -46,21 +50,57 @@ def payload_digest(*fields: Column) -> Column:
     return F.sha2(F.concat_ws("|", *parts), 256)
 
 
-def pair_quarantine(rows: DataFrame, key: str, digest: str, order: Sequence[str]) -> DataFrame:
+def pair_quarantine(rows: DataFrame, key: str, digest: str, order: Sequence[str], width: int = DAY) -> DataFrame:
     """(key, kept, replays, quarantined) for each heuristic key.
 
     In order, a digest is held; its equals are replays; another digest sends
     both to quarantine and frees the key, so that the next one starts anew.
-    What is held at a round's end is kept. The fold runs over one key's rows.
+    What is held at the end is kept. Rows without a digest are left out.
+
+    A key's rows are cut into bins of `width` of the first order column, which
+    are folded apart as sorted streams. What a bin does depends on what was held
+    before it only in this: nothing or its first digest (as from the start), or
+    another one, which takes the first digest away. Both ways are folded, and
+    the bins' summaries are put together in order.
     """
-    digests = F.transform(F.array_sort(F.collect_list(F.struct(*order, digest))), lambda r: r[digest])
+    keys = [key, "__bin"]
+    runs = rows.where(F.col(digest).isNotNull()).select(key, floor_div(F.col(order[0]), width).alias("__bin"), F.col(digest).alias("__digest"), *[F.col(c).alias(f"__by{i}") for i, c in enumerate(order)])
+    parts = [f"{c}{i}" for i in (0, 1) for c in ("held", "replays", "quarantined")]
+    schema = ", ".join([f"{key} {rows.schema[key].dataType.simpleString()}", "__bin bigint", "first string", *(f"{p} {'string' if p.startswith('held') else 'bigint'}" for p in parts)])
+
+    def step(held, replays, quarantined, d):
+        if held is None:
+            return d, replays, quarantined
+        return (held, replays + 1, quarantined) if held == d else (None, replays, quarantined + 2)
+
+    def fold(batches):
+        now, first, ways, out = None, None, None, None
+        for batch in batches:
+            out = pa.schema([*(batch.schema.field(k) for k in keys), ("first", pa.string()), *((p, pa.string() if p.startswith("held") else pa.int64()) for p in parts)])
+            done = []
+            for *at, d in zip(*(batch.column(c).to_pylist() for c in (*keys, "__digest")), strict=True):
+                if at == now:
+                    ways = [step(*w, d) for w in ways]
+                    continue
+                if now is not None:
+                    done.append((*now, first, *ways[0], *ways[1]))
+                now, first, ways = at, d, [(d, 0, 0), (None, 0, 2)]
+            yield pa.RecordBatch.from_pylist([dict(zip(out.names, r, strict=True)) for r in done], out)
+        if now is not None:
+            yield pa.RecordBatch.from_pylist([dict(zip(out.names, (*now, first, *ways[0], *ways[1]), strict=True))], out)
+
+    bins = runs.repartition(*keys).sortWithinPartitions(*keys, *[f"__by{i}" for i in range(len(order))], "__digest").mapInArrow(fold, schema)
     start = F.struct(F.lit(None).cast("string").alias("held"), F.lit(0).cast("bigint").alias("replays"), F.lit(0).cast("bigint").alias("quarantined"))
-    step = lambda acc, d: (
-        F.when(acc["held"].isNull(), F.struct(d.alias("held"), acc["replays"].alias("replays"), acc["quarantined"].alias("quarantined")))
-        .when(acc["held"] == d, F.struct(acc["held"].alias("held"), (acc["replays"] + 1).alias("replays"), acc["quarantined"].alias("quarantined")))
-        .otherwise(F.struct(F.lit(None).cast("string").alias("held"), acc["replays"].alias("replays"), (acc["quarantined"] + 2).alias("quarantined")))
-    )
-    return rows.groupBy(key).agg(F.aggregate(digests, start, step).alias("s")).select(key, F.col("s.held").isNotNull().alias("kept"), "s.replays", "s.quarantined")
+
+    def join(acc, b):
+        same = acc["held"] == b["first"]
+        as_new = acc["held"].isNull() | same
+        pick = lambda c: F.when(as_new, b[f"{c}0"]).otherwise(b[f"{c}1"])
+        again = F.when(same, 1).otherwise(0)
+        return F.struct(pick("held").alias("held"), (acc["replays"] + pick("replays") + again).alias("replays"), (acc["quarantined"] + pick("quarantined")).alias("quarantined"))
+
+    summaries = F.array_sort(F.collect_list(F.struct("__bin", "first", *parts)))
+    return bins.groupBy(key).agg(F.aggregate(summaries, start, join).alias("s")).select(key, F.col("s.held").isNotNull().alias("kept"), "s.replays", "s.quarantined")
 
 
 def version_drift(rows: DataFrame, running: dict[str, int], parser: str = "parser", version: str = "parser_version") -> DataFrame:

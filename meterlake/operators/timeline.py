@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.exact import floor_div
+
 
 def asof(events: DataFrame, facts: DataFrame, by: Sequence[str], ts: str, keep: Sequence[str], ties: Sequence[Column | str] = (), inclusive: bool = True) -> DataFrame:
     """events plus each kept column of the last fact of the same key at or before (inclusive) the event.
@@ -25,6 +27,22 @@ def asof(events: DataFrame, facts: DataFrame, by: Sequence[str], ts: str, keep:
     return both.where("__event is not null").select(*by, ts, "__event.*", *[F.col(f"__held.{c}").alias(c) for c in keep])
 
 
+def asof_by_bins(events: DataFrame, facts: DataFrame, by: Sequence[str], ts: str, keep: Sequence[str], width: int, ties: Sequence[str] = (), inclusive: bool = True) -> DataFrame:
+    """asof for keys, or none at all, that hold more than one task can sort: bins of time are sorted apart, each with what held when it opened.
+
+    The bins of a key are ordered in one task: as many as time has in `width`.
+    """
+    at = floor_div(F.col(ts), width)
+    mine, theirs = events.withColumn("__bin", at), facts.withColumn("__bin", at).withColumn("__kept", F.struct(*keep))
+    last = theirs.groupBy(*by, "__bin").agg(F.max_by("__kept", F.struct(ts, *ties)).alias("__opening"))
+    opened = asof(mine.select(*by, "__bin").distinct().withColumn("__row", F.lit(1)), last, by, "__bin", ["__opening"], inclusive=False).drop("__row")
+    inside = asof(mine, theirs, [*by, "__bin"], ts, ["__kept"], ties, inclusive)
+    a, b = inside.alias("a"), opened.alias("b")
+    held = F.coalesce("a.__kept", "b.__opening")
+    joined = a.join(b, [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in (*by, "__bin")], "left")
+    return joined.select(*[F.col(f"a.{c}") for c in events.columns], *[held[c].alias(c) for c in keep])
+
+
 def gaps(rows: DataFrame, by: Sequence[str], ts: str, start: int, end: int, keys: DataFrame | None = None) -> DataFrame:
     """(by, previous, ts, gap) over [start, end): from start to each key's first instant, between its instants, and from the last to end. keys names those that may have no instant and so one gap."""
     inside = rows.where((F.col(ts) >= start) & (F.col(ts) < end)).select(*by, F.col(ts).cast("bigint").alias(ts))

@@ -72,7 +72,12 @@ def dd3(spark, sf_dir):
     return t.occurrences(spark, sf_dir).select("native_id", dedup.payload_digest(F.col("input"), F.col("cache_read"), F.col("l_returnflag")).alias("digest"))
 
 
-@query("DD-4_pair_quarantine")
+@query(
+    "DD-4_pair_quarantine",
+    f"""WITH {t.OCC_SQL}, d AS (SELECT l_suppkey || '|' || input AS hkey, sha256(concat_ws('|', len(cache_read::VARCHAR) || ':' || cache_read, len(cache_write::VARCHAR) || ':' || cache_write)) AS digest, ts, l_partkey, output FROM occ),
+r AS (SELECT hkey, list_reduce(list({{'held': digest, 'r': 0, 'q': 0}} ORDER BY ts, l_partkey, output, digest), lambda a, x: CASE WHEN a.held IS NULL THEN {{'held': x.held, 'r': a.r, 'q': a.q}} WHEN a.held = x.held THEN {{'held': a.held, 'r': a.r + 1, 'q': a.q}} ELSE {{'held': NULL, 'r': a.r, 'q': a.q + 2}} END) AS s FROM d GROUP BY hkey)
+SELECT hkey, s.held IS NOT NULL AS kept, s.r::BIGINT AS replays, s.q::BIGINT AS quarantined FROM r""",
+)
 def dd4(spark, sf_dir):
     rows = t.occurrences(spark, sf_dir).withColumn("hkey", F.concat_ws("|", F.col("l_suppkey").cast("string"), F.col("input").cast("string"))).withColumn("digest", dedup.payload_digest(F.col("cache_read"), F.col("cache_write")))
     return dedup.pair_quarantine(rows, "hkey", "digest", ["ts", "l_partkey", "output"])

@@ -57,25 +57,61 @@ def jn7_windows(spark, sf_dir):
     return a.straddles(w, t.claims(spark, sf_dir)).select("event_id", "ambiguous")
 
 
+#: A third of the claims name no session: they are the timeline that sessions fall back on.
+OVERLAY_SQL = TASK_SQL.replace(t.CLAIM_SQL, t.CLAIM_SQL.replace("claim AS (SELECT user_id AS session", "claim AS (SELECT CASE WHEN event_id % 3 <> 0 THEN user_id END AS session"))
+OVERLAY_SQL = f"""{OVERLAY_SQL},
+smark AS (SELECT ts, list_sort(list(DISTINCT task) FILTER (WHERE kind = 'claim')) AS claimed FROM claim WHERE session IS NULL GROUP BY ts),
+scl AS (SELECT ts AS claim_ts, claimed FROM smark WHERE len(claimed) > 0),
+s1 AS (SELECT use.event_id, use.ts, scl.claim_ts, scl.claimed FROM use ASOF LEFT JOIN scl ON use.ts >= scl.claim_ts),
+srel AS (SELECT task, ts AS release_ts FROM claim WHERE session IS NULL AND kind = 'release'),
+s2 AS (SELECT s1.*, srel.release_ts FROM s1 ASOF LEFT JOIN srel ON s1.claimed[1] = srel.task AND s1.ts >= srel.release_ts),
+sh AS (SELECT event_id, CASE WHEN ts < first_ts THEN 'before_first_claim' WHEN claim_ts IS NULL THEN 'after_release_with_no_next_claim' WHEN len(claimed) >= 2 THEN 'contended'
+         WHEN release_ts > claim_ts THEN 'after_release_with_no_next_claim' ELSE claimed[1] END AS bucket, first_ts FROM s2, (SELECT min(ts) AS first_ts FROM smark))"""
+
+
 @query(
     "JN-8_claim_overlay",
-    f"WITH {TASK_SQL} SELECT event_id, CASE WHEN bucket LIKE 'task-%' OR session % 3 <> 0 THEN bucket ELSE 'task-fallback' END AS bucket FROM tasked",
+    f"WITH {OVERLAY_SQL} SELECT tasked.event_id, CASE WHEN first_ts IS NOT NULL AND tasked.bucket IN ('before_first_claim', 'after_release_with_no_next_claim', 'unclaimed_session') THEN sh.bucket ELSE tasked.bucket END AS bucket FROM tasked JOIN sh USING (event_id)",
 )
 def jn8(spark, sf_dir):
-    return tasks(spark, sf_dir).select("event_id", a.overlay(F.col("bucket"), F.lit("task-fallback"), F.col("session") % 3 == 0).alias("bucket"))
+    claims = t.claims(spark, sf_dir).withColumn("session", F.when(F.col("claim") % 3 != 0, F.col("session")))
+    return a.attribute_overlaid(t.usage(spark, sf_dir), claims).select("event_id", "bucket")
+
+
+#: Four kinds of tokens out of an event's two numbers, and when its session started.
+KINDS = ("input", "output", "cache_read", "cache_write")
+KIND_SQL = f"""{ACCOUNT_SQL},
+st AS (SELECT user_id AS session, min(ts) FILTER (WHERE event_type = 'signup') AS started FROM ev GROUP BY 1),
+q AS (SELECT acc.session, coalesce(acc.rank, 5) AS rank, st.started, tokens AS input, tokens // 3 AS output, ev.k * 10 AS cache_read, ev.k % 7 AS cache_write FROM acc JOIN ev USING (event_id) LEFT JOIN st ON st.session = acc.session),
+l AS (SELECT session, rank, started, unnest([{", ".join(f"'{k}'" for k in KINDS)}]) AS kind, unnest([{", ".join(KINDS)}]) AS tokens FROM q),
+sc AS (SELECT 'all_history' AS scope, * FROM l UNION ALL SELECT 'recent', * FROM l WHERE started >= 1704412800000000000),
+grid AS (SELECT scope, kind FROM (VALUES ('all_history'), ('recent')) s(scope), (SELECT DISTINCT kind FROM l))"""
+
+
+def evidence(spark, sf_dir):
+    ev = t.events(spark, sf_dir)
+    started = ev.groupBy(F.col("user_id").alias("session")).agg(F.min(F.when(F.col("event_type") == "signup", F.col("ts"))).alias("started"))
+    rows = accounts(spark, sf_dir).join(ev.select("event_id", "k"), "event_id").join(started, "session", "left")
+    return rows.select("session", "rank", "started", F.col("tokens").alias("input"), F.expr("tokens div 3").alias("output"), (F.col("k") * 10).alias("cache_read"), (F.col("k") % 7).alias("cache_write"))
 
 
-@query("AG-11_attribution_quality", f"WITH {ACCOUNT_SQL} SELECT coalesce(rank, 0) AS evidence, 'tokens' AS kind, sum(tokens)::BIGINT AS tokens, sum(CASE WHEN account <> 'unknown-account' THEN tokens ELSE 0 END)::BIGINT AS attributed, CASE WHEN sum(tokens) <> 0 THEN ((2 * sum(CASE WHEN account <> 'unknown-account' THEN tokens ELSE 0 END) * 1000000 + sum(tokens)) // (2 * sum(tokens)))::BIGINT END AS attributed_ppm FROM acc GROUP BY 1")
+@query(
+    "AG-11_attribution_quality",
+    f"""WITH {KIND_SQL}, w AS (SELECT scope, kind, {", ".join(f"coalesce(sum(tokens) FILTER (WHERE rank = {c}), 0)::BIGINT AS class_{c}" for c in range(1, 6))} FROM grid LEFT JOIN sc USING (scope, kind) GROUP BY ALL),
+x AS (SELECT *, class_1 + class_2 + class_3 + class_4 AS attributed, class_1 + class_2 + class_3 + class_4 + class_5 AS tokens FROM w)
+SELECT *, CASE WHEN tokens <> 0 THEN ((2 * attributed * 1000000 + tokens) // (2 * tokens))::BIGINT END AS attributed_ppm, CASE WHEN scope = 'recent' THEN (SELECT count(*) FROM q WHERE started IS NULL) ELSE 0 END AS undated FROM x""",
+)
 def ag11(spark, sf_dir):
-    rows = accounts(spark, sf_dir).withColumn("evidence", F.coalesce("rank", F.lit(0))).withColumn("is_attributed", F.col("account") != "unknown-account")
-    return a.attribution_quality(rows, ["tokens"], "evidence")
+    return a.attribution_quality(evidence(spark, sf_dir), KINDS, "rank", 1_704_412_800_000_000_000)
 
 
-@query("AG-11_breaches", f"WITH {ACCOUNT_SQL}, s AS (SELECT session, sum(tokens)::BIGINT AS tokens, sum(CASE WHEN account <> 'unknown-account' THEN tokens ELSE 0 END)::BIGINT AS attributed FROM acc GROUP BY session) SELECT session, tokens, attributed FROM s WHERE tokens > 0 AND attributed * 1000000 < 500000 * tokens")
+@query(
+    "AG-11_breaches",
+    f"WITH {KIND_SQL}, s AS (SELECT session, scope, kind, sum(tokens)::BIGINT AS tokens, sum(CASE WHEN rank < 5 THEN tokens ELSE 0 END)::BIGINT AS attributed FROM sc GROUP BY ALL) SELECT session, scope, kind, tokens, attributed FROM s WHERE tokens > 0 AND attributed * 1000000 < 500000 * tokens",
+)
 def ag11_breaches(spark, sf_dir):
-    rows = accounts(spark, sf_dir)
-    per = rows.groupBy("session").agg(F.sum("tokens").alias("tokens"), F.sum(F.when(F.col("account") != "unknown-account", F.col("tokens")).otherwise(0)).alias("attributed"))
-    return a.breaches(per, 500_000)
+    per = a.attribution_quality(evidence(spark, sf_dir), KINDS, "rank", 1_704_412_800_000_000_000, ["session"])
+    return a.breaches(per, 500_000).select("session", "scope", "kind", "tokens", "attributed")
 
 
 @query("AG-12_evidence_rank", f"WITH {t.EV_SQL}, {t.MARK_SQL} SELECT account, min(rank) AS best, max(rank) AS worst FROM mark GROUP BY account")
@@ -88,6 +124,12 @@ def ag19(spark, sf_dir):
     return a.task_report(tasks(spark, sf_dir))
 
 
+@query("AG-19_task_sessions", f"WITH {TASK_SQL}, s AS (SELECT c_custkey AS session, CASE WHEN c_custkey % 4 <> 0 THEN 'run-' || c_custkey // 10 END AS run FROM customer) SELECT bucket, session, any_value(run) AS run, sum(tokens)::BIGINT AS tokens, count(*) AS events FROM tasked LEFT JOIN s USING (session) WHERE bucket LIKE 'task-%' GROUP BY bucket, session")
+def ag19_sessions(spark, sf_dir):
+    runs = t.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("session"), F.when(F.col("c_custkey") % 4 != 0, F.concat(F.lit("run-"), F.expr("c_custkey div 10").cast("string"))).alias("run"))
+    return a.task_sessions(tasks(spark, sf_dir), runs)
+
+
 @query(
     "JN-12_actor_prefix",
     """WITH s AS (SELECT md5(c_custkey::VARCHAR) AS native_id FROM customer), f AS (SELECT lower(substr(native_id, 1, 3)) AS fragment, count(*) AS n, min(native_id) AS session FROM s GROUP BY 1),

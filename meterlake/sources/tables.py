@@ -104,9 +104,9 @@ MARK_SQL = "mark AS (SELECT user_id AS session, ts, 'acct-' || (k % 5) AS accoun
 
 
 def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(session, ts, task, kind): task claims and releases."""
+    """(claim, session, ts, task, kind): task claims and releases."""
     rows = events(spark, sf_dir, "purchase")
-    return rows.select(F.col("user_id").alias("session"), "ts", F.concat(F.lit("task-"), (F.col("k") % 20).cast("string")).alias("task"), F.when(F.col("event_id") % 2 == 0, "claim").otherwise("release").alias("kind"))
+    return rows.select(F.col("event_id").alias("claim"), F.col("user_id").alias("session"), "ts", F.concat(F.lit("task-"), (F.col("k") % 20).cast("string")).alias("task"), F.when(F.col("event_id") % 2 == 0, "claim").otherwise("release").alias("kind"))
 
 
 CLAIM_SQL = "claim AS (SELECT user_id AS session, ts, 'task-' || (k % 20) AS task, CASE WHEN event_id % 2 = 0 THEN 'claim' ELSE 'release' END AS kind FROM ev WHERE event_type = 'purchase')"

@@ -1,10 +1,12 @@
 """Order-dependent rules, by hand-made rows."""
 
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from meterlake.operators import calibration, coverage, dedup, reconcile, timeline
+from meterlake.operators import attribution, calibration, coverage, dedup, reconcile, timeline
 
 
 def test_identity_dedup_judges_against_the_row_kept_then(spark):
@@ -25,6 +27,20 @@ def test_pair_quarantine_frees_the_key(spark):
     assert (row.kept, row.replays, row.quarantined) == (True, 1, 2)
 
 
+def test_pair_quarantine_in_bins_is_the_plain_fold(spark):
+    rng = random.Random(3)
+    data = [(rng.choice("kl"), rng.randrange(40), i, rng.choice("ABC")) for i in range(300)]
+    want = {}
+    for key, _, _, d in sorted(data):
+        held, replays, pairs, n = want.get(key, (None, 0, 0, 0))
+        want[key] = (d, replays, pairs, n + 1) if held is None else (held, replays + 1, pairs, n + 1) if held == d else (None, replays, pairs + 2, n + 1)
+    rows = spark.createDataFrame([*data, ("k", 1, 999, None)], "key string, ts long, n int, digest string")
+    for width in (1, 7, 1000):
+        got = {r.key: (r.kept, r.replays, r.quarantined) for r in dedup.pair_quarantine(rows, "key", "digest", ["ts", "n"], width).collect()}
+        assert got == {k: (h is not None, r, q) for k, (h, r, q, _) in want.items()}
+    assert dedup.pair_quarantine(rows.limit(0), "key", "digest", ["ts", "n"]).count() == 0
+
+
 def test_rejected_totals_stay_predecessors(spark):
     rows = spark.createDataFrame([(1, i, v) for i, v in enumerate((10, 25, 5, 9))], "s int, ts int, x bigint")
     got = [r.delta_x for r in dedup.cumulative_deltas(rows, ["s"], ["ts"], ["x"]).orderBy("ts").collect()]
@@ -242,3 +258,25 @@ def test_passive_conditions_and_points(spark):
     points = calibration.passive_points(judged, ["a"])
     assert sorted((r.a, r.x, r.y) for r in points.collect()) == [("s", 0.0, 100.0), ("s", 5.0, 200.0), ("s", 10.0, 400.0)]
     assert [r.slope for r in calibration.theil_sen(points, ["a"]).collect()] == [30.0]
+
+
+def test_asof_by_bins_is_asof(spark):
+    rng = random.Random(5)
+    events = spark.createDataFrame([(i, rng.choice("ab"), rng.randrange(100)) for i in range(200)], "id int, a string, ts long")
+    facts = spark.createDataFrame([(rng.choice("ab"), rng.randrange(100), rng.choice([None, i]), i % 3) for i in range(30)], "a string, ts long, what int, tie int")
+    facts = facts.dropDuplicates(["a", "ts", "tie"])
+    for inclusive in (True, False):
+        plain = timeline.asof(events, facts, ["a"], "ts", ["what"], ["tie"], inclusive).select("id", "what").collect()
+        bins = timeline.asof_by_bins(events, facts, ["a"], "ts", ["what"], 7, ["tie"], inclusive).select("id", "what").collect()
+        assert sorted(plain, key=str) == sorted(bins, key=str) and len(bins) == 200
+
+
+def test_overlaid_timelines(spark):
+    """Contention among a session's own claims stands; its gaps fall back, if there is anything to fall back on."""
+    claims = spark.createDataFrame([("s", 10, "task-a", "claim"), ("s", 20, "task-a", "release"), ("s", 30, "task-b", "claim"), ("s", 30, "task-c", "claim"), (None, 5, "task-z", "claim"), (None, 32, "task-z", "release")], "session string, ts long, task string, kind string")
+    usage = spark.createDataFrame([("s", t) for t in (2, 7, 15, 25, 35)] + [("u", 3), ("u", 6), ("u", 40), (None, 15)], "session string, ts long")
+    both = {(r.session, r.ts): r.bucket for r in attribution.attribute_overlaid(usage, claims, width=8).collect()}
+    none, over = "before_first_claim", "after_release_with_no_next_claim"
+    assert both == {("s", 2): none, ("s", 7): "task-z", ("s", 15): "task-a", ("s", 25): "task-z", ("s", 35): "contended", ("u", 3): none, ("u", 6): "task-z", ("u", 40): over, (None, 15): "unmapped_session"}
+    alone = {(r.session, r.ts): r.bucket for r in attribution.attribute_overlaid(usage, claims.where("session is not null")).collect()}
+    assert alone[("s", 2)] == none and alone[("s", 25)] == over and alone[("u", 6)] == "unclaimed_session"
