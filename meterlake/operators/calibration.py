@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.clock import SECOND
 from ..functions.exact import floor_div
 from ..sources.staging import staged
+from .timeline import sums_within
 
 # What settles a plateau.
 POINTS, SPACING, SPAN, UNITS, WITHIN = 3, 300 * SECOND, 600 * SECOND, 0, 3600 * SECOND
@@ -89,6 +90,29 @@ def passive_reasons(intervals: DataFrame) -> DataFrame:
     return checked.withColumn("reasons", all_reasons(*[(F.col(c), reason) for c, reason in PASSIVE_CONDITIONS.items()])).drop("both_sides", "no_reset")
 
 
+def passive_evidence(intervals: DataFrame, by: Sequence[str], usage: DataFrame, sessions: DataFrame, markers: DataFrame, anomalies: DataFrame, mismatches: DataFrame, permits: DataFrame) -> DataFrame:
+    """passive_intervals plus the columns of PASSIVE_CONDITIONS and credits, out of the ledger.
+
+    usage(by, ts, credits, estimated, unknown), markers(by, ts, rank) and
+    mismatches(by, ts) count from an interval's start to its end, both included;
+    sessions(by, a, b), of which it allows one, if they touch it, b null while
+    running; anomalies(by, a, b) if they overlap its inside. permits(by,
+    permitted) is the policy. Evidence of rank 4 and 5 is inferred or none. A
+    series has one plan, and its readings cover the interval.
+    """
+    at, to, one = F.col("start.ts"), F.col("end.ts"), F.lit(1)
+    moment = lambda rows, **sums: rows.select(*by, F.col("ts").alias("a"), F.col("ts").alias("b"), *[c.cast("bigint").alias(n) for n, c in sums.items()])
+    facts = moment(usage, credits=F.col("credits"), estimates=F.col("estimated"), unknowns=F.col("unknown"))
+    for more in (moment(markers, inferred=F.col("rank") >= 4), moment(mismatches, mismatched=one), sessions.select(*by, "a", "b", one.cast("bigint").alias("running"))):
+        facts = facts.unionByName(more, allowMissingColumns=True)
+    found = sums_within(intervals, facts, by, facts.columns[len(by) + 2 :], at, to)
+    found = sums_within(found, anomalies.select(*by, "a", "b", one.alias("anomalous")), by, ["anomalous"], at, to, closed=False)
+    found = found.join(permits.select(*by, "permitted"), list(by), "left")
+    none = {"attributed": "inferred", "exact_usage": "estimates", "known_components": "unknowns", "no_anomaly": "anomalous", "no_mismatch": "mismatched"}
+    held = {c: F.col(n) == 0 for c, n in none.items()} | {"alone": F.col("running") <= 1, "same_tier": F.lit(True), "covered": F.lit(True)}
+    return found.withColumns(held).drop(*none.values(), "running")
+
+
 def passive_points(intervals: DataFrame, by: Sequence[str]) -> DataFrame:
     """passive_reasons(credits) -> (by, x, y) for a fit: the first eligible interval's start at no credits, then each one's end at the credits so far."""
     w = Window.partitionBy(*by).orderBy("start.ts", "start.observation")

@@ -43,6 +43,31 @@ def asof_by_bins(events: DataFrame, facts: DataFrame, by: Sequence[str], ts: str
     return joined.select(*[F.col(f"a.{c}") for c in events.columns], *[held[c].alias(c) for c in keep])
 
 
+def sums_within(intervals: DataFrame, facts: DataFrame, by: Sequence[str], sums: Sequence[str], start: Column, end: Column, closed: bool = True) -> DataFrame:
+    """intervals plus the total of each of `sums` over the facts (by, a, b, sums) of its key that overlap [start, end], or (start, end) if not closed.
+
+    A fact lies in [a, b]; without b it is open-ended. Facts that begin by the
+    interval's end, less those that end before its start: running totals give
+    both, so that no fact is joined with the intervals it lies in. Equal
+    intervals are one.
+    """
+    row = F.struct(*intervals.columns)
+    none = F.lit(None).cast(intervals.select(row).schema[0].dataType)
+    zero = F.lit(0).cast("bigint")
+
+    def mark(at: str, side: str) -> DataFrame:
+        totals = [(F.coalesce(F.col(s).cast("bigint"), zero) if x == side else zero).alias(f"{x}_{s}") for x in ("begun", "ended") for s in sums]
+        return facts.where(F.col(at).isNotNull()).select(*by, F.col(at).alias("__at"), F.lit(1).alias("__turn"), none.alias("__row"), F.lit(None).cast("boolean").alias("__end"), *totals)
+
+    edge = lambda at, is_end: F.struct(at.alias("at"), F.lit(2 if is_end == closed else 0).alias("turn"), F.lit(is_end).alias("end"))
+    asks = intervals.select(*by, row.alias("__row"), F.explode(F.array(edge(end, True), edge(start, False))).alias("e"))
+    asks = asks.select(*by, F.col("e.at").alias("__at"), F.col("e.turn").alias("__turn"), "__row", F.col("e.end").alias("__end"), *[zero.alias(f"{x}_{s}") for x in ("begun", "ended") for s in sums])
+    w = Window.partitionBy(*by).orderBy("__at", "__turn").rowsBetween(Window.unboundedPreceding, 0)
+    rows = mark("a", "begun").union(mark("b", "ended")).union(asks)
+    run = rows.withColumns({f"{x}_{s}": F.sum(f"{x}_{s}").over(w) for x in ("begun", "ended") for s in sums}).where("__row is not null")
+    return run.groupBy("__row").agg(*[(F.max(F.when(F.col("__end"), F.col(f"begun_{s}"))) - F.max(F.when(~F.col("__end"), F.col(f"ended_{s}")))).alias(s) for s in sums]).select("__row.*", *sums)
+
+
 def gaps(rows: DataFrame, by: Sequence[str], ts: str, start: int, end: int, keys: DataFrame | None = None) -> DataFrame:
     """(by, previous, ts, gap) over [start, end): from start to each key's first instant, between its instants, and from the last to end. keys names those that may have no instant and so one gap."""
     inside = rows.where((F.col(ts) >= start) & (F.col(ts) < end)).select(*by, F.col(ts).cast("bigint").alias(ts))

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import globs
-from ..operators import advice, doctor, meter, reconcile
+from ..operators import calibration, doctor, meter, reconcile
 from ..sources import tables as t
 from .ledger import FULL_SQL, ledger
 from .meters import A_SQL, M_SQL, NOW
@@ -133,12 +133,57 @@ def sl3(spark, sf_dir):
     return t.meter(spark, sf_dir).withColumn("nth", F.row_number().over(w)).where("nth <= 5").select("account", "observation")
 
 
-@query("ML-8_passive_candidates", f"WITH {M_SQL}, p AS (SELECT account, observation, ts, used_ppm, lag(used_ppm) OVER (PARTITION BY account ORDER BY ts) AS before, lag(ts) OVER (PARTITION BY account ORDER BY ts) AS since FROM meter) SELECT observation, concat_ws(',', CASE WHEN NOT (used_ppm > before) THEN 'no_rise' END, CASE WHEN NOT (ts - since <= 259200000000000) THEN 'too_long' END, CASE WHEN NOT (ts // 86400000000000 = since // 86400000000000) THEN 'spans_reset' END, 'unsettled') AS reasons FROM p WHERE before IS NOT NULL")
+HOUR = 3_600_000_000_000
+#: Readings lie days apart in the sample tables, so plateaus may be wide there.
+PLATEAU = {"units": 12, "within": 480 * HOUR}
+PASSIVE_SQL = f"""{M_SQL},
+o AS (SELECT *, CASE WHEN observation % 6 = 0 THEN ts - {HOUR} END AS resets_at, ts - lag(ts) OVER (PARTITION BY account ORDER BY ts) AS gap FROM meter),
+f AS (SELECT *, count(*) OVER w AS n, ts - min(ts) OVER w AS span, max(used_ppm) OVER w - min(used_ppm) OVER w AS spread, min(gap) OVER (PARTITION BY account ORDER BY ts ROWS BETWEEN 1 PRECEDING AND CURRENT ROW) AS least FROM o WINDOW w AS (PARTITION BY account ORDER BY ts ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)),
+g AS (SELECT *, n = 3 AND least >= 300000000000 AND span >= 600000000000 AND span <= {480 * HOUR} AND spread <= 12 * 2500 AS ok FROM f),
+h AS (SELECT *, count(*) FILTER (WHERE ok) OVER (PARTITION BY account) >= 2 AS settled FROM g),
+e AS (SELECT account, settled, observation AS first, ts AS a, used_ppm AS u, lead(observation) OVER w AS last, lead(ts) OVER w AS b, lead(used_ppm) OVER w AS v FROM h WHERE ok OR NOT settled WINDOW w AS (PARTITION BY account ORDER BY ts, observation)),
+i AS (SELECT * FROM e WHERE b IS NOT NULL),
+rs AS (SELECT i.account, i.first, bool_or(o.resets_at > a AND o.resets_at < b) AS named FROM i JOIN o ON o.account = i.account AND o.ts BETWEEN a AND b GROUP BY ALL),
+us AS (SELECT i.account, i.first, sum(amount) AS credits, count(*) FILTER (WHERE k % 17 = 0) AS est, count(*) FILTER (WHERE k % 19 = 0) AS unk FROM i JOIN ev ON user_id = account AND event_type = 'click' AND ts BETWEEN a AND b GROUP BY ALL),
+mk AS (SELECT i.account, i.first, count(*) AS inferred FROM i JOIN ev ON user_id = account AND event_type = 'signup' AND k % 5 >= 3 AND ts BETWEEN a AND b GROUP BY ALL),
+ss AS (SELECT i.account, i.first, count(*) AS running FROM i JOIN ev ON user_id = account AND event_type = 'purchase' AND ts <= b AND (k % 23 = 0 OR ts + {12 * HOUR} >= a) GROUP BY ALL),
+an AS (SELECT i.account, i.first, count(*) FILTER (WHERE k % 4 = 0 AND ts < b AND ts + {6 * HOUR} > a) AS anomalies, count(*) FILTER (WHERE k % 11 = 0 AND ts BETWEEN a AND b) AS mismatches FROM i JOIN ev ON user_id = account AND event_type = 'error' GROUP BY ALL),
+x AS (SELECT i.*, coalesce(credits, 0)::BIGINT AS credits, coalesce(named, false) OR v < u - 2500 AS reset_inside,
+        concat_ws(',', CASE WHEN inferred > 0 THEN 'high_confidence_account_attribution' END, CASE WHEN named OR v < u - 2500 THEN 'no_reset_inside' END, CASE WHEN est > 0 THEN 'exact_contributing_usage' END,
+          CASE WHEN unk > 0 THEN 'no_unknown_token_components' END, CASE WHEN running > 1 THEN 'no_second_local_session_or_consumer' END, CASE WHEN i.account % 5 = 0 THEN 'exclusivity_policy_permits_passive' END,
+          CASE WHEN NOT settled THEN 'server_side_settlement_satisfied' END, CASE WHEN anomalies > 0 THEN 'meter_window_anomaly' END, CASE WHEN mismatches > 0 THEN 'external_validation_mismatch' END) AS reasons
+      FROM i LEFT JOIN rs USING (account, first) LEFT JOIN us USING (account, first) LEFT JOIN mk USING (account, first) LEFT JOIN ss USING (account, first) LEFT JOIN an USING (account, first))"""
+
+
+def passive(spark, sf_dir):
+    k, ts, by = F.col("k"), F.col("ts"), F.col("user_id").alias("account")
+    of = lambda kind: t.events(spark, sf_dir, kind)
+    readings = t.meter(spark, sf_dir).withColumns({"resolution": F.lit(2500), "resets_at": F.when(F.col("observation") % 6 == 0, ts - HOUR)})
+    usage = of("click").select(by, "ts", F.col("amount").alias("credits"), (k % 17 == 0).alias("estimated"), (k % 19 == 0).alias("unknown"))
+    sessions = of("purchase").select(by, ts.alias("a"), F.when(k % 23 != 0, ts + 12 * HOUR).alias("b"))
+    markers = of("signup").select(by, "ts", (1 + k % 5).alias("rank"))
+    anomalies = of("error").where(k % 4 == 0).select(by, ts.alias("a"), (ts + 6 * HOUR).alias("b"))
+    mismatches = of("error").where(k % 11 == 0).select(by, "ts")
+    permits = readings.select("account").distinct().withColumn("permitted", F.col("account") % 5 != 0)
+    intervals = calibration.passive_intervals(readings, ["account"], **PLATEAU)
+    return calibration.passive_reasons(calibration.passive_evidence(intervals, ["account"], usage, sessions, markers, anomalies, mismatches, permits))
+
+
+@query("ML-8_passive_candidates", f"WITH {PASSIVE_SQL} SELECT account, first, last, settled, reset_inside, credits, reasons FROM x")
 def ml8(spark, sf_dir):
-    w = Window.partitionBy("account").orderBy("ts")
-    rows = t.meter(spark, sf_dir).withColumn("before", F.lag("used_ppm").over(w)).withColumn("since", F.lag("ts").over(w)).where("before is not null")
-    r = advice.readiness({"no_rise": F.col("used_ppm") > F.col("before"), "too_long": F.col("ts") - F.col("since") <= 259_200_000_000_000, "spans_reset": F.expr("ts div 86400000000000 = since div 86400000000000"), "unsettled": F.lit(False)})
-    return rows.select("observation", F.array_join(r, ",").alias("reasons"))
+    return passive(spark, sf_dir).select("account", F.col("start.observation").alias("first"), F.col("end.observation").alias("last"), "settled", "reset_inside", "credits", F.array_join("reasons", ",").alias("reasons"))
+
+
+@query(
+    "ML-8_passive_fit",
+    f"""WITH {PASSIVE_SQL}, q AS (SELECT *, sum(credits) OVER w AS x, row_number() OVER w AS nth FROM x WHERE reasons = '' WINDOW w AS (PARTITION BY account ORDER BY a, first ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+p AS (SELECT account, x::DOUBLE AS x, v::DOUBLE AS y FROM q UNION ALL SELECT account, 0.0, u::DOUBLE FROM q WHERE nth = 1), n AS (SELECT *, row_number() OVER (PARTITION BY account ORDER BY x, y) AS i FROM p),
+s AS (SELECT a.account, quantile_cont((b.y - a.y) / (b.x - a.x), 0.5) AS slope FROM n a JOIN n b ON a.account = b.account AND a.i < b.i AND abs(b.x - a.x) > 1e-6 GROUP BY 1)
+SELECT n.account, round(slope, 6) AS slope, round(quantile_cont(y - slope * x, 0.5), 3) AS intercept, count(*) AS n FROM n JOIN s USING (account) GROUP BY n.account, slope""",
+)
+def ml8_fit(spark, sf_dir):
+    points = calibration.passive_points(passive(spark, sf_dir), ["account"])
+    return calibration.theil_sen(points, ["account"]).where("slope is not null").select("account", F.round("slope", 6).alias("slope"), F.round("intercept", 3).alias("intercept"), "n")
 
 
 @query("CV-1_sampling_coverage", f"WITH {A_SQL}, a AS (SELECT account, count(*) FILTER (WHERE outcome = 'success') AS good, count(*) FILTER (WHERE outcome <> 'interrupted') AS n FROM att GROUP BY account) SELECT account, good, n, CASE WHEN n <> 0 THEN ((2 * good * 1000000 + n) // (2 * n))::BIGINT END AS coverage_ppm FROM a")

@@ -280,3 +280,14 @@ def test_overlaid_timelines(spark):
     assert both == {("s", 2): none, ("s", 7): "task-z", ("s", 15): "task-a", ("s", 25): "task-z", ("s", 35): "contended", ("u", 3): none, ("u", 6): "task-z", ("u", 40): over, (None, 15): "unmapped_session"}
     alone = {(r.session, r.ts): r.bucket for r in attribution.attribute_overlaid(usage, claims.where("session is not null")).collect()}
     assert alone[("s", 2)] == none and alone[("s", 25)] == over and alone[("u", 6)] == "unclaimed_session"
+
+
+def test_sums_within_against_all_pairs(spark):
+    rng = random.Random(9)
+    facts = [(rng.choice("xy"), a, rng.choice([None, a, a + rng.randrange(9)]), rng.randrange(5)) for a in (rng.randrange(60) for _ in range(80))]
+    spans = sorted({(rng.choice("xyz"), a, a + rng.randrange(1, 9)) for a in (rng.randrange(60) for _ in range(60))})
+    rows = spark.createDataFrame(spans, "k string, lo long, hi long")
+    for closed in (True, False):
+        got = {tuple(r)[:3]: r.n for r in timeline.sums_within(rows, spark.createDataFrame(facts, "k string, a long, b long, n long"), ["k"], ["n"], F.col("lo"), F.col("hi"), closed).collect()}
+        over = (lambda a, b, lo, hi: a <= hi and (b is None or b >= lo)) if closed else (lambda a, b, lo, hi: a < hi and (b is None or b > lo))
+        assert got == {(k, lo, hi): sum(n for kk, a, b, n in facts if kk == k and over(a, b, lo, hi)) for k, lo, hi in spans}
