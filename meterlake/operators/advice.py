@@ -10,20 +10,44 @@ from pyspark.sql import functions as F
 from ..functions.exact import PPM, share_ppm
 
 
-def history_distribution(samples: DataFrame, by: Sequence[str], value: str, reasons: dict[str, Column], least: int = 12, upper: int = 90) -> DataFrame:
-    """(by, included, excluded_<reason>, coverage_ppm, p50, upper, state) for each group.
+def nearest_ranks(rows: DataFrame, by: Sequence[str], value: str, percents: dict[str, int]) -> DataFrame:
+    """(by, n, a column for each of percents): the value at rank ceil(p * n / 100) of each group, at least the first.
 
-    A sample counts for the first reason that excludes it. Quantiles are by
-    nearest rank in whole numbers; below `least` samples there are none.
+    Values are whole and not below zero; nulls are left out. No group is sorted
+    as one: values are counted, the counts gathered by the values' length and
+    leading bits, and only the bins that hold a wanted rank are ordered.
     """
-    why = F.coalesce(*[F.when(c, F.lit(r)) for r, c in reasons.items()]) if reasons else F.lit(None).cast("string")
+    bits = F.bin(value)
+    counts = rows.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("__n")).withColumn("__bin", F.concat(F.lpad(F.length(bits).cast("string"), 2, "0"), F.left(bits, F.lit(10))))
+    run = Window.partitionBy(*by).orderBy("__bin").rowsBetween(Window.unboundedPreceding, 0)
+    bins = counts.groupBy(*by, "__bin").agg(F.sum("__n").alias("__m")).withColumns({"__upto": F.sum("__m").over(run), "n": F.sum("__m").over(Window.partitionBy(*by))})
+    wanted = F.array(*[F.struct(F.lit(name).alias("name"), F.greatest(F.lit(1), F.call_function("div", p * F.col("n") + 99, F.lit(100))).alias("rank")) for name, p in percents.items()])
+    hit = bins.select(*by, "__bin", "n", "__upto", "__m", F.explode(wanted).alias("w")).where("w.rank <= __upto and w.rank > __upto - __m").select(*by, "__bin", "n", "w.name", (F.col("w.rank") - F.col("__upto") + F.col("__m")).alias("__left"))
+    c, h = counts.alias("c"), hit.alias("h")
+    inside = c.join(h, [F.col(f"c.{k}").eqNullSafe(F.col(f"h.{k}")) for k in (*by, "__bin")]).select("h.*", f"c.{value}", "c.__n")
+    upto = F.sum("__n").over(Window.partitionBy(*by, "name").orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
+    found = inside.withColumn("__upto", upto).where("__upto >= __left")
+    return found.groupBy(*by).agg(F.max("n").alias("n"), *[F.min(F.when(F.col("name") == name, F.col(value))).alias(name) for name in percents])
+
+
+def history_distribution(samples: DataFrame, by: Sequence[str], value: str, reasons: dict[str, Column], least: int = 12, low: int = 25, high: int = 75, upper: int = 90) -> DataFrame:
+    """(by, included, excluded_<reason>, coverage_ppm, p50, central_low, central_high, upper, state) for each group.
+
+    A sample counts for the first reason that excludes it. Coverage is the part
+    of all priced value that included samples hold. Quantiles are by nearest
+    rank in whole numbers; below `least` samples there are none.
+    """
+    why = F.coalesce(*[F.when(F.coalesce(c, F.lit(True)), F.lit(r)) for r, c in reasons.items()]) if reasons else F.lit(None).cast("string")
     tagged = samples.withColumn("why", why)
-    eligible = Window.partitionBy(*by, F.col("why").isNull()).orderBy(value)
-    ranked = tagged.withColumn("rank", F.when(F.col("why").isNull(), F.row_number().over(eligible))).withColumn("n", F.count(F.when(F.col("why").isNull(), 1)).over(Window.partitionBy(*by)))
-    at = lambda p: F.max(F.when(F.col("rank") == F.greatest(F.lit(1), F.call_function("div", p * F.col("n") + 99, F.lit(100))), F.col(value)))
-    out = ranked.groupBy(*by).agg(F.max("n").alias("included"), *[F.count_if(F.col("why") == r).alias(f"excluded_{r}") for r in reasons], F.count("*").alias("all"), at(50).alias("p50"), at(upper).alias("upper"))
-    enough = F.col("included") >= least
-    return out.select(*by, "included", *[f"excluded_{r}" for r in reasons], share_ppm(F.col("included"), F.col("all")).alias("coverage_ppm"), F.when(enough, F.col("p50")).alias("p50"), F.when(enough, F.col("upper")).alias("upper"), F.when(enough, "sufficient").otherwise("insufficient").alias("state"))
+    fine = F.col("why").isNull()
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("bigint")
+    groups = tagged.groupBy(*by).agg(F.count_if(fine).alias("included"), *[F.count_if(F.col("why") == r).alias(f"excluded_{r}") for r in reasons], total(F.when(fine, F.col(value))).alias("some"), total(F.col(value)).alias("all"))
+    ranks = nearest_ranks(tagged.where(fine), by, value, {"p50": 50, "central_low": low, "central_high": high, "upper": upper})
+    g, r = groups.alias("g"), ranks.alias("r")
+    enough = F.col("g.included") >= least
+    out = g.join(r, [F.col(f"g.{k}").eqNullSafe(F.col(f"r.{k}")) for k in by], "left")
+    quantiles = [F.when(enough, F.col(f"r.{c}")).alias(c) for c in ("p50", "central_low", "central_high", "upper")]
+    return out.select(*[f"g.{k}" for k in by], "g.included", *[f"g.excluded_{x}" for x in reasons], share_ppm(F.col("g.some"), F.col("g.all")).alias("coverage_ppm"), *quantiles, F.when(enough, "sufficient").otherwise("insufficient").alias("state"))
 
 
 def fallback_ladder(samples: DataFrame, ladder: Sequence[Sequence[str]], least: int = 12) -> DataFrame:

@@ -184,8 +184,8 @@ def sf19(spark, sf_dir):
     "AG-13_history_distribution",
     """WITH s AS (SELECT o_orderpriority AS grp, round(o_totalprice)::BIGINT AS v, CASE WHEN o_orderstatus = 'P' THEN 'partial' WHEN o_custkey % 10 = 3 THEN 'ambiguous' END AS why FROM orders),
 r AS (SELECT *, CASE WHEN why IS NULL THEN row_number() OVER (PARTITION BY grp, why IS NULL ORDER BY v) END AS rank, count(*) FILTER (WHERE why IS NULL) OVER (PARTITION BY grp) AS n FROM s)
-SELECT grp, max(n) AS included, count(*) FILTER (WHERE why = 'partial') AS excluded_partial, count(*) FILTER (WHERE why = 'ambiguous') AS excluded_ambiguous, ((2 * max(n) * 1000000 + count(*)) // (2 * count(*)))::BIGINT AS coverage_ppm,
-       max(v) FILTER (WHERE rank = greatest(1, (50 * n + 99) // 100)) AS p50, max(v) FILTER (WHERE rank = greatest(1, (90 * n + 99) // 100)) AS upper, 'sufficient' AS state FROM r GROUP BY grp""",
+SELECT grp, max(n) AS included, count(*) FILTER (WHERE why = 'partial') AS excluded_partial, count(*) FILTER (WHERE why = 'ambiguous') AS excluded_ambiguous, ((2 * sum(v) FILTER (WHERE why IS NULL) * 1000000 + sum(v)) // (2 * sum(v)))::BIGINT AS coverage_ppm,
+       max(v) FILTER (WHERE rank = greatest(1, (50 * n + 99) // 100)) AS p50, max(v) FILTER (WHERE rank = greatest(1, (25 * n + 99) // 100)) AS central_low, max(v) FILTER (WHERE rank = greatest(1, (75 * n + 99) // 100)) AS central_high, max(v) FILTER (WHERE rank = greatest(1, (90 * n + 99) // 100)) AS upper, 'sufficient' AS state FROM r GROUP BY grp""",
 )
 def ag13(spark, sf_dir):
     s = t.table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("grp"), F.round("o_totalprice").cast("bigint").alias("v"), "o_orderstatus", "o_custkey")

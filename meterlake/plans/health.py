@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import globs
-from ..operators import calibration, doctor, meter, reconcile
+from ..operators import calibration, canrun, doctor, meter, reconcile
 from ..sources import tables as t
 from .ledger import FULL_SQL, ledger
 from .meters import A_SQL, M_SQL, NOW
@@ -116,7 +116,7 @@ def pf4(spark, sf_dir):
     rows = t.meter(spark, sf_dir)
     scope = F.when(F.col("observation") % 3 == 0, "account").when(F.col("observation") % 3 == 1, "model").otherwise("group")
     named = F.when(scope == "model", F.concat(F.lit("m"), (F.col("account") % 4).cast("string")))
-    return rows.where((scope == "account") | ((scope == "model") & (named == "m2"))).select("observation")
+    return rows.where(canrun.constrains(scope, named, F.lit("m2"))).select("observation")
 
 
 @query("PF-8_project_resolution", "SELECT c_custkey, CASE WHEN c_name LIKE 'Customer#0000000%' THEN 'first' WHEN c_name LIKE 'Customer#0%' THEN 'home' ELSE 'unknown-project' END AS project FROM customer")

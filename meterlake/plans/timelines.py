@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.clock import format_rfc3339
 from ..operators import attribution as a
+from ..operators import canrun
 from ..sources import databases
 from ..sources import tables as t
 from .registry import query
@@ -179,9 +180,102 @@ def sf25(spark, sf_dir):
     return a.resolve_axis(votes, ["task"])
 
 
-@query("JN-18_task_history", f"WITH {TASK_SQL} SELECT bucket AS task, count(*) AS events, sum(tokens * 3)::BIGINT AS credits, min(ts) AS first_ts, max(ts) AS last_ts FROM tasked WHERE bucket LIKE 'task-%' GROUP BY bucket")
+#: Tasks of their own for each session, so that histories have many.
+RATES = {"input": 3, "output": 15, "cache_read": 1, "cache_write": 4}
+PERIOD = (1_704_412_800_000_000_000, 1_706_140_800_000_000_000)
+SAMPLE_SQL = ACCOUNT_SQL + ", " + (t.CLAIM_SQL + TASK_SQL[TASK_SQL.index(",\nmarks AS") :]).replace("(k % 20) AS task", "(k % 20) || '-' || user_id AS task")
+SAMPLE_SQL = f"""{SAMPLE_SQL},
+amb AS (SELECT DISTINCT session FROM use w WHERE w.ts + 3600000000000 > (SELECT min(c.ts) FROM claim c WHERE c.session = w.session AND c.ts > w.ts)),
+cells AS (SELECT DISTINCT task, CASE WHEN session % 5 IN (0, 1) THEN 'small_medium' ELSE 'large' END AS breadth, CASE WHEN session % 3 = 0 AND session % 4 <> 0 THEN 'review' ELSE 'gate' END AS verify, CASE WHEN session % 3 = 0 AND session % 4 <> 0 THEN 'fixed' ELSE 'open' END AS spec, session % 7 = 0 AS critical FROM claim WHERE session % 11 <> 0),
+done AS (SELECT DISTINCT task FROM claim WHERE kind = 'release' AND ts >= {PERIOD[0]} AND ts < {PERIOD[1]}),
+q AS (SELECT bucket AS task, tasked.session, acc.rank, tasked.tokens AS input, tasked.tokens // 3 AS output, k * 10 AS cache_read, CASE WHEN k % 19 <> 0 THEN k % 7 END AS cache_write, k % 17 = 0 AS estimated FROM tasked JOIN acc USING (event_id) JOIN ev USING (event_id)),
+per AS (SELECT task, CASE WHEN bool_and(cache_write IS NOT NULL) THEN sum(3 * input + 15 * output + cache_read + 4 * cache_write)::BIGINT END AS credits, NOT bool_or(estimated) AS measured, max(coalesce(rank, 5)) AS evidence, NOT bool_or(session IN (SELECT session FROM amb)) AS complete FROM q JOIN done USING (task) GROUP BY task),
+smp AS (SELECT task, coalesce(breadth, 'large') AS breadth, coalesce(verify, 'gate') AS verify, coalesce(spec, 'open') AS spec, coalesce(critical, false) AS critical, credits, measured, evidence, complete FROM per LEFT JOIN cells USING (task))"""
+
+
+def task_samples(spark, sf_dir):
+    ev, session = t.events(spark, sf_dir), F.col("session")
+    claims = t.claims(spark, sf_dir).withColumn("task", F.concat("task", F.lit("-"), session.cast("string")))
+    used = t.usage(spark, sf_dir)
+    unsure = a.straddles(used.select("event_id", "session", F.col("ts").alias("start"), (F.col("ts") + 3_600_000_000_000).alias("end")), claims).select("event_id", "ambiguous")
+    rows = a.attribute_tasks(used, claims).join(accounts(spark, sf_dir).select("event_id", "rank"), "event_id").join(unsure, "event_id").join(ev.select("event_id", "k"), "event_id")
+    k = F.col("k")
+    rows = rows.select("bucket", "session", "rank", "ambiguous", (k % 17 == 0).alias("estimated"), F.col("tokens").alias("input"), F.expr("tokens div 3").alias("output"), (k * 10).alias("cache_read"), F.when(k % 19 != 0, k % 7).alias("cache_write"))
+    size = F.element_at(F.array(*[F.lit(x) for x in ("S", "M", "L", "XL", None)]), (session % 5 + 1).cast("int"))
+    names = claims.where(session % 11 != 0).select("task", size.alias("size"), F.when(session % 3 == 0, "review").alias("verify"), F.when(session % 4 != 0, "fixed").alias("spec"), (session % 7 == 0).alias("critical")).distinct()
+    return canrun.task_samples(rows, claims, names, RATES, *PERIOD)
+
+
+@query("JN-18_task_history", f"WITH {SAMPLE_SQL} SELECT * FROM smp")
 def jn18(spark, sf_dir):
-    return tasks(spark, sf_dir).where(F.col("bucket").startswith("task-")).groupBy(F.col("bucket").alias("task")).agg(F.count("*").alias("events"), F.sum(F.col("tokens") * 3).alias("credits"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
+    return task_samples(spark, sf_dir)
+
+
+HISTORY_SQL = f"""{SAMPLE_SQL},
+why AS (SELECT *, CASE WHEN credits IS NULL THEN 'unknown_token_components' WHEN evidence = 5 THEN 'unknown_account_attribution' WHEN NOT complete THEN 'incomplete_segmentation' WHEN NOT measured THEN 'estimated_tokens' END AS why,
+  CASE WHEN critical THEN 'critical=true' ELSE breadth || '/' || verify || '/' || spec || ' critical=false' END AS g0, breadth || ' critical=' || critical::VARCHAR AS g1 FROM smp),
+lv AS (SELECT *, unnest([0, 1, 2]) AS level, unnest([g0, g1, 'all tasks']) AS grp FROM why),
+rk AS (SELECT *, CASE WHEN why IS NULL THEN row_number() OVER (PARTITION BY level, grp, why IS NULL ORDER BY credits) END AS r, count(*) FILTER (WHERE why IS NULL) OVER (PARTITION BY level, grp) AS n FROM lv),
+hs AS (SELECT level, grp, max(n) AS included, {", ".join(f"count(*) FILTER (WHERE why = '{r}') AS excluded_{r}" for r in canrun.INELIGIBLE)},
+  CASE WHEN sum(credits) <> 0 THEN ((2 * coalesce(sum(credits) FILTER (WHERE why IS NULL), 0) * 1000000 + sum(credits)) // (2 * sum(credits)))::BIGINT END AS coverage_ppm,
+  {", ".join(f"CASE WHEN max(n) >= 5 THEN max(credits) FILTER (WHERE r = greatest(1, ({p} * n + 99) // 100)) END AS {c}" for c, p in (("p50", 50), ("central_low", 25), ("central_high", 75), ("upper", 90)))},
+  CASE WHEN max(n) >= 5 THEN 'sufficient' ELSE 'insufficient' END AS state FROM rk GROUP BY level, grp)"""
+
+
+@query("AG-13_group_history", f"WITH {HISTORY_SQL} SELECT * FROM hs")
+def ag13_groups(spark, sf_dir):
+    return canrun.group_history(task_samples(spark, sf_dir), 5)
+
+
+@query(
+    "AG-14_selected_history",
+    f"WITH {HISTORY_SQL}, c AS (SELECT DISTINCT breadth, verify, spec, critical, g0, g1 FROM why) SELECT c.breadth, c.verify, c.spec, c.critical, arg_min(hs.grp, level) AS grp, min(level)::INTEGER AS level, arg_min(included, level) AS included FROM c JOIN hs ON grp = CASE level WHEN 0 THEN g0 WHEN 1 THEN g1 ELSE 'all tasks' END WHERE state = 'sufficient' OR level = 2 GROUP BY ALL",
+)
+def ag14_selected(spark, sf_dir):
+    samples = task_samples(spark, sf_dir)
+    found = canrun.select_history(samples.select(*canrun.CELL).distinct(), canrun.group_history(samples, 5))
+    return found.select(*canrun.CELL, "grp", "level", "included")
+
+
+CAN_RUN_SQL = f"""{HISTORY_SQL}, {t.METER_SQL},
+rq AS (SELECT DISTINCT account, 'm' || (account % 4) AS model, CASE account % 9 WHEN 0 THEN 'auth_required' WHEN 1 THEN 'stale' ELSE 'fresh' END AS state_, CASE WHEN account % 2 = 0 THEN 'large' ELSE 'small_medium' END AS breadth, account % 7 = 0 AS critical FROM meter),
+hq AS (SELECT rq.*, CASE WHEN critical THEN 'critical=true' ELSE breadth || '/gate/open critical=false' END AS g0, breadth || ' critical=' || critical::VARCHAR AS g1 FROM rq),
+hd AS (SELECT hq.account, arg_min({{'state': hs.state, 'cov': coverage_ppm, 'p50': p50, 'upper': upper}}, level) AS h FROM hq JOIN hs ON grp = CASE level WHEN 0 THEN g0 WHEN 1 THEN g1 ELSE 'all tasks' END WHERE state = 'sufficient' OR level = 2 GROUP BY 1),
+wd AS (SELECT account, observation % 3 AS slot, max(observation) AS id, arg_max(used_ppm, observation) AS used FROM meter GROUP BY 1, 2),
+wn AS (SELECT wd.*, 'w' || slot AS win, CASE id % 7 WHEN 0 THEN 'suspect' WHEN 1 THEN NULL ELSE 'current' END AS health, CASE WHEN id % 2 = 0 THEN 400000 END AS est FROM wd),
+wk AS (SELECT wn.account, win, CASE WHEN health IS NULL THEN (1000000 - used) * est // 1000000 WHEN health = 'current' THEN (1000000 - used) * 300000 // 1000000 END AS lo, CASE WHEN health IS NULL THEN (1000000 - used) * est // 1000000 WHEN health = 'current' THEN (1000000 - used) * 500000 // 1000000 END AS hi
+  FROM wn JOIN rq USING (account) WHERE state_ = 'fresh' AND (slot = 0 OR (slot = 1 AND wn.account % 4 <> 3))),
+wa AS (SELECT account, count(*) AS n, coalesce(list_sort(list(win) FILTER (WHERE lo IS NULL)), []) AS refused, arg_min({{'win': win, 'lo': lo, 'hi': hi}}, {{'lo': lo, 'hi': hi, 'win': win}}) FILTER (WHERE lo IS NOT NULL) AS l FROM wk GROUP BY 1),
+fx AS (SELECT rq.account, l, h, list_concat(CASE WHEN state_ <> 'fresh' THEN ['meter'] ELSE [] END, CASE WHEN state_ = 'fresh' AND n IS NULL THEN ['constraining_windows'] ELSE [] END, coalesce(refused, []), CASE WHEN rq.account % 8 = 0 THEN ['cost_model'] ELSE [] END,
+    CASE WHEN rq.account % 10 = 0 THEN ['plan_tier'] ELSE [] END, CASE WHEN h.state <> 'sufficient' THEN ['historical_task_evidence'] ELSE [] END, CASE WHEN h.cov < 400000 THEN ['attribution_quality'] ELSE [] END) AS missing FROM rq JOIN hd USING (account) LEFT JOIN wa USING (account))"""
+
+
+@query(
+    "SF-28_can_run",
+    f"WITH {CAN_RUN_SQL} SELECT account AS request, CASE WHEN len(missing) = 0 THEN CASE WHEN l.lo >= h.upper * 2 THEN 'AMPLE' WHEN h.p50 > l.hi THEN 'INSUFFICIENT' ELSE 'MARGINAL' END WHEN missing = ['historical_task_evidence'] THEN 'INSUFFICIENT_EVIDENCE' ELSE 'UNKNOWN' END AS verdict, array_to_string(missing, ',') AS missing, CASE WHEN len(missing) = 0 THEN l.win END AS limiting FROM fx",
+)
+def sf28_can_run(spark, sf_dir):
+    meters = t.meter(spark, sf_dir)
+    account, slot, one = F.col("account"), F.col("slot"), F.col("id")
+    requests = meters.select("account").distinct().select(
+        account.alias("request"), "account", F.concat(F.lit("m"), (account % 4).cast("string")).alias("model"),
+        F.when(account % 9 == 0, "auth_required").when(account % 9 == 1, "stale").otherwise("fresh").alias("meter"),
+        F.when(account % 8 == 0, F.array(F.lit("reasoning"))).otherwise(F.array().cast("array<string>")).alias("unpriced"),
+        F.lit("pro").alias("account_tier"), F.when(account % 10 == 0, "max").otherwise("pro").alias("calibration_tier"),
+        F.when(account % 2 == 0, "large").otherwise("small_medium").alias("breadth"), F.lit("gate").alias("verify"), F.lit("open").alias("spec"), (account % 7 == 0).alias("critical"),
+    )
+    newest = meters.groupBy("account", (F.col("observation") % 3).alias("slot")).agg(F.max("observation").alias("id"), F.max_by("used_ppm", "observation").alias("used"))
+    estimate = F.when(one % 2 == 0, 400_000)
+    windows = newest.select(
+        "account", F.concat(F.lit("w"), slot.cast("string")).alias("window"),
+        F.when(slot == 0, "account").when(slot == 1, "model").otherwise("group").alias("scope"), F.when(account % 4 != 3, F.concat(F.lit("m"), (account % 4).cast("string"))).otherwise("m0").alias("named"),
+        (1_000_000 - F.col("used")).alias("remaining_ppm"), F.when(one % 7 == 0, "suspect").when(one % 7 != 1, "current").alias("health"),
+        F.lit(300_000).alias("lo"), F.lit(500_000).alias("hi"), estimate.alias("estimate_lo"), estimate.alias("estimate_hi"),
+    )
+    history = canrun.group_history(task_samples(spark, sf_dir), 5)
+    found = canrun.select_history(requests.select(*canrun.CELL).distinct(), history)
+    asked = requests.join(found, list(canrun.CELL), "left").select(*[c for c in requests.columns if c not in canrun.CELL], "included", "coverage_ppm", "p50", "upper", "state")
+    return canrun.can_run(asked, windows, 400_000).withColumn("missing", F.array_join("missing", ","))
 
 
 @query("JN-19_prefix_lookup", "SELECT c_custkey, c_name FROM customer WHERE lower(c_name) LIKE 'customer#00000001%'")

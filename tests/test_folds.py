@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from meterlake.operators import attribution, calibration, coverage, dedup, reconcile, timeline
+from meterlake.operators import advice, attribution, calibration, canrun, coverage, dedup, reconcile, timeline
 
 
 def test_identity_dedup_judges_against_the_row_kept_then(spark):
@@ -291,3 +291,32 @@ def test_sums_within_against_all_pairs(spark):
         got = {tuple(r)[:3]: r.n for r in timeline.sums_within(rows, spark.createDataFrame(facts, "k string, a long, b long, n long"), ["k"], ["n"], F.col("lo"), F.col("hi"), closed).collect()}
         over = (lambda a, b, lo, hi: a <= hi and (b is None or b >= lo)) if closed else (lambda a, b, lo, hi: a < hi and (b is None or b > lo))
         assert got == {(k, lo, hi): sum(n for kk, a, b, n in facts if kk == k and over(a, b, lo, hi)) for k, lo, hi in spans}
+
+
+def test_nearest_ranks_against_sorting(spark):
+    rng = random.Random(4)
+    made = {"big": [rng.randrange(10**12) for _ in range(400)], "ties": [7] * 50 + [0] * 3, "one": [5], "small": [rng.randrange(3000) for _ in range(333)]}
+    rows = spark.createDataFrame([(k, v) for k, vs in made.items() for v in [*vs, None]] + [("none", None)], "k string, v long")
+    percents = {"least": 0, "low": 25, "mid": 50, "high": 90, "most": 100}
+    got = {r.k: r for r in advice.nearest_ranks(rows, ["k"], "v", percents).collect()}
+    assert set(got) == set(made)
+    for k, vs in made.items():
+        assert got[k].n == len(vs)
+        assert {c: got[k][c] for c in percents} == {c: sorted(vs)[max(1, -(-p * len(vs) // 100)) - 1] for c, p in percents.items()}
+
+
+def test_can_run_names_all_that_is_missing(spark):
+    windows = spark.createDataFrame([("a", "five_hour", "account", None, 500_000, "current", 100, 200, None, None), ("a", "other", "model", "m2", 10, None, None, None, None, None), ("b", "five_hour", "account", None, 500_000, "suspect", 100, 200, 1, 1), ("c", "g", "group", "m1", 1, "current", 1, 1, None, None)], "account string, window string, scope string, named string, remaining_ppm long, health string, lo long, hi long, estimate_lo long, estimate_hi long")
+    requests = spark.createDataFrame(
+        [("ample", "a", "m1", "fresh", [], "p", "p", 12, 900_000, 10, 25, "sufficient"), ("thin", "a", "m1", "fresh", [], "p", "p", 1, 900_000, None, None, "insufficient"), ("many", "b", "m1", "fresh", ["input"], "p", "q", 1, 10, None, None, "insufficient"), ("stale", "a", "m2", "stale", [], "p", "p", 12, 900_000, 10, 25, "sufficient"), ("none", "c", "m1", "fresh", [], "p", "p", 12, 900_000, 10, 25, "sufficient"), ("gap", "a", "m2", "fresh", [], "p", "p", 12, 900_000, 10, 25, "sufficient")],
+        "request string, account string, model string, meter string, unpriced array<string>, account_tier string, calibration_tier string, included long, coverage_ppm long, p50 long, upper long, state string",
+    )
+    got = {r.request: (r.verdict, r.missing, r.limiting) for r in canrun.can_run(requests, windows, 500_000).collect()}
+    assert got == {
+        "ample": ("AMPLE", [], "five_hour"),
+        "thin": ("INSUFFICIENT_EVIDENCE", ["historical_task_evidence"], None),
+        "many": ("UNKNOWN", ["five_hour", "cost_model", "plan_tier", "historical_task_evidence", "attribution_quality"], None),
+        "stale": ("UNKNOWN", ["meter"], None),
+        "none": ("UNKNOWN", ["constraining_windows"], None),
+        "gap": ("UNKNOWN", ["other"], None),
+    }
