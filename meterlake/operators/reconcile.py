@@ -78,10 +78,20 @@ def json_lines(rows: DataFrame, kind: str) -> DataFrame:
     return rows.select(F.to_json(F.struct(F.lit(kind).alias("kind"), *rows.columns), {"ignoreNullFields": "false"}).alias("value"))
 
 
-def provenance(rows: DataFrame, by: Sequence[str], evidence: str, source: str) -> DataFrame:
-    """(by, members, sources, digest): the sorted evidence of each figure and a digest that doesn't depend on its order."""
-    out = rows.groupBy(*by).agg(F.array_sort(F.collect_set(evidence)).alias("ids"), F.count_distinct(source).alias("sources"))
-    return out.select(*by, F.size("ids").alias("members"), "sources", F.sha2(F.array_join("ids", "\0"), 256).alias("digest"))
+def provenance(rows: DataFrame, by: Sequence[str], evidence: str, source: str, digits: int = 4) -> DataFrame:
+    """(by, members, sources, digest): how much evidence each figure has, from how many sources, and a digest that doesn't depend on its order.
+
+    Ids fall into shards by the first digits of their SHA-256. A shard's digest
+    is over its sorted ids, the figure's over the digests of its shards in
+    order, so that no row holds all ids of a figure. Null ids are no evidence;
+    without any the digest is that of nothing.
+    """
+    ids = rows.where(F.col(evidence).isNotNull()).select(*by, F.col(evidence).alias("__id")).distinct()
+    shards = ids.groupBy(*by, F.left(F.sha2("__id", 256), F.lit(digits)).alias("shard")).agg(F.count("*").alias("n"), F.sha2(F.array_join(F.array_sort(F.collect_list("__id")), "\0"), 256).alias("digest"))
+    whole = shards.groupBy(*by).agg(F.sum("n").alias("members"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("shard", "digest"))), lambda s: s["digest"]), "\0").alias("digests"))
+    c, w = rows.groupBy(*by).agg(F.count_distinct(source).alias("sources")).alias("c"), whole.alias("w")
+    out = c.join(w, [F.col(f"c.{k}").eqNullSafe(F.col(f"w.{k}")) for k in by], "left")
+    return out.select(*[f"c.{k}" for k in by], F.coalesce("w.members", F.lit(0)).cast("bigint").alias("members"), "c.sources", F.sha2(F.coalesce("w.digests", F.lit("")), 256).alias("digest"))
 
 
 def transcript_markdown(turns: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions import globs
+from ..functions import globs, layout
 from ..operators import calibration, canrun, doctor, meter, reconcile
 from ..sources import tables as t
 from .ledger import FULL_SQL, ledger
@@ -119,12 +119,18 @@ def pf4(spark, sf_dir):
     return rows.where(canrun.constrains(scope, named, F.lit("m2"))).select("observation")
 
 
-@query("PF-8_project_resolution", "SELECT c_custkey, CASE WHEN c_name LIKE 'Customer#0000000%' THEN 'first' WHEN c_name LIKE 'Customer#0%' THEN 'home' ELSE 'unknown-project' END AS project FROM customer")
+@query(
+    "PF-8_project_resolution",
+    """WITH d AS (SELECT c_custkey, CASE WHEN c_custkey % 17 = 0 THEN NULL ELSE CASE c_custkey % 5 WHEN 0 THEN '/r/repo-' || c_nationkey || '//src/' WHEN 1 THEN '/r/.worktrees/repo-' || c_nationkey || '/task' WHEN 2 THEN '/r/.hidden/x' WHEN 3 THEN '/elsewhere/' || c_nationkey ELSE '/r/scratch' END END AS dir FROM customer),
+r AS (SELECT *, CASE WHEN dir = '/elsewhere/3' THEN 'aliased' WHEN dir LIKE '/r/repo-%' OR dir LIKE '/r/.worktrees/repo-%' THEN regexp_extract(dir, '(repo-[0-9]+)', 1) ELSE 'unknown-repository' END AS repository FROM d)
+SELECT c_custkey, coalesce(repository, 'unknown-repository') AS repository, CASE WHEN dir = '/elsewhere/4' THEN 'first' WHEN dir IS NULL OR repository = 'unknown-repository' THEN 'unknown-project' ELSE repository END AS project FROM r""",
+)
 def pf8(spark, sf_dir):
-    # The longest alias that a path starts with, of a list that configuration holds.
-    aliases = sorted({"Customer#0": "home", "Customer#0000000": "first"}.items(), key=lambda a: -len(a[0]))
-    found = F.coalesce(*[F.when(F.col("c_name").startswith(p), F.lit(n)) for p, n in aliases], F.lit("unknown-project"))
-    return t.table(spark, sf_dir, "customer").select("c_custkey", found.alias("project"))
+    k, nation = F.col("c_custkey"), F.col("c_nationkey").cast("string")
+    at = [F.concat(F.lit("/r/repo-"), nation, F.lit("//src/")), F.concat(F.lit("/r/.worktrees/repo-"), nation, F.lit("/task")), F.lit("/r/.hidden/x"), F.concat(F.lit("/elsewhere/"), nation), F.lit("/r/scratch")]
+    path = F.when(k % 17 != 0, F.element_at(F.array(*at), (k % 5 + 1).cast("int")))
+    rules = {"aliases": {"/elsewhere/3": "aliased"}, "worktrees": "/r/.worktrees", "repositories": "/r", "ignore": ["scratch"]}
+    return t.table(spark, sf_dir, "customer").select("c_custkey", layout.repository(path, **rules).alias("repository"), layout.project(path, {"/elsewhere/4": "first"}, **rules).alias("project"))
 
 
 @query("SL-3_bounded_sample", f"WITH {M_SQL} SELECT account, observation FROM (SELECT account, observation, row_number() OVER (PARTITION BY account ORDER BY used_ppm DESC, observation) AS nth FROM meter) WHERE nth <= 5")
@@ -194,7 +200,10 @@ def cv1(spark, sf_dir):
     return rows.withColumn("coverage_ppm", share_ppm(F.col("good"), F.col("n")))
 
 
-@query("AG-26_figure_digest", f"WITH {M_SQL} SELECT account, count(DISTINCT observation)::INTEGER AS members, count(DISTINCT observation % 3) AS sources, sha256(array_to_string(list_sort(list(DISTINCT observation::VARCHAR)), chr(0))) AS digest FROM meter GROUP BY account")
+@query(
+    "AG-26_figure_digest",
+    f"WITH {M_SQL}, i AS (SELECT DISTINCT account, observation::VARCHAR AS id FROM meter), s AS (SELECT account, left(sha256(id), 4) AS shard, count(*) AS n, sha256(string_agg(id, chr(0) ORDER BY id)) AS digest FROM i GROUP BY 1, 2), c AS (SELECT account, count(DISTINCT observation % 3) AS sources FROM meter GROUP BY 1) SELECT account, sum(n)::BIGINT AS members, any_value(sources) AS sources, sha256(string_agg(digest, chr(0) ORDER BY shard)) AS digest FROM s JOIN c USING (account) GROUP BY account",
+)
 def ag26_meter(spark, sf_dir):
     rows = t.meter(spark, sf_dir).withColumn("id", F.col("observation").cast("string")).withColumn("source", F.col("observation") % 3)
     return reconcile.provenance(rows, ["account"], "id", "source")

@@ -224,7 +224,10 @@ def ag21(spark, sf_dir):
     return t.table(spark, sf_dir, "part").select(F.col("p_type").alias("key"), F.coalesce(F.nullif("p_brand", F.lit("Brand#11")), F.lit("default")).alias("tier")).distinct()
 
 
-@query("AG-26_provenance", f"WITH {FULL_SQL} SELECT account, count(DISTINCT native_id)::INTEGER AS members, count(DISTINCT harness) AS sources, sha256(array_to_string(list_sort(list(DISTINCT native_id)), chr(0))) AS digest FROM ledger GROUP BY account")
+@query(
+    "AG-26_provenance",
+    f"WITH {FULL_SQL}, i AS (SELECT DISTINCT account, native_id AS id FROM ledger), s AS (SELECT account, left(sha256(id), 4) AS shard, count(*) AS n, sha256(string_agg(id, chr(0) ORDER BY id)) AS digest FROM i GROUP BY 1, 2), c AS (SELECT account, count(DISTINCT harness) AS sources FROM ledger GROUP BY 1) SELECT s.account, sum(n)::BIGINT AS members, any_value(sources) AS sources, sha256(string_agg(digest, chr(0) ORDER BY shard)) AS digest FROM s JOIN c ON s.account IS NOT DISTINCT FROM c.account GROUP BY s.account",
+)
 def ag26(spark, sf_dir):
     return reconcile.provenance(ledger(spark, sf_dir), ["account"], "native_id", "harness")
 

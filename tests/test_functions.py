@@ -54,3 +54,19 @@ def test_schedule_texts(spark):
 def test_field_paths(spark):
     rows = spark.createDataFrame([('[{"a": 1}, {"a": 1.0}]',), ("no json",), (None,), ("7",), ("[" * 5000,)], "t string")
     assert {tuple(r) for r in json_paths.field_paths(rows, "t").collect()} == {("[]", "object", 1), ("[].a", "float", 1)}
+
+
+def test_layout_names(spark):
+    from meterlake.functions import layout
+
+    roots = {"aliases": {"/r/odd": "even"}, "worktrees": "/r/.trees/", "repositories": "/r", "ignore": ["tmp"]}
+    want = {
+        "/r/a": "a", "/r/a/b": "a", "/r//a/": "a", "/r/./a": "a", "/r/.trees/a/task": "a", "/r/.trees": layout.UNKNOWN_REPOSITORY, "/r": layout.UNKNOWN_REPOSITORY,
+        "/r/.git": layout.UNKNOWN_REPOSITORY, "/r/tmp/x": layout.UNKNOWN_REPOSITORY, "/rest/a": layout.UNKNOWN_REPOSITORY, "/r/odd": "even", "/r/odd/x": "odd", "": layout.UNKNOWN_REPOSITORY, None: layout.UNKNOWN_REPOSITORY,
+    }
+    rows = spark.createDataFrame([(p,) for p in want], "p string")
+    assert {r.p: r.n for r in rows.select("p", layout.repository(F.col("p"), **roots).alias("n")).collect()} == want
+    names = {r.p: r.n for r in rows.select("p", layout.project(F.col("p"), {"/rest/a": "other"}, **roots).alias("n")).collect()}
+    assert names == {p: "other" if p == "/rest/a" else layout.UNKNOWN_PROJECT if n == layout.UNKNOWN_REPOSITORY else n for p, n in want.items()}
+    alone = {r.p: r.n for r in rows.select("p", layout.project(F.col("p"), {"/r/a": "x"}, {"/r/odd": "even"}).alias("n")).collect()}
+    assert alone == {p: "x" if p == "/r/a" else layout.UNKNOWN_PROJECT for p in want}
