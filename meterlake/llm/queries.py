@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .bpe import token_report
+from .centroids import CLUSTERS_SQL, clusters
 from .common import table
 from .embeddings import similar_vectors
 from .fingerprints import fingerprint_report
@@ -10,6 +11,8 @@ from .langid import language_report
 from .licenses import license_report
 from .mixing import MIX_SQL, mix_report
 from .neardup import near_duplicate_report
+from .personal import personal_report
+from .repair import REPAIR_SQL, repaired
 from .secrets import secret_report
 from .toolcalls import CHAT_SQL, format_chat
 from .warc import ARCHIVE_SQL, archive_report
@@ -55,5 +58,17 @@ def op10_byte_bpe(spark, sf_dir):
     return token_report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_source_mixing, op3_minhash_neardup, op4_warc_archive, op5_secret_scan, op6_embedding_neardup, op7_license_scan, op8_chat_tool_calls, op9_document_fingerprints, op10_byte_bpe)}
-ORACLES: dict[str, str] = {"op2_source_mixing": MIX_SQL, "op4_warc_archive": ARCHIVE_SQL, "op8_chat_tool_calls": CHAT_SQL}
+def op11_centroid_clusters(spark, sf_dir):
+    return clusters(table(spark, sf_dir, "embeddings"))
+
+
+def op12_personal_data(spark, sf_dir):
+    return personal_report(table(spark, sf_dir, "documents"))
+
+
+def op13_conversation_repair(spark, sf_dir):
+    return repaired(table(spark, sf_dir, "conversations"))
+
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_source_mixing, op3_minhash_neardup, op4_warc_archive, op5_secret_scan, op6_embedding_neardup, op7_license_scan, op8_chat_tool_calls, op9_document_fingerprints, op10_byte_bpe, op11_centroid_clusters, op12_personal_data, op13_conversation_repair)}
+ORACLES: dict[str, str] = {"op2_source_mixing": MIX_SQL, "op4_warc_archive": ARCHIVE_SQL, "op8_chat_tool_calls": CHAT_SQL, "op11_centroid_clusters": CLUSTERS_SQL, "op13_conversation_repair": REPAIR_SQL}
