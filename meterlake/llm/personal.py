@@ -348,7 +348,7 @@ def _seed_rows() -> list[tuple[list[bytes], bytes, list[int]]]:
 
 # Over a corpus
 
-_SCANNED = "base array<struct<kind:int,start:int,end:int>>, starts array<int>, ends array<int>, begins array<boolean>, labels array<tinyint>, words array<binary>, before array<binary>"
+SCANNED = "base array<struct<kind:int,start:int,end:int>>, starts array<int>, ends array<int>, begins array<boolean>, labels array<tinyint>, words array<binary>, before array<binary>"
 
 
 def _scan(batches):
@@ -488,5 +488,5 @@ def personal_report(docs: DataFrame) -> DataFrame:
     """
     rows = docs.select("doc_id", "text")
     head = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}"
-    scanned = staged(rows.mapInArrow(_scan, f"{head}, {_SCANNED}"), "scanned")
+    scanned = staged(rows.mapInArrow(_scan, f"{head}, {SCANNED}"), "scanned")
     return scanned.mapInArrow(_decode(learn(scanned)), ", ".join([head, *[f"n_{k} bigint" for k in KINDS], "base_sha256 string", "spans string"]))

@@ -11,6 +11,7 @@ All of it is DataFrame functions: no Python runs on the executors.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 from itertools import product
 
@@ -160,31 +161,38 @@ def candidates(docs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     return postings.groupBy("rk").agg(*bits).select("rk", hit.alias("rules")).where(F.size("rules") > 0)
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once, however often body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
+def running(values: Column, op: Callable[[Column, Column], Column]) -> Column:
+    """For each of the values op of all up to it, where op is associative: n values cost n times the logarithm of n.
+
+    A step joins each value with the one 1, 2, 4, ... places before, so that no
+    array grows item by item, which would copy it with each.
+    """
+
+    def scan(xs: Column) -> Column:
+        strides = F.filter(F.transform(F.sequence(F.lit(0), F.lit(30)), lambda k: F.call_function("shiftleft", F.lit(1), k)), lambda d: d < F.size(xs))
+        return F.aggregate(strides, xs, lambda acc, d: F.transform(acc, lambda x, i: F.when(i >= d, op(acc[i - d], x)).otherwise(x)))
+
+    return _let(values, scan)
+
+
+SPAN = "struct<start:int,rule:int,kind:string,end:int>"
+
+
 def rule_spans(text: Column, rule: Rule, order: int) -> Column:
     """array<struct<start, rule, kind, end>> of a rule's matches, leftmost first, in code points."""
     whole = F.regexp_extract_all(text, F.lit(rule.regex), F.lit(0))
     held = F.regexp_extract_all(text, F.lit(rule.regex), F.lit(rule.group)) if rule.group else whole
     gaps = F.split(text, rule.regex, -1)
     parts = F.zip_with(F.zip_with(whole, F.slice(gaps, 1, F.size(whole)), lambda m, g: F.struct(F.length(g).alias("gap"), F.length(m).alias("len"))), held, lambda p, h: F.struct(p["gap"].alias("gap"), p["len"].alias("len"), (F.length(h) >= rule.least).alias("ok")))
-    span = "array<struct<start:int,rule:int,kind:string,end:int>>"
-    walked = F.aggregate(
-        parts,
-        F.struct(F.lit(0).alias("at"), F.array().cast(span).alias("spans")),
-        lambda acc, p: F.struct(
-            (acc["at"] + p["gap"] + p["len"]).alias("at"),
-            F.when(
-                p["ok"],
-                F.concat(
-                    acc["spans"],
-                    F.array(F.struct((acc["at"] + p["gap"]).alias("start"), F.lit(order).alias("rule"), F.lit(rule.kind).alias("kind"), (acc["at"] + p["gap"] + p["len"]).alias("end"))),
-                ),
-            )
-            .otherwise(acc["spans"])
-            .alias("spans"),
-        ),
-        lambda acc: acc["spans"],
-    )
-    return F.when(F.regexp_like(text, F.lit(rule.regex if rule.least == 1 or rule.group else f"{rule.regex[:-1]}{{{rule.least},}}" if _one_class(rule.regex) else rule.regex)), walked).otherwise(F.array().cast(span))
+    ends = lambda ps: running(F.transform(ps, lambda p: p["gap"] + p["len"]), lambda a, b: a + b)
+    placed = _let(parts, lambda ps: F.zip_with(ps, ends(ps), lambda p, end: F.struct((end - p["len"]).alias("start"), F.lit(order).alias("rule"), F.lit(rule.kind).alias("kind"), end.alias("end"), p["ok"].alias("ok"))))
+    spans = F.transform(F.filter(placed, lambda s: s["ok"]), lambda s: F.struct(*[s[c].alias(c) for c in ("start", "rule", "kind", "end")]))
+    return F.when(F.regexp_like(text, F.lit(rule.regex if rule.least == 1 or rule.group else f"{rule.regex[:-1]}{{{rule.least},}}" if _one_class(rule.regex) else rule.regex)), spans).otherwise(F.array().cast(f"array<{SPAN}>"))
 
 
 def _one_class(regex: str) -> bool:
@@ -208,12 +216,11 @@ def _with_spans(docs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     keyed = docs.select(F.struct(*docs.columns).alias("row"), F.xxhash64("doc_id", "text").alias("rk"))
     joined = keyed.join(candidates(docs, rules).hint("shuffle_hash"), "rk", "left").select("row", F.col("row")["text"].alias("text"), "rules")
     text = doc_text()
-    span = "array<struct<start:int,rule:int,kind:string,end:int>>"
     parts = []
     for i, rule in enumerate(rules):
         found = rule_spans(text, rule, i)
         if i in forced:
-            found = F.when(F.coalesce(F.array_contains("rules", i), F.lit(False)), found).otherwise(F.array().cast(span))
+            found = F.when(F.coalesce(F.array_contains("rules", i), F.lit(False)), found).otherwise(F.array().cast(f"array<{SPAN}>"))
         parts.append(found)
     return joined.select("row", "text", F.array_sort(F.concat(*parts)).alias("found"))
 
@@ -224,16 +231,12 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = BASE_RULES + MORE_RULES) -
     Null text stays null. The other columns are untouched, whatever their names.
     """
     found = _with_spans(docs, rules)
-    cut = F.aggregate(
-        "found",
-        F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
-        lambda acc, s: F.when(
-            s["start"] >= acc["at"],
-            F.struct(s["end"].alias("at"), F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, s["start"] - acc["at"]), F.lit("[SECRET]")).alias("out")),
-        ).otherwise(F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["out"].alias("out"))),
-        lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.lit(2147483647))),
-    )
-    clean = F.when(F.size("found") > 0, cut).otherwise(F.col("text"))
+    # The text between spans, from its code points at four bytes each, so that a piece costs its own length wherever it lies.
+    cut = lambda wide, at, n: F.decode(F.substring(wide, 4 * at + 1, n), "UTF-32")
+    shown = lambda wide, ends: F.filter(F.transform("found", lambda s, i: _let(F.when(i > 0, ends[F.greatest(i - 1, F.lit(0))]).otherwise(0), lambda at: F.when(s["start"] >= at, cut(wide, at, 4 * (s["start"] - at))))), lambda p: p.isNotNull())
+    join = lambda wide, ends: F.concat(F.array_join(shown(wide, ends), "[SECRET]"), F.lit("[SECRET]"), cut(wide, ends[F.size(ends) - 1], F.lit(2147483647)))
+    clean = _let(F.encode("text", "UTF-32"), lambda wide: _let(running(F.transform("found", lambda s: s["end"]), lambda a, b: F.greatest(a, b)), lambda ends: join(wide, ends)))
+    clean = F.when(F.size("found") > 0, clean).otherwise(F.col("text"))
     return found.select("row", clean.alias("text")).select(*[F.col("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns])
 
 

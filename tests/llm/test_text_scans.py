@@ -310,3 +310,20 @@ def test_tokens_odd_text(spark):
 def test_packed_numbers():
     for x in ([], [0], [127, 128, 16_383, 16_384, 6_000_000], list(range(70_000))):
         assert _stretch(_squeeze(np.array(x, np.uint32))).tolist() == x
+
+
+def test_many_secrets_in_one_text(spark):
+    """Tens of thousands of matches of several rules in one text, and what overlaps, as `re` has them."""
+    lines = [hashlib.md5(str(i).encode()).hexdigest() + (f" é token = '{'Ab3' * (i % 9)}{hashlib.md5(str(-i).encode()).hexdigest()}' AKIA{'Q' * (i % 30)}" if i % 5 == 0 else "\n") for i in range(30_000)]
+    text = "".join(lines)
+    docs = spark.createDataFrame([(1, text), (2, "nothing"), (None, None)], "doc_id bigint, text string")
+    got = {r["doc_id"]: r for r in secret_report(docs).collect()}
+    want = {d: rest for d, *rest in brute_secrets([(1, text)])}
+    assert [got[1][c] for c in ("n_assign", "n_access", "n_hex", "base_sha256", "spans")] == want[1]
+    out, at = [], 0
+    for start, _, _, end in spans(text, BASE_RULES + MORE_RULES):
+        if start >= at:
+            out += [text[at:start], "[SECRET]"]
+        at = max(at, end)
+    clean = {r["doc_id"]: r["text"] for r in redact(docs).collect()}
+    assert clean == {1: "".join(out) + text[at:], 2: "nothing", None: None}
