@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.clock import DAY
 from ..functions.exact import share_ppm
-from ..sources.staging import staged
+from ..sources.staging import staged, whole
 from .timeline import asof, asof_by_bins
 
 #: The last of the five classes of account evidence (fixed values): launcher or hook, provider identity, credential mapping, inference from time, none.
@@ -105,6 +105,7 @@ def sessions_of_actors(actors: DataFrame, sessions: DataFrame, digits: int = 8)
     return joined.select(*actors.columns, F.when(F.col("n") == 1, F.col("session")).alias("session"), state.alias("state"))
 
 
+@whole
 def governing_ancestor(sessions: DataFrame, marked: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """(by, session, ancestor, depth): the nearest session on the way up, itself included, that has markers; null if there is none.
 

@@ -90,15 +90,17 @@ def passive_reasons(intervals: DataFrame) -> DataFrame:
     return checked.withColumn("reasons", all_reasons(*[(F.col(c), reason) for c, reason in PASSIVE_CONDITIONS.items()])).drop("both_sides", "no_reset")
 
 
-def passive_evidence(intervals: DataFrame, by: Sequence[str], usage: DataFrame, sessions: DataFrame, markers: DataFrame, anomalies: DataFrame, mismatches: DataFrame, permits: DataFrame) -> DataFrame:
+def passive_evidence(intervals: DataFrame, by: Sequence[str], usage: DataFrame, sessions: DataFrame, markers: DataFrame, anomalies: DataFrame, mismatches: DataFrame, permits: DataFrame, tiers: DataFrame, gaps: DataFrame) -> DataFrame:
     """passive_intervals plus the columns of PASSIVE_CONDITIONS and credits, out of the ledger.
 
     usage(by, ts, credits, estimated, unknown), markers(by, ts, rank) and
     mismatches(by, ts) count from an interval's start to its end, both included;
     sessions(by, a, b), of which it allows one, if they touch it, b null while
     running; anomalies(by, a, b) if they overlap its inside. permits(by,
-    permitted) is the policy. Evidence of rank 4 and 5 is inferred or none. A
-    series has one plan, and its readings cover the interval.
+    permitted) is the policy. Evidence of rank 4 and 5 is inferred or none.
+    tiers(by, ts) are changes of plan or tier: one after an interval's start and
+    up to its end puts its ends in different tiers. gaps(by, a, b) are times
+    without sampling coverage: one that overlaps the inside leaves it uncovered.
     """
     at, to, one = F.col("start.ts"), F.col("end.ts"), F.lit(1)
     moment = lambda rows, **sums: rows.select(*by, F.col("ts").alias("a"), F.col("ts").alias("b"), *[c.cast("bigint").alias(n) for n, c in sums.items()])
@@ -106,10 +108,14 @@ def passive_evidence(intervals: DataFrame, by: Sequence[str], usage: DataFrame,
     for more in (moment(markers, inferred=F.col("rank") >= 4), moment(mismatches, mismatched=one), sessions.select(*by, "a", "b", one.cast("bigint").alias("running"))):
         facts = facts.unionByName(more, allowMissingColumns=True)
     found = sums_within(intervals, facts, by, facts.columns[len(by) + 2 :], at, to)
-    found = sums_within(found, anomalies.select(*by, "a", "b", one.alias("anomalous")), by, ["anomalous"], at, to, closed=False)
+    # A change counts over the nanosecond before it: at an interval's end it is inside, at its start it isn't.
+    changed = tiers.select(*by, (F.col("ts") - 1).alias("a"), F.col("ts").alias("b"), one.alias("retiered"))
+    for more in (gaps.select(*by, "a", "b", one.alias("uncovered")), anomalies.select(*by, "a", "b", one.alias("anomalous"))):
+        changed = changed.unionByName(more, allowMissingColumns=True)
+    found = sums_within(found, changed, by, ["anomalous", "uncovered", "retiered"], at, to, closed=False)
     found = found.join(permits.select(*by, "permitted"), list(by), "left")
-    none = {"attributed": "inferred", "exact_usage": "estimates", "known_components": "unknowns", "no_anomaly": "anomalous", "no_mismatch": "mismatched"}
-    held = {c: F.col(n) == 0 for c, n in none.items()} | {"alone": F.col("running") <= 1, "same_tier": F.lit(True), "covered": F.lit(True)}
+    none = {"attributed": "inferred", "exact_usage": "estimates", "known_components": "unknowns", "no_anomaly": "anomalous", "no_mismatch": "mismatched", "same_tier": "retiered", "covered": "uncovered"}
+    held = {c: F.col(n) == 0 for c, n in none.items()} | {"alone": F.col("running") <= 1}
     return found.withColumns(held).drop(*none.values(), "running")
 
 
@@ -197,7 +203,7 @@ def _large_ranked(points: DataFrame, by: Sequence[str], places: Sequence[Callabl
 
     found = None
     for shift in range(64 - DIGIT, -1, -DIGIT):
-        asked = dealt if found is None else dealt.join(F.broadcast(found.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("t", "prefix")))["prefix"].alias("prefixes"))), list(by))
+        asked = dealt if found is None else dealt.join(found.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("t", "prefix")))["prefix"].alias("prefixes")), list(by))
         counted = asked.groupBy(*by, "p", "q").applyInPandas(counter(shift), f"{keys}, t int, digit bigint, c bigint").groupBy(*by, "t", "digit").agg(F.sum("c").alias("c"))
         run = counted.withColumn("before", F.sum("c").over(Window.partitionBy(*by, "t").orderBy("digit")) - F.col("c"))
         if found is None:
@@ -224,7 +230,7 @@ def ranked_slopes(points: DataFrame, by: Sequence[str], places: Sequence[Callabl
     them in groups of pairs. The results are the same.
     """
     known = points.where(" and ".join(f"`{c}` is not null" for c in (*by, "x", "y"))).select(*by, "x", "y")
-    long = F.broadcast(known.groupBy(*by).agg(F.count("*").alias("points")).where(F.col("points") > few))
+    long = known.groupBy(*by).agg(F.count("*").alias("points")).where(F.col("points") > few)
     numbered = known.join(long, list(by), "left_anti").withColumn("i", F.row_number().over(Window.partitionBy(*by).orderBy("x", "y")))
     a, b = numbered.alias("a"), numbered.alias("b")
     pairs = a.join(b, [*[F.col(f"a.{k}") == F.col(f"b.{k}") for k in by], F.col("a.i") < F.col("b.i"), F.abs(F.col("b.x") - F.col("a.x")) > 1e-6])
@@ -236,18 +242,28 @@ def ranked_slopes(points: DataFrame, by: Sequence[str], places: Sequence[Callabl
     return short if once.isEmpty() else short.unionByName(_large_ranked(once, by, places))
 
 
+def rejection(slope: Column) -> Column:
+    """Why a line can't be a calibration: too few different x, or a meter that doesn't rise with use. Null: it can."""
+    return F.when(slope.isNull(), "underidentified").when(slope <= 0, "non_positive_slope")
+
+
 def theil_sen(points: DataFrame, by: Sequence[str]) -> DataFrame:
-    """(by, slope, intercept, n): the median of slopes of pairs whose x differ by more than 1e-6, and the median remainder."""
+    """(by, slope, intercept, n, rejection) for each series: the median of slopes of pairs whose x differ by more than 1e-6, and the median remainder.
+
+    A series without such a pair has neither, and one whose slope isn't positive
+    keeps its line; rejection says which. Points without a key are no series.
+    """
     middle = [lambda n: F.floor((n - 1) / 2), lambda n: F.floor(n / 2)]
     slopes = ranked_slopes(points, by, middle).select(*by, (F.col("s")[0] * 0.5 + F.col("s")[1] * 0.5).alias("slope"))
-    rest = points.join(slopes, list(by)).groupBy(*by).agg(F.first("slope").alias("slope"), F.expr("percentile(y - slope * x, 0.5)").alias("intercept"), F.count("*").alias("n"))
-    return rest.select(*by, "slope", "intercept", "n")
+    named = points.where(" and ".join(f"`{c}` is not null" for c in by))
+    rest = named.join(slopes, list(by), "left").groupBy(*by).agg(F.first("slope").alias("slope"), F.expr("percentile(y - slope * x, 0.5)").alias("intercept"), F.count("*").alias("n"))
+    return rest.select(*by, "slope", "intercept", "n", rejection(F.col("slope")).alias("rejection"))
 
 
 def scalar_fit(points: DataFrame, by: Sequence[str]) -> DataFrame:
-    """(by, slope, residual): the line of median slope through readings taken at face value, and their mean distance from it."""
+    """(by, slope, residual, rejection) for each series: the line of median slope through readings taken at face value, and their mean distance from it."""
     off = F.abs(F.col("intercept") + F.col("slope") * F.col("x") - F.col("y"))
-    return points.join(theil_sen(points, by), list(by)).groupBy(*by).agg(F.first("slope").alias("slope"), F.avg(off).alias("residual"))
+    return points.join(theil_sen(points, by), list(by)).groupBy(*by).agg(F.first("slope").alias("slope"), F.avg(off).alias("residual"), F.first("rejection").alias("rejection"))
 
 
 def slope_spread(points: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -257,15 +273,15 @@ def slope_spread(points: DataFrame, by: Sequence[str]) -> DataFrame:
 
 
 def huber(points: DataFrame, by: Sequence[str], steps: int = 100) -> DataFrame:
-    """(by, slope, intercept, loss, steps): a line that comes as near the admissible intervals (x, lo, hi, resolution) as Huber's loss allows.
+    """(by, slope, intercept, loss, steps, rejection) for each series: a line that comes as near the admissible intervals (x, lo, hi, resolution) as Huber's loss allows.
 
     Starts from the line of median slope through the intervals' middles, which
     any number of points may have, and goes down the loss' gradient in equal
-    steps that shrink with the points' spread. A series without two different x
-    has no row. The loop needs a series' points over and over: one Arrow group
+    steps that shrink with the points' spread. A series whose starting line is
+    rejected isn't fitted: it has the reason, and that line's slope. The loop needs a series' points over and over: one Arrow group
     holds them as four columns.
     """
-    start = theil_sen(points.select(*by, "x", ((F.col("lo") + F.col("hi")) / 2).alias("y")), by).where("slope is not null")
+    start = theil_sen(points.select(*by, "x", ((F.col("lo") + F.col("hi")) / 2).alias("y")), by)
 
     def fit(df: pd.DataFrame) -> pd.DataFrame:
         x, lo, hi = (df[c].to_numpy(float) for c in ("x", "lo", "hi"))
@@ -286,8 +302,9 @@ def huber(points: DataFrame, by: Sequence[str], steps: int = 100) -> DataFrame:
         return pd.DataFrame({**{k: [df[k].iloc[0]] for k in by}, "slope": [slope], "intercept": [intercept], "loss": [loss], "steps": [done]})
 
     keys = ", ".join(f"{k} {points.schema[k].dataType.simpleString()}" for k in by)
-    both = points.select(*by, "x", "lo", "hi", "resolution").join(start.select(*by, "slope", "intercept"), list(by))
-    return both.groupBy(*by).applyInPandas(fit, f"{keys}, slope double, intercept double, loss double, steps int")
+    both = points.select(*by, "x", "lo", "hi", "resolution").join(start.where("rejection is null").select(*by, "slope", "intercept"), list(by))
+    fitted = both.groupBy(*by).applyInPandas(fit, f"{keys}, slope double, intercept double, loss double, steps int").withColumn("rejection", F.lit(None).cast("string"))
+    return fitted.unionByName(start.where("rejection is not null").select(*by, "slope", "rejection"), allowMissingColumns=True)
 
 
 def gram(points: DataFrame, by: Sequence[str], xs: Sequence[str], y: str) -> DataFrame:

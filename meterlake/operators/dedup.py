@@ -7,6 +7,7 @@ from collections.abc import Sequence
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.clock import DAY
 from ..functions.exact import floor_div
@@ -14,29 +15,44 @@ from ..functions.exact import floor_div
 KINDS = ("input", "output", "cache_read", "cache_write")
 
 
-def classify_identities(rows: DataFrame, key: str = "native_id", order: Sequence[str] = ("ts",), same: Sequence[str] = ("input", "cache_read", "cache_write"), grows: str = "output") -> DataFrame:
+def _comparable(rows: DataFrame, column: str) -> Column:
+    """A map as its sorted entries, which can be compared and ordered; any other column as it is."""
+    return F.array_sort(F.map_entries(column)).alias(column) if isinstance(rows.schema[column].dataType, T.MapType) else F.col(column)
+
+
+def _with_held(rows: DataFrame, key: str, order: Sequence[str], same: Sequence[str], grows: str) -> DataFrame:
+    """rows plus ord, class and rank: the greatest rank of a message is its kept row."""
+    w = Window.partitionBy(key).orderBy(*order)
+    numbered = rows.withColumn("ord", F.row_number().over(w)).withColumn("rank", F.struct(F.col(grows).alias("g"), (-F.col("ord")).alias("o")))
+    state = F.struct("rank.g", "rank.o", *[_comparable(rows, c) for c in same])
+    held = numbered.withColumn("held", F.max(state).over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    equal = F.lit(True)
+    for c in same:
+        equal = equal & F.col(f"held.{c}").eqNullSafe(_comparable(rows, c))
+    return held.withColumn("class", F.when(F.col("held").isNull(), "new").when(equal, "replay").otherwise("collision")).drop("held")
+
+
+SAME = ("input", "cache_read", "cache_write")
+
+
+def classify_identities(rows: DataFrame, key: str = "native_id", order: Sequence[str] = ("ts",), same: Sequence[str] = SAME, grows: str = "output") -> DataFrame:
     """rows plus ord, is_kept and class.
 
     A message's kept row is the one with the most output, the earliest of
     equals. A later row is a replay if it equals, output aside, the row that was
-    kept when it came, else a collision; the first is new.
+    kept when it came, else a collision; the first is new. Among what has to be
+    equal may be a map of counts that no parser knows.
     """
-    w = Window.partitionBy(key).orderBy(*order)
-    numbered = rows.withColumn("ord", F.row_number().over(w))
-    state = F.struct(F.col(grows).alias("g"), (-F.col("ord")).alias("o"), *same)
-    before = Window.partitionBy(key).orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
-    held = numbered.withColumn("held", F.max(state).over(before)).withColumn("best", F.max(state).over(Window.partitionBy(key)))
-    equal = F.lit(True)
-    for c in same:
-        equal = equal & F.col(f"held.{c}").eqNullSafe(F.col(c))
-    return held.withColumn("class", F.when(F.col("held").isNull(), "new").when(equal, "replay").otherwise("collision")).withColumn("is_kept", F.col("best.o") == -F.col("ord")).drop("held", "best")
+    held = _with_held(rows, key, order, same, grows)
+    return held.withColumn("is_kept", F.col("rank") == F.max("rank").over(Window.partitionBy(key))).drop("rank")
 
 
-def dedup_identities(rows: DataFrame, key: str = "native_id", order: Sequence[str] = ("ts",)) -> DataFrame:
-    """The kept row of each message, with how many replays and collisions it had."""
-    of = Window.partitionBy(key)
-    c = classify_identities(rows, key, order)
-    return c.withColumn("replays", F.sum((F.col("class") == "replay").cast("bigint")).over(of)).withColumn("collisions", F.sum((F.col("class") == "collision").cast("bigint")).over(of)).where("is_kept").drop("class", "is_kept", "ord")
+def dedup_identities(rows: DataFrame, key: str = "native_id", order: Sequence[str] = ("ts",), same: Sequence[str] = SAME, grows: str = "output") -> DataFrame:
+    """The kept row of each message, with how many replays and collisions it had: one sort by message, then an aggregate over the same partitions."""
+    held = _with_held(rows, key, order, same, grows)
+    count = lambda c: F.count_if(F.col("class") == c).alias(f"{c}s")
+    best = held.groupBy(key).agg(F.max_by(F.struct(*[c for c in rows.columns if c != key]), "rank").alias("best"), count("replay"), count("collision"))
+    return best.select(*[F.col(key) if c == key else F.col(f"best.{c}") for c in rows.columns], "replays", "collisions")
 
 
 def heuristic_key(ts: Column, session: Column, version: str = "hk1") -> Column:

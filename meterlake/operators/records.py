@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.clock import parse_rfc3339
-from ..sources.staging import scratch, staged
+from ..sources.staging import scratch, staged, whole
 
 
 def legacy_import(lines: DataFrame, native: DataFrame) -> DataFrame:
@@ -74,6 +74,7 @@ def batch_bounds(files: DataFrame, file: str, most_events: int, most_files: int)
     return files.withColumn("least_batch", F.greatest(div(before, most_events), div(place, most_files)).cast("bigint"))
 
 
+@whole
 def ancestors(rows: DataFrame) -> DataFrame:
     """(session, ancestor, depth) for all sessions above each one, rows(session, parent): a union with itself by doubling, until a round adds nothing.
 

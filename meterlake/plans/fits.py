@@ -76,15 +76,18 @@ def wn11(spark, sf_dir):
     return blocks(spark, sf_dir)
 
 
+REJECTION_SQL = "CASE WHEN slope IS NULL THEN 'underidentified' WHEN slope <= 0 THEN 'non_positive_slope' END AS rejection"
+
+
 @query(
     "ML-1_theil_sen",
     f"""WITH {BLOCK_SQL}, p AS (SELECT account, credits::DOUBLE AS x, delta::DOUBLE AS y, row_number() OVER (PARTITION BY account ORDER BY credits, delta) AS i FROM blk),
 s AS (SELECT a.account, quantile_cont((b.y - a.y) / (b.x - a.x), 0.5) AS slope FROM p a JOIN p b ON a.account = b.account AND a.i < b.i AND abs(b.x - a.x) > 1e-6 GROUP BY 1)
-SELECT p.account, round(slope, 6) AS slope, round(quantile_cont(y - slope * x, 0.5), 3) AS intercept, count(*) AS n FROM p JOIN s USING (account) GROUP BY p.account, slope""",
+SELECT p.account, round(slope, 6) AS slope, round(quantile_cont(y - slope * x, 0.5), 3) AS intercept, count(*) AS n, {REJECTION_SQL} FROM p LEFT JOIN s USING (account) GROUP BY p.account, slope""",
 )
 def ml1(spark, sf_dir):
     points = blocks(spark, sf_dir).select("account", F.col("credits").cast("double").alias("x"), F.col("delta").cast("double").alias("y"))
-    return calibration.theil_sen(points, ["account"]).select("account", F.round("slope", 6).alias("slope"), F.round("intercept", 3).alias("intercept"), "n")
+    return calibration.theil_sen(points, ["account"]).select("account", F.round("slope", 6).alias("slope"), F.round("intercept", 3).alias("intercept"), "n", "rejection")
 
 
 @query(
@@ -102,20 +105,36 @@ def ml3(spark, sf_dir):
     "ML-6_scalar_fit",
     f"""WITH {RUN_SQL}, p AS (SELECT account, (credits - min(credits) OVER (PARTITION BY account)) / 1e6 AS x, used_ppm::DOUBLE AS y, row_number() OVER (PARTITION BY account ORDER BY credits, used_ppm) AS i FROM cr),
 s AS (SELECT a.account, quantile_cont((b.y - a.y) / (b.x - a.x), 0.5) AS slope FROM p a JOIN p b ON a.account = b.account AND a.i < b.i AND abs(b.x - a.x) > 1e-6 GROUP BY 1),
-l AS (SELECT p.account, slope, quantile_cont(y - slope * x, 0.5) AS intercept FROM p JOIN s USING (account) GROUP BY p.account, slope)
-SELECT account, round(slope, 3) AS slope, round(avg(abs(intercept + slope * x - y)), 3) AS residual FROM p JOIN l USING (account) GROUP BY account, slope""",
+l AS (SELECT p.account, slope, quantile_cont(y - slope * x, 0.5) AS intercept FROM p LEFT JOIN s USING (account) GROUP BY p.account, slope)
+SELECT account, round(slope, 3) AS slope, round(avg(abs(intercept + slope * x - y)), 3) AS residual, {REJECTION_SQL} FROM p JOIN l USING (account) GROUP BY account, slope""",
 )
 def ml6(spark, sf_dir):
     least = F.min("credits").over(Window.partitionBy("account"))
     points = with_credits(spark, sf_dir).select("account", ((F.col("credits") - least) / 1e6).alias("x"), F.col("used_ppm").cast("double").alias("y"))
-    return calibration.scalar_fit(points, ["account"]).select("account", F.round("slope", 3).alias("slope"), F.round("residual", 3).alias("residual"))
+    return calibration.scalar_fit(points, ["account"]).select("account", F.round("slope", 3).alias("slope"), F.round("residual", 3).alias("residual"), "rejection")
 
 
-@query("ML-2_huber")
+@query(
+    "ML-2_huber",
+    f"""WITH RECURSIVE {BLOCK_SQL}, p AS MATERIALIZED (SELECT account, credits::DOUBLE AS x, (delta - {RES // 2})::DOUBLE AS lo, (delta + {RES // 2})::DOUBLE AS hi, row_number() OVER (PARTITION BY account ORDER BY credits, delta) AS i FROM blk),
+s AS (SELECT a.account, quantile_cont((b.lo + b.hi - a.lo - a.hi) / 2 / (b.x - a.x), 0.5) AS slope FROM p a JOIN p b ON a.account = b.account AND a.i < b.i AND abs(b.x - a.x) > 1e-6 GROUP BY 1),
+l AS MATERIALIZED (SELECT account, slope, quantile_cont((lo + hi) / 2 - slope * x, 0.5) AS intercept, {REJECTION_SQL} FROM p LEFT JOIN s USING (account) GROUP BY account, slope),
+r AS MATERIALIZED (SELECT account, least(greatest({RES}::DOUBLE / 2, 100), 5000) AS delta, least(greatest(1 / (1 + avg(x * x)), 1e-5), 0.5) / count(*) AS rate, list({{'x': x, 'lo': lo, 'hi': hi}} ORDER BY i) AS ps FROM p GROUP BY account),
+g AS (
+  SELECT account, slope, intercept, 0 AS step, false AS still FROM l WHERE rejection IS NULL
+  UNION ALL
+  SELECT account, slope - tilt, intercept - up, step + 1, abs(up) < 1e-6 AND abs(tilt) < 1e-7 FROM (
+    SELECT *, rate * list_sum(list_transform(pulls, lambda q: q.v)) AS up, rate * list_sum(list_transform(pulls, lambda q: q.v * q.x)) AS tilt FROM (
+      SELECT g.*, rate, list_transform(ps, lambda q: {{'x': q.x, 'v': least(greatest(intercept + slope * q.x - least(greatest(intercept + slope * q.x, q.lo), q.hi), -delta), delta)}}) AS pulls FROM g JOIN r USING (account) WHERE step < 100 AND NOT still))),
+e AS (SELECT account, max(step) AS steps, arg_max(slope, step) AS slope, arg_max(intercept, step) AS intercept FROM g GROUP BY account),
+o AS (SELECT account, unnest(list_transform(ps, lambda q: abs(intercept + slope * q.x - least(greatest(intercept + slope * q.x, q.lo), q.hi)))) AS off, delta FROM e JOIN r USING (account))
+SELECT account, round(l.slope, 6) AS slope, NULL::DOUBLE AS intercept, NULL::DOUBLE AS loss, NULL::INTEGER AS steps, rejection FROM l WHERE rejection IS NOT NULL
+UNION ALL SELECT account, round(any_value(slope), 6), round(any_value(intercept), 3), round(sum(CASE WHEN off <= delta THEN off * off / 2 ELSE delta * (off - delta / 2) END), 3), any_value(steps)::INTEGER, NULL FROM o JOIN e USING (account) GROUP BY account""",
+)
 def ml2(spark, sf_dir):
     half = RES // 2
     points = blocks(spark, sf_dir).select("account", F.col("credits").cast("double").alias("x"), (F.col("delta") - half).cast("double").alias("lo"), (F.col("delta") + half).cast("double").alias("hi"), F.lit(float(RES)).alias("resolution"))
-    return calibration.huber(points, ["account"])
+    return calibration.huber(points, ["account"]).select("account", F.round("slope", 6).alias("slope"), F.round("intercept", 3).alias("intercept"), F.round("loss", 3).alias("loss"), "steps", "rejection")
 
 
 def arms(spark, sf_dir):

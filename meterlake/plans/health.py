@@ -47,7 +47,7 @@ def sc17(spark, sf_dir):
     return rows.select("native_id", "session", "model", (F.col("input") + F.col("output") + F.col("cache_read") + F.col("cache_write")).alias("tokens"))
 
 
-@query("SC-9_change_classes", "WITH o AS (SELECT o_orderkey AS path, o_custkey AS identity, round(o_totalprice)::BIGINT AS size FROM orders), s AS (SELECT path, CASE WHEN path % 7 = 0 THEN identity + 1 ELSE identity END AS identity, CASE path % 5 WHEN 0 THEN size - 1 WHEN 1 THEN size + 1 ELSE size END AS size, CASE WHEN path % 11 = 0 THEN 1 ELSE 2 END AS version FROM o WHERE path % 3 <> 0) SELECT o.path, CASE WHEN s.path IS NULL THEN 'new' WHEN version <> 2 THEN 'parser_version_changed' WHEN s.identity <> o.identity THEN 'rebuild_required' WHEN s.size = o.size THEN 'unchanged' WHEN o.size > s.size THEN 'appended' ELSE 'rebuild_required' END AS change FROM o LEFT JOIN s ON s.path = o.path")
+@query("SC-9_change_classes", "WITH o AS (SELECT o_orderkey AS path, o_custkey AS identity, round(o_totalprice)::BIGINT AS size FROM orders), s AS (SELECT path, CASE WHEN path % 7 = 0 THEN identity + 1 ELSE identity END AS identity, CASE path % 5 WHEN 0 THEN size - 1 WHEN 1 THEN size + 1 ELSE size END AS size, CASE WHEN path % 11 = 0 THEN 1 ELSE 2 END AS version FROM o WHERE path % 3 <> 0) SELECT o.path, CASE WHEN s.path IS NULL THEN 'new' WHEN s.identity <> o.identity OR o.size < s.size THEN 'rebuild_required' WHEN version <> 2 THEN 'parser_version_changed' WHEN s.size = o.size THEN 'unchanged' WHEN o.size > s.size THEN 'appended' ELSE 'rebuild_required' END AS change FROM o LEFT JOIN s ON s.path = o.path")
 def sc9(spark, sf_dir):
     from ..streaming.ingest import changes
 
@@ -142,6 +142,8 @@ def sl3(spark, sf_dir):
 HOUR = 3_600_000_000_000
 #: Readings lie days apart in the sample tables, so plateaus may be wide there.
 PLATEAU = {"units": 12, "within": 480 * HOUR}
+#: The longest time between two events of an account that counts as sampled.
+HOLE = 120 * HOUR
 PASSIVE_SQL = f"""{M_SQL},
 o AS (SELECT *, CASE WHEN observation % 6 = 0 THEN ts - {HOUR} END AS resets_at, ts - lag(ts) OVER (PARTITION BY account ORDER BY ts) AS gap FROM meter),
 f AS (SELECT *, count(*) OVER w AS n, ts - min(ts) OVER w AS span, max(used_ppm) OVER w - min(used_ppm) OVER w AS spread, min(gap) OVER (PARTITION BY account ORDER BY ts ROWS BETWEEN 1 PRECEDING AND CURRENT ROW) AS least FROM o WINDOW w AS (PARTITION BY account ORDER BY ts ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)),
@@ -153,12 +155,14 @@ rs AS (SELECT i.account, i.first, bool_or(o.resets_at > a AND o.resets_at < b) A
 us AS (SELECT i.account, i.first, sum(amount) AS credits, count(*) FILTER (WHERE k % 17 = 0) AS est, count(*) FILTER (WHERE k % 19 = 0) AS unk FROM i JOIN ev ON user_id = account AND event_type = 'click' AND ts BETWEEN a AND b GROUP BY ALL),
 mk AS (SELECT i.account, i.first, count(*) AS inferred FROM i JOIN ev ON user_id = account AND event_type = 'signup' AND k % 5 >= 3 AND ts BETWEEN a AND b GROUP BY ALL),
 ss AS (SELECT i.account, i.first, count(*) AS running FROM i JOIN ev ON user_id = account AND event_type = 'purchase' AND ts <= b AND (k % 23 = 0 OR ts + {12 * HOUR} >= a) GROUP BY ALL),
+tr AS (SELECT i.account, i.first, count(*) AS tiers FROM i JOIN ev ON user_id = account AND event_type = 'purchase' AND k % 29 = 0 AND ts > a AND ts <= b GROUP BY ALL),
+gp AS (SELECT i.account, i.first, count(*) AS holes FROM i JOIN (SELECT user_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS prior FROM ev) d ON user_id = account AND ts - prior > {HOLE} AND prior < b AND ts > a GROUP BY ALL),
 an AS (SELECT i.account, i.first, count(*) FILTER (WHERE k % 4 = 0 AND ts < b AND ts + {6 * HOUR} > a) AS anomalies, count(*) FILTER (WHERE k % 11 = 0 AND ts BETWEEN a AND b) AS mismatches FROM i JOIN ev ON user_id = account AND event_type = 'error' GROUP BY ALL),
 x AS (SELECT i.*, coalesce(credits, 0)::BIGINT AS credits, coalesce(named, false) OR v < u - 2500 AS reset_inside,
-        concat_ws(',', CASE WHEN inferred > 0 THEN 'high_confidence_account_attribution' END, CASE WHEN named OR v < u - 2500 THEN 'no_reset_inside' END, CASE WHEN est > 0 THEN 'exact_contributing_usage' END,
-          CASE WHEN unk > 0 THEN 'no_unknown_token_components' END, CASE WHEN running > 1 THEN 'no_second_local_session_or_consumer' END, CASE WHEN i.account % 5 = 0 THEN 'exclusivity_policy_permits_passive' END,
+        concat_ws(',', CASE WHEN inferred > 0 THEN 'high_confidence_account_attribution' END, CASE WHEN named OR v < u - 2500 THEN 'no_reset_inside' END, CASE WHEN tiers > 0 THEN 'unchanged_plan_tier' END, CASE WHEN est > 0 THEN 'exact_contributing_usage' END,
+          CASE WHEN unk > 0 THEN 'no_unknown_token_components' END, CASE WHEN holes > 0 THEN 'sufficient_meter_coverage' END, CASE WHEN running > 1 THEN 'no_second_local_session_or_consumer' END, CASE WHEN i.account % 5 = 0 THEN 'exclusivity_policy_permits_passive' END,
           CASE WHEN NOT settled THEN 'server_side_settlement_satisfied' END, CASE WHEN anomalies > 0 THEN 'meter_window_anomaly' END, CASE WHEN mismatches > 0 THEN 'external_validation_mismatch' END) AS reasons
-      FROM i LEFT JOIN rs USING (account, first) LEFT JOIN us USING (account, first) LEFT JOIN mk USING (account, first) LEFT JOIN ss USING (account, first) LEFT JOIN an USING (account, first))"""
+      FROM i LEFT JOIN rs USING (account, first) LEFT JOIN us USING (account, first) LEFT JOIN mk USING (account, first) LEFT JOIN ss USING (account, first) LEFT JOIN an USING (account, first) LEFT JOIN tr USING (account, first) LEFT JOIN gp USING (account, first))"""
 
 
 def passive(spark, sf_dir):
@@ -171,8 +175,10 @@ def passive(spark, sf_dir):
     anomalies = of("error").where(k % 4 == 0).select(by, ts.alias("a"), (ts + 6 * HOUR).alias("b"))
     mismatches = of("error").where(k % 11 == 0).select(by, "ts")
     permits = readings.select("account").distinct().withColumn("permitted", F.col("account") % 5 != 0)
+    tiers = of("purchase").where(k % 29 == 0).select(by, "ts")
+    seen = t.events(spark, sf_dir).select(by, F.lag("ts").over(Window.partitionBy("user_id").orderBy("ts")).alias("a"), ts.alias("b"))
     intervals = calibration.passive_intervals(readings, ["account"], **PLATEAU)
-    return calibration.passive_reasons(calibration.passive_evidence(intervals, ["account"], usage, sessions, markers, anomalies, mismatches, permits))
+    return calibration.passive_reasons(calibration.passive_evidence(intervals, ["account"], usage, sessions, markers, anomalies, mismatches, permits, tiers, seen.where(F.col("b") - F.col("a") > HOLE)))
 
 
 @query("ML-8_passive_candidates", f"WITH {PASSIVE_SQL} SELECT account, first, last, settled, reset_inside, credits, reasons FROM x")
@@ -185,11 +191,11 @@ def ml8(spark, sf_dir):
     f"""WITH {PASSIVE_SQL}, q AS (SELECT *, sum(credits) OVER w AS x, row_number() OVER w AS nth FROM x WHERE reasons = '' WINDOW w AS (PARTITION BY account ORDER BY a, first ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
 p AS (SELECT account, x::DOUBLE AS x, v::DOUBLE AS y FROM q UNION ALL SELECT account, 0.0, u::DOUBLE FROM q WHERE nth = 1), n AS (SELECT *, row_number() OVER (PARTITION BY account ORDER BY x, y) AS i FROM p),
 s AS (SELECT a.account, quantile_cont((b.y - a.y) / (b.x - a.x), 0.5) AS slope FROM n a JOIN n b ON a.account = b.account AND a.i < b.i AND abs(b.x - a.x) > 1e-6 GROUP BY 1)
-SELECT n.account, round(slope, 6) AS slope, round(quantile_cont(y - slope * x, 0.5), 3) AS intercept, count(*) AS n FROM n JOIN s USING (account) GROUP BY n.account, slope""",
+SELECT n.account, round(slope, 6) AS slope, round(quantile_cont(y - slope * x, 0.5), 3) AS intercept, count(*) AS n, CASE WHEN slope IS NULL THEN 'underidentified' WHEN slope <= 0 THEN 'non_positive_slope' END AS rejection FROM n LEFT JOIN s USING (account) GROUP BY n.account, slope""",
 )
 def ml8_fit(spark, sf_dir):
     points = calibration.passive_points(passive(spark, sf_dir), ["account"])
-    return calibration.theil_sen(points, ["account"]).where("slope is not null").select("account", F.round("slope", 6).alias("slope"), F.round("intercept", 3).alias("intercept"), "n")
+    return calibration.theil_sen(points, ["account"]).select("account", F.round("slope", 6).alias("slope"), F.round("intercept", 3).alias("intercept"), "n", "rejection")
 
 
 @query("CV-1_sampling_coverage", f"WITH {A_SQL}, a AS (SELECT account, count(*) FILTER (WHERE outcome = 'success') AS good, count(*) FILTER (WHERE outcome <> 'interrupted') AS n FROM att GROUP BY account) SELECT account, good, n, CASE WHEN n <> 0 THEN ((2 * good * 1000000 + n) // (2 * n))::BIGINT END AS coverage_ppm FROM a")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import clock, exact, globs, json_paths
-from ..operators import dedup, reconcile, spend
+from ..operators import dedup, qualified, reconcile, spend
 from ..sources import tables as t
 from .registry import query
 
@@ -166,6 +166,51 @@ def ag1(spark, sf_dir):
     return spend.rollup(ledger(spark, sf_dir), ["day", "account", "model"], KINDS)
 
 
+NODE_DIMS = ("day", "session", "project", "repository", "task", "account", "harness", "model")
+
+
+def qualified_events(spark, sf_dir):
+    """Canonical events with all eight dimensions and what qualifies each; some nations stand for no account, a few columns' values for the evidence."""
+    rows = ledger(spark, sf_dir)
+    facts = t.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("of_order"), F.col("o_orderpriority").alias("task")).join(t.table(spark, sf_dir, "customer").select("c_custkey", F.col("c_mktsegment").alias("repository")).join(t.table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), F.col("c_custkey") == F.col("o_custkey")).select("o_orderkey", "repository"), F.col("of_order") == F.col("o_orderkey"), "left")
+    rows = rows.drop("o_orderkey").join(facts.select("of_order", "task", "repository"), rows.l_orderkey == F.col("of_order"), "left")
+    part = F.col("l_partkey")
+    account = F.when(~F.col("account").isin("FRANCE", "CHINA", "NATION_3"), F.col("account"))
+    return rows.select(
+        "day", *[spend.bucketed(F.col(c), c).alias(c) for c in ("session", "project", "repository", "task")], spend.bucketed(account, "account").alias("account"), spend.bucketed(F.col("harness"), "harness").alias("harness"), spend.bucketed(F.col("model"), "model").alias("model"), *KINDS,
+        F.when(part % 11 == 0, "output-ratio").when(part % 7 == 0, "chars").otherwise(qualified.REPORTED).alias("evidence"), (part % 13 == 0).alias("heuristic"),
+        F.filter(F.array(F.when(part % 17 == 0, F.lit("cache_write")), F.when(part % 19 == 0, F.lit("output"))), lambda x: x.isNotNull()).alias("missing"), F.concat(F.lit("source-"), (part % 3).cast("string")).alias("source"),
+    )
+
+
+_GROUPS = f"grouping({', '.join(NODE_DIMS)})"
+_DEPTH = f"(8 - bit_count({_GROUPS}))"
+
+
+@query(
+    "AG-1_qualified_rollup",
+    f"""WITH {FULL_SQL}, f AS (
+  SELECT day, coalesce(session::VARCHAR, 'unknown-session') AS session, project, coalesce(c_mktsegment, 'unknown-repository') AS repository, coalesce(o_orderpriority, 'unknown-task') AS task, CASE WHEN account IN ('FRANCE', 'CHINA', 'NATION_3') THEN 'unknown-account' ELSE account END AS account,
+         coalesce(l.harness, 'unknown-harness') AS harness, coalesce(model, 'unknown-model') AS model, input, output, cache_read, cache_write, CASE WHEN l_partkey % 11 = 0 THEN 'output-ratio' WHEN l_partkey % 7 = 0 THEN 'chars' END AS method,
+         l_partkey % 13 = 0 AS guessed, l_partkey % 17 = 0 AS no_write, l_partkey % 19 = 0 AS no_output, 'source-' || l_partkey % 3 AS source
+  FROM ledger l LEFT JOIN orders ON o_orderkey = l_orderkey LEFT JOIN customer ON c_custkey = o_custkey),
+n AS (
+  SELECT {', '.join(NODE_DIMS)}, {_DEPTH}::INTEGER AS depth, concat_ws(' / ', {', '.join(f"CASE WHEN {_DEPTH} > {i} THEN '{d}=' || {d} END" for i, d in enumerate(NODE_DIMS))}) AS path, count(*) AS events,
+         {', '.join(f"sum({k})::BIGINT AS {k}" for k in KINDS)}, count(method) AS estimated, bool_or(guessed) AS guessed, list_sort(list(DISTINCT method) FILTER (WHERE method IS NOT NULL)) AS methods,
+         bool_or(no_write) AS no_write, bool_or(no_output) AS no_output, string_agg(DISTINCT source, ',' ORDER BY source) AS sources
+  FROM f GROUP BY ROLLUP ({', '.join(NODE_DIMS)})),
+q AS (SELECT *, concat_ws(',', CASE WHEN depth > 5 AND account = 'unknown-account' THEN 'account' END, CASE WHEN no_write THEN 'cache_write' END, CASE WHEN no_output THEN 'output' END) AS missing FROM n)
+SELECT depth, path, events, {', '.join(KINDS)}, CASE missing WHEN '' THEN 'complete' ELSE 'partial' END AS coverage, missing,
+       CASE WHEN guessed OR estimated = events THEN 'estimated' WHEN estimated = 0 THEN 'measured' ELSE 'mixed' END AS quality,
+       coalesce(array_to_string(CASE WHEN guessed THEN list_sort(list_append(coalesce(methods, []), 'schedule-unresolved')) ELSE methods END, ','), '') AS methods, sources
+FROM q""",
+)
+def ag1_qualified(spark, sf_dir):
+    """Eight dimensions, all qualifications on every node."""
+    nodes = qualified.qualified_rollup(qualified_events(spark, sf_dir), NODE_DIMS, KINDS)
+    return nodes.select("depth", "path", "events", *KINDS, "coverage", F.array_join("missing", ",").alias("missing"), "quality", F.array_join("methods", ",").alias("methods"), F.array_join("sources", ",").alias("sources"))
+
+
 @query("AG-2_vector_sum", f"WITH {FULL_SQL} SELECT session, sum(input)::BIGINT AS input, sum(output)::BIGINT AS output, sum(cache_read)::BIGINT AS cache_read, sum(cache_write)::BIGINT AS cache_write, CASE WHEN bool_and(harness = 'F') THEN 'measured' WHEN bool_and(harness = 'O') THEN 'estimated' ELSE 'mixed' END AS quality FROM ledger GROUP BY session")
 def ag2(spark, sf_dir):
     return ledger(spark, sf_dir).groupBy("session").agg(*[F.sum(k).alias(k) for k in KINDS], spend.quality(F.col("harness") == "F", F.col("harness") == "O").alias("quality"))

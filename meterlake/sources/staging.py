@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 from contextlib import contextmanager
+from contextvars import ContextVar
 from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,8 +27,8 @@ def shared_dir(spark: SparkSession) -> str:
     return "/tmp/checkpoints"
 
 
-#: Folders staged since each open scratch() began, the innermost last.
-_scratch: list[list[str]] = []
+#: Folders staged since each open scratch() began, the innermost last; each thread has its own.
+_scratch: ContextVar[tuple[list[str], ...]] = ContextVar("scratch", default=())
 
 
 def _folder(spark: SparkSession, path: str):
@@ -38,8 +39,8 @@ def _folder(spark: SparkSession, path: str):
 def new_folder(spark: SparkSession, name: str) -> str:
     """A path of its own in the shared folder. What is written there goes with the scratch() around it, or else when the session ends."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    if _scratch:
-        _scratch[-1].append(path)
+    if _scratch.get():
+        _scratch.get()[-1].append(path)
     else:
         fs, at = _folder(spark, path)
         fs.deleteOnExit(at)
@@ -56,12 +57,14 @@ def staged(df: DataFrame, name: str) -> DataFrame:
 
 @contextmanager
 def scratch(spark: SparkSession):
-    """What is staged inside is deleted at the end: read it before."""
-    _scratch.append([])
+    """What this thread stages inside is deleted at the end: read it before."""
+    held: list[str] = []
+    outer = _scratch.set((*_scratch.get(), held))
     try:
         yield
     finally:
-        for path in _scratch.pop():
+        _scratch.reset(outer)
+        for path in held:
             fs, at = _folder(spark, path)
             fs.delete(at, True)
 

@@ -38,12 +38,17 @@ def ingest_stream(spark: SparkSession, source: str, schema: T.StructType, ledger
 
 
 def changes(stored: DataFrame, current: DataFrame, parser_version: int) -> DataFrame:
-    """current files (path, identity, size, mtime) plus change: what happened to each since it was last read."""
+    """current files (path, identity, size, mtime) plus change: what happened to each since it was last read.
+
+    Another file at the path, or a shorter one, is read anew before anything
+    else is asked: no offset of the old one means anything there. A new parser
+    reads even an unchanged file again.
+    """
     s = stored.select("path", *[F.col(c).alias(f"old_{c}") for c in ("identity", "size", "mtime", "parser_version")])
     change = (
         F.when(F.col("old_size").isNull(), "new")
+        .when((F.col("old_identity") != F.col("identity")) | (F.col("size") < F.col("old_size")), "rebuild_required")
         .when(F.col("old_parser_version") != parser_version, "parser_version_changed")
-        .when(F.col("old_identity") != F.col("identity"), "rebuild_required")
         .when((F.col("old_size") == F.col("size")) & (F.col("old_mtime") == F.col("mtime")), "unchanged")
         .when(F.col("size") > F.col("old_size"), "appended")
         .otherwise("rebuild_required")
