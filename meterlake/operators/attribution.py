@@ -195,3 +195,57 @@ def task_sessions(attributed: DataFrame, sessions: DataFrame) -> DataFrame:
     """(bucket, session, run, tokens, events): a task's usage by session, with the run that sessions(session, run) names."""
     out = attributed.where(F.col("bucket").startswith("task-")).groupBy("bucket", "session").agg(F.sum("tokens").cast("bigint").alias("tokens"), F.count("*").alias("events"))
     return out.join(sessions.select("session", "run"), "session", "left").select("bucket", "session", "run", "tokens", "events")
+
+
+def overlapping_pairs(sessions: DataFrame, width: int, by: Sequence[str] = (), levels: int = 24) -> DataFrame:
+    """(by, earlier, later, relation) of all pairs of sessions(by, session, a, b) that share an instant, b null while running.
+
+    Of two the earlier starts first (of equal starts the smaller session), and
+    they overlap if the later one's start lies in it: relation is contains if
+    the earlier lasts at least as long, a running one for ever, else runs_into.
+
+    Time is cut in bins of `width`; bins are joined to ever larger ones by
+    twos. A session takes the two bins at its ends, where instants are compared,
+    and between them few bins of all sizes, at most two of each: one that lasts
+    for ever has no more rows than `levels` asks, and meets starts only that it
+    holds. A start takes its bin of each size.
+    """
+    last = 1 << levels
+    origin = sessions.agg(F.min("a")).first()[0] or 0
+    a_bin = F.floor((F.col("a") - origin) / width)
+    b_bin = F.coalesce(F.least(F.floor((F.col("b") - origin) / width), F.lit(last)), F.lit(last))
+    key = [*by, "level", "bin"]
+    spans = sessions.where("a is not null and (b is null or b >= a)").select(*by, "session", "a", "b", a_bin.alias("lo"), b_bin.alias("hi"))
+    node = lambda level, at, exact: F.struct(F.lit(level).alias("level"), at.alias("bin"), F.lit(exact).alias("exact"))
+    nodes = [F.when(F.col("lo") <= F.col("hi"), node(0, F.col("lo"), False)), F.when(F.col("hi") > F.col("lo"), node(0, F.col("hi"), False))]
+    for k in range(levels):
+        left, right = F.floor((F.col("lo") + 1 + (1 << k) - 1) / (1 << k)), F.floor(F.col("hi") / (1 << k))
+        nodes += [F.when((left < right) & (left % 2 == 1), node(k, left, True)), F.when((left < right) & (right % 2 == 1), node(k, right - 1, True))]
+    held = spans.select(*by, F.col("session").alias("earlier"), F.col("a").alias("ea"), F.col("b").alias("eb"), F.explode(F.filter(F.array(*nodes), lambda x: x.isNotNull())).alias("n")).select(*by, "earlier", "ea", "eb", "n.*")
+    begun = spans.select(*by, F.col("session").alias("later"), F.col("a").alias("la"), F.col("b").alias("lb"), F.explode(F.transform(F.sequence(F.lit(0), F.lit(levels - 1)), lambda k: F.struct(k.alias("level"), F.floor(F.col("lo") / F.pow(F.lit(2), k)).alias("bin")))).alias("n")).select(*by, "later", "la", "lb", "n.*")
+    first = (F.col("ea") < F.col("la")) | ((F.col("ea") == F.col("la")) & (F.col("earlier") < F.col("later")))
+    inside = F.col("exact") | F.col("eb").isNull() | (F.col("la") <= F.col("eb"))
+    relation = F.when(F.col("eb").isNull() | (F.col("eb") >= F.col("lb")), "contains").otherwise("runs_into")
+    return held.join(begun, key).where(first & inside).select(*by, "earlier", "later", relation.alias("relation"))
+
+
+def sessions_by_prefix(prefixes: DataFrame, sessions: DataFrame) -> DataFrame:
+    """(prefix, namespace, status, matches, place, source, session, start): all sessions(source, session, start) whose ids begin with each of prefixes(prefix, namespace), whatever the case.
+
+    A prefix is trimmed; a null namespace asks all of them. A row for each match
+    in order of start, source and id; status is one, ambiguous where there are
+    more, none (and one row without a match), or empty_prefix, which would match
+    everything and is an error. An id is cut to the lengths that prefixes have,
+    so that prefixes and ids meet by equality; lengths are as many as ids are long.
+    """
+    asked = prefixes.select("prefix", "namespace", F.lower(F.trim(F.coalesce("prefix", F.lit("")))).alias("p")).distinct()
+    lengths = sorted(r[0] for r in asked.select(F.length("p")).distinct().collect() if r[0])
+    cuts = F.array(*[F.when(F.length("session") >= n, F.lower(F.substring("session", 1, n))) for n in lengths]) if lengths else F.array().cast("array<string>")
+    ids = sessions.select("source", "session", "start", F.explode(F.filter(cuts, lambda x: x.isNotNull())).alias("p"))
+    found = asked.join(ids, "p", "left").where(F.col("source").isNull() | F.col("namespace").isNull() | (F.col("namespace") == F.col("source")))
+    # A prefix whose matches lie in other namespaces only has none.
+    found = asked.select("prefix", "namespace", "p").join(found.where("session is not null").select(F.col("prefix").alias("fp"), F.col("namespace").alias("fn"), "source", "session", "start"), F.col("prefix").eqNullSafe(F.col("fp")) & F.col("namespace").eqNullSafe(F.col("fn")), "left")
+    of = Window.partitionBy("prefix", "namespace")
+    found = found.withColumn("matches", F.count("session").over(of)).withColumn("place", F.row_number().over(of.orderBy("start", "source", "session")))
+    status = F.when(F.col("p") == "", "empty_prefix").when(F.col("matches") == 0, "none").when(F.col("matches") == 1, "one").otherwise("ambiguous")
+    return found.select("prefix", "namespace", status.alias("status"), "matches", F.when(F.col("matches") > 0, F.col("place")).alias("place"), "source", "session", "start")

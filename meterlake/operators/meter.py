@@ -171,3 +171,49 @@ def selection(windows: DataFrame, now: int) -> DataFrame:
     verdict = F.when(F.col("full"), "exhausted_now").when(~F.col("all_ok"), "unknown").when(F.col("short"), "projected_exhaustion").otherwise("through_reset")
     gap = F.when(~F.col("full") & (F.col("w") > 0), F.greatest(F.lit(-100.0), F.least(F.lit(100.0), F.col("g") / F.col("w"))))
     return out.select("account", verdict.alias("verdict"), F.when(F.col("full"), F.lit(0)).when(F.col("all_ok") & F.col("short"), F.col("least")).cast("bigint").alias("runway"), gap.alias("gap"))
+
+
+def window_changes(observations: DataFrame, windows: DataFrame, subset: bool = False) -> DataFrame:
+    """(account, observation, previous, key, scope, name, change): what differs between each observation of an account and the one before.
+
+    observations(account, observation, at, plan, tier) in their order; windows
+    (account, observation, key, scope, name, used_ppm, reset, reset_at, nominal,
+    precision), reset being known, not_started or scheduled. A window is the same
+    by key, scope and name; groups of models are left out. One that is in both
+    observations is judged if plan and tier are the same and time doesn't run
+    backwards: percentage_decrease_without_reset or
+    unexpected_reset_timestamp_change. Whatever the plan, a new window of the
+    whole account is new_account_wide_window, and a missing one of a model
+    missing_model_specific_window, unless the source only ever shows a `subset`.
+
+    A window is emitted for its own observation's number and for the next one's:
+    one aggregate brings both sides together, with what appeared and what went.
+    """
+    w = Window.partitionBy("account").orderBy("observation")
+    facts = ("observation", "at", "plan", "tier")
+    seen = observations.select("account", F.row_number().over(w).alias("n"), *facts, *[F.lag(c).over(w).alias(f"old_{c}") for c in facts])
+    value = F.struct("used_ppm", "reset", "reset_at", "nominal", "precision")
+    placed = windows.where("scope <> 'group'").join(seen.select("account", "observation", "n"), ["account", "observation"]).select("account", "n", "key", "scope", "name", value.alias("v"))
+    both = placed.withColumn("now", F.lit(True)).union(placed.withColumn("n", F.col("n") + 1).withColumn("now", F.lit(False)))
+    pick = lambda now: F.max(F.when(F.col("now") == now, F.col("v")))
+    pairs = both.groupBy("account", "n", "key", "scope", "name").agg(pick(True).alias("new"), pick(False).alias("old")).join(seen.where("n > 1"), ["account", "n"])
+    gap = F.col("at") - F.col("old_at")
+    same_precision = F.col("new.precision") == F.col("old.precision")
+    tolerance = F.when(F.coalesce(same_precision, F.lit(False)), F.greatest(F.lit(TOLERANCE), F.col("new.precision") + gap)).otherwise(TOLERANCE)
+    instant = lambda side: F.when(F.col(f"{side}.reset") != "not_started", F.col(f"{side}.reset_at"))
+    old_reset, reset = instant("old"), instant("new")
+    one = old_reset.isNull() != reset.isNull()
+    changed = one | F.coalesce(F.abs(reset - old_reset) >= tolerance, F.lit(False))
+    due = F.coalesce(F.col("at") >= old_reset - TOLERANCE, F.lit(False))
+    legit = changed & due & (one | F.coalesce(reset >= old_reset + TOLERANCE, F.lit(False)))
+    begun = (F.col("old.reset") == "not_started") & (F.col("new.reset") == "known") & (reset <= F.col("at") + F.col("new.nominal") + tolerance)
+    scheduled = (F.col("old.reset") == "scheduled") | (F.col("new.reset") == "scheduled")
+    fell = F.col("new.used_ppm") < F.col("old.used_ppm")
+    judged = F.col("plan").eqNullSafe(F.col("old_plan")) & F.col("tier").eqNullSafe(F.col("old_tier")) & (gap >= 0)
+    moved = F.when(fell & ~legit, "percentage_decrease_without_reset").when(~fell & changed & ~legit & ~scheduled & ~F.coalesce(begun, F.lit(False)), "unexpected_reset_timestamp_change")
+    change = (
+        F.when(F.col("old").isNull(), F.when(F.col("scope") == "account", "new_account_wide_window"))
+        .when(F.col("new").isNull(), F.when((F.col("scope") == "model") & F.lit(not subset), "missing_model_specific_window"))
+        .when(judged, moved)
+    )
+    return pairs.select("account", "observation", F.col("old_observation").alias("previous"), "key", "scope", "name", change.alias("change")).where("change is not null")

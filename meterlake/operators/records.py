@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.clock import parse_rfc3339
+from ..sources import published
 from ..sources.staging import scratch, staged, whole
 
 
@@ -30,33 +31,33 @@ def legacy_import(lines: DataFrame, native: DataFrame) -> DataFrame:
     return attempts.union(seen)
 
 
-def publish(states: DataFrame, path: str, by: Sequence[str], order: Sequence[str]) -> None:
-    """Write the newest state of each key, with its generation, as a folder of its own.
+def publish(states: DataFrame, path: str, by: Sequence[str], order: Sequence[str]) -> int | None:
+    """Publish the newest state of each key, with its generation, as a whole; the generation.
 
-    states has a column generation. A folder that holds a later generation than
-    these is not replaced: generations only rise.
+    states has a column generation, and its greatest is what is published: one
+    below the published one is refused. Without states there is nothing to
+    publish.
     """
-    spark = states.sparkSession
     latest = states.groupBy(*by).agg(F.max_by(F.struct(*[c for c in states.columns if c not in by]), F.struct(*order)).alias("s")).select(*by, "s.*")
-    new = latest.agg(F.max("generation")).first()[0]
-    try:
-        held = spark.read.parquet(path).agg(F.max("generation")).first()[0]
-    except Exception as e:  # a folder that isn't there holds nothing
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        held = None
-    if held is not None and new is not None and new < held:
-        raise ValueError(f"generation {new} is older than the published {held}")
-    with scratch(spark):
-        # The old state may be part of the new one, so it is read in full before it is replaced.
-        staged(latest, "projection").write.mode("overwrite").parquet(path)
+    with scratch(states.sparkSession):
+        once = staged(latest, "projection")
+        generation = once.agg(F.max("generation")).first()[0]
+        if generation is not None:
+            published.publish(once, path, generation)
+    return generation
 
 
 def read_projection(spark: SparkSession, path: str, keys: DataFrame, key: str, behind: int) -> DataFrame:
-    """keys plus what is published for them, state and reason: unavailable (missing), stale (old_generation: more than `behind` before the newest) or available."""
-    held = spark.read.parquet(path)
-    newest = held.agg(F.max("generation")).first()[0]
-    old = F.col("generation") < F.lit(newest).cast("bigint") - behind
+    """keys plus what is published for them, state and reason: unavailable (missing), stale (old_generation: more than `behind` before the newest) or available.
+
+    Where the projection itself can't be read, all keys are unavailable, and its
+    reason is theirs.
+    """
+    try:
+        held, newest = published.read(spark, path)
+    except published.Unavailable as e:
+        return keys.withColumn("state", F.lit("unavailable")).withColumn("reason", F.lit(e.reason))
+    old = F.col("generation") < newest - behind
     missing = F.col("generation").isNull()
     out = keys.join(held, key, "left")
     return out.withColumn("state", F.when(missing, "unavailable").when(old, "stale").otherwise("available")).withColumn("reason", F.when(missing, "missing").when(old, "old_generation"))

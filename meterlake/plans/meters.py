@@ -284,8 +284,3 @@ def ag25(spark, sf_dir):
     rows = observations(spark, sf_dir).select("account", "ts", "observation", F.least(F.col("used_ppm") * 60, F.lit(1_000_000)).alias("used_ppm"), F.when(F.col("observation") % 3 != 0, F.lit(NOW + DAY // 4)).alias("reset_at"))
     last = rows.groupBy("account").agg(F.max_by(F.struct("used_ppm", "reset_at"), F.struct("ts", "observation")).alias("x")).select("account", "x.*", F.lit(0).alias("idx"), F.lit(DAY).alias("nominal"), F.lit(1.0).alias("weight"))
     return meter.selection(last, NOW).select("account", "verdict", F.round(F.col("runway") / SECOND).cast("bigint").alias("runway_s"), F.round("gap", 6).alias("gap"))
-
-
-@query("SK-4_projection", f"WITH {M_SQL} SELECT account, max(ts) AS ts, arg_max(used_ppm, {{'t': ts, 'o': observation}}) AS used_ppm FROM meter GROUP BY account")
-def sk4(spark, sf_dir):
-    return t.meter(spark, sf_dir).groupBy("account").agg(F.max("ts").alias("ts"), F.max_by("used_ppm", F.struct("ts", "observation")).alias("used_ppm"))

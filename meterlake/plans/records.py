@@ -129,7 +129,7 @@ def sc7(spark, sf_dir):
     return transcripts.parse_agy(lines)[0].select("file", "line", "session", "ts", "input", "output")
 
 
-def _written(spark, sf_dir, name):
+def written_lines(spark, sf_dir, name):
     """A folder of one text file for each fifth of the users, the last line of which ends in a blank, not in a newline."""
     path = new_folder(spark, name)
     bodies = t.events(spark, sf_dir).groupBy((F.col("user_id") % 5).alias("part")).agg(F.array_join(F.transform(F.array_sort(F.collect_list("event_id")), lambda i: F.concat(F.lit("line "), i.cast("string"))), "\n").alias("value"))
@@ -139,13 +139,13 @@ def _written(spark, sf_dir, name):
 
 @query("SC-1_discovery", f"{E_SQL} SELECT 'part=' || (user_id % 5) AS folder, sum(length('line ' || event_id) + 1)::BIGINT AS size FROM ev GROUP BY 1")
 def sc1(spark, sf_dir):
-    found = transcripts.discover(spark, _written(spark, sf_dir, "discovery"), "*.txt")
+    found = transcripts.discover(spark, written_lines(spark, sf_dir, "discovery"), "*.txt")
     return found.select(F.regexp_extract("file", r"(part=\d)", 1).alias("folder"), "size")
 
 
 @query("SC-10_complete_lines", f"{E_SQL}, n AS (SELECT *, row_number() OVER w AS line, count(*) OVER (PARTITION BY user_id % 5) AS lines FROM ev WINDOW w AS (PARTITION BY user_id % 5 ORDER BY event_id)) SELECT 'part=' || (user_id % 5) AS folder, line::INTEGER AS line, 'line ' || event_id AS text FROM n WHERE line < lines")
 def sc10(spark, sf_dir):
-    lines = transcripts.read_lines(spark, _written(spark, sf_dir, "lines"), "*.txt")
+    lines = transcripts.read_lines(spark, written_lines(spark, sf_dir, "lines"), "*.txt")
     return lines.select(F.regexp_extract("file", r"(part=\d)", 1).alias("folder"), "line", "text")
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from meterlake.operators import attribution, records
 from meterlake.sources import databases, quotas, transcripts
+from meterlake.sources import published
 from meterlake.streaming import ingest
 
 
@@ -84,7 +85,7 @@ def test_projection_generations(spark, tmp_path):
     assert got == {1: ("available", None, 6), 2: ("stale", "old_generation", 9), 3: ("unavailable", "missing", None)}
     with pytest.raises(ValueError, match="older"):
         records.publish(spark.createDataFrame([(3, 1, 7)], schema), path, ["account"], ["generation"])
-    records.publish(spark.read.parquet(path).union(spark.createDataFrame([(3, 1, 9)], schema)), path, ["account"], ["generation"])
+    records.publish(published.read(spark, path)[0].union(spark.createDataFrame([(3, 1, 9)], schema)), path, ["account"], ["generation"])
     assert records.read_projection(spark, path, accounts, "account", 9).where("state = 'available'").count() == 3
 
 
