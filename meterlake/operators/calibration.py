@@ -284,6 +284,7 @@ def huber(points: DataFrame, by: Sequence[str], steps: int = 100) -> DataFrame:
     start = theil_sen(points.select(*by, "x", ((F.col("lo") + F.col("hi")) / 2).alias("y")), by)
 
     def fit(df: pd.DataFrame) -> pd.DataFrame:
+        df = df.sort_values(["x", "lo", "hi"])  # sums come out alike in every run
         x, lo, hi = (df[c].to_numpy(float) for c in ("x", "lo", "hi"))
         delta = float(np.clip(df["resolution"].max() / 2, 100, 5000))
         slope, intercept = float(df["slope"].iloc[0]), float(df["intercept"].iloc[0])

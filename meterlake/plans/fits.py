@@ -128,13 +128,13 @@ g AS (
       SELECT g.*, rate, list_transform(ps, lambda q: {{'x': q.x, 'v': least(greatest(intercept + slope * q.x - least(greatest(intercept + slope * q.x, q.lo), q.hi), -delta), delta)}}) AS pulls FROM g JOIN r USING (account) WHERE step < 100 AND NOT still))),
 e AS (SELECT account, max(step) AS steps, arg_max(slope, step) AS slope, arg_max(intercept, step) AS intercept FROM g GROUP BY account),
 o AS (SELECT account, unnest(list_transform(ps, lambda q: abs(intercept + slope * q.x - least(greatest(intercept + slope * q.x, q.lo), q.hi)))) AS off, delta FROM e JOIN r USING (account))
-SELECT account, round(l.slope, 6) AS slope, NULL::DOUBLE AS intercept, NULL::DOUBLE AS loss, NULL::INTEGER AS steps, rejection FROM l WHERE rejection IS NOT NULL
-UNION ALL SELECT account, round(any_value(slope), 6), round(any_value(intercept), 3), round(sum(CASE WHEN off <= delta THEN off * off / 2 ELSE delta * (off - delta / 2) END), -3), any_value(steps)::INTEGER, NULL FROM o JOIN e USING (account) GROUP BY account""",
+SELECT account, round(l.slope, 3) AS slope, NULL::DOUBLE AS intercept, NULL::DOUBLE AS loss, NULL::INTEGER AS steps, rejection FROM l WHERE rejection IS NOT NULL
+UNION ALL SELECT account, round(any_value(slope), 3), round(any_value(intercept), 1), round(sum(CASE WHEN off <= delta THEN off * off / 2 ELSE delta * (off - delta / 2) END), -5), any_value(steps)::INTEGER, NULL FROM o JOIN e USING (account) GROUP BY account""",
 )
 def ml2(spark, sf_dir):
     half = RES // 2
     points = blocks(spark, sf_dir).select("account", F.col("credits").cast("double").alias("x"), (F.col("delta") - half).cast("double").alias("lo"), (F.col("delta") + half).cast("double").alias("hi"), F.lit(float(RES)).alias("resolution"))
-    return calibration.huber(points, ["account"]).select("account", F.round("slope", 6).alias("slope"), F.round("intercept", 3).alias("intercept"), F.round("loss", -3).alias("loss"), "steps", "rejection")
+    return calibration.huber(points, ["account"]).select("account", F.round("slope", 3).alias("slope"), F.round("intercept", 1).alias("intercept"), F.round("loss", -5).alias("loss"), "steps", "rejection")
 
 
 def arms(spark, sf_dir):

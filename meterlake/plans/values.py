@@ -74,12 +74,25 @@ def ag20(spark, sf_dir):
     return valuation.combine(rows, ["grp"]).select("grp", "mixed", "currency", F.array_join("missing", ",").alias("missing"), F.coalesce("micros", F.lit(-1)).alias("micros"))
 
 
+BOOK_SQL = """book AS (
+  SELECT p_partkey AS card, p_brand AS model, p_type AS token_class, DATE '2024-01-01' + (p_partkey * 37 % 900)::INTEGER AS first, CASE WHEN p_partkey % 9 <> 0 THEN DATE '2024-01-01' + (p_partkey * 37 % 900 + p_size)::INTEGER END AS last,
+         CASE p_partkey % 4 WHEN 0 THEN 31 WHEN 1 THEN 96 END AS days, CASE WHEN p_partkey % 4 < 2 THEN p_size * 10 END AS from_min, CASE WHEN p_partkey % 4 < 2 THEN p_size * 10 + 300 END AS to_min FROM part)"""
+
+
 @query(
     "JN-9_card_overlap",
-    f"WITH {CARD_SQL} SELECT a.card AS card_a, b.card AS card_b FROM card a JOIN card b ON a.model = b.model AND a.token_class = b.token_class AND a.card < b.card AND a.first <= coalesce(b.last, DATE '9999-12-31') AND b.first <= coalesce(a.last, DATE '9999-12-31') AND ((a.days IS NULL AND b.days IS NULL) OR ((a.days & b.days) <> 0 AND a.from_min < b.to_min AND b.from_min < a.to_min))",
+    f"WITH {BOOK_SQL} SELECT a.card AS card_a, b.card AS card_b FROM book a JOIN book b ON a.model = b.model AND a.token_class = b.token_class AND a.card < b.card AND a.first <= coalesce(b.last, DATE '9999-12-31') AND b.first <= coalesce(a.last, DATE '9999-12-31') AND ((a.days IS NULL AND b.days IS NULL) OR ((a.days & b.days) <> 0 AND a.from_min < b.to_min AND b.from_min < a.to_min))",
 )
 def jn9(spark, sf_dir):
-    return valuation.overlapping_cards(cards(spark))
+    """A rate book of a card for each part: its brand and type stand for model and token class, its number and size for dates and schedules."""
+    p, n, size = t.table(spark, sf_dir, "part"), F.col("p_partkey"), F.col("p_size")
+    first = F.date_add(F.lit("2024-01-01").cast("date"), (n * 37 % 900).cast("int"))
+    timed = n % 4 < 2
+    book = p.select(
+        n.alias("card"), F.col("p_brand").alias("model"), F.col("p_type").alias("token_class"), first.alias("start"), F.when(n % 9 != 0, F.date_add(first, size.cast("int"))).alias("end"),
+        F.when(n % 4 == 0, 31).when(n % 4 == 1, 96).alias("days"), F.when(timed, size * 10).alias("from_min"), F.when(timed, size * 10 + 300).alias("to_min"),
+    )
+    return valuation.overlapping_cards(book)
 
 
 @query("SF-8_schedule", f"WITH {M_SQL} SELECT observation, (31 >> (isodow(make_timestamp(ts // 1000)) - 1)::INT) & 1 = 1 AND ts // 60000000000 % 1440 >= 480 AND ts // 60000000000 % 1440 < 1080 AS inside FROM meter")
