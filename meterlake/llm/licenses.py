@@ -1,8 +1,9 @@
 """License scans: identifier tags and notice phrases by Aho-Corasick, licence expressions by a shunting-yard parser.
 
 Text is lower-cased (A-Z) and cut into words; one automaton over the words of
-all phrases finds every place in one pass. Where the SPDX tag occurs, the
-expression behind it is parsed and its licences become labels.
+all phrases and of the public SPDX identifiers finds every place in one pass.
+Where the SPDX tag occurs, the expression behind it is parsed and its licences
+become labels. An expression ends before the first word that is no identifier.
 """
 
 from __future__ import annotations
@@ -54,6 +55,67 @@ MORE_PHRASES = {
     "provided as is without warranty": "no-warranty",
     "without warranty of any kind": "no-warranty",
 }
+# SPDX identifiers in lower case, by family and versions.
+VERSIONS = {
+    "afl": "1.1 1.2 2.0 2.1 3.0",
+    "apache": "1.0 1.1 2.0",
+    "apsl": "1.0 1.1 1.2 2.0",
+    "artistic": "1.0 2.0",
+    "blueoak": "1.0.0",
+    "bsl": "1.0",
+    "busl": "1.1",
+    "cc0": "1.0",
+    "cddl": "1.0 1.1",
+    "cecill": "1.0 1.1 2.0 2.1",
+    "cpl": "1.0",
+    "ecl": "1.0 2.0",
+    "elastic": "2.0",
+    "epl": "1.0 2.0",
+    "eupl": "1.0 1.1 1.2",
+    "lppl": "1.0 1.1 1.2 1.3a 1.3c",
+    "mpl": "1.0 1.1 2.0",
+    "mulanpsl": "1.0 2.0",
+    "nposl": "3.0",
+    "odbl": "1.0",
+    "odc-by": "1.0",
+    "ofl": "1.0 1.1",
+    "osl": "1.0 1.1 2.0 2.1 3.0",
+    "pddl": "1.0",
+    "php": "3.0 3.01",
+    "psf": "2.0",
+    "python": "2.0 2.0.1",
+    "qpl": "1.0",
+    "rpl": "1.1 1.5",
+    "sspl": "1.0",
+    "unicode": "3.0",
+    "unicode-dfs": "2015 2016",
+    "upl": "1.0",
+    "vsl": "1.0",
+    "zpl": "1.1 2.0 2.1",
+}
+# Each of their versions also has the forms -only and -or-later.
+GNU_VERSIONS = {"agpl": "1.0 3.0", "gfdl": "1.1 1.2 1.3", "gpl": "1.0 2.0 3.0", "lgpl": "2.0 2.1 3.0"}
+CREATIVE = "cc-by cc-by-nc cc-by-nc-nd cc-by-nc-sa cc-by-nd cc-by-sa"
+CREATIVE_VERSIONS = "1.0 2.0 2.5 3.0 4.0"
+UNVERSIONED = (
+    "0bsd bsd-1-clause bsd-2-clause bsd-2-clause-patent bsd-3-clause bsd-3-clause-clear bsd-3-clause-lbnl bsd-4-clause bsd-source-code curl fsfap hpnd icu ijg isc json libpng libpng-2.0 mit mit-0 ms-pl ms-rl ncsa ntp openssl postgresql ruby sleepycat tcl unlicense vim wtfpl x11 zlib"
+)
+#: Names of programs too: their identifiers count behind a tag only.
+_PROGRAMS = ("php-", "python-", "unicode-", "elastic-")
+
+
+def _identifiers() -> frozenset[str]:
+    out = {f"{f}-{v}" for f, versions in VERSIONS.items() for v in versions.split()}
+    out |= {f"{f}-{v}{form}" for f, versions in GNU_VERSIONS.items() for v in versions.split() for form in ("", "-only", "-or-later")}
+    out |= {f"{f}-{v}" for f in CREATIVE.split() for v in CREATIVE_VERSIONS.split()}
+    return frozenset(out | set(UNVERSIONED.split()))
+
+
+IDENTIFIERS = _identifiers()
+#: Identifiers of several words, found anywhere in a text. One of a single word may be any word ("mit").
+NAMED_PHRASES = {phrase: i for i in sorted(IDENTIFIERS) if " " in (phrase := re.sub("[-.]", " ", i)) and not i.startswith(_PROGRAMS)}
+# The usual short forms of the GNU licences.
+NAMED_PHRASES |= {f"{f}{gap}v{v}": f"{f}-{v}.0" for f in ("agpl", "gpl", "lgpl") for gap in ("", " ") for v in (2, 3) if f"{f}-{v}.0" in IDENTIFIERS}
 TAG = "spdx license identifier"
 # Licences that ask for no more than notice.
 PERMISSIVE = frozenset({"mit", "apache-2.0", "bsd-2-clause", "bsd-3-clause", "isc", "cc0-1.0", "cc-by-4.0", "unlicense", "zlib"})
@@ -61,20 +123,30 @@ _EXPRESSION = re.compile(r"(?i:SPDX-License-Identifier)[ \t]*:[ \t]*([A-Za-z0-9.
 _TOKEN = re.compile(r"[()]|[A-Za-z0-9.+:-]+")
 # How tightly the operators of an expression bind.
 _BINDS = {"or": 1, "and": 2, "with": 3}
+_EXCEPTION = re.compile(r"[a-z0-9.-]+-(exception|note)(-[0-9.]+)?|additionref-[a-z0-9.-]+")
+_OWN = re.compile(r"(documentref-[a-z0-9.-]+:)?licenseref-[a-z0-9.-]+")
 # Bytes that part words become blanks and A-Z lower case; bytes from 128 up belong to words.
 _BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
 
+def is_operand(token: str, exception: bool) -> bool:
+    """Whether a lower-case token is a licence (a known one, perhaps with a plus, or one's own) or, behind `with`, an exception."""
+    if exception:
+        return _EXCEPTION.fullmatch(token) is not None
+    return token.removesuffix("+") in IDENTIFIERS or _OWN.fullmatch(token) is not None
+
+
 def to_postfix(expression: str) -> list[str] | None:
     """An expression's operands and operators in postfix order, lower-cased; None where it isn't well formed.
 
     It ends before the first word that cannot follow what stands before it, as
-    tags are often followed by prose.
+    tags are often followed by prose: before a word that is no operand, and
+    before the operator in front of that word.
     """
     out: list[str] = []
     held: list[str] = []
     depth, operand = 0, False  # operand: the last token ended one
-    for token in (t.lower() for t in _TOKEN.findall(expression)):
+    for token in (t.lower().rstrip(".") or "." for t in _TOKEN.findall(expression)):
         if token == "(":
             if operand:
                 break
@@ -97,6 +169,12 @@ def to_postfix(expression: str) -> list[str] | None:
         else:
             if operand:
                 break
+            after = held[-1] if held else None
+            if not is_operand(token, after == "with"):
+                if after in _BINDS:
+                    held.pop()
+                    operand = True
+                break
             out.append(token)
             operand = True
     if depth or not operand:
@@ -114,8 +192,7 @@ def evaluate(postfix: list[str], allowed: frozenset[str] = PERMISSIVE) -> tuple[
     stack: list[tuple[list[str], bool]] = []
     for token in postfix:
         if token not in _BINDS:
-            name = token.rstrip(".")
-            stack.append(([name], name in allowed))
+            stack.append(([token], token in allowed))
             continue
         (b, right), (a, left) = stack.pop(), stack.pop()
         if token == "with":
@@ -128,7 +205,7 @@ def evaluate(postfix: list[str], allowed: frozenset[str] = PERMISSIVE) -> tuple[
 @lru_cache(maxsize=1)
 def _automaton() -> ahocorasick.Automaton:
     out = ahocorasick.Automaton()
-    for phrase, label in (BASE_PHRASES | MORE_PHRASES | {TAG: None}).items():
+    for phrase, label in (NAMED_PHRASES | MORE_PHRASES | BASE_PHRASES | {TAG: None}).items():
         out.add_word(f" {phrase} ", (phrase, label, len(phrase.split()), phrase in BASE_PHRASES))
     out.make_automaton()
     return out

@@ -24,6 +24,8 @@ from .common import new_folder, whole
 
 #: Shorter payloads are never revisited.
 LEAST_REVISIT = 100
+#: Rows of an array that equal rows are spread from.
+RUN = 10_000
 DATE = "2024-01-01T00:00:00Z"
 
 
@@ -41,10 +43,19 @@ def _pack(batches):
 
 
 def _header(pages: DataFrame) -> DataFrame:
-    """(digest, header): the exact header bytes of each page's record; digest is null where the record has no payload block."""
-    first = pages.where(F.col("size") >= LEAST_REVISIT).groupBy("digest").agg(F.min("page_id").alias("first_id"))
-    known = pages.join(first, "digest", "left")
-    revisit = F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id"))
+    """(digest, header): the exact header bytes of each page's record; digest is null where the record has no payload block.
+
+    Equal rows are counted before they are joined with the first of their
+    payload, and spread again behind the join, RUN at a time.
+    """
+    counted = pages.groupBy("digest", "size", "page_id", "url").agg(F.count(F.lit(1)).alias("n"))
+    order = F.struct(F.col("page_id").isNull().alias("unnamed"), "page_id", F.col("url").isNull().alias("homeless"), "url", "n")
+    first = counted.groupBy("digest").agg(F.min(F.when(F.col("size") >= LEAST_REVISIT, order)).alias("first")).where("first is not null")
+    joined = counted.join(first, "digest", "left").withColumn("first_id", F.col("first.page_id"))
+    runs = joined.withColumn("run", F.explode(F.sequence(F.lit(0), F.call_function("div", F.col("n") - 1, F.lit(RUN)))))
+    known = runs.withColumn("nth", F.explode(F.sequence(F.lit(1), F.least(F.lit(RUN), F.col("n") - F.col("run") * RUN)))).withColumn("nth", F.col("run") * RUN + F.col("nth"))
+    is_first = F.col("page_id").eqNullSafe(F.col("first.page_id")) & F.col("url").eqNullSafe(F.col("first.url")) & (F.col("nth") == 1)
+    revisit = F.col("first").isNotNull() & ~is_first
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))
     name = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit(">"))
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"), line("Content-Length", F.col("size").cast("string")), F.lit("\r\n"))
@@ -68,9 +79,10 @@ def write_archive(pages: DataFrame, path: str) -> None:
     """Write pages (page_id, url, html) as an archive folder.
 
     Null html is an empty payload, a null url leaves out the target URI, a null
-    page_id leaves the record's name empty and counts as larger than any. Rows
-    that tie for the smallest page_id of a payload are all responses. Other
-    columns are ignored.
+    page_id leaves the record's name empty and counts as larger than any. Of
+    rows that tie for the smallest page_id of a payload the one with the
+    smallest url is the response (null last; of equal rows, any one), the others
+    revisit it. page_id is an integer. Other columns are ignored.
     """
     facts = pages.select("page_id", "url", F.sha2(_payload(), 256).alias("digest"), F.octet_length(_payload()).cast("bigint").alias("size"))
     _header(facts).write.option("compression", "zstd").parquet(f"{path}/headers")
@@ -154,9 +166,10 @@ ARCHIVE_SQL = """
 WITH p AS (
   SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
 f AS (
-  SELECT payload_digest, min(page_id) AS first_id FROM p WHERE payload_bytes >= 100 GROUP BY payload_digest)
+  SELECT *, payload_bytes >= 100 AND row_number() OVER w > 1 AS again, first_value(page_id) OVER w AS first_id
+  FROM p WINDOW w AS (PARTITION BY payload_digest ORDER BY page_id NULLS LAST))
 SELECT page_id, payload_bytes, payload_digest,
-       CASE WHEN first_id IS NOT NULL AND page_id IS DISTINCT FROM first_id THEN 'revisit' ELSE 'response' END AS record_type,
-       CASE WHEN page_id IS DISTINCT FROM first_id THEN first_id END AS refers_to
-FROM p LEFT JOIN f USING (payload_digest)
+       CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN again THEN first_id END AS refers_to
+FROM f
 """

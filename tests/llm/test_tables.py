@@ -137,6 +137,25 @@ def test_archive(spark, tmp_path):
     assert archive_report(nothing).count() == 0
 
 
+def test_archive_ties(spark):
+    """Of rows that tie for the smallest page_id one is the response, whatever their urls; short and nameless ones too."""
+    long, short = "x" * 120, "y" * 99
+    rows = [(1, "b", long)] * 3 + [(1, "a", long), (1, None, long), (2, "a", long), (None, "z", long)] + [(5, "a", short)] * 2 + [(6, "a", "z" * 100)] * 2 + [(None, "a", "w" * 100)] * 2 + [(7, None, None)] * 2
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    got = archive_report(pages)
+    same(got, oracle(ARCHIVE_SQL, pages=pages))
+    facts = [(r["page_id"], r["record_type"], r["refers_to"]) for r in got.collect() if r["payload_bytes"] == 120]
+    assert sorted(facts, key=repr) == sorted([(1, "response", None)] + [(1, "revisit", 1)] * 4 + [(2, "revisit", 1), (None, "revisit", 1)], key=repr)
+
+
+def test_archive_spreads_runs(spark, monkeypatch):
+    """Equal rows beyond one run are all there."""
+    monkeypatch.setattr("meterlake.llm.warc.RUN", 3)
+    pages = spark.createDataFrame([(1, "a", "x" * 120)] * 10 + [(2, "a", "s")] * 7, "page_id bigint, url string, html string")
+    same(archive_report(pages), oracle(ARCHIVE_SQL, pages=pages))
+    assert archive_report(pages).count() == 17
+
+
 def test_archive_sample(spark):
     pages = spark.read.parquet(f"{DATA}/pages.parquet")
     same(archive_report(pages), oracle(ARCHIVE_SQL, pages=pages))

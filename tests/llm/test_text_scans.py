@@ -11,7 +11,7 @@ import tiktoken
 
 from meterlake.llm.bpe import _squeeze, _stretch, decode, encode, ranks, token_report
 from meterlake.llm.langid import grams, held_out, identify, language_report, learn
-from meterlake.llm.licenses import BASE_PHRASES, MORE_PHRASES, evaluate, license_report, to_postfix
+from meterlake.llm.licenses import BASE_PHRASES, MORE_PHRASES, NAMED_PHRASES, evaluate, license_report, to_postfix
 from meterlake.llm.secrets import BASE_RULES, MORE_RULES, Rule, find_secrets, redact, secret_report, trigram_query
 
 from .conftest import ROWS, plain
@@ -205,7 +205,7 @@ def brute_labels(text):
     """(labels, score, permitted) by looking at every word for every phrase."""
     words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     labels, places = set(), 0
-    for phrase, label in (BASE_PHRASES | MORE_PHRASES).items():
+    for phrase, label in (NAMED_PHRASES | MORE_PHRASES | BASE_PHRASES).items():
         p = phrase.split()
         n = sum(words[i : i + len(p)] == p for i in range(len(words)))
         places += n
@@ -260,13 +260,16 @@ def test_licenses(sample, edge, none, clashing):
         ("MIT", ["mit"], True),
         ("GPL-3.0 OR MIT", ["gpl-3.0", "mit"], True),
         ("GPL-3.0 AND MIT", ["gpl-3.0", "mit"], False),
-        ("MIT OR GPL-3.0 AND X", ["gpl-3.0", "mit", "x"], True),
-        ("(MIT OR GPL-3.0) AND X", ["gpl-3.0", "mit", "x"], False),
+        ("MIT OR GPL-3.0 AND LicenseRef-X", ["gpl-3.0", "licenseref-x", "mit"], True),
+        ("(MIT OR GPL-3.0) AND LicenseRef-X", ["gpl-3.0", "licenseref-x", "mit"], False),
         ("Apache-2.0 WITH LLVM-exception", ["apache-2.0-with-llvm-exception"], True),
-        ("MIT and then prose", ["mit", "then"], False),
+        ("MIT and then prose", ["mit"], True),
+        ("MIT or GPL-2.0+ and see the notice", ["gpl-2.0+", "mit"], True),
+        ("GPL-2.0 with care", ["gpl-2.0"], False),
+        ("BSD-3-Clause. And more.", ["bsd-3-clause"], True),
         ("GPL-2.0 OR GPL-2.0 WITH Classpath-exception-2.0", ["gpl-2.0", "gpl-2.0-with-classpath-exception-2.0"], False),
-        ("(MIT OR ISC) WITH x", ["isc-with-x", "mit-with-x"], True),
-        ("MIT WITH a AND ISC WITH a OR a", ["a", "isc-with-a", "mit-with-a"], True),
+        ("(MIT OR ISC) WITH LLVM-exception", ["isc-with-llvm-exception", "mit-with-llvm-exception"], True),
+        ("MIT WITH Linux-syscall-note AND ISC WITH Linux-syscall-note OR X11", ["isc-with-linux-syscall-note", "mit-with-linux-syscall-note", "x11"], True),
     ],
 )
 def test_expressions(expression, licences, permitted):
@@ -274,11 +277,17 @@ def test_expressions(expression, licences, permitted):
 
 
 def test_malformed_expressions():
-    for bad in ("", "OR MIT", "MIT OR", "(MIT", "()", "MIT OR (", "WITH"):
+    for bad in ("", "OR MIT", "MIT OR", "(MIT", "()", "MIT OR (", "WITH", "see the file LICENSE", "(MIT and see", "."):
         assert to_postfix(bad) is None
     assert to_postfix("MIT ) x") == ["mit"]
 
 
+def test_license_names_in_prose(spark):
+    rows = [(1, "The GPL v2 or Apache-2.0, BSD-3-Clause apply"), (2, "SPDX-License-Identifier: see the file LICENSE"), (3, "komm mit, PHP 3.0 ist alt"), (4, "CC-BY-SA-4.0 und CC BY 4.0")]
+    got = {d: (x, p) for d, x, p in license_report(spark.createDataFrame(rows, "doc_id int, text string")).select("doc_id", "labels", "permitted").collect()}
+    assert got == {1: ("apache-2.0,bsd-3-clause,gpl-2.0", None), 2: ("", None), 3: ("", None), 4: ("cc-by,cc-by-4.0,cc-by-sa-4.0", None)}
+
+
 # Tokens
 
 
