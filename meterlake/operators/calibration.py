@@ -30,7 +30,8 @@ def plateau_ends(rows: DataFrame, by: Sequence[str], points: int = POINTS, spaci
         (F.count("*").over(frame) == points)
         & (F.min("gap").over(inner) >= spacing)
         & (F.col("ts") - F.min("ts").over(frame) >= span)
-        & (F.max("used_ppm").over(frame) - F.min("used_ppm").over(frame) <= units * F.col("resolution"))
+        # Whole units of the resolution count: a change of less than one more is none.
+        & (F.max("used_ppm").over(frame) - F.min("used_ppm").over(frame) < (units + 1) * F.col("resolution"))
         & (F.min("resolution").over(frame) == F.max("resolution").over(frame))
     )
     if within is not None:
@@ -43,6 +44,28 @@ def settled(rows: DataFrame, by: Sequence[str], points: int = POINTS, spacing: i
     return plateau_ends(rows, by, points, spacing, span, units).where("ok").groupBy(*by).agg(F.min("ts").alias("settled_at"))
 
 
+def settlement(observations: DataFrame, series: DataFrame, by: Sequence[str], points: int = POINTS, spacing: int = SPACING, span: int = SPAN, units: int = UNITS, within: int = WITHIN) -> DataFrame:
+    """(by, settled, settled_at, used_ppm, reason, deadline, observed_until): the outcome of waiting for each series to hold still.
+
+    series is (by, started_at, covered, resolution), a row for each key;
+    observations is (by, ts, used_ppm, resolution). Only those from the start to
+    the deadline, `within` later, count, and a plateau is of the series'
+    resolution. Where coverage is insufficient or unknown that is the reason,
+    however stable the readings look; else no_plateau_within_window. A series
+    without observations has a row, observed_until null.
+    """
+    known = series.select(*by, "started_at", "covered", F.col("resolution").alias("__resolution"), (F.col("started_at") + within).alias("deadline"))
+    rows = observations.select(*by, "ts", "used_ppm", "resolution").join(known, list(by)).where(F.col("ts") >= F.col("started_at"))
+    until = rows.groupBy(*by).agg(F.max("ts").alias("observed_until"))
+    ends = plateau_ends(rows.where(F.col("ts") <= F.col("deadline")), by, points, spacing, span, units).where(F.col("ok") & (F.col("resolution") == F.col("__resolution")))
+    first = ends.groupBy(*by).agg(F.min(F.struct(F.col("ts").alias("settled_at"), "used_ppm")).alias("first"))
+    out = known.join(until, list(by), "left").join(first, list(by), "left")
+    covered = F.coalesce("covered", F.lit(False))
+    reason = F.when(~covered, "insufficient_meter_coverage").when(F.col("first").isNull(), "no_plateau_within_window")
+    shown = F.when(covered, F.col("first"))
+    return out.select(*by, reason.isNull().alias("settled"), shown["settled_at"].alias("settled_at"), shown["used_ppm"].alias("used_ppm"), reason.alias("reason"), "deadline", "observed_until")
+
+
 def passive_intervals(rows: DataFrame, by: Sequence[str], **plateau: int) -> DataFrame:
     """rows(by, ts, observation, used_ppm, resolution, resets_at) -> (by, start, end, settled, reset_inside): the intervals that passive calibration considers.
 

@@ -173,6 +173,20 @@ def selection(windows: DataFrame, now: int) -> DataFrame:
     return out.select("account", verdict.alias("verdict"), F.when(F.col("full"), F.lit(0)).when(F.col("all_ok") & F.col("short"), F.col("least")).cast("bigint").alias("runway"), gap.alias("gap"))
 
 
+def confidence(windows: DataFrame, now: int, early: float = 0.2) -> DataFrame:
+    """windows as for selection -> (account, confidence): early if less than a fifth of the limiting window's cycle has gone, else established.
+
+    The limiting window is the most used of those that have a reset, the first
+    by idx of equals. Accounts without one, or whose window has no length, are
+    established: there is nothing to time.
+    """
+    started = F.col("reset_at").isNotNull()
+    limit = F.max_by(F.struct("reset_at", "nominal"), F.when(started, F.struct("used_ppm", -F.col("idx"))))
+    gone = 1.0 - (F.col("x.reset_at") - now) / F.col("x.nominal")
+    young = (F.col("x.nominal") > 0) & (F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.when(F.col("x.nominal") > 0, gone))) < early)
+    return windows.groupBy("account").agg(limit.alias("x")).select("account", F.when(F.coalesce(young, F.lit(False)), "early").otherwise("established").alias("confidence"))
+
+
 def window_changes(observations: DataFrame, windows: DataFrame, subset: bool = False) -> DataFrame:
     """(account, observation, previous, key, scope, name, change): what differs between each observation of an account and the one before.
 

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exact import share_ppm, trunc_div
+from .calibration import all_reasons
+from .timeline import sums_within
 
 
 def residuals(intervals: DataFrame) -> DataFrame:
@@ -15,6 +17,40 @@ def residuals(intervals: DataFrame) -> DataFrame:
     return intervals.withColumn("residual_lo", F.col("observed") - F.col("explained_hi")).withColumn("residual_hi", F.col("observed") - F.col("explained_lo"))
 
 
+#: Why an interval isn't reconciled, in the order in which the reasons are given.
+CONDITIONS = ("same_account_and_window", "no_reset_inside", "acceptable_meter_coverage", "applicable_current_calibration", "sufficient_settlement_and_lag_handling", "exact_local_usage_where_required")
+
+
+def eligibility(intervals: DataFrame, by: Sequence[str], usage: DataFrame, resets: DataFrame, gaps: DataFrame, health: DataFrame) -> DataFrame:
+    """intervals plus failing (array, all that fail) and eligible: the six conditions of reconciliation, each judged by itself.
+
+    by is (account, window). intervals has start and end, structs of ts,
+    used_ppm, account, window and resets_at, and acceptable, settled and
+    lag_handled. usage(by, ts, inexact) and resets(by, ts) count after the start
+    and up to the end; gaps(by, a, b), destructive ones, if they overlap the
+    inside; health(by, health) is that of the calibration in force, a row for
+    each key. An unknown fact fails its condition; an interval without usage
+    needs none that is exact.
+    """
+    count = F.lit(1).cast("bigint")
+    # An instant counts over the nanosecond before it: at an interval's end it is inside, at its start it isn't.
+    instant = lambda rows, n, value: rows.select(*by, (F.col("ts") - 1).alias("a"), F.col("ts").alias("b"), value.alias(n))
+    facts = instant(resets, "resets", count).unionByName(instant(usage, "inexact", F.coalesce("inexact", F.lit(True)).cast("bigint")), allowMissingColumns=True).unionByName(gaps.select(*by, "a", "b", count.alias("gaps")), allowMissingColumns=True)
+    found = sums_within(intervals, facts, by, ["resets", "inexact", "gaps"], F.col("start.ts"), F.col("end.ts"), closed=False).join(health.select(*by, "health"), list(by), "left")
+    ends_are = lambda n: (F.col(f"start.{n}") == F.col(n)) & (F.col(f"end.{n}") == F.col(n))
+    account, window = by
+    held = (
+        ends_are(account) & ends_are(window),
+        (F.col("resets") == 0) & (F.col("start.resets_at") > F.col("end.ts")) & (F.col("start.resets_at") == F.col("end.resets_at")) & (F.col("end.used_ppm") >= F.col("start.used_ppm")),
+        F.col("acceptable") & (F.col("gaps") == 0),
+        F.col("health") == "current",
+        F.col("settled") & F.col("lag_handled"),
+        F.col("inexact") == 0,
+    )
+    out = found.withColumn("failing", all_reasons(*zip(held, CONDITIONS, strict=True)))
+    return out.withColumn("eligible", F.size("failing") == 0).drop("resets", "inexact", "gaps", "health")
+
+
 def rolling_residual(intervals: DataFrame, by: Sequence[str], least: int, floor_ppm: int) -> DataFrame:
     """(by, n, observed, explained, residual, residual_ppm, verdict): suppressed below `least` eligible intervals, else unexplained from the floor up."""
     out = intervals.groupBy(*by).agg(F.count("*").alias("n"), F.sum("observed").cast("bigint").alias("observed"), F.sum("explained").cast("bigint").alias("explained"))

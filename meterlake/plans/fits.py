@@ -23,12 +23,62 @@ def series(spark, sf_dir):
     "WN-9_settled_plateau",
     f"""WITH {S_SQL}, g AS (SELECT *, ts - lag(ts) OVER (PARTITION BY account ORDER BY ts) AS gap FROM ser),
 f AS (SELECT *, count(*) OVER w AS n, min(ts) OVER w AS t0, max(used_ppm) OVER w - min(used_ppm) OVER w AS spread, min(gap) OVER (PARTITION BY account ORDER BY ts ROWS BETWEEN 1 PRECEDING AND CURRENT ROW) AS least FROM g WINDOW w AS (PARTITION BY account ORDER BY ts ROWS BETWEEN 2 PRECEDING AND CURRENT ROW))
-SELECT account, min(ts) AS settled_at FROM f WHERE n = 3 AND least >= {300 * SECOND} AND ts - t0 >= {600 * SECOND} AND spread <= 2 * resolution GROUP BY account""",
+SELECT account, min(ts) AS settled_at FROM f WHERE n = 3 AND least >= {300 * SECOND} AND ts - t0 >= {600 * SECOND} AND spread // resolution <= 2 GROUP BY account""",
 )
 def wn9(spark, sf_dir):
     return calibration.settled(series(spark, sf_dir), ["account"], units=2)
 
 
+@query(
+    "WN-9_settlement",
+    f"""WITH {S_SQL}, r AS (SELECT *, ts - lag(ts) OVER (PARTITION BY account ORDER BY ts) AS gap FROM ser),
+b AS (SELECT account, min(ts) AS started, min(ts) + {240 * 3600 * SECOND} AS deadline, max(ts) AS until, max(gap) < {168 * 3600 * SECOND} AS covered FROM r GROUP BY 1),
+t AS (SELECT r.*, deadline, row_number() OVER (PARTITION BY account ORDER BY ts) AS i FROM r JOIN b USING (account) WHERE ts <= deadline),
+p AS (SELECT c.account, c.ts, c.used_ppm FROM t a JOIN t b ON a.account = b.account AND b.i = a.i + 1 JOIN t c ON c.account = a.account AND c.i = a.i + 2 WHERE b.ts - a.ts >= {300 * SECOND} AND c.ts - b.ts >= {300 * SECOND} AND c.ts - a.ts >= {600 * SECOND} AND (greatest(a.used_ppm, b.used_ppm, c.used_ppm) - least(a.used_ppm, b.used_ppm, c.used_ppm)) // 2500 <= 4),
+f AS (SELECT account, min(ts) AS settled_at, arg_min(used_ppm, ts) AS used_ppm FROM p GROUP BY 1)
+SELECT account, covered IS TRUE AND f.account IS NOT NULL AS settled, CASE WHEN covered THEN settled_at END AS settled_at, CASE WHEN covered THEN used_ppm END AS used_ppm,
+       CASE WHEN covered IS NOT TRUE THEN 'insufficient_meter_coverage' WHEN f.account IS NULL THEN 'no_plateau_within_window' END AS reason, deadline, until AS observed_until FROM b LEFT JOIN f USING (account)""",
+)
+def wn9_outcomes(spark, sf_dir):
+    """Readings lie hours apart in the sample tables: ten days to settle, and a series is covered if no two of its readings lie a week apart."""
+    rows = series(spark, sf_dir)
+    gap = F.col("ts") - F.lag("ts").over(Window.partitionBy("account").orderBy("ts"))
+    begun = rows.withColumn("gap", gap).groupBy("account").agg(F.min("ts").alias("started_at"), (F.max("gap") < 168 * 3600 * SECOND).alias("covered"), F.lit(RES).alias("resolution"))
+    return calibration.settlement(rows, begun, ["account"], units=4, within=240 * 3600 * SECOND)
+
+
+@query(
+    "SF-19_reconciliation",
+    f"""WITH {S_SQL}, p AS (SELECT account, ts AS b, used_ppm AS ub, lag(ts) OVER w AS a, lag(used_ppm) OVER w AS ua FROM ser WINDOW w AS (PARTITION BY account ORDER BY ts)),
+i AS (SELECT *, (a // {96 * 3600 * SECOND} + 1) * {96 * 3600 * SECOND} AS ra, (b // {96 * 3600 * SECOND} + 1) * {96 * 3600 * SECOND} AS rb FROM p WHERE a IS NOT NULL),
+c AS (SELECT i.*,
+  EXISTS (SELECT 1 FROM ev WHERE user_id = account AND event_type = 'error' AND k >= 90 AND ts > a AND ts <= b) AS reset,
+  EXISTS (SELECT 1 FROM ev WHERE user_id = account AND event_type = 'signup' AND ts < b AND ts + {3600 * SECOND} > a) AS gap,
+  EXISTS (SELECT 1 FROM ev WHERE user_id = account AND event_type = 'click' AND k % 10 = 0 AND ts > a AND ts <= b) AS inexact FROM i)
+SELECT account, a AS start_ts, b AS end_ts, concat_ws(',',
+  CASE WHEN reset OR NOT (ra > b AND ra = rb) OR ub < ua THEN 'no_reset_inside' END,
+  CASE WHEN b - a > {48 * 3600 * SECOND} OR gap THEN 'acceptable_meter_coverage' END,
+  CASE WHEN account % 4 = 0 OR account % 4 = 1 THEN 'applicable_current_calibration' END,
+  CASE WHEN b - a < {600 * SECOND} THEN 'sufficient_settlement_and_lag_handling' END,
+  CASE WHEN inexact THEN 'exact_local_usage_where_required' END) AS failing FROM c""",
+)
+def sf19_reconciliation(spark, sf_dir):
+    """Intervals between neighbouring readings; every window resets on a grid of four days, a quarter of the accounts has a stale calibration and a quarter none."""
+    four = 96 * 3600 * SECOND
+    end = F.struct("ts", "used_ppm", "account", F.lit("w").alias("window"), ((F.expr(f"ts div {four}") + 1) * four).alias("resets_at"))
+    rows = series(spark, sf_dir).select("account", F.lit("w").alias("window"), end.alias("end"))
+    pairs = rows.withColumn("start", F.lag("end").over(Window.partitionBy("account", "window").orderBy("end.ts"))).where("start is not null")
+    long = F.col("end.ts") - F.col("start.ts")
+    pairs = pairs.withColumns({"acceptable": long <= 48 * 3600 * SECOND, "settled": long >= 600 * SECOND, "lag_handled": F.lit(True)})
+    ev = t.events(spark, sf_dir).withColumns({"account": F.col("user_id"), "window": F.lit("w")})
+    key = ["account", "window"]
+    usage = ev.where("event_type = 'click'").select(*key, "ts", (F.col("k") % 10 == 0).alias("inexact"))
+    gaps = ev.where("event_type = 'signup'").select(*key, F.col("ts").alias("a"), (F.col("ts") + 3600 * SECOND).alias("b"))
+    health = rows.where("account % 4 > 0").select(*key, F.when(F.col("account") % 4 == 1, "stale").otherwise("current").alias("health")).distinct()
+    judged = reconcile.eligibility(pairs, key, usage, ev.where("event_type = 'error' and k >= 90").select(*key, "ts"), gaps, health)
+    return judged.select("account", F.col("start.ts").alias("start_ts"), F.col("end.ts").alias("end_ts"), F.array_join("failing", ",").alias("failing"))
+
+
 @query(
     "WN-10_reset_partition",
     f"""WITH {S_SQL}, q AS (SELECT *, ts // 3600000000000 AS hour FROM ser),

@@ -147,7 +147,7 @@ HOLE = 120 * HOUR
 PASSIVE_SQL = f"""{M_SQL},
 o AS (SELECT *, CASE WHEN observation % 6 = 0 THEN ts - {HOUR} END AS resets_at, ts - lag(ts) OVER (PARTITION BY account ORDER BY ts) AS gap FROM meter),
 f AS (SELECT *, count(*) OVER w AS n, ts - min(ts) OVER w AS span, max(used_ppm) OVER w - min(used_ppm) OVER w AS spread, min(gap) OVER (PARTITION BY account ORDER BY ts ROWS BETWEEN 1 PRECEDING AND CURRENT ROW) AS least FROM o WINDOW w AS (PARTITION BY account ORDER BY ts ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)),
-g AS (SELECT *, n = 3 AND least >= 300000000000 AND span >= 600000000000 AND span <= {480 * HOUR} AND spread <= 12 * 2500 AS ok FROM f),
+g AS (SELECT *, n = 3 AND least >= 300000000000 AND span >= 600000000000 AND span <= {480 * HOUR} AND spread // 2500 <= 12 AS ok FROM f),
 h AS (SELECT *, count(*) FILTER (WHERE ok) OVER (PARTITION BY account) >= 2 AS settled FROM g),
 e AS (SELECT account, settled, observation AS first, ts AS a, used_ppm AS u, lead(observation) OVER w AS last, lead(ts) OVER w AS b, lead(used_ppm) OVER w AS v FROM h WHERE ok OR NOT settled WINDOW w AS (PARTITION BY account ORDER BY ts, observation)),
 i AS (SELECT * FROM e WHERE b IS NOT NULL),

@@ -275,6 +275,19 @@ def ag27(spark, sf_dir):
     return t.meter(spark, sf_dir).where("used_ppm > 0").groupBy("account").agg(F.max_by("observation", F.struct("used_ppm", "ts")).alias("observation"))
 
 
+@query(
+    "AG-25_confidence",
+    f"""WITH {M_SQL}, w AS (SELECT account, observation, used_ppm, CASE WHEN observation % 3 <> 0 THEN (used_ppm // 10 % 100) * {DAY // 100} END AS rest FROM meter),
+l AS (SELECT account, arg_max(rest, {{'u': used_ppm, 'o': -observation}}) AS rest FROM w WHERE rest IS NOT NULL GROUP BY 1)
+SELECT account, CASE WHEN 1.0::DOUBLE - rest::DOUBLE / {DAY}::DOUBLE < 0.2::DOUBLE THEN 'early' ELSE 'established' END AS confidence FROM (SELECT DISTINCT account FROM meter) LEFT JOIN l USING (account)""",
+)
+def ag25_confidence(spark, sf_dir):
+    """Each reading stands for a window; how much of its cycle is left comes from the reading, a third have no reset."""
+    rest = F.pmod(F.call_function("div", F.col("used_ppm"), F.lit(10)), F.lit(100)) * (DAY // 100)
+    rows = t.meter(spark, sf_dir).select("account", F.col("observation").alias("idx"), "used_ppm", F.when(F.col("observation") % 3 != 0, NOW + rest).alias("reset_at"), F.lit(DAY).alias("nominal"))
+    return meter.confidence(rows, NOW)
+
+
 @query("AG-25_selection_verdict", f"""WITH {M_SQL}, w AS (SELECT account, arg_max({{'u': least(used_ppm * 60, 1000000), 'r': CASE WHEN observation % 3 <> 0 THEN reset_at END}}, {{'t': ts, 'o': observation}}) AS x FROM mr GROUP BY account),
 v AS (SELECT account, x.u AS u, x.r AS r, 100.0::DOUBLE - x.u / 10000.0::DOUBLE AS rest, x.u / 10000.0::DOUBLE / 75.0::DOUBLE AS burn FROM w WHERE x.r IS NOT NULL OR x.u > 0),
 d AS (SELECT *, CASE WHEN u >= 1000000 THEN 'exhausted_now' WHEN r IS NULL THEN 'unknown' WHEN burn > 0 AND rest / 100.0::DOUBLE / burn * {DAY} < {DAY // 4} THEN 'projected_exhaustion' ELSE 'through_reset' END AS verdict FROM v)

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from meterlake.functions import json_paths
-from meterlake.operators import drift, evidence, segments
+from meterlake.operators import calibration, drift, evidence, meter, reconcile, segments
 
 
 def test_shapes_hold_structure_only(spark):
@@ -109,3 +109,72 @@ def test_messages_as_markdown(spark):
     assert line() == ["\n## User\nhi there\n", None, None, None, None]
     tools = '**Tool: run**\n```json\n{"a": 1}\n```\n**Tool result:**\ndone\n**Tool: look**\n```json\nnull\n```\n'
     assert line(F.col("tools"), F.col("thinking"))[1] == f"\n## Assistant\n{tools}> one\n> two\n"
+
+
+MINUTE = 60_000_000_000
+
+
+def _settle(spark, observations, started=0, covered=True, **criterion):
+    rows = spark.createDataFrame([("a", m * MINUTE, ppm, r) for m, ppm, r in observations], "account string, ts bigint, used_ppm bigint, resolution bigint")
+    series = spark.createDataFrame([("a", started * MINUTE, covered, 10_000)], "account string, started_at bigint, covered boolean, resolution bigint")
+    (row,) = calibration.settlement(rows, series, ["account"], **criterion).collect()
+    return row.reason or (row.settled_at // MINUTE, row.used_ppm)
+
+
+@pytest.mark.parametrize(
+    ("observations", "more", "want"),
+    [
+        ([(0, 5, 10_000), (5, 5, 10_000), (10, 5, 10_000)], {}, (10, 5)),
+        ([(0, 0, 10_000), (5, 9_999, 10_000), (10, 0, 10_000)], {}, (10, 0)),  # less than one unit of the resolution
+        ([(0, 0, 10_000), (5, 10_000, 10_000), (10, 0, 10_000)], {}, "no_plateau_within_window"),
+        ([(0, 0, 10_000), (5, 10_000, 10_000), (10, 0, 10_000)], {"units": 1}, (10, 0)),
+        ([(0, 5, 10_000), (5, 5, 10_000), (10, 5, 10_000)], {"covered": False}, "insufficient_meter_coverage"),
+        ([(0, 5, 10_000), (5, 5, 10_000), (10, 5, 10_000)], {"covered": None}, "insufficient_meter_coverage"),
+        ([(0, 5, 10_000), (5, 5, 10_000), (10, 5, 10_000), (15, 5, 10_000)], {"started": 5}, (15, 5)),  # what lies before the start doesn't count
+        ([(0, 5, 10_000), (55, 5, 10_000), (61, 5, 10_000)], {}, "no_plateau_within_window"),  # beyond the deadline
+        ([(0, 5, 10_000), (50, 5, 10_000), (60, 5, 10_000)], {}, (60, 5)),  # at it
+        ([(0, 5, 5_000), (5, 5, 5_000), (10, 5, 5_000)], {}, "no_plateau_within_window"),  # another resolution
+        ([(0, 5, 10_000), (4, 5, 10_000), (10, 5, 10_000)], {}, "no_plateau_within_window"),  # too close
+        ([], {}, "no_plateau_within_window"),
+    ],
+)
+def test_settlement_outcomes(spark, observations, more, want):
+    assert _settle(spark, observations, **more) == want
+
+
+def test_each_condition_fails_by_itself(spark):
+    end = "struct<ts:bigint,used_ppm:bigint,account:string,window:string,resets_at:bigint>"
+    good = ((10, 1, "a", "w", 99), (20, 2, "a", "w", 99), True, True, True)
+    cases = {
+        "fine": (good, None),
+        "moved": (((10, 1, "b", "w", 99), *good[1:]), "same_account_and_window"),
+        "other": ((good[0], (20, 2, "a", "v", 99), *good[2:]), "same_account_and_window"),
+        "fell": ((good[0], (20, 0, "a", "w", 99), *good[2:]), "no_reset_inside"),
+        "reset": ((good[0], (20, 2, "a", "w", 98), *good[2:]), "no_reset_inside"),
+        "past": (((10, 1, "a", "w", 20), (20, 2, "a", "w", 20), *good[2:]), "no_reset_inside"),
+        "thin": ((*good[:2], False, True, True), "acceptable_meter_coverage"),
+        "unknown": ((*good[:2], None, True, True), "acceptable_meter_coverage"),
+        "moving": ((*good[:2], True, False, True), "sufficient_settlement_and_lag_handling"),
+        "lagging": ((*good[:2], True, True, False), "sufficient_settlement_and_lag_handling"),
+    }
+    rows = spark.createDataFrame([(k, "a", "w", *v[0]) for k, v in cases.items()], f"case string, account string, window string, start {end}, end {end}, acceptable boolean, settled boolean, lag_handled boolean")
+    usage = lambda *u: spark.createDataFrame([("a", "w", *x) for x in u], "account string, window string, ts bigint, inexact boolean")
+    resets = lambda *u: spark.createDataFrame([("a", "w", x) for x in u], "account string, window string, ts bigint")
+    gaps = lambda *u: spark.createDataFrame([("a", "w", *x) for x in u], "account string, window string, a bigint, b bigint")
+    health = lambda *u: spark.createDataFrame([("a", "w", x) for x in u], "account string, window string, health string")
+    key = ["account", "window"]
+    got = reconcile.eligibility(rows, key, usage((10, True), (15, False), (21, True)), resets(10, 21), gaps((5, 10), (20, 30)), health("current")).collect()
+    assert {r.case: (r.failing, r.eligible) for r in got} == {k: ([v[1]] if v[1] else [], v[1] is None) for k, v in cases.items()}
+    fine = rows.where("case = 'fine'")
+    judge = lambda *facts: reconcile.eligibility(fine, key, *facts).collect()[0].failing
+    assert judge(usage((20, True)), resets(), gaps(), health("current")) == ["exact_local_usage_where_required"]
+    assert judge(usage((12, None)), resets(20), gaps((12, 13)), health("stale")) == ["no_reset_inside", "acceptable_meter_coverage", "applicable_current_calibration", "exact_local_usage_where_required"]
+    assert judge(usage(), resets(), gaps(), health()) == ["applicable_current_calibration"]
+
+
+def test_confidence_looks_at_the_limiting_window(spark):
+    rows = [("early", 0, 50, 90, 100), ("early", 1, 40, 10, 100), ("old", 0, 50, 80, 100), ("tie", 1, 50, 10, 100), ("tie", 0, 50, 90, 100), ("none", 0, 50, None, 100), ("zero", 0, 50, 90, 0), ("skips", 0, 99, None, 100), ("skips", 1, 1, 95, 100), ("over", 0, 5, 300, 100)]
+    df = spark.createDataFrame([r[:3] + (r[3], r[4]) for r in rows], "account string, idx int, used_ppm bigint, reset_at bigint, nominal bigint")
+    got = dict(meter.confidence(df, 0).collect())
+    assert got == {"early": "early", "old": "early", "tie": "early", "none": "established", "zero": "established", "skips": "early", "over": "early"}
+    assert dict(meter.confidence(df.where("account = 'old'"), 1).collect()) == {"old": "established"}
