@@ -48,10 +48,11 @@ def _header(pages: DataFrame) -> DataFrame:
     Equal rows are counted before they are joined with the first of their
     payload, and spread again behind the join, RUN at a time.
     """
-    counted = pages.groupBy("digest", "size", "page_id", "url").agg(F.count(F.lit(1)).alias("n"))
+    # Digests are shuffled as bytes, half as long as their digits.
+    counted = pages.withColumn("digest", F.unhex("digest")).groupBy("digest", "size", "page_id", "url").agg(F.count(F.lit(1)).alias("n"))
     order = F.struct(F.col("page_id").isNull().alias("unnamed"), "page_id", F.col("url").isNull().alias("homeless"), "url", "n")
     first = counted.groupBy("digest").agg(F.min(F.when(F.col("size") >= LEAST_REVISIT, order)).alias("first")).where("first is not null")
-    joined = counted.join(first, "digest", "left").withColumn("first_id", F.col("first.page_id"))
+    joined = counted.join(first, "digest", "left").withColumns({"first_id": F.col("first.page_id"), "digest": F.lower(F.hex("digest"))})
     runs = joined.withColumn("run", F.explode(F.sequence(F.lit(0), F.call_function("div", F.col("n") - 1, F.lit(RUN)))))
     known = runs.withColumn("nth", F.explode(F.sequence(F.lit(1), F.least(F.lit(RUN), F.col("n") - F.col("run") * RUN)))).withColumn("nth", F.col("run") * RUN + F.col("nth"))
     is_first = F.col("page_id").eqNullSafe(F.col("first.page_id")) & F.col("url").eqNullSafe(F.col("first.url")) & (F.col("nth") == 1)
