@@ -83,21 +83,51 @@ def select_history(cells: DataFrame, history: DataFrame) -> DataFrame:
     return best.select(*cells.columns, "h.*")
 
 
+def window_basis(windows: DataFrame) -> DataFrame:
+    """windows plus basis, reasons, and the credits of a full window, lo and hi, where there is a basis.
+
+    windows(health, lo, hi, kinds_health, gaps array, estimate_lo, estimate_hi):
+    a calibration in credits, if there is one, decides by its health, and none
+    but a current one is a basis. Otherwise one for each kind of token refuses:
+    it converts tokens, not credits, so it bounds no headroom. Only a window
+    without either may stand on an estimate, if that has no gaps; each gap is a
+    reason. An older measurement is evidence still, so no estimate stands in for
+    one that isn't current.
+    """
+    none, kinds = F.col("health").isNull(), F.col("kinds_health")
+    estimated = F.col("estimate_lo").isNotNull() & F.col("estimate_hi").isNotNull()
+    gaps = F.coalesce("gaps", F.array().cast("array<string>"))
+    basis = F.when(~none & (F.col("health") == "current"), "calibration").when(none & kinds.isNull() & estimated & (F.size(gaps) == 0), "estimate")
+    refused = (
+        F.when(~none, F.array(F.concat(F.lit("calibration_"), "health")))
+        .when(kinds == "current", F.array(F.lit("calibration_per_kind")))
+        .when(kinds.isNotNull(), F.array(F.concat(F.lit("calibration_"), kinds)))
+        .when(F.size(gaps) > 0, F.array_sort(gaps))
+        .otherwise(F.array(F.lit("no_calibration")))
+    )
+    value = lambda c, e: F.when(F.col("__basis") == "calibration", F.col(c)).when(F.col("__basis") == "estimate", F.col(e))
+    kept = [c for c in windows.columns if c not in ("lo", "hi")]
+    out = windows.withColumn("__basis", basis)
+    return out.select(*kept, F.col("__basis").alias("basis"), F.when(F.col("__basis").isNull(), refused).otherwise(F.array().cast("array<string>")).alias("reasons"), value("lo", "estimate_lo").alias("lo"), value("hi", "estimate_hi").alias("hi"))
+
+
 def can_run(requests: DataFrame, windows: DataFrame, least_coverage: int, multiple: int = 2) -> DataFrame:
     """(request, verdict, missing, limiting) for each request.
 
     requests(request, account, model, meter, unpriced array, account_tier,
     calibration_tier, and a history's included, coverage_ppm, p50, upper, state);
     windows(account, window, scope, named, remaining_ppm, health, lo, hi,
-    estimate_lo, estimate_hi): credits of a full window by a calibration of some
-    health, or where none is recorded by an estimate. Every missing prerequisite
+    estimate_lo, estimate_hi, and kinds_health and gaps if there are any): credits
+    of a full window by window_basis. Every missing prerequisite
     is named, windows by their own names. If history alone is missing, evidence
     is insufficient; if anything else, the answer is unknown. Otherwise the
     window with the least margin over the upper reference decides.
     """
     ready = F.col("meter") == "fresh"
-    none = F.col("health").isNull()
-    lo, hi = F.when(none, F.col("estimate_lo")).when(F.col("health") == "current", F.col("lo")), F.when(none, F.col("estimate_hi")).when(F.col("health") == "current", F.col("hi"))
+    for c, kind in (("kinds_health", "string"), ("gaps", "array<string>")):
+        if c not in windows.columns:
+            windows = windows.withColumn(c, F.lit(None).cast(kind))
+    windows, lo, hi = window_basis(windows), F.col("lo"), F.col("hi")
     known = F.col("remaining_ppm").isNotNull() & lo.isNotNull() & hi.isNotNull()
     r, w = requests.alias("r"), windows.alias("w")
     pairs = r.where(ready).select("request", "account", "model", "p50", "upper").join(w, "account").where(constrains(F.col("scope"), F.col("named"), F.col("model"))).withColumns({"known": known, "room": headroom(F.col("remaining_ppm"), lo, hi)})
