@@ -423,6 +423,43 @@ def contamination(rows: DataFrame, by: Sequence[str]) -> DataFrame:
     )
 
 
+#: The signs of contamination in the order that they are told in (fixed values).
+SIGNALS = ("pre_burn_idle_movement", "extended_settlement_drift", "flat_credits_with_meter_movement", "overlapping_session")
+
+
+def experiment_contamination(experiments: DataFrame, readings: DataFrame, markers: DataFrame, width: int) -> DataFrame:
+    """(experiment, signals, pre_ppm, post_ppm, meter_ppm, sessions): the signs that somebody else used the account during each experiment, in order, by thresholds recorded with it.
+
+    experiments(experiment, account, session, plateau, started, ended, evaluated,
+    meter_start, meter_end, credits, pre_most, post_most, grace, meter_least,
+    credits_most); readings(account, ts, used_ppm); markers(session, account, ts).
+    Work ends at `ended`, or is under way until `evaluated`. Quota that moves by
+    more than pre_most from the plateau to the start, or by more than post_most
+    after work's end and the grace until `evaluated`, is a sign; so is a meter
+    that moves by meter_least or more while no more than credits_most were spent,
+    and any other session marked against the account during work. Movements of
+    fewer than two readings are null and no sign.
+
+    Experiments are dealt to bins of `width`, so that a reading meets only those
+    whose time is near its own.
+    """
+    e = experiments.withColumn("work_end", F.coalesce("ended", "evaluated"))
+    bins = F.sequence(F.expr(f"plateau div {width}"), F.expr(f"greatest(plateau, evaluated, work_end) div {width}"))
+    dealt = e.where("plateau is not null").select("experiment", "account", F.col("session").alias("own"), "plateau", "started", "work_end", "evaluated", "grace", F.explode(bins).alias("bin"))
+    seen = readings.select("account", "ts", "used_ppm", F.lit(None).cast(markers.schema["session"].dataType).alias("other"))
+    others = markers.where("session is not null").select("account", "ts", F.lit(None).cast("bigint").alias("used_ppm"), F.col("session").alias("other"))
+    near = dealt.join(seen.union(others).withColumn("bin", F.expr(f"ts div {width}")), ["account", "bin"])
+    pre = F.when(F.col("ts").between(F.col("plateau"), F.col("started")), F.col("used_ppm"))
+    post = F.when((F.col("ts") > F.col("work_end") + F.col("grace")) & (F.col("ts") <= F.col("evaluated")), F.col("used_ppm"))
+    moved = lambda c: F.when(F.count(c) >= 2, F.max(c) - F.min(c))
+    marked = F.when(F.col("ts").between(F.col("started"), F.col("work_end")) & ~F.col("other").eqNullSafe(F.col("own")), F.col("other"))
+    found = near.groupBy("experiment").agg(moved(pre).alias("pre_ppm"), moved(post).alias("post_ppm"), F.count_distinct(marked).alias("sessions"))
+    all_ = e.join(found, "experiment", "left").withColumn("sessions", F.coalesce("sessions", F.lit(0))).withColumn("meter_ppm", F.abs(F.col("meter_end") - F.col("meter_start")))
+    tests = (F.col("pre_ppm") > F.col("pre_most"), F.col("post_ppm") > F.col("post_most"), (F.col("meter_ppm") >= F.col("meter_least")) & (F.col("credits") <= F.col("credits_most")), F.col("sessions") > 0)
+    signals = F.array_compact(F.array(*[F.when(t, F.lit(s)) for s, t in zip(SIGNALS, tests, strict=True)]))
+    return all_.select("experiment", signals.alias("signals"), "pre_ppm", "post_ppm", "meter_ppm", "sessions")
+
+
 def health(applicable: Column, superseded: Column, provisional: Column, suspect: Column, review_due: Column) -> Column:
     """The first that holds, top down."""
     return F.when(~applicable, "inapplicable").when(superseded, "superseded").when(provisional, "provisional").when(suspect, "suspect").when(review_due, "review_due").otherwise("current")

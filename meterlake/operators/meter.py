@@ -231,3 +231,18 @@ def window_changes(observations: DataFrame, windows: DataFrame, subset: bool = F
         .when(judged, moved)
     )
     return pairs.select("account", "observation", F.col("old_observation").alias("previous"), "key", "scope", "name", change.alias("change")).where("change is not null")
+
+
+def reading_age(provider: Column, received: Column, basis: Column, now: int, envelope: int) -> tuple[Column, Column]:
+    """(age, anomaly) of a reading; age is null where there is an anomaly.
+
+    provider_ahead: the provider's time is later than the receipt by more than the
+    envelope; future: the time that counts lies after now. A provider's time
+    before the receipt is honest, however old it is. basis is provider_observed
+    (the receipt, if the provider states none), locally_received or
+    older_of_the_two.
+    """
+    ahead = F.coalesce(provider - received > envelope, F.lit(False))
+    measured = F.when(basis == "provider_observed", F.coalesce(provider, received)).when(basis == "older_of_the_two", F.least(provider, received)).otherwise(received)
+    anomaly = F.when(ahead, "provider_ahead").when(measured > now, "future")
+    return F.when(anomaly.isNull(), F.lit(now) - measured), anomaly

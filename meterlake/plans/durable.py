@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.clock import SECOND, format_rfc3339
-from ..operators import activation, canrun, doctor, exports, imports, meter, retention
+from ..operators import activation, calibration, canrun, doctor, exports, imports, meter, retention
 from ..sources import published
 from ..sources import tables as t
 from ..sources.staging import new_folder
@@ -271,3 +271,41 @@ def dr1_checks(spark, sf_dir):
     ]
     out = reduce(DataFrame.unionByName, [doctor.panel(rows, checks) for rows, checks in panels])
     return out.withColumn("sample", F.array_join("sample", ","))
+
+
+@query(
+    "SF-5_skewed_age",
+    f"""WITH {t.EV_SQL}, r AS (SELECT event_id, ts AS received, CASE WHEN k % 5 <> 0 THEN ts + (k - 60) * {10 * SECOND} END AS provider, CASE k % 3 WHEN 0 THEN 'provider_observed' WHEN 1 THEN 'locally_received' ELSE 'older_of_the_two' END AS basis FROM ev),
+m AS (SELECT *, CASE basis WHEN 'provider_observed' THEN coalesce(provider, received) WHEN 'older_of_the_two' THEN least(provider, received) ELSE received END AS measured FROM r),
+a AS (SELECT *, CASE WHEN provider - received > {120 * SECOND} THEN 'provider_ahead' WHEN measured > {NOW} THEN 'future' END AS anomaly FROM m)
+SELECT event_id, CASE WHEN anomaly IS NULL THEN {NOW} - measured END AS age, anomaly FROM a""",
+)
+def sf5_skewed(spark, sf_dir):
+    k, ts = F.col("k"), F.col("ts")
+    provider = F.when(k % 5 != 0, ts + (k - 60) * (10 * SECOND))
+    basis = F.when(k % 3 == 0, "provider_observed").when(k % 3 == 1, "locally_received").otherwise("older_of_the_two")
+    age, anomaly = meter.reading_age(provider, ts, basis, NOW, 120 * SECOND)
+    return t.events(spark, sf_dir).select("event_id", age.alias("age"), anomaly.alias("anomaly"))
+
+
+@query(
+    "SF-20_experiments",
+    f"""WITH {t.EV_SQL}, {t.METER_SQL},
+x AS (SELECT event_id AS experiment, user_id AS account, k % 10 AS own, ts - {2 * DAY} AS plateau, ts AS started, ts + {6 * DAY} AS evaluated, CASE WHEN k % 5 <> 0 THEN ts + {DAY} END AS ended, k * 1000 AS a, amount * 10 AS z, amount % 3 AS credits FROM ev WHERE event_type = 'purchase' AND k < 30),
+e AS (SELECT *, coalesce(ended, evaluated) AS work_end FROM x),
+p AS (SELECT experiment, CASE WHEN count(*) >= 2 THEN max(used_ppm) - min(used_ppm) END AS pre_ppm FROM e JOIN meter m ON m.account = e.account AND m.ts BETWEEN plateau AND started GROUP BY 1),
+q AS (SELECT experiment, CASE WHEN count(*) >= 2 THEN max(used_ppm) - min(used_ppm) END AS post_ppm FROM e JOIN meter m ON m.account = e.account AND m.ts > work_end + {HOUR} AND m.ts <= evaluated GROUP BY 1),
+s AS (SELECT experiment, count(DISTINCT k % 10) AS sessions FROM e JOIN ev ON user_id = e.account AND event_type = 'signup' AND ev.ts BETWEEN started AND work_end AND k % 10 <> own GROUP BY 1),
+f AS (SELECT experiment, pre_ppm, post_ppm, abs(z - a) AS meter_ppm, coalesce(sessions, 0) AS sessions, credits FROM e LEFT JOIN p USING (experiment) LEFT JOIN q USING (experiment) LEFT JOIN s USING (experiment))
+SELECT experiment, concat_ws(',', CASE WHEN pre_ppm > 20000 THEN 'pre_burn_idle_movement' END, CASE WHEN post_ppm > 20000 THEN 'extended_settlement_drift' END, CASE WHEN meter_ppm >= 20000 AND credits <= 0 THEN 'flat_credits_with_meter_movement' END, CASE WHEN sessions > 0 THEN 'overlapping_session' END) AS signals, pre_ppm, post_ppm, meter_ppm, sessions FROM f""",
+)
+def sf20_experiments(spark, sf_dir):
+    """A purchase starts an experiment on its user's account after two idle days; its own session is a remainder of k."""
+    e, k = t.events(spark, sf_dir), F.col("k")
+    experiments = e.where("event_type = 'purchase' and k < 30").select(
+        F.col("event_id").alias("experiment"), F.col("user_id").alias("account"), (k % 10).alias("session"), (F.col("ts") - 2 * DAY).alias("plateau"), F.col("ts").alias("started"), F.when(k % 5 != 0, F.col("ts") + DAY).alias("ended"), (F.col("ts") + 6 * DAY).alias("evaluated"),
+        (k * 1000).alias("meter_start"), (F.col("amount") * 10).alias("meter_end"), (F.col("amount") % 3).alias("credits"), F.lit(20_000).alias("pre_most"), F.lit(20_000).alias("post_most"), F.lit(HOUR).alias("grace"), F.lit(20_000).alias("meter_least"), F.lit(0).alias("credits_most"),
+    )
+    markers = e.where("event_type = 'signup'").select((k % 10).alias("session"), F.col("user_id").alias("account"), "ts")
+    out = calibration.experiment_contamination(experiments, t.meter(spark, sf_dir).select("account", "ts", "used_ppm"), markers, DAY)
+    return out.withColumn("signals", F.array_join("signals", ","))

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.clock import SECOND, format_rfc3339
 from ..operators import records
 from ..sources import databases, quotas, transcripts
 from ..sources import tables as t
-from ..sources.staging import new_folder
+from ..sources.staging import new_folder, staged
 from .meters import DAY, M_SQL
 from .registry import query
 
@@ -95,13 +95,12 @@ def sc5(spark, sf_dir):
     return _both(transcripts.parse_pi(lines)).drop("class")
 
 
-@query(
-    "SC-6_opencode_messages",
-    f"""{E_SQL}, x AS (SELECT *, k % 4 AS c, amount + 3 AS rest FROM ev WHERE event_type <> 'error')
+OPENCODE_SQL = f"""{E_SQL}, x AS (SELECT *, k % 4 AS c, amount + 3 AS rest FROM ev WHERE event_type <> 'error')
 SELECT 'm' || event_id AS event_id, 'opencode:' || user_id AS session, '/w/' || user_id AS directory, ts // 1000000 * 1000000 AS ts, amount AS input,
-       CASE c WHEN 0 THEN k + 2 WHEN 1 THEN 2 WHEN 2 THEN 1 ELSE 5 END::BIGINT AS output FROM x""",
-)
-def sc6(spark, sf_dir):
+       CASE c WHEN 0 THEN k + 2 WHEN 1 THEN 2 WHEN 2 THEN 1 ELSE 5 END::BIGINT AS output FROM x"""
+
+
+def _opencode_messages(spark, sf_dir) -> DataFrame:
     """Outputs as stated, as a difference below zero, as zero, and left out. Errors stand for users' messages."""
     e = t.events(spark, sf_dir)
     c, k, rest = F.col("k") % 4, F.col("k"), F.col("amount") + 3
@@ -110,8 +109,25 @@ def sc6(spark, sf_dir):
         F.when(c == 1, rest + 2).when(c == 2, rest + 1).alias("total"), F.struct(F.lit(1).alias("read"), F.lit(2).alias("write")).alias("cache"),
     )
     data = _json(role=F.when(F.col("event_type") == "error", "user").otherwise("assistant"), providerID=F.lit("p"), modelID=F.lit("m"), tokens=tokens)
-    messages = e.select(F.lit("a.db").alias("file"), F.col("event_id").alias("line"), F.concat(F.lit("m"), F.col("event_id").cast("string")).alias("message_id"), F.col("user_id").cast("string").alias("session_id"), F.expr("ts div 1000000").alias("time_created"), data.alias("data"))
-    directories = e.select("user_id").distinct().select(F.lit("a.db").alias("file"), F.col("user_id").cast("string").alias("session_id"), F.concat(F.lit("/w/"), F.col("user_id").cast("string")).alias("directory"))
+    user = F.col("user_id").cast("string")
+    return e.select("event_id", "user_id", F.concat(F.lit("m"), F.col("event_id").cast("string")).alias("message_id"), user.alias("session_id"), F.expr("ts div 1000000").alias("time_created"), data.alias("data"), F.concat(F.lit("/w/"), user).alias("directory"))
+
+
+@query("SC-6_opencode_messages", OPENCODE_SQL)
+def sc6(spark, sf_dir):
+    rows = _opencode_messages(spark, sf_dir).withColumn("file", F.lit("a.db"))
+    messages = rows.select("file", F.col("event_id").alias("line"), "message_id", "session_id", "time_created", "data")
+    directories = rows.select("file", "session_id", "directory").distinct()
+    return databases.parse_opencode(messages, directories)[0].select("event_id", "session", "directory", "ts", "input", "output")
+
+
+@query("SC-6_databases", OPENCODE_SQL)
+def sc6_databases(spark, sf_dir):
+    """The same messages out of databases, each of a user and no more than 5,000 numbers of events."""
+    rows = _opencode_messages(spark, sf_dir).withColumn("part", F.expr("event_id div 5000"))
+    path = F.concat_ws("/", "session_id", F.concat(F.col("part").cast("string"), F.lit(".db")))
+    files = staged(databases.packed(rows.withColumn("path", path), ["user_id", "part"], "path"), "databases")
+    messages, directories = databases.sqlite_rows(files, databases.MESSAGES), databases.sqlite_rows(files, databases.DIRECTORIES)
     return databases.parse_opencode(messages, directories)[0].select("event_id", "session", "directory", "ts", "input", "output")
 
 

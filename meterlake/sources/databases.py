@@ -8,6 +8,7 @@ are not seen.
 from __future__ import annotations
 
 import sqlite3
+from collections.abc import Sequence
 from contextlib import closing
 
 import pandas as pd
@@ -29,6 +30,12 @@ OPENCODE = ({"input": "input", "cache.read": "cache_read", "cache.write": "cache
 
 def read_sqlite(spark: SparkSession, root: str, select: tuple[str, str], pattern: str = "*.db") -> DataFrame:
     """file, line and the columns of a query, (SQL, schema), over every matching file below root."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root)
+    return sqlite_rows(files, select)
+
+
+def sqlite_rows(files: DataFrame, select: tuple[str, str]) -> DataFrame:
+    """read_sqlite's rows over databases held as rows, files(path, content)."""
     sql, schema = select
 
     def rows(frames):
@@ -47,10 +54,26 @@ def read_sqlite(spark: SparkSession, root: str, select: tuple[str, str], pattern
                         line += len(part)
                         yield out
 
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root)
     return files.select("path", "content").mapInPandas(rows, f"file string, line bigint, {schema}")
 
 
+def packed(messages: DataFrame, by: Sequence[str], path: str) -> DataFrame:
+    """(path, content): a database of messages and their sessions for each group of messages(by, path, message_id, session_id, time_created, data, directory), which one task writes in memory."""
+
+    def one(frame: pd.DataFrame) -> pd.DataFrame:
+        with closing(sqlite3.connect(":memory:")) as db:
+            db.execute("CREATE TABLE message (id TEXT, session_id TEXT, time_created INTEGER, data TEXT)")
+            db.execute("CREATE TABLE session (id TEXT, directory TEXT)")
+            rows = frame.sort_values("message_id")
+            db.executemany("INSERT INTO message VALUES (?, ?, ?, ?)", zip(rows["message_id"], rows["session_id"], rows["time_created"].tolist(), rows["data"], strict=True))
+            named = rows[["session_id", "directory"]].drop_duplicates()
+            db.executemany("INSERT INTO session VALUES (?, ?)", zip(named["session_id"], named["directory"], strict=True))
+            db.commit()
+            return pd.DataFrame({"path": [frame[path].iloc[0]], "content": [db.serialize()]})
+
+    return messages.groupBy(*by).applyInPandas(one, "path string, content binary")
+
+
 def parse_opencode(messages: DataFrame, directories: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(events, quarantined) of message rows; users' messages carry no usage. An output that was stored as a difference counts only where the row proves it."""
     v, u = F.col("v"), F.col("u")

@@ -6,7 +6,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from meterlake.operators import activation, canrun, doctor, exports, imports, retention
+from meterlake.operators import activation, calibration, canrun, doctor, exports, imports, meter, retention
+from meterlake.sources import databases
 
 EVENTS = "scope string, event bigint, at bigint, model string, supersedes string"
 
@@ -165,3 +166,37 @@ def test_panels(spark):
     got = {r.name: (r.status, r.found, r.about, r["sample"]) for r in doctor.panel(df, checks).collect()}
     assert got == {"bad": ("fail", 10, 20, [f"l{i:02d}" for i in range(0, 10, 2)]), "soft": ("warn", 2, 20, ["l00", "l01"]), "none": ("not_applicable", 0, 0, []), "clean": ("pass", 0, 20, []), "same": ("fail", 20, 20, ["one"])}
     assert {r.status for r in doctor.panel(df.limit(0), checks).collect()} == {"not_applicable"}
+
+
+def test_reading_age(spark):
+    rows = [("none", 100, None, "provider_observed"), ("late", 100, 10, "provider_observed"), ("skew", 100, 105, "locally_received"), ("ahead", 100, 106, "locally_received"), ("future", 201, None, "locally_received"), ("older", 201, 50, "older_of_the_two"), ("lead", 200, 203, "provider_observed")]
+    df = spark.createDataFrame(rows, "name string, received bigint, provider bigint, basis string")
+    age, anomaly = meter.reading_age(F.col("provider"), F.col("received"), F.col("basis"), 200, 5)
+    got = {r.name: (r.age, r.anomaly) for r in df.select("name", age.alias("age"), anomaly.alias("anomaly")).collect()}
+    assert got == {"none": (100, None), "late": (190, None), "skew": (100, None), "ahead": (None, "provider_ahead"), "future": (None, "future"), "older": (150, None), "lead": (None, "future")}
+
+
+EXPERIMENT = "experiment bigint, account string, session string, plateau bigint, started bigint, ended bigint, evaluated bigint, meter_start bigint, meter_end bigint, credits bigint, pre_most bigint, post_most bigint, grace bigint, meter_least bigint, credits_most bigint"
+
+
+def test_contamination_by_recorded_thresholds(spark):
+    base = ("a", "own", 100, 200, 300, 900, 0, 0, 5, 10, 10, 50, 20, 0)
+    change = lambda n, **kw: (n, *[kw.get(c.split()[0], v) for c, v in zip(EXPERIMENT.split(", ")[1:], base, strict=True)])
+    rows = [change(1), change(2, pre_most=9), change(3, post_most=19), change(4, ended=None), change(5, meter_end=20), change(6, meter_end=20, credits=0), change(7, session="x"), change(8, account="b"), change(9, grace=600)]
+    readings = [("a", 99, 500), ("a", 100, 0), ("a", 200, 10), ("a", 250, 900), ("a", 350, 700), ("a", 351, 10), ("a", 900, 30), ("a", 901, 800)]
+    markers = [("x", "a", 200), ("own", "a", 250), ("x", "a", 300), ("y", "a", 301), ("y", "b", 199), (None, "a", 250)]
+    got = calibration.experiment_contamination(spark.createDataFrame(rows, EXPERIMENT), spark.createDataFrame(readings, "account string, ts bigint, used_ppm bigint"), spark.createDataFrame(markers, "session string, account string, ts bigint"), 64)
+    found = {r.experiment: (r.signals, r.pre_ppm, r.post_ppm, r.sessions) for r in got.collect()}
+    drift, other, idle, flat = "extended_settlement_drift", "overlapping_session", "pre_burn_idle_movement", "flat_credits_with_meter_movement"
+    assert found == {
+        1: ([drift, other], 10, 20, 1), 2: ([idle, drift, other], 10, 20, 1), 3: ([drift, other], 10, 20, 1), 4: ([other], 10, None, 2), 5: ([drift, other], 10, 20, 1), 6: ([drift, flat, other], 10, 20, 1),
+        7: ([drift, other], 10, 20, 1), 8: ([], None, None, 0), 9: ([other], 10, None, 1),
+    }
+
+
+def test_databases_are_packed_and_read(spark):
+    rows = spark.createDataFrame([(i % 3, f"{i % 3}.db", f"m{i}", f"s{i % 3}", i, '{"role":"user"}', "/w") for i in range(9)], "g int, path string, message_id string, session_id string, time_created bigint, data string, directory string")
+    files = databases.packed(rows, ["g"], "path").cache()
+    got = {(r.file, r.line, r.message_id, r.time_created) for r in databases.sqlite_rows(files, databases.MESSAGES).collect()}
+    assert got == {(f"{i % 3}.db", i // 3 + 1, f"m{i}", i) for i in range(9)}
+    assert {tuple(r) for r in databases.sqlite_rows(files, databases.DIRECTORIES).select("file", "session_id").collect()} == {(f"{i}.db", f"s{i}") for i in range(3)}
