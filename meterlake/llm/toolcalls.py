@@ -18,6 +18,7 @@ conversation's rows are never gathered, so it may be of any length.
 from __future__ import annotations
 
 from collections.abc import Mapping
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -27,8 +28,34 @@ from .fingerprints import let
 
 # JSON types, as prefixes of the SQL types that variants of them have.
 _TYPES = {"string": ("STRING",), "integer": ("BIGINT",), "number": ("BIGINT", "DECIMAL", "DOUBLE"), "boolean": ("BOOLEAN",), "array": ("ARRAY",), "object": ("OBJECT",)}
-#: Tool to argument to (type, whether it is required).
-Schemas = Mapping[str, Mapping[str, tuple[str, bool]]]
+
+
+@dataclass(frozen=True)
+class OneOf:
+    """A string that is one of these."""
+
+    values: tuple[str, ...]
+
+
+@dataclass(frozen=True)
+class Items:
+    """An array, each of whose items is of a kind."""
+
+    kind: Kind
+
+
+@dataclass(frozen=True)
+class Fields:
+    """An object with fields of (kind, whether it is required), and with no others if it is closed."""
+
+    fields: Mapping[str, tuple[Kind, bool]]
+    closed: bool = False
+
+
+#: What a value may be: a JSON type by name, or one of the above.
+Kind = str | OneOf | Items | Fields
+#: Tool to argument to (kind, whether it is required).
+Schemas = Mapping[str, Mapping[str, tuple[Kind, bool]]]
 REPLY: Schemas = {"reply": {"text": ("string", True)}}
 
 
@@ -123,6 +150,33 @@ def implicit_results(conversations: DataFrame) -> DataFrame:
     return answers.select("conv_id", "turn", F.lit(-1).alias("idx"), F.concat(F.lit("turn-"), (F.col("turn") - 1).cast("string")).alias("call_id"), quoted.alias("json"))
 
 
+def _named(kind: Kind) -> str:
+    return kind if isinstance(kind, str) else {OneOf: "value allowed", Items: "array of its items", Fields: "object of its fields"}[type(kind)]
+
+
+def _fits(value: Column, kind: Kind) -> Column:
+    """Whether a variant is of a kind; a JSON null is of none. Fields and items are looked at to any depth that the schema has; fields that are null count as absent."""
+    found = F.schema_of_variant(value)
+    if isinstance(kind, OneOf):
+        fits = found.startswith("STRING") & F.try_variant_get(value, "$", "string").isin(list(kind.values))
+    elif isinstance(kind, Items):
+        fits = found.startswith("ARRAY") & F.forall(F.try_variant_get(value, "$", "array<variant>"), lambda x: _fits(x, kind.kind))
+    elif isinstance(kind, Fields):
+        fits = found.startswith("OBJECT")
+        for name, (inner, required) in kind.fields.items():
+            field = F.try_variant_get(value, f"$['{name}']", "variant")
+            absent = field.isNull() | F.is_variant_null(field)
+            fits = fits & F.when(absent, F.lit(not required)).otherwise(_fits(field, inner))
+        if kind.closed:
+            names = F.map_keys(F.try_variant_get(value, "$", "map<string,variant>"))
+            fits = fits & F.forall(names, lambda n: n.isin(list(kind.fields)))
+    else:
+        fits = F.lit(False)
+        for prefix in _TYPES[kind]:
+            fits = fits | found.startswith(prefix)
+    return F.coalesce(fits, F.lit(False))
+
+
 def faults(schemas: Schemas) -> Column:
     """array<string>: how a call's arguments break its tool's schema; empty if they don't, or if the tool has none."""
     args = F.col("arguments")
@@ -131,11 +185,7 @@ def faults(schemas: Schemas) -> Column:
     for tool, params in schemas.items():
         for p, (kind, required) in params.items():
             absent = of(p).isNull() | F.is_variant_null(of(p))
-            found = F.schema_of_variant(of(p))
-            fits = F.lit(False)
-            for prefix in _TYPES[kind]:
-                fits = fits | found.startswith(prefix)
-            checks.append(F.when((F.col("name") == tool) & ~absent & ~fits, F.lit(f"{p} is no {kind}")))
+            checks.append(F.when((F.col("name") == tool) & ~absent & ~_fits(of(p), kind), F.lit(f"{p} is no {_named(kind)}")))
             if required:
                 checks.append(F.when((F.col("name") == tool) & absent, F.lit(f"{p} is missing")))
     return F.filter(F.array(*checks), lambda x: x.isNotNull())

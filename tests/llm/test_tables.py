@@ -12,6 +12,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+from meterlake.llm import toolcalls
 from meterlake.llm.embeddings import cell_keys, decode, lattice, roots, similar_vectors
 from meterlake.llm.fingerprints import BINS, fingerprint, fingerprint_report, likeness
 from meterlake.llm.mixing import MIX_SQL, mix, mix_report, training_order
@@ -452,3 +453,20 @@ def test_lattice():
     assert np.allclose(home * 2, np.rint(home * 2)) and np.allclose(home.sum(axis=1) % 2, 0) and len(roots()) == 240
     own = ((x - home) ** 2).sum(axis=1)
     assert all(own[i] <= ((x[i] - home[i] - roots()) ** 2).sum(axis=1).min() + 1e-9 for i in range(len(x)))
+
+
+def test_nested_schemas(spark):
+    inner = toolcalls.Fields({"unit": (toolcalls.OneOf(("m", "km")), True), "n": ("number", False)}, closed=True)
+    schemas = {"go": {"legs": (toolcalls.Items(inner), True), "how": (toolcalls.OneOf(("foot", "car")), False), "note": (toolcalls.Fields({"by": ("string", True)}), False)}}
+    good = [
+        {"legs": []}, {"legs": [{"unit": "m"}]}, {"legs": [{"unit": "km", "n": 1.5}, {"unit": "m", "n": None}]}, {"legs": [], "how": "car"}, {"legs": [], "how": None},
+        {"legs": [], "note": {"by": "x", "more": 1}}, {"legs": [], "other": 1},
+    ]
+    bad = [
+        {}, {"legs": {}}, {"legs": [3]}, {"legs": [None]}, {"legs": [{"n": 1}]}, {"legs": [{"unit": "mile"}]}, {"legs": [{"unit": "m"}, {"unit": 1}]}, {"legs": [{"unit": "m", "n": "1"}]}, {"legs": [{"unit": "m", "x": 1}]},
+        {"legs": [], "how": "boat"}, {"legs": [], "how": 1}, {"legs": [], "note": {"by": 1}}, {"legs": [], "note": {}}, {"legs": [], "note": []},
+    ]
+    calls = [json.dumps({"id": f"c{i}", "name": "go", "arguments": a}) for i, a in enumerate(good + bad)]
+    df = spark.createDataFrame([(1, i, "assistant", f"<tool_call>{c}</tool_call>") for i, c in enumerate(calls)], "conv_id bigint, turn bigint, role string, text string")
+    got = {r["turn"]: r["status"] for r in format_chat(df, schemas).where("kind = 'call'").collect()}
+    assert [got[i] for i in range(len(calls))] == ["unanswered"] * len(good) + ["invalid"] * len(bad)
