@@ -163,3 +163,19 @@ def test_staged_folders_go(spark, edge):
 def test_permutation():
     x = np.random.default_rng(1).integers(0, 1 << 32, 100_000, dtype=np.uint32)
     assert len(np.unique(_permute(x, 0x7FEB352D, 0x846CA68B))) == len(np.unique(x))
+
+
+@pytest.mark.parametrize("common, a, b", [(3, 1, 0), (6, 1, 1), (30, 5, 5)])
+def test_planted_pairs_pass_the_bits_and_the_bands(common, a, b):
+    """Pairs at exactly 0.75: signatures differ as independent bits would, none by more than the filter lets through."""
+    rng, pairs = np.random.default_rng(common), 10_000
+    sets = []
+    for row in rng.integers(0, 2**63, (pairs, common + a + b)).astype(np.uint64):
+        for x in (row[: common + a], np.concatenate((row[:common], row[common + a :]))):
+            sets.append(np.stack((np.sort(x), np.sort(x))))
+    sig = neardup.signatures(sets)
+    sketch, bands = neardup._sketch(sig), neardup._band_keys(sig)
+    bits = np.bitwise_count(sketch[0::2] ^ sketch[1::2]).sum(1)
+    assert abs(bits.mean() - 16) < 0.2 and abs(bits.std() - (128 * 0.125 * 0.875) ** 0.5) < 0.15
+    assert bits.max() <= neardup.MOST_BITS
+    assert (~(bands[0::2] == bands[1::2]).any(1)).sum() <= 2
