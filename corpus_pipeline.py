@@ -6,6 +6,7 @@ has the columns of `documents`, and so has each stage's result but the last's.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,7 +23,12 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that their labels teach. Those without a letter, or in none of the languages, go; lang becomes the predicted language."""
+    """Documents in a language that their labels teach. Those without a letter, or in none of the languages, go; lang becomes the predicted language.
+
+    So do null and empty texts, and all documents where no label is known.
+    Whole texts count, of any length; repeated rows stay; an empty table gives
+    an empty one. Columns other than those of documents are dropped.
+    """
     found = identify(docs.select(*COLUMNS), learn(docs))
     return found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).withColumn("lang", F.col("lang_pred")).select(*COLUMNS)
 
@@ -41,19 +47,42 @@ def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document, with the secrets in its text replaced; n_chars follows the text."""
+    """Every document, with the secrets in its text replaced; n_chars follows the text.
+
+    A null text stays null, and n_chars with it. Repeated rows stay, an empty table gives an empty one; texts may be of
+    any length.
+    """
     return redact(docs.select(*COLUMNS)).withColumn("n_chars", F.length("text").cast("bigint")).select(*COLUMNS)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them, in training order."""
+    """Documents as often as the mix takes them, in training order; tokens() keeps that.
+
+    Null texts and texts without a word aren't taken, nor are sources of weight
+    zero; a null source is one of its own. Repeated rows are taken each, an empty
+    table gives an empty one; texts may be of any length.
+    """
     return training_order(docs.select(*COLUMNS))
 
 
+def _training_places(docs: DataFrame) -> DataFrame:
+    """docs plus shard and place: a row's file, which the mixing stage wrote in order, and its number there. Rows that don't come from files have their partition and their number in it."""
+    try:
+        at = docs.metadataColumn("_metadata")
+        return docs.withColumns({"shard": F.regexp_extract(at["file_name"], r"part-(\d+)", 1).try_cast("bigint"), "place": at["row_index"]})
+    except AnalysisException:  # no file is read
+        return docs.withColumns({"shard": F.spark_partition_id().cast("bigint"), "place": F.monotonically_increasing_id()})
+
+
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, lang, source, n_tokens, ids): the token ids of every row, as little-endian unsigned 32-bit integers."""
-    coded = encode(docs.select("doc_id", "lang", "source", "text"))
-    return coded.select("doc_id", "lang", "source", F.floor(F.octet_length("ids") / 4).alias("n_tokens"), "ids")
+    """(doc_id, lang, source, shard, place, n_tokens, ids): the token ids of every row, as little-endian unsigned 32-bit integers.
+
+    Ordered by shard and place, rows stand as docs' files hold them, which is
+    the order of training. Null text has no ids, repeated rows are rows of their
+    own, an empty table gives an empty one; texts may be of any length.
+    """
+    coded = encode(_training_places(docs.select("doc_id", "lang", "source", "text")))
+    return coded.select("doc_id", "lang", "source", "shard", "place", F.floor(F.octet_length("ids") / 4).alias("n_tokens"), "ids")
 
 
 STAGES = [
