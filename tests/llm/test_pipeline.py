@@ -4,6 +4,7 @@ import hashlib
 import re
 
 import numpy as np
+from pyspark.sql import functions as F
 
 import corpus_pipeline as pipeline
 from meterlake.llm.bpe import ranks
@@ -66,6 +67,17 @@ def test_one_of_each_group(spark):
 
 def test_run(spark):
     got = pipeline.run(spark, str(DATA))
-    assert got.columns == ["doc_id", "lang", "source", "n_tokens", "ids"] and got.count() > 50
+    assert got.columns == ["doc_id", "lang", "source", "shard", "place", "n_tokens", "ids"] and got.count() > 50
     top = max(ranks(__import__("public_tokenizers").path("byte_bpe_50k.tiktoken")).values())
     assert all(np.frombuffer(r["ids"], "<u4").max(initial=0) <= top and re.fullmatch(r"\w+", r["lang"]) for r in got.collect())
+
+
+def test_tokens_keep_the_training_order(spark, sample, tmp_path):
+    mixed = pipeline.mixture(spark, sample, "")
+    path = str(tmp_path / "mixed")
+    mixed.repartitionByRange(7, "n_chars").sortWithinPartitions(F.desc("n_chars"), "doc_id").write.parquet(path)
+    files = sorted((tmp_path / "mixed").glob("part-*.parquet"))
+    want = [(r["doc_id"], r["n_chars"]) for f in files for r in spark.read.parquet(str(f)).coalesce(1).collect()]
+    got = pipeline.tokens(spark, spark.read.parquet(path), "").orderBy("shard", "place").collect()
+    assert len(files) > 3 and [r["doc_id"] for r in got] == [d for d, _ in want]
+    assert len({(r["shard"], r["place"]) for r in got}) == len(got)
