@@ -167,7 +167,7 @@ def sc16_seed(spark, sf_dir):
     names = spark.createDataFrame([("claude", "a-claude"), ("codex", "a-codex")], "vendor string, account string")
     native = spark.createDataFrame([("a-claude", NOW)], "account string, since bigint")
     before = F.array(F.struct(F.lit("five_hour").alias("window"), F.lit(990_000).cast("bigint").alias("used_ppm"), F.lit(None).cast("bigint").alias("reset_at")))
-    stored = e.select(at.alias("ts")).where(F.col("ts") % (7 * HOUR) == 0).distinct().crossJoin(F.broadcast(names.select("account"))).select("account", "ts", before.alias("windows"))
+    stored = e.select(at.alias("ts")).where(F.col("ts") % (7 * HOUR) == 0).distinct().select(F.explode(F.array(F.lit("a-claude"), F.lit("a-codex"))).alias("account"), "ts", before.alias("windows"))
     out = imports.seed_import(imports.seed_records(lines), names, native, stored, {"codex": NOW - 10 * DAY})
     return out.select("line", "vendor", "account", "disposition", "reason", "asserted")
 
