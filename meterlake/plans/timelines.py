@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.clock import format_rfc3339
 from ..operators import attribution as a
 from ..operators import canrun
+from ..operators import tasks as reports
 from ..sources import databases
 from ..sources import tables as t
 from .registry import query
@@ -131,6 +132,49 @@ def ag19_sessions(spark, sf_dir):
     return a.task_sessions(tasks(spark, sf_dir), runs)
 
 
+#: Usage of tasks in four kinds; what could not be read are a session's errors, and every eleventh count is an estimate.
+QUALIFIED_SQL = f"""{TASK_SQL},
+u AS (SELECT bucket AS task, tasked.session, CASE WHEN k % 11 <> 0 THEN 'reported' WHEN k % 2 = 0 THEN 'char-ratio' END AS evidence, tasked.tokens AS input, tasked.tokens // 3 AS output, k * 10 AS cache_read, CASE WHEN k % 7 > 4 THEN k % 7 END AS cache_write
+  FROM tasked JOIN ev USING (event_id) WHERE bucket LIKE 'task-%'),
+bad AS (SELECT DISTINCT user_id AS session, 'class-' || k % 3 AS class FROM ev WHERE event_type = 'error' AND k % 5 = 0),
+ses AS (SELECT task, session, count(*) AS events, {", ".join(f"coalesce(sum({k}), 0)::BIGINT AS {k}" for k in KINDS)}, count(*) FILTER (WHERE evidence = 'reported') AS measured,
+  coalesce(list(DISTINCT coalesce(evidence, 'unknown')) FILTER (WHERE evidence IS DISTINCT FROM 'reported'), []) AS methods, (SELECT coalesce(list(class), []) FROM bad WHERE bad.session = u.session) AS quarantined FROM u GROUP BY task, session)"""
+STATE_SQL = f"""CASE WHEN len(quarantined) > 0 THEN 'partial' ELSE 'complete' END AS coverage, CASE WHEN len(quarantined) > 0 THEN '{",".join(KINDS)}' ELSE '' END AS missing, CASE WHEN measured = events THEN 'measured' WHEN measured = 0 THEN 'estimated' ELSE 'mixed' END AS quality,
+  array_to_string(list_sort(list_distinct(methods)), ',') AS methods, array_to_string(list_sort(list_distinct(quarantined)), ',') AS quarantined, CASE WHEN cache_write = 0 THEN 3 * input + 15 * output + cache_read END AS credits, CASE WHEN cache_write <> 0 THEN 'rate of cache_write' ELSE '' END AS refused"""
+
+
+def session_states(spark, sf_dir):
+    ev, k = t.events(spark, sf_dir), F.col("k")
+    rows = tasks(spark, sf_dir).where(F.col("bucket").startswith("task-")).join(ev.select("event_id", "k"), "event_id")
+    evidence = F.when(k % 11 != 0, "reported").when(k % 2 == 0, "char-ratio")
+    used = rows.select(F.col("bucket").alias("task"), "session", evidence.alias("evidence"), F.col("tokens").alias("input"), F.expr("tokens div 3").alias("output"), (k * 10).alias("cache_read"), F.when(k % 7 > 4, k % 7).alias("cache_write"))
+    bad = ev.where((F.col("event_type") == "error") & (k % 5 == 0)).select(F.col("user_id").alias("session"), F.concat(F.lit("class-"), (k % 3).cast("string")).alias("class"))
+    return reports.session_usage(used, KINDS, bad, ["session"])
+
+
+def told(states):
+    rated = {"input": 3, "output": 15, "cache_read": 1}
+    out = reports.qualify(states, KINDS, rated)
+    return out.withColumns({c: F.array_join(c, ",") for c in ("methods", "missing", "quarantined", "refused")})
+
+
+@query("AG-19_qualified_sessions", f"WITH {QUALIFIED_SQL} SELECT task, session, events, {', '.join(KINDS)}, {STATE_SQL} FROM ses")
+def ag19_qualified_sessions(spark, sf_dir):
+    return told(session_states(spark, sf_dir))
+
+
+@query(
+    "AG-19_qualified_tasks",
+    f"""WITH {QUALIFIED_SQL},
+tk AS (SELECT task, count(*) AS sessions, sum(events)::BIGINT AS events, {", ".join(f"sum({k})::BIGINT AS {k}" for k in KINDS)}, sum(measured) AS measured, flatten(list(methods)) AS methods, flatten(list(quarantined)) AS quarantined FROM ses GROUP BY task),
+nat AS (SELECT md5(c_custkey::VARCHAR) AS native_id FROM customer), f AS (SELECT lower(substr(native_id, 1, 3)) AS fragment, count(*) AS n FROM nat GROUP BY 1),
+ac AS (SELECT n FROM (SELECT substr(md5(s_suppkey::VARCHAR), 1, 3) AS fragment FROM supplier) LEFT JOIN f USING (fragment))
+SELECT task, sessions, events, {", ".join(KINDS)}, {STATE_SQL}, (SELECT count(*) FROM ac WHERE n IS NULL) AS unresolved_claims, (SELECT count(*) FROM ac WHERE n > 1) AS ambiguous_claims FROM tk""",
+)
+def ag19_qualified_tasks(spark, sf_dir):
+    return reports.with_claims(told(reports.task_usage(session_states(spark, sf_dir), KINDS)), jn12(spark, sf_dir))
+
+
 @query(
     "JN-12_actor_prefix",
     """WITH s AS (SELECT md5(c_custkey::VARCHAR) AS native_id FROM customer), f AS (SELECT lower(substr(native_id, 1, 3)) AS fragment, count(*) AS n, min(native_id) AS session FROM s GROUP BY 1),
