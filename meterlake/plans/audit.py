@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import json_paths
 from ..operators import drift, evidence, segments
+from ..sources import messages
 from ..sources import tables as t
 from ..sources.staging import staged
 from .meters import M_SQL
@@ -105,3 +106,38 @@ def sk8_parts(spark, sf_dir):
     headers = turns.groupBy("conv_id").agg(F.min("turn").alias("first")).select("conv_id", F.concat(F.lit("# sample · "), F.col("first").cast("string"), F.lit(" · "), F.col("conv_id").cast("string"), F.lit("\n")).alias("header"))
     lines = turns.select("conv_id", F.col("turn").cast("bigint").alias("turn"), segments.message_lines(F.col("role"), F.col("text")).alias("line"))
     return segments.parts(lines, headers, "conv_id", 500, 4)
+
+
+HARNESS_SQL = f"""{t.EV_SQL},
+cl AS (SELECT user_id, k % 3 AS id, event_id FROM ev WHERE event_type = 'click'), rs AS (SELECT user_id, k % 3 AS id, event_id FROM ev WHERE event_type = 'purchase'),
+met AS (SELECT rs.event_id AS result, cl.event_id AS call FROM rs ASOF LEFT JOIN cl ON rs.user_id = cl.user_id AND rs.id = cl.id AND rs.event_id >= cl.event_id),
+pr AS (SELECT call, max(result) AS result FROM met WHERE call IS NOT NULL GROUP BY call)"""
+
+
+def harness_lines(spark, sf_dir):
+    """A line for each event of a user's file: views speak, clicks call, purchases are results, sign-ups think, errors are meta lines."""
+    e, k, kind = t.events(spark, sf_dir), F.col("k"), F.col("event_type")
+    id = F.concat(F.lit("c"), (k % 3).cast("string"))
+    block = (
+        F.when(kind == "click", F.to_json(F.struct(F.lit("tool_use").alias("type"), id.alias("id"), F.lit("run").alias("name"), F.struct(k.alias("k")).alias("input"))))
+        .when(kind == "purchase", F.to_json(F.struct(F.lit("tool_result").alias("type"), id.alias("tool_use_id"), F.concat(F.lit("r"), F.col("event_id").cast("string")).alias("content"))))
+        .when(kind == "signup", F.to_json(F.struct(F.lit("thinking").alias("type"), F.concat(F.lit("t"), k.cast("string"), F.lit("\n\nu")).alias("thinking"))))
+        .otherwise(F.to_json(F.struct(F.lit("text").alias("type"), F.concat(F.lit(" v"), k.cast("string"), F.lit(" <system-reminder>x</system-reminder> ")).alias("text"))))
+    )
+    role = F.when(kind.isin("click", "signup"), "assistant").otherwise("user")
+    text = F.concat(F.lit('{"isMeta":'), (kind == "error").cast("string"), F.lit(',"message":{"role":"'), role, F.lit('","content":['), block, F.lit("]}}"))
+    return e.select(F.concat(F.lit("f"), F.col("user_id").cast("string")).alias("file"), F.col("event_id").alias("line"), text.alias("text"))
+
+
+@query(
+    "SK-8_harness_messages",
+    f"""WITH {HARNESS_SQL}
+SELECT 'f' || user_id AS file, event_id AS line, CASE WHEN event_type IN ('click', 'signup') THEN chr(10) || '## Assistant' || chr(10) ELSE chr(10) || '## User' || chr(10) END ||
+  CASE event_type WHEN 'click' THEN '**Tool: run**' || chr(10) || '```json' || chr(10) || '{{"k":' || k || '}}' || chr(10) || '```' || chr(10) || CASE WHEN pr.result IS NULL THEN '' ELSE '**Tool result:**' || chr(10) || 'r' || pr.result || chr(10) END
+    WHEN 'purchase' THEN '**Tool: (unknown)**' || chr(10) || '```json' || chr(10) || 'null' || chr(10) || '```' || chr(10) || '**Tool result:**' || chr(10) || 'r' || event_id || chr(10)
+    WHEN 'signup' THEN '> t' || k || chr(10) || '> ' || chr(10) || '> u' || chr(10) ELSE 'v' || k || chr(10) END AS markdown
+FROM ev LEFT JOIN pr ON pr.call = event_id WHERE event_type <> 'error' AND event_id NOT IN (SELECT result FROM met WHERE call IS NOT NULL)""",
+)
+def sk8_messages(spark, sf_dir):
+    said = messages.claude_messages(harness_lines(spark, sf_dir))
+    return said.select("file", "line", segments.message_lines(F.col("role"), F.col("text"), F.col("tools"), F.col("thinking")).alias("markdown"))
