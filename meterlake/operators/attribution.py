@@ -187,7 +187,7 @@ def explicit_claim(requests: DataFrame, markers: DataFrame) -> DataFrame:
 def task_report(attributed: DataFrame) -> DataFrame:
     """(bucket, is_task, tokens, events, sessions, share_ppm): tasks and the overhead beside them; the shares are of all tokens, which both conserve."""
     out = attributed.groupBy("bucket").agg(F.sum("tokens").cast("bigint").alias("tokens"), F.count("*").alias("events"), F.count_distinct("session").alias("sessions"))
-    total = out.agg(F.sum("tokens").cast("bigint").alias("__total"))  # one row, of the same exchange
+    total = out.agg(F.sum("tokens").cast("bigint").alias("__total"))  # one row
     return out.join(F.broadcast(total)).withColumn("is_task", F.col("bucket").startswith("task-")).withColumn("share_ppm", share_ppm(F.col("tokens"), F.col("__total"))).drop("__total")
 
 

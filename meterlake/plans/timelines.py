@@ -134,9 +134,9 @@ def ag19_sessions(spark, sf_dir):
 
 #: Usage of tasks in four kinds; what could not be read are a session's errors, and every eleventh count is an estimate.
 QUALIFIED_SQL = f"""{TASK_SQL},
-u AS (SELECT bucket AS task, tasked.session, CASE WHEN k % 11 <> 0 THEN 'reported' WHEN k % 2 = 0 THEN 'char-ratio' END AS evidence, tasked.tokens AS input, tasked.tokens // 3 AS output, k * 10 AS cache_read, CASE WHEN k % 7 > 4 THEN k % 7 END AS cache_write
+u AS (SELECT bucket || '-' || tasked.session % 7 AS task, tasked.session, CASE WHEN k % 11 <> 0 THEN 'reported' WHEN k % 2 = 0 THEN 'char-ratio' END AS evidence, tasked.tokens AS input, tasked.tokens // 3 AS output, k * 10 AS cache_read, CASE WHEN k % 29 = 3 THEN 1 + k % 7 END AS cache_write
   FROM tasked JOIN ev USING (event_id) WHERE bucket LIKE 'task-%'),
-bad AS (SELECT DISTINCT user_id AS session, 'class-' || k % 3 AS class FROM ev WHERE event_type = 'error' AND k % 5 = 0),
+bad AS (SELECT DISTINCT user_id AS session, 'class-' || k % 3 AS class FROM ev WHERE event_type = 'error' AND k % 50 = 7),
 ses AS (SELECT task, session, count(*) AS events, {", ".join(f"coalesce(sum({k}), 0)::BIGINT AS {k}" for k in KINDS)}, count(*) FILTER (WHERE evidence = 'reported') AS measured,
   coalesce(list(DISTINCT coalesce(evidence, 'unknown')) FILTER (WHERE evidence IS DISTINCT FROM 'reported'), []) AS methods, (SELECT coalesce(list(class), []) FROM bad WHERE bad.session = u.session) AS quarantined FROM u GROUP BY task, session)"""
 STATE_SQL = f"""CASE WHEN len(quarantined) > 0 THEN 'partial' ELSE 'complete' END AS coverage, CASE WHEN len(quarantined) > 0 THEN '{",".join(KINDS)}' ELSE '' END AS missing, CASE WHEN measured = events THEN 'measured' WHEN measured = 0 THEN 'estimated' ELSE 'mixed' END AS quality,
@@ -147,8 +147,8 @@ def session_states(spark, sf_dir):
     ev, k = t.events(spark, sf_dir), F.col("k")
     rows = tasks(spark, sf_dir).where(F.col("bucket").startswith("task-")).join(ev.select("event_id", "k"), "event_id")
     evidence = F.when(k % 11 != 0, "reported").when(k % 2 == 0, "char-ratio")
-    used = rows.select(F.col("bucket").alias("task"), "session", evidence.alias("evidence"), F.col("tokens").alias("input"), F.expr("tokens div 3").alias("output"), (k * 10).alias("cache_read"), F.when(k % 7 > 4, k % 7).alias("cache_write"))
-    bad = ev.where((F.col("event_type") == "error") & (k % 5 == 0)).select(F.col("user_id").alias("session"), F.concat(F.lit("class-"), (k % 3).cast("string")).alias("class"))
+    used = rows.select(F.concat("bucket", F.lit("-"), (F.col("session") % 7).cast("string")).alias("task"), "session", evidence.alias("evidence"), F.col("tokens").alias("input"), F.expr("tokens div 3").alias("output"), (k * 10).alias("cache_read"), F.when(k % 29 == 3, 1 + k % 7).alias("cache_write"))
+    bad = ev.where((F.col("event_type") == "error") & (k % 50 == 7)).select(F.col("user_id").alias("session"), F.concat(F.lit("class-"), (k % 3).cast("string")).alias("class"))
     return reports.session_usage(used, KINDS, bad, ["session"])
 
 
