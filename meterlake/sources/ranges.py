@@ -21,7 +21,7 @@ from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPart
 from ..streaming.ingest import changes
 
 WIDTH = 64 << 20
-_READ = 1 << 20
+_READ, _LEAST = 1 << 20, 1 << 8
 LINE = "file string, at bigint, until bigint, text string"
 
 
@@ -36,13 +36,15 @@ def lines_between(source, start: int, end: int, size: int) -> Iterator[tuple[int
     """(offset, offset behind the newline, line) of the lines that begin in [start, end) of a file of `size` bytes and have their newline by then.
 
     Reads from the byte before start, which tells whether a line begins there,
-    to the end of the last line that begins before end.
+    to the end of the last line that begins before end: the range itself, then a
+    little and twice as much at a time, so that short ranges cost their own bytes.
     """
     at = max(0, start - 1)
     source.seek(at)
     held, first = b"", start > 0
     while at < size:
-        block = source.read(min(_READ, size - at))
+        ask = end - at if at < end else max(_LEAST, at - end)
+        block = source.read(min(_READ, ask, size - at))
         if not block:
             return
         begins, parts = at - len(held), (held + block).split(b"\n")
@@ -75,18 +77,33 @@ def ranges(files: DataFrame, marks: DataFrame, parser_version: int, width: int =
     return cut.select(F.col("path").alias("file"), "size", "start", F.least(F.col("start") + width, "size").alias("end"), "change")
 
 
+def _found(batches):
+    """The lines of a task's ranges, which come by file: one is open at a time."""
+    name, source = None, None
+    try:
+        for batch in batches:
+            for file, size, start, end in zip(*(batch.column(c).to_pylist() for c in ("file", "size", "start", "end")), strict=True):
+                if file != name:
+                    if source is not None:
+                        source.close()
+                    name, source = file, _open(file)
+                for at, until, line in lines_between(source, start, end, size):
+                    yield file, at, until, line.decode("utf-8", "replace")
+    finally:
+        if source is not None:
+            source.close()
+
+
 def _read(batches):
-    for batch in batches:
-        for file, size, start, end in zip(*(batch.column(c).to_pylist() for c in ("file", "size", "start", "end")), strict=True):
-            with _open(file) as source:
-                found = lines_between(source, start, end, size)
-                while part := list(islice(found, 5000)):
-                    yield pa.RecordBatch.from_arrays([pa.array([file] * len(part)), pa.array([a for a, _, _ in part]), pa.array([b for _, b, _ in part]), pa.array([t.decode("utf-8", "replace") for _, _, t in part])], ["file", "at", "until", "text"])
+    found = _found(batches)
+    while part := list(islice(found, 5000)):
+        yield pa.RecordBatch.from_arrays([pa.array(column) for column in zip(*part, strict=True)], ["file", "at", "until", "text"])
 
 
 def read_ranges(wanted: DataFrame) -> DataFrame:
-    """(file, at, until, text): the complete lines of ranges(...), at and until being the bytes where a line begins and the next one does. A task reads a range."""
-    return wanted.repartition(F.col("file"), F.col("start")).select("file", "size", "start", "end").mapInArrow(_read, LINE)
+    """(file, at, until, text): the complete lines of ranges(...), at and until being the bytes where a line begins and the next one does. Tasks share the ranges; a range's row is small, so that their number is given, or Spark would deal them to one."""
+    tasks = int(wanted.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return wanted.select("file", "size", "start", "end").repartition(tasks, "file", "start").sortWithinPartitions("file", "start").mapInArrow(_read, LINE)
 
 
 def advanced(files: DataFrame, marks: DataFrame, wanted: DataFrame, lines: DataFrame, parser_version: int) -> DataFrame:
