@@ -148,8 +148,13 @@ def sc7(spark, sf_dir):
 def written_lines(spark, sf_dir, name):
     """A folder of one text file for each fifth of the users, the last line of which ends in a blank, not in a newline."""
     path = new_folder(spark, name)
-    bodies = t.events(spark, sf_dir).groupBy((F.col("user_id") % 5).alias("part")).agg(F.array_join(F.transform(F.array_sort(F.collect_list("event_id")), lambda i: F.concat(F.lit("line "), i.cast("string"))), "\n").alias("value"))
-    bodies.repartition("part").write.partitionBy("part").option("lineSep", " ").text(path)
+    part, number = F.col("user_id") % 5, F.col("event_id").cast("string")
+    # "line 1\nline 2 " is "line", "1\nline" and "2" with a blank behind each: rows, so that no file's lines are gathered.
+    w = Window.partitionBy("part").orderBy("event_id")
+    rows = t.events(spark, sf_dir).select(part.alias("part"), "event_id").withColumn("before", F.lag("event_id").over(w)).withColumn("last", F.lead("event_id").over(w).isNull())
+    opens = F.when(F.col("before").isNull(), "line").otherwise(F.concat(F.col("before").cast("string"), F.lit("\nline")))
+    pieces = rows.select("part", "event_id", F.posexplode(F.when(F.col("last"), F.array(opens, number)).otherwise(F.array(opens))).alias("place", "value"))
+    pieces.sortWithinPartitions("part", "event_id", "place").select("part", "value").write.partitionBy("part").option("lineSep", " ").text(path)
     return path
 
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.clock import parse_rfc3339
 from ..functions.globs import to_like
+from .staging import staged
 
 EVENT = ("file", "line", "event_id", "session", "parent", "directory", "model", "ts", "input", "output", "cache_read", "cache_write", "unknown", "missing", "quality")
 
@@ -26,10 +27,18 @@ PI = ({"input": "input", "output": "output", "cacheRead": "cache_read", "cacheWr
 FLOOR_TOKENS, CHARS_PER_TOKEN = 34_492, 4
 
 
+def _roots(root: str, hidden: Sequence[str]) -> list[str]:
+    return [root, *[f"{root.rstrip('/')}/{h}" for h in hidden]]
+
+
+def _path() -> Column:
+    """A file's path as the listing has it: without the escapes of a URI, which a name's own plus isn't one of."""
+    return F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+
+
 def _files(spark: SparkSession, root: str, pattern: str, hidden: Sequence[str]) -> DataFrame:
     """Spark's listing leaves out folders whose names begin with a dot or an underscore; those below root that hold transcripts are named by globs."""
-    paths = [root, *[f"{root.rstrip('/')}/{h}" for h in hidden]]
-    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(paths)
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(_roots(root, hidden))
 
 
 def discover(spark: SparkSession, root: str, pattern: str = "*.jsonl", hidden: Sequence[str] = ()) -> DataFrame:
@@ -40,10 +49,20 @@ def discover(spark: SparkSession, root: str, pattern: str = "*.jsonl", hidden: S
 
 def read_lines(spark: SparkSession, root: str, pattern: str = "*.jsonl", hidden: Sequence[str] = ()) -> DataFrame:
     """lines(file, line, text) of all matching files; a last line without its newline is still being written and is left out."""
-    files = _files(spark, root, pattern, hidden)
-    whole = files.select(F.col("path").alias("file"), F.decode("content", "UTF-8").alias("body"))
-    lines = whole.select("file", F.posexplode(F.split("body", "\n", -1)).alias("line", "text"), F.size(F.split("body", "\n", -1)).alias("n"))
-    return lines.where((F.col("line") < F.col("n") - 1) & (F.trim("text") != "")).select("file", (F.col("line") + 1).alias("line"), F.trim("text").alias("text"))
+    # Spark deals a long file out in blocks; a line's number is its place in its block behind the lines of the blocks before.
+    found = spark.read.option("lineSep", "\n").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).text(_roots(root, hidden))
+    # Written once: both passes must see the same blocks.
+    rows = staged(found.select(_path().alias("file"), F.col("_metadata.file_size").alias("size"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"), F.octet_length("value").alias("bytes"), F.make_valid_utf8("value").alias("text")), "lines")
+    blocks = rows.groupBy("file", "block", "size").agg(F.min("id").alias("first"), F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
+    of_file = Window.partitionBy("file")
+    before = F.coalesce(F.sum("n").over(of_file.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    lines = F.sum("n").over(of_file)
+    # What is left of a file besides its lines and a newline for each: one byte too few if the last has none; a mark of byte order has three.
+    left = F.col("size") - F.sum("bytes").over(of_file) - lines
+    blocks = blocks.select("file", "block", "first", before.alias("before"), F.when(left.isin(0, 3), lines).otherwise(lines - 1).alias("complete"))
+    line = F.col("id") - F.col("first") + F.col("before") + 1
+    out = rows.where(F.trim("text") != "").join(blocks, ["file", "block"]).select("file", line.cast("int").alias("line"), F.trim("text").alias("text"), "complete")
+    return out.where("line <= complete").drop("complete")
 
 
 def _text(v: Column, path: str) -> Column:

@@ -170,3 +170,36 @@ def test_tracker_records_without_a_time_are_set_aside(spark):
     assert sorted((e.upstream_id, e.kind, e.actor) for e in events.collect()) == [(1, "claim", None), (2, "release", "x")]
     assert [(r.upstream_id, r.raw) for r in aside.collect()] == [(3, "soon")]
     assert databases.unseen(events.union(events), events.where("upstream_id = 1")).count() == 1
+
+
+def test_lines_of_a_file_are_numbered_over_its_blocks(spark, tmp_path):
+    bodies = {"a b+c%20.jsonl": "﻿x\n\n y \nz".encode(), "long.jsonl": b"".join(b"line %d\r\n" % i for i in range(40)), "bad.jsonl": b"a\xff\n\xfe", "none.jsonl": b"", "blank.jsonl": b"\n\n"}
+    for name, body in bodies.items():
+        (tmp_path / name).write_bytes(body)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "100")
+    try:
+        got = {(r.file.rsplit("/", 1)[1], r.line): r.text for r in transcripts.read_lines(spark, str(tmp_path)).collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    want = {("a b+c%20.jsonl", 1): "x", ("a b+c%20.jsonl", 3): "y", ("bad.jsonl", 1): "a�"} | {("long.jsonl", i + 1): f"line {i}\r" for i in range(40)}
+    assert got == want
+
+
+def test_a_short_range_reads_little_more_than_its_own_bytes():
+    from io import BytesIO
+
+    from meterlake.sources.ranges import lines_between
+
+    class Counted(BytesIO):
+        taken = 0
+
+        def read(self, n=-1):
+            block = super().read(n)
+            self.taken += len(block)
+            return block
+
+    body = b"".join(b"line %d\n" % i for i in range(100_000)) + b"x" * 5000 + b"\nend\n"
+    source = Counted(body)
+    got = [line for a in range(0, len(body), 4096) for line in lines_between(source, a, min(a + 4096, len(body)), len(body))]
+    assert b"\n".join(line for _, _, line in got) + b"\n" == body and [a for a, _, _ in got] == [0, *[b for _, b, _ in got[:-1]]]
+    assert source.taken < 1.2 * len(body)
