@@ -17,16 +17,16 @@ def nanos(ts: Column) -> Column:
 def parse_rfc3339(text: Column) -> Column:
     """Nanoseconds of an RFC 3339 text with an offset; digits beyond nine are cut off, a 60th second runs into the next minute; null if malformed."""
     text = F.trim(text)
-    shape = r"^(\d{4}-\d{2}-\d{2})T(\d{2}):(\d{2}):(\d{2})(?:\.(\d+))?([Zz]|[+-]\d{2}:\d{2})$"
-    part = lambda k: F.regexp_extract(text, shape, k)
-    day = F.try_to_timestamp(part(1), F.lit("yyyy-MM-dd"))
-    hour, minute, second = (part(k).cast("int") for k in (2, 3, 4))
-    fraction = F.rpad(F.substring(part(5), 1, 9), 9, "0").cast("bigint")
-    offset = F.when(part(6).isin("Z", "z"), F.lit(0)).otherwise(
-        F.when(F.substring(part(6), 1, 1) == "-", -1).otherwise(1) * (F.substring(part(6), 2, 2).cast("int") * 3600 + F.substring(part(6), 5, 2).cast("int") * 60)
-    )
-    seconds = F.unix_micros(day) / 1_000_000 + hour * 3600 + minute * 60 + second - offset
-    return F.when(F.regexp_like(text, F.lit(shape)) & (hour <= 23) & (minute <= 59) & (second <= 60), seconds.cast("bigint") * SECOND + fraction)
+    shape = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(?:\.\d+)?(?:[Zz]|[+-]\d{2}:\d{2})\z"
+    # One match tells the shape; what it holds stands at fixed places from either end.
+    number = lambda at: F.substring(text, at, 2).try_cast("int")
+    hour, minute, second = number(12), number(15), number(18)
+    zulu = F.right(text, F.lit(1)).isin("Z", "z")
+    digits = F.when(F.substring(text, 20, 1) == ".", F.substr(text, F.lit(21), F.least(F.length(text) - F.when(zulu, 21).otherwise(26), F.lit(9)))).otherwise("")
+    fraction = F.rpad(digits, 9, "0").try_cast("bigint")
+    offset = F.when(zulu, F.lit(0)).otherwise(F.when(F.substring(text, -6, 1) == "-", -1).otherwise(1) * (number(-5) * 3600 + number(-2) * 60))
+    seconds = F.unix_date(F.substring(text, 1, 10).try_cast("date")).cast("bigint") * 86_400 + hour * 3600 + minute * 60 + second - offset
+    return F.when(F.regexp_like(text, F.lit(shape)) & (hour <= 23) & (minute <= 59) & (second <= 60), F.try_add(F.try_multiply(seconds, F.lit(SECOND)), fraction))
 
 
 def format_rfc3339(ns: Column) -> Column:

@@ -86,6 +86,18 @@ def _object(v: Column, path: str) -> Column:
     return F.coalesce(F.schema_of_variant(at).startswith("OBJECT"), F.lit(False))
 
 
+def once(rows: DataFrame, **columns: Column) -> DataFrame:
+    """rows with columns that are computed once for each row: a filter on a plain column is moved below it with a copy of its expression, and again below those that one is made of, so that a line would be parsed hundreds of times."""
+    kept = [c for c in rows.columns if c not in columns]
+    made = F.explode(F.array(F.struct(*[c.alias(k) for k, c in columns.items()])))
+    return rows.select(*kept, made.alias("_once")).select(*kept, *[F.col(f"_once.{k}").alias(k) for k in columns])
+
+
+def parsed_json(lines: DataFrame, text: str) -> DataFrame:
+    """lines with v, the text as a variant, null where it isn't JSON."""
+    return once(lines, v=F.try_parse_json(text))
+
+
 def usage_fields(rows: DataFrame, usage: str, spec: tuple[Mapping[str, str], Sequence[str], Sequence[str]]) -> DataFrame:
     """rows plus the four components, unknown, missing and fault (null, wrong_field_type or missing_required_field), read from a variant column."""
     known, ignored, required = spec
@@ -115,6 +127,7 @@ def _shaped(rows: DataFrame, **columns: Column) -> DataFrame:
 
 def _split(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(events, quarantined) of rows with a fault column."""
+    rows = once(rows, fault=F.col("fault"))
     return rows.where("fault is null").select(*EVENT), rows.where("fault is not null").select("file", "line", F.col("fault").alias("class"))
 
 
@@ -124,7 +137,7 @@ def _broken(lines: DataFrame) -> DataFrame:
 
 def parse_claude(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Messages with a usage object; their id is a strong identity. The breakdown of cache writes counts only where the total is absent."""
-    parsed = lines.withColumn("v", F.try_parse_json("text"))
+    parsed = parsed_json(lines, "text")
     v = F.col("v")
     rows = parsed.where(v.isNotNull() & _object(v, "$.message.usage")).withColumn("u", F.try_variant_get(v, "$.message.usage", "variant"))
     rows = usage_fields(rows, "u", CLAUDE)
@@ -141,7 +154,7 @@ def parse_claude(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def parse_codex(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The last cumulative total of each file, with the model in force at its line and the file's last session, directory and parent."""
-    parsed = lines.withColumn("v", F.try_parse_json("text"))
+    parsed = parsed_json(lines, "text")
     v = F.col("v")
     kind, inner = _text(v, "$.type"), _text(v, "$.payload.type")
     full = lambda c: F.nullif(c, F.lit(""))
@@ -162,7 +175,7 @@ def parse_codex(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def parse_pi(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Messages with usage, under the session header that stands before them in their file."""
-    parsed = lines.withColumn("v", F.try_parse_json("text"))
+    parsed = parsed_json(lines, "text")
     v = F.col("v")
     head = F.when((_text(v, "$.type") == "session") & _text(v, "$.id").isNotNull(), F.struct(_text(v, "$.id").alias("id"), _text(v, "$.cwd").alias("cwd")))
     w = Window.partitionBy("file").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
@@ -180,7 +193,7 @@ def parse_agy(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     Tool calls count with the length of their JSON, written with a blank after
     each comma and colon.
     """
-    parsed = lines.withColumn("v", F.try_parse_json("text"))
+    parsed = parsed_json(lines, "text")
     v = F.col("v")
     field = lambda k: F.coalesce(F.length(_text(v, f"$.{k}")), F.lit(0))
     calls = F.try_variant_get(v, "$.tool_calls", "variant")

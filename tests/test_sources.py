@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from meterlake.operators import attribution, records
 from meterlake.sources import databases, quotas, transcripts
 from meterlake.sources import published
+from meterlake.sources.messages import claude_messages
 from meterlake.streaming import ingest
 
 
@@ -203,3 +204,18 @@ def test_a_short_range_reads_little_more_than_its_own_bytes():
     got = [line for a in range(0, len(body), 4096) for line in lines_between(source, a, min(a + 4096, len(body)), len(body))]
     assert b"\n".join(line for _, _, line in got) + b"\n" == body and [a for a, _, _ in got] == [0, *[b for _, b, _ in got[:-1]]]
     assert source.taken < 1.2 * len(body)
+
+
+def _parses(df):
+    return df._jdf.queryExecution().optimizedPlan().toString().count("parseJson")
+
+
+def test_a_line_is_parsed_once_for_each_result(spark):
+    lines = spark.createDataFrame([("f", 1, "{}")], "file string, line int, text string")
+    events, faults = transcripts.parse_claude(lines)
+    native = spark.createDataFrame([], "account bigint, since bigint")
+    messages = spark.createDataFrame([("f", 1, "m", "s", 1, "{}")], "file string, line int, message_id string, session_id string, time_created bigint, data string")
+    found = databases.parse_opencode(messages, messages.selectExpr("file", "session_id", "'d' AS directory"))[0]
+    shown = claude_messages(lines)
+    assert [_parses(x) for x in (events, transcripts.parse_pi(lines)[0], records.legacy_import(lines, native), found)] == [1, 1, 1, 1] and _parses(faults) == 2
+    assert _parses(shown) == 8  # calls, results, orphans and what is shown, each of texts and of blocks
