@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.clock import parse_rfc3339
 from ..sources import published
 from ..sources.staging import scratch, staged, whole
+from ..sources.transcripts import once, parsed_json
 
 
 def legacy_import(lines: DataFrame, native: DataFrame) -> DataFrame:
@@ -21,14 +22,15 @@ def legacy_import(lines: DataFrame, native: DataFrame) -> DataFrame:
     attempt on, native(account, since), are left out, as are those without an
     account or a readable time.
     """
-    v = F.try_parse_json("text")
-    at = F.struct(F.try_variant_get(v, "$.account", "bigint").alias("account"), parse_rfc3339(F.try_variant_get(v, "$.at", "string")).alias("ts"), F.try_variant_get(v, "$.used_percent", "double").alias("used"), F.try_variant_get(v, "$.error", "string").alias("error"))
-    old = lines.select("line", at.alias("r")).select("line", "r.*").where("account is not null and ts is not null").join(native, "account", "left").where("since is null or ts < since")
+    v = F.col("v")
+    read = once(parsed_json(lines, "text").select("line", "v"), account=F.try_variant_get(v, "$.account", "bigint"), ts=parse_rfc3339(F.try_variant_get(v, "$.at", "string")), used=F.try_variant_get(v, "$.used_percent", "double"), error=F.try_variant_get(v, "$.error", "string"))
+    old = read.drop("v").where("account is not null and ts is not null").join(native, "account", "left").where("since is null or ts < since")
     outcome = F.when(F.col("error").isNotNull(), "failed").when(F.col("used").isNotNull(), "success").otherwise("unknown")
-    provenance = F.lit("legacy_import").alias("provenance")
-    attempts = old.select(F.lit("attempt").alias("relation"), "account", "ts", outcome.alias("outcome"), F.lit(None).cast("bigint").alias("used_ppm"), provenance, "line")
-    seen = old.where("error is null and used between 0 and 100").select(F.lit("observation"), "account", "ts", F.lit(None).cast("string"), F.round(F.col("used") * 10_000).cast("bigint"), provenance, "line")
-    return attempts.union(seen)
+    row = lambda relation, outcome, used: F.struct(F.lit(relation).alias("relation"), outcome.cast("string").alias("outcome"), used.cast("bigint").alias("used_ppm"))
+    seen = F.when(F.col("error").isNull() & F.col("used").between(0, 100), row("observation", F.lit(None), F.round(F.col("used") * 10_000)))
+    # A record's rows at once: it is read and joined once.
+    rows = old.withColumn("r", F.explode(F.array_compact(F.array(row("attempt", outcome, F.lit(None)), seen))))
+    return rows.select("r.relation", "account", "ts", "r.outcome", "r.used_ppm", F.lit("legacy_import").alias("provenance"), "line")
 
 
 def publish(states: DataFrame, path: str, by: Sequence[str], order: Sequence[str]) -> int | None:
