@@ -10,13 +10,17 @@ from __future__ import annotations
 import sqlite3
 from collections.abc import Sequence
 from contextlib import closing
+from itertools import groupby, islice
+from operator import itemgetter
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions.clock import parse_rfc3339
-from .transcripts import _count, _has, _object, _shaped, _split, _text, generated_output, usage_fields
+from .transcripts import _count, _has, _object, _shaped, _split, _text, generated_output, parsed_json, usage_fields
 
 MESSAGES = ("SELECT id AS message_id, session_id, time_created, data FROM message ORDER BY rowid", "message_id string, session_id string, time_created bigint, data string")
 DIRECTORIES = ("SELECT id AS session_id, directory FROM session", "session_id string, directory string")
@@ -28,6 +32,10 @@ TASK_RECORDS = (
 OPENCODE = ({"input": "input", "cache.read": "cache_read", "cache.write": "cache_write"}, ("output", "total", "reasoning", "cache"), ("input",))
 
 
+#: Bytes of a page of the databases that are written here, which are small, and of those that leave a task at a time.
+PAGE, _BATCH = 1024, 8 << 20
+
+
 def read_sqlite(spark: SparkSession, root: str, select: tuple[str, str], pattern: str = "*.db") -> DataFrame:
     """file, line and the columns of a query, (SQL, schema), over every matching file below root."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root)
@@ -38,46 +46,71 @@ def sqlite_rows(files: DataFrame, select: tuple[str, str]) -> DataFrame:
     """read_sqlite's rows over databases held as rows, files(path, content)."""
     sql, schema = select
 
-    def rows(frames):
+    def found(frames):
         for frame in frames:
             for path, content in zip(frame["path"], frame["content"], strict=True):
                 # Bytes 18 and 19 name the log's kind; a file by itself has none beside it.
                 content = content[:18] + b"\x01\x01" + content[20:]
                 with closing(sqlite3.connect(":memory:")) as db:
                     db.deserialize(content)
-                    found = db.execute(sql)
-                    names, line = [c[0] for c in found.description], 1
-                    while part := found.fetchmany(5000):
-                        out = pd.DataFrame(part, columns=names, dtype=object)
-                        out.insert(0, "line", range(line, line + len(part)))
-                        out.insert(0, "file", path)
-                        line += len(part)
-                        yield out
+                    for line, row in enumerate(db.execute(sql), 1):
+                        yield path, line, *row
 
-    return files.select("path", "content").mapInPandas(rows, f"file string, line bigint, {schema}")
+    names = ["file", "line", *StructType.fromDDL(schema).names]
 
+    def rows(frames):
+        # Small databases share a frame, large ones take many.
+        each = found(frames)
+        while part := list(islice(each, 5000)):
+            yield pd.DataFrame(part, columns=names, dtype=object)
 
-def packed(messages: DataFrame, by: Sequence[str], path: str) -> DataFrame:
-    """(path, content): a database of messages and their sessions for each group of messages(by, path, message_id, session_id, time_created, data, directory), which one task writes in memory."""
+    return files.select("path", "content").mapInPandas(rows, f"file string, line bigint, {schema}")
 
-    def one(frame: pd.DataFrame) -> pd.DataFrame:
-        with closing(sqlite3.connect(":memory:")) as db:
-            db.execute("CREATE TABLE message (id TEXT, session_id TEXT, time_created INTEGER, data TEXT)")
-            db.execute("CREATE TABLE session (id TEXT, directory TEXT)")
-            rows = frame.sort_values("message_id")
-            db.executemany("INSERT INTO message VALUES (?, ?, ?, ?)", zip(rows["message_id"], rows["session_id"], rows["time_created"].tolist(), rows["data"], strict=True))
-            named = rows[["session_id", "directory"]].drop_duplicates()
-            db.executemany("INSERT INTO session VALUES (?, ?)", zip(named["session_id"], named["directory"], strict=True))
-            db.commit()
-            return pd.DataFrame({"path": [frame[path].iloc[0]], "content": [db.serialize()]})
 
-    return messages.groupBy(*by).applyInPandas(one, "path string, content binary")
+def packed(messages: DataFrame, by: Sequence[str], path: str) -> DataFrame:
+    """(path, content): a database of messages and their sessions for each group of messages(by, path, message_id, session_id, time_created, data, directory), written in memory by the task that meets the group's rows in order."""
+    columns = ["message_id", "session_id", "time_created", "data", "directory"]
+
+    def rows(batches):
+        for batch in batches:
+            keys = zip(*(batch.column(c).to_pylist() for c in by), strict=True)
+            yield from zip(keys, batch.column(path).to_pylist(), zip(*(batch.column(c).to_pylist() for c in columns), strict=True), strict=True)
+
+    def databases(batches):
+        for _, group in groupby(rows(batches), key=itemgetter(0)):
+            with closing(sqlite3.connect(":memory:", isolation_level=None)) as db:
+                db.execute(f"PRAGMA page_size = {PAGE}")
+                db.execute("BEGIN")
+                db.execute("CREATE TABLE message (id TEXT, session_id TEXT, time_created INTEGER, data TEXT)")
+                db.execute("CREATE TABLE session (id TEXT, directory TEXT)")
+                named, at = {}, None
+                for _, at, (message, session, created, data, directory) in group:
+                    db.execute("INSERT INTO message VALUES (?, ?, ?, ?)", (message, session, created, data))
+                    named[session, directory] = None
+                db.executemany("INSERT INTO session VALUES (?, ?)", named)
+                db.execute("COMMIT")
+                yield at, db.serialize()
+
+    def batched(batches):
+        held, size = [], 0
+        for at, content in databases(batches):
+            held.append((at, content))
+            size += len(content)
+            if size > _BATCH:
+                yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in held], pa.string()), pa.array([c for _, c in held], pa.binary())], ["path", "content"])
+                held, size = [], 0
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in held], pa.string()), pa.array([c for _, c in held], pa.binary())], ["path", "content"])
+
+    tasks = int(messages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = messages.select(*dict.fromkeys([*by, path, *columns])).repartition(tasks, *by).sortWithinPartitions(*by, F.asc_nulls_last("message_id"))
+    return dealt.mapInArrow(batched, "path string, content binary")
 
 
 def parse_opencode(messages: DataFrame, directories: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(events, quarantined) of message rows; users' messages carry no usage. An output that was stored as a difference counts only where the row proves it."""
     v, u = F.col("v"), F.col("u")
-    parsed = messages.withColumn("v", F.try_parse_json("data"))
+    parsed = parsed_json(messages, "data")
     parsed = parsed.withColumn("whole", F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False)))
     broken = parsed.where(~F.col("whole")).select("file", "line", F.lit("truncated_structure").alias("class"))
     rows = parsed.where(F.col("whole") & F.coalesce(_text(v, "$.role") != "user", F.lit(True))).withColumn("u", F.try_variant_get(v, "$.tokens", "variant"))
