@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.segments import clean_text
-from .transcripts import _text
+from .transcripts import _text, once, parsed_json
 
 #: The name of a call that only its result tells of.
 UNNAMED = "(unknown)"
@@ -40,8 +40,9 @@ def assemble(blocks: DataFrame) -> DataFrame:
     several results of a call the last holds. A result without a call is shown
     where it stands, as an unnamed call behind the message's own. Lines that are
     left with nothing have no row. A message's blocks, all of one line, are
-    gathered; a file's are not.
+    gathered; a file's are not. What isn't a call and has no text or kind isn't shown.
     """
+    blocks = once(blocks, **{c: F.col(c) for c in ("kind", "text", "id", "name", "input")}).where("kind = 'call' or text is not null and kind is not null")
     place = F.struct("line", "pos")
     tied = blocks.where(F.col("kind").isin("call", "result") & F.col("id").isNotNull())
     so_far = Window.partitionBy("file", "id").orderBy("line", "pos").rowsBetween(Window.unboundedPreceding, 0)
@@ -68,7 +69,7 @@ def claude_messages(lines: DataFrame) -> DataFrame:
     show nothing.
     """
     v, b = F.col("v"), F.col("b")
-    rows = lines.select("file", "line", F.try_parse_json("text").alias("v"))
+    rows = parsed_json(lines, "text").select("file", "line", "v")
     rows = rows.where(_text(v, "$.message.role").isin("user", "assistant") & ~F.coalesce(_text(v, "$.type") == "summary", F.lit(False)) & ~F.coalesce(F.try_variant_get(v, "$.isMeta", "boolean"), F.lit(False)))
     of = _text(b, "$.type")
     kind = F.when(of.isin("text", "thinking"), of).when(of == "tool_use", "call").when(of == "tool_result", "result")
@@ -76,7 +77,7 @@ def claude_messages(lines: DataFrame) -> DataFrame:
     id = F.when(of == "tool_use", _text(b, "$.id")).otherwise(F.coalesce(_text(b, "$.toolUseID"), _text(b, "$.tool_use_id")))
     blocks = _content(rows).select("file", "line", "pos", "role", *_block(kind, text, id, b, "input"))
     plain = rows.select("file", "line", F.lit(0).alias("pos"), _text(v, "$.message.role").alias("role"), F.lit("text").alias("kind"), clean_text(_text(v, "$.message.content")).alias("text"))
-    return assemble(blocks.unionByName(plain, allowMissingColumns=True).where("kind = 'call' or text is not null and kind is not null"))
+    return assemble(blocks.unionByName(plain, allowMissingColumns=True))
 
 
 def pi_messages(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -86,7 +87,7 @@ def pi_messages(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     message of its own, shown as the assistant's where its call is missing.
     """
     v, b = F.col("v"), F.col("b")
-    rows = lines.select("file", "line", F.try_parse_json("text").alias("v")).withColumn("type", _text(v, "$.type"))
+    rows = parsed_json(lines, "text").select("file", "line", "v").withColumn("type", _text(v, "$.type"))
     role = _text(v, "$.message.role")
     spoken = rows.where((F.col("type") == "message") & F.is_variant_null(F.try_variant_get(v, "$.message", "variant")).isNotNull())
     turns = spoken.where(role.isin("user", "assistant"))
@@ -96,7 +97,7 @@ def pi_messages(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     text = F.when(of == "text", clean_text(_text(b, "$.text"))).when(of == "thinking", clean_text(_text(b, "$.thinking")))
     blocks = content.select("file", "line", "pos", "role", *_block(kind, text, _text(b, "$.id"), b, "arguments"))
     results = spoken.where(role == "toolResult").select("file", "line", F.lit(0).alias("pos"), F.lit("assistant").alias("role"), F.lit("result").alias("kind"), _said(v, "$.message.content").alias("text"), F.nullif(_text(v, "$.message.toolCallId"), F.lit("")).alias("id"))
-    shown = assemble(blocks.unionByName(results, allowMissingColumns=True).where("kind = 'call' or text is not null and kind is not null"))
+    shown = assemble(blocks.unionByName(results, allowMissingColumns=True))
     named = lambda what, c: F.concat(F.lit(f"{what}:"), F.coalesce(c, F.lit("untyped")))
     array = F.try_variant_get(v, "$.message.content", _BLOCKS)
     whole = (
