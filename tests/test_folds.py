@@ -320,3 +320,22 @@ def test_can_run_names_all_that_is_missing(spark):
         "none": ("UNKNOWN", ["constraining_windows"], None),
         "gap": ("UNKNOWN", ["other"], None),
     }
+
+
+def test_huber_adds_up_in_the_points_order(spark):
+    """The steps are so steep here that they blow up the last bit of a sum."""
+    points = [(1951, -34900), (3711, 8760), (3988, 37100), (7813, -142340), (8117, 20940), (10465, -59460), (13931, -41120), (15198, 165060)]
+    rows = [("a", float(x), float(d - 1250), float(d + 1250), 2500.0) for x, d in points]
+    schema = "k string, x double, lo double, hi double, resolution double"
+    got = calibration.huber(spark.createDataFrame(rows, schema), ["k"]).first()
+    start = calibration.theil_sen(spark.createDataFrame([(k, x, (lo + hi) / 2) for k, x, lo, hi, _ in rows], "k string, x double, y double"), ["k"]).first()
+    slope, intercept = start.slope, start.intercept
+    rate = min(max(1 / (1 + sum(x * x for _, x, *_ in rows) / len(rows)), 1e-5), 0.5) / len(rows)
+    for _ in range(100):
+        up = tilt = 0.0
+        for _, x, lo, hi, _ in rows:
+            y = intercept + slope * x
+            pull = min(max(y - min(max(y, lo), hi), -1250.0), 1250.0)
+            up, tilt = up + pull, tilt + pull * x
+        intercept, slope = intercept - rate * up, slope - rate * tilt
+    assert (got.slope, got.intercept, got.steps) == (slope, intercept, 100)
