@@ -16,13 +16,23 @@ def rate_micros(text: Column) -> Column:
     return (F.try_to_number(text, F.lit("999999999.999999")) * 1_000_000).cast("bigint")
 
 
+#: Shares of the cards of one model and class, which are compared with all of them apart.
+SHARES = 16
+
+
 def overlapping_cards(cards: DataFrame) -> DataFrame:
     """Pairs of cards of one model and class whose date ranges overlap, where both or neither are scheduled and schedules overlap too."""
-    a, b = cards.alias("a"), cards.alias("b")
+    # Few models and classes hold all cards and a card's row is small: each card meets the others of its key in one of several shares, and their number of tasks is given.
+    tasks = 4 * int(cards.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    key = ["model", "token_class", "timed", "share"]
+    known = cards.withColumn("timed", F.col("days").isNotNull())
+    one = known.withColumn("share", F.pmod(F.hash("card"), F.lit(SHARES)).cast("int"))
+    all_shares = known.withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1))))
+    a, b = one.repartition(tasks, *key).alias("a"), all_shares.repartition(tasks, *key).alias("b")
     dates = (F.col("a.start") <= F.coalesce("b.end", F.lit("9999-12-31").cast("date"))) & (F.col("b.start") <= F.coalesce("a.end", F.lit("9999-12-31").cast("date")))
-    both = F.col("a.days").isNull() & F.col("b.days").isNull()
     sched = (F.col("a.days").bitwiseAND(F.col("b.days")) != 0) & (F.col("a.from_min") < F.col("b.to_min")) & (F.col("b.from_min") < F.col("a.to_min"))
-    joined = a.join(b, (F.col("a.model") == F.col("b.model")) & (F.col("a.token_class") == F.col("b.token_class")) & (F.col("a.card") < F.col("b.card")) & dates & (both | sched))
+    same = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in key]
+    joined = a.join(b, [*same, (F.col("a.card") < F.col("b.card")) & dates & (~F.col("a.timed") | sched)])
     return joined.select(F.col("a.card").alias("card_a"), F.col("b.card").alias("card_b"))
 
 

@@ -339,3 +339,31 @@ def test_huber_adds_up_in_the_points_order(spark):
             up, tilt = up + pull, tilt + pull * x
         intercept, slope = intercept - rate * up, slope - rate * tilt
     assert (got.slope, got.intercept, got.steps) == (slope, intercept, 100)
+
+
+def test_cards_of_one_key_are_compared_by_many_tasks(spark):
+    from pyspark.sql import functions as F
+
+    from meterlake.operators import valuation
+
+    cards = spark.range(60).selectExpr("id AS card", "'m' AS model", "'c' AS token_class", "DATE '2024-01-01' + CAST(id AS INT) AS start", "DATE '2024-01-05' + CAST(id AS INT) AS end", "CAST(IF(id % 2 = 0, 31, NULL) AS INT) AS days", "CAST(IF(id % 2 = 0, 0, NULL) AS INT) AS from_min", "CAST(IF(id % 2 = 0, 60, NULL) AS INT) AS to_min")
+    rows = valuation.overlapping_cards(cards).withColumn("task", F.spark_partition_id()).collect()
+    assert sorted((r.card_a, r.card_b) for r in rows) == [(a, b) for a in range(60) for b in range(a + 1, 60) if b - a in (2, 4)]
+    assert len({r.task for r in rows}) > 4
+
+
+def test_ancestors_by_their_least_depth_with_many_parents_and_cycles(spark):
+    import random
+
+    from meterlake.operators import records
+
+    rng = random.Random(5)
+    edges = {(a, rng.randrange(40)) for a in range(40) for _ in range(rng.randrange(3))} | {(i, i + 1) for i in range(100, 117)} | {(117, 105)}
+    want = {}
+    for s in {a for a, _ in edges}:
+        front, depth = {s}, 0
+        while front := {b for a, b in edges if a in front and (s, b) not in want}:
+            depth += 1
+            want |= {(s, b): depth for b in front}
+    got = records.ancestors(spark.createDataFrame(sorted(edges), "session long, parent long")).collect()
+    assert {(r.session, r.ancestor): r.depth for r in got} == want and len(got) == len(want)
