@@ -84,12 +84,16 @@ def ancestors(rows: DataFrame) -> DataFrame:
     Going round a cycle adds nothing new, so each ancestor counts once, at its least depth.
     """
     known = rows.where("parent is not null").select("session", F.col("parent").alias("ancestor"), F.lit(1).cast("bigint").alias("depth")).distinct()
-    known, n = staged(known, "lineage"), -1
+    known, n, reach = staged(known, "lineage"), -1, 1
     while (now := known.count()) != n:
         n = now
-        up = known.select(F.col("session").alias("ancestor"), F.col("ancestor").alias("above"), F.col("depth").alias("more"))
-        longer = known.join(up, "ancestor").select("session", F.col("above").alias("ancestor"), (F.col("depth") + F.col("more")).alias("depth"))
+        # A least way of up to twice the reach leads over an ancestor that is just so far; only what lies above those is needed, few rows near the roots, where all sessions meet.
+        edge = known.where(F.col("depth") == reach)
+        above = known.join(edge.select(F.col("ancestor").alias("session")).distinct(), "session", "left_semi")
+        up = above.select(F.col("session").alias("ancestor"), F.col("ancestor").alias("above"), F.col("depth").alias("more"))
+        longer = edge.join(up, "ancestor").select("session", F.col("above").alias("ancestor"), (F.col("depth") + F.col("more")).alias("depth"))
         known = staged(known.union(longer).groupBy("session", "ancestor").agg(F.min("depth").alias("depth")), "lineage")
+        reach *= 2
     return known
 
 
