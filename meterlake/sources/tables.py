@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,14 +44,13 @@ occ AS (
 ORDER_SQL = ", ".join(OCCURRENCE_ORDER)
 
 
-def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """order key -> session, harness, account, project."""
-    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
-    customer = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
+def sessions(spark: SparkSession, sf_dir: str, more: Sequence[str] = ()) -> DataFrame:
+    """order key -> session, harness, account, project, and more columns of orders and customers as they are."""
+    orders, customer = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
     nation = table(spark, sf_dir, "nation")
     region = table(spark, sf_dir, "region")
     out = orders.join(customer, orders.o_custkey == customer.c_custkey, "left").join(nation, F.col("c_nationkey") == F.col("n_nationkey"), "left").join(region, F.col("n_regionkey") == F.col("r_regionkey"), "left")
-    return out.select("o_orderkey", F.col("o_custkey").alias("session"), F.col("o_orderstatus").alias("harness"), F.col("n_name").alias("account"), F.col("r_name").alias("project"))
+    return out.select("o_orderkey", F.col("o_custkey").alias("session"), F.col("o_orderstatus").alias("harness"), F.col("n_name").alias("account"), F.col("r_name").alias("project"), *more)
 
 
 def models(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -125,3 +125,41 @@ def test_nodes_carry_what_qualifies_them(spark):
     many = spark.range(300).select(F.lit("d").alias("day"), F.lit("a").alias("account"), F.lit(1).cast("bigint").alias("output"), F.lit("reported").alias("evidence"), F.lit(False).alias("heuristic"), F.array().cast("array<string>").alias("missing"), F.concat(F.lit("s"), F.col("id").cast("string")).alias("source"))
     assert len(qualified.qualified_rollup(many, ["day", "account"], ["output"]).where("depth = 0").first().sources) == 300
     assert qualified.qualified_rollup(df.limit(0), ["day", "account"], ["output"]).count() == 0
+
+
+@pytest.mark.parametrize("size", [1, 3, 1000])
+def test_nodes_of_one_sorted_pass_as_grouped_apart(spark, size):
+    rng = random.Random(size)
+    dims = ["a", "account", "c", "d"]
+    rows = [(*(rng.choice(["x", "y", "unknown-account", None]) for _ in dims), rng.choice([None, rng.randrange(9)]), rng.choice(["reported", "chars", None]), rng.random() < 0.2, rng.choice([None, [], ["output"]]), rng.choice("pq")) for _ in range(90)]
+    df = spark.createDataFrame(rows, ", ".join(f"{d} string" for d in dims) + ", n int, evidence string, heuristic boolean, missing array<string>, source string")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(size))
+    try:
+        nodes = qualified.qualified_rollup(df, dims, ["n"])
+        got = {(r.depth, *(r[d] for d in dims)): (r.path, r.events, r.n, r.coverage, r.missing, r.quality, r.methods, r.sources) for r in nodes.collect()}
+        assert nodes.count() == len(got)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    want = {}
+    for depth in range(len(dims) + 1):
+        key = lambda r: (depth, *r[:depth], *[None] * (len(dims) - depth))  # noqa: B023, E731
+        for k in {key(r) for r in rows}:
+            mine = [r for r in rows if key(r) == k]
+            missing = {x for r in mine for x in r[6 + 1] or []} | ({"account"} if k[2] == "unknown-account" else set())
+            reported, guessed, known = sum(r[5] == "reported" for r in mine), any(r[6] for r in mine), [r[4] for r in mine if r[4] is not None]
+            methods = {r[5] or "unknown" for r in mine if r[5] != "reported"} | ({"schedule-unresolved"} if guessed else set())
+            path = " / ".join(f"{d}={v}" for d, v in zip(dims, k[1:], strict=True) if v is not None)
+            quality = "estimated" if guessed or not reported else "measured" if reported == len(mine) else "mixed"
+            want[k] = (path, len(mine), sum(known) if known else None, "partial" if missing else "complete", sorted(missing), quality, sorted(methods), sorted({r[8] for r in mine}))
+    assert got == want
+    # Depths share one pass: no exchange for each of them.
+    plan = nodes.select("*")._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and plan.count("Exchange hashpartitioning") <= 3
+
+
+def test_node_totals_beyond_a_long_are_an_error(spark):
+    df = spark.range(4).select(F.lit("d").alias("day"), F.lit("a").alias("account"), F.when(F.col("id") < 2, F.lit(2**62)).otherwise(F.lit(-(2**62))).cast("bigint").alias("n"), F.when(F.col("id") < 2, "x").otherwise("y").alias("kind"), F.lit("reported").alias("evidence"), F.lit(False).alias("heuristic"), F.array().cast("array<string>").alias("missing"), F.lit("s").alias("source"))
+    nodes = qualified.qualified_rollup(df, ["day", "account", "kind"], ["n"])
+    with pytest.raises(Exception, match="Overflow|OVERFLOW|too large"):
+        nodes.where("depth >= 2").collect()
