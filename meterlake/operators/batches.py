@@ -12,6 +12,10 @@ from .timeline import asof_by_bins
 
 #: Events of a block, within which pointers are followed at once.
 BLOCK = 1 << 20
+#: As long as blocks need not be larger than that, there are at most so many.
+BLOCKS = 256
+#: Tasks that blocks are dealt to: what a block is made of is too small to be dealt by its size, the work on it isn't.
+TASKS = 64
 
 
 def numbered(rows: DataFrame, order: str, size: str) -> DataFrame:
@@ -52,9 +56,13 @@ def greedy_batches(files: DataFrame, file: str, most_events: int, most_files: in
     events follow these pointers apart to where each leaves the block; few
     different events are reached so, and doubling their pointers tells which of
     them the first batch leads to. Each block then walks from its own entry.
+    A block has `block` events at least, and more where that made more than
+    BLOCKS of them: rounds, pointers and groups then don't grow with the events.
     """
     rows = staged(numbered(files.where("events > 0").select(file, F.col("events").cast("bigint").alias("events")), file, "events"), "files")
     total = rows.agg(F.coalesce(F.sum("events"), F.lit(0))).first()[0]
+    block = max(block, min(BLOCK, -(-total // BLOCKS)))
+    tasks = max(1, min(TASKS, -(-total // block)))
     limits = rows.select((F.col("ordinal") - most_files).alias("ordinal"), F.col("start").alias("limit"))
     rows = rows.join(limits, "ordinal", "left").withColumn("limit", F.coalesce("limit", F.lit(total)))
     dealt = staged(rows.select("start", "limit", F.explode(F.sequence(F.expr(f"start div {block}"), F.expr(f"(start + events - 1) div {block}"))).alias("block")), "blocks")
@@ -82,10 +90,11 @@ def greedy_batches(files: DataFrame, file: str, most_events: int, most_files: in
                     p = int(ahead[p - lo])
         return pd.DataFrame({"p": np.array(out, np.int64)})
 
-    blocked = lambda nodes: nodes.withColumn("block", F.expr(f"p div {block}")).groupBy("block")
+    by_block = lambda x: x.repartition(tasks, "block").groupBy("block")
+    blocked = lambda nodes: by_block(nodes.withColumn("block", F.expr(f"p div {block}")))
     reached = files.sparkSession.range(1 if total else 0).select(F.col("id").alias("p"))
-    nodes = dealt.groupBy("block").applyInPandas(exits, "p bigint").where(F.col("p") < total).union(reached).distinct()
-    jumps = staged(dealt.groupBy("block").cogroup(blocked(nodes)).applyInPandas(of_entries, "p bigint, to bigint").where(F.col("to") < total), "jumps")
+    nodes = by_block(dealt).applyInPandas(exits, "p bigint").where(F.col("p") < total).union(reached).distinct()
+    jumps = staged(by_block(dealt).cogroup(blocked(nodes)).applyInPandas(of_entries, "p bigint, to bigint").where(F.col("to") < total), "jumps")
     count = 0
     while (now := reached.count()) > count:
         count = now
@@ -93,7 +102,7 @@ def greedy_batches(files: DataFrame, file: str, most_events: int, most_files: in
         reached = staged(reached.union(further).distinct(), "reached")
         twice = jumps.alias("a").join(jumps.alias("b"), F.col("a.to") == F.col("b.p")).select("a.p", "b.to")
         jumps = staged(twice, "jumps")
-    found = dealt.groupBy("block").cogroup(blocked(reached)).applyInPandas(starts, "p bigint")
+    found = by_block(dealt).cogroup(blocked(reached)).applyInPandas(starts, "p bigint")
     cuts = numbered(found.withColumn("one", F.lit(1)), "p", "one").select(F.col("ordinal").alias("batch"), "p")
     ends = cuts.select((F.col("batch") - 1).alias("batch"), F.col("p").alias("end"))
     spans = cuts.join(ends, "batch", "left").withColumn("end", F.coalesce("end", F.lit(total)))

@@ -31,6 +31,18 @@ def test_greedy_batches_as_the_plain_loop(spark, most_events, most_files, block)
     assert [r.batch for r in got.orderBy("batch").collect()] == list(range(len(rows)))
 
 
+def test_rounds_of_greedy_batches_do_not_grow_with_the_events(spark, monkeypatch):
+    rounds = []
+    staged = batches.staged
+    monkeypatch.setattr(batches, "staged", lambda df, name: rounds.append(name) or staged(df, name))
+    monkeypatch.setattr(batches, "BLOCKS", 4, raising=False)
+    rng = random.Random(5)
+    files = [(f"f{i:03d}", rng.choice([0, 1, 2, 5, 30])) for i in range(60)]
+    got = batches.greedy_batches(spark.createDataFrame(files, "file string, events int"), "file", 7, 3, 2)
+    assert [tuple(r)[1:] for r in got.orderBy("batch").collect()] == plain_batches(files, 7, 3)
+    assert rounds.count("reached") <= 4  # blocks of two events take nine
+
+
 def test_greedy_batches_of_nothing(spark):
     assert batches.greedy_batches(spark.createDataFrame([("a", 0)], "file string, events int"), "file", 5, 5).count() == 0
 
