@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.clock import SECOND
 from ..functions.exact import share_ppm
+from ..sources.staging import staged, whole
 from . import meter, timeline
 
 # How much longer than the cadence a gap must be to count as a hole, and how close together resets are one.
@@ -25,13 +26,15 @@ def reset_holes(instants: DataFrame, starts: DataFrame, resets: DataFrame, polic
     bounds = instants.select("account", "ts").union(starts.select("account", "ts")).union(starts.select("account", F.lit(until).cast("bigint")))
     marks = bounds.select("account", "ts", F.lit(1).alias("side"), F.lit(None).cast("bigint").alias("cadence"))
     sides = known.where("cadence is not null").select("account", "ts", F.explode(F.array(F.lit(0), F.lit(2))).alias("side"), F.col("cadence").cast("bigint"))
-    w = Window.partitionBy("account").orderBy("ts", "side")
-    at = F.when(F.col("side") == 1, F.col("ts"))
-    both = marks.union(sides).withColumn("a", F.last(at, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("b", F.first(at, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing)))
+    # A frame to the end of an account would be read anew from each of its rows: what follows is what precedes in the other order.
+    on, back = Window.partitionBy("account").orderBy("ts", "side"), Window.partitionBy("account").orderBy(F.desc("ts"), F.desc("side"))
+    held = F.last(F.when(F.col("side") == 1, F.col("ts")), ignorenulls=True)
+    both = marks.union(sides).withColumn("a", held.over(on.rowsBetween(Window.unboundedPreceding, 0))).withColumn("b", held.over(back.rowsBetween(Window.unboundedPreceding, 0)))
     holes = both.where((F.col("side") != 1) & (F.col("b") - F.col("a") > F.col("cadence") + HOLE)).select("account", "a", "b").distinct()
     return holes.groupBy("account").agg(F.count("*").alias("severe"))
 
 
+@whole
 def report(policies: DataFrame, attempts: DataFrame, held: DataFrame, resets: DataFrame, since: int, until: int) -> DataFrame:
     """One row for each account of policies or attempts over [since, until).
 
@@ -42,22 +45,26 @@ def report(policies: DataFrame, attempts: DataFrame, held: DataFrame, resets: Da
     is attempts over expected, held at a million, and null where nothing was
     owed; measured_ppm is observations over finished attempts. Gaps begin where
     the first policy does, or with the interval if there is none.
+
+    All is by account, so that one task would make it all at once and sort its
+    attempts a dozen times side by side: the steps are staged.
     """
     accounts = policies.select("account").union(attempts.select("account")).distinct()
     inside = attempts.where((F.col("ts") >= since) & (F.col("ts") < until))
     counts = inside.groupBy("account").agg(F.count("*").alias("attempted"), F.count_if(~F.col("finished")).alias("unfinished"), F.count_if("observed").alias("observed"))
     base = accounts.join(meter.expected_opportunities(policies, held, since, until), "account", "left").join(counts, "account", "left")
-    base = base.select("account", "expected", F.coalesce("covered", F.lit(since)).alias("covered"), *[F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("attempted", "unfinished", "observed")])
-    placed = inside.join(base.select("account", "covered"), "account").where(F.col("ts") >= F.col("covered"))
+    base = staged(base.select("account", "expected", F.coalesce("covered", F.lit(since)).alias("covered"), *[F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("attempted", "unfinished", "observed")]), "base")
+    placed = staged(inside.join(base.select("account", "covered"), "account").where(F.col("ts") >= F.col("covered")).select("account", "ts", "observed"), "placed")
     starts = base.select("account", F.col("covered").alias("ts"))
 
-    def longest(instants: DataFrame, name: str) -> DataFrame:
-        marks = instants.select("account", "ts").union(starts)
-        w = Window.partitionBy("account").orderBy("ts")
-        return marks.withColumn("gap", F.coalesce(F.lead("ts").over(w), F.lit(until)) - F.col("ts")).groupBy("account").agg(F.max("gap").alias(name))
-
-    out = base.join(longest(placed, "no_attempt"), "account").join(longest(placed.where("observed"), "no_observation"), "account")
-    out = out.join(reset_holes(placed, starts, resets, policies, until), "account", "left")
+    # Of all instants and of those observed, each with the start.
+    every = F.lit("no_attempt")
+    marks = placed.select("account", "ts", F.explode(F.when(F.col("observed"), F.array(every, F.lit("no_observation"))).otherwise(F.array(every))).alias("of"))
+    marks = marks.union(starts.select("account", "ts", F.explode(F.array(every, F.lit("no_observation")))))
+    after = F.coalesce(F.lead("ts").over(Window.partitionBy("account", "of").orderBy("ts")), F.lit(until))
+    gaps = marks.withColumn("gap", after - F.col("ts")).groupBy("account").agg(*[F.max(F.when(F.col("of") == c, F.col("gap"))).alias(c) for c in ("no_attempt", "no_observation")])
+    holes = staged(reset_holes(placed, starts, resets, policies, until), "holes")
+    out = base.join(staged(gaps, "gaps"), "account").join(holes, "account", "left")
     finished = F.col("attempted") - F.col("unfinished")
     return out.select(
         "account", "expected", "attempted", "unfinished", "observed",

@@ -367,3 +367,12 @@ def test_ancestors_by_their_least_depth_with_many_parents_and_cycles(spark):
             want |= {(s, b): depth for b in front}
     got = records.ancestors(spark.createDataFrame(sorted(edges), "session long, parent long")).collect()
     assert {(r.session, r.ancestor): r.depth for r in got} == want and len(got) == len(want)
+
+
+def test_coverage_does_not_stack_its_steps_in_one_task(spark):
+    rows = lambda values, schema: spark.createDataFrame([("a", *v) for v in values], f"account string, {schema}")
+    minutes = lambda *x: [(m * 60_000_000_000,) for m in x]
+    out = coverage.report(rows([(0, 60_000_000_000)], "ts bigint, cadence bigint"), rows([(t, True, True) for (t,) in minutes(1, 2, 9)], "ts bigint, finished boolean, observed boolean"), rows([], "start bigint, end bigint"), rows(minutes(5), "ts bigint"), 0, 600_000_000_000)
+    assert "Window" not in out._jdf.queryExecution().executedPlan().toString()
+    (r,) = out.collect()
+    assert (r.expected, r.attempted, r.no_attempt, r.no_observation, r.severe) == (10, 3, 420_000_000_000, 420_000_000_000, 1)
