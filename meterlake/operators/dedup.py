@@ -55,6 +55,12 @@ def dedup_identities(rows: DataFrame, key: str = "native_id", order: Sequence[st
     return best.select(*[F.col(key) if c == key else F.col(f"best.{c}") for c in rows.columns], "replays", "collisions")
 
 
+def kept_identities(rows: DataFrame, key: Sequence[str], order: Sequence[str] = ("ts",), grows: str = "output") -> DataFrame:
+    """The kept row of each message as in dedup_identities, whose id may be in several columns, without counts of the others: one sort by the message."""
+    w = Window.partitionBy(*key).orderBy(F.desc(grows), *order)
+    return rows.withColumn("ord", F.row_number().over(w)).where("ord = 1").drop("ord")
+
+
 def heuristic_key(ts: Column, session: Column, version: str = "hk1") -> Column:
     """What identifies a message without an id: when and where it was, and what went in. Output is left out, as it grows while a message streams."""
     return F.concat_ws("|", F.lit(version), ts.cast("string"), session.cast("string"), F.concat_ws(":", *[F.col(c).cast("string") for c in ("input", "cache_read", "cache_write")]))

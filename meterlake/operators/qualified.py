@@ -1,22 +1,23 @@
 """Spend with what qualifies it, on every node of an ordered grouping.
 
 A node's state can be merged: sums, counts, and sets as bits of longs. Events
-are dealt once by their first dimensions and sorted by all of them; in that
-order each node is a run, and one pass merges the runs of each depth out of
-those of the depth below it. Only the few nodes above the first dimensions are
-merged by shuffles of their own. No event is copied for the depths it counts in.
+are staged once, dealt by their first dimensions, and a share is sorted by all of
+them; in that order each node is a run, and one pass merges the runs of each
+depth out of those of the depth below it. Only the few nodes above the first
+dimensions are merged by shuffles of their own. No event is shuffled, none is
+copied for the depths it counts in.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator, Mapping, Sequence
+from collections.abc import Callable, Iterable, Iterator, Mapping, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..sources.staging import staged
+from ..sources.staging import dealt, staged
 
 #: Evidence of a count that its harness reported itself; any other evidence is the name of an estimator.
 REPORTED = "reported"
@@ -68,20 +69,19 @@ def merged(states: DataFrame, dims: Sequence[str], sums: Sequence[str], values:
 def _runs(batches: Iterable[pa.RecordBatch], dims: Sequence[str], sums: Sequence[str], bits: Sequence[str], least: int) -> Iterator[pa.RecordBatch]:
     """Rows sorted by dims as nodes of all depths from the deepest to `least`: runs of equal dims, merged; dims beyond a node's depth are null.
 
-    A depth's runs of a batch are merged out of those of the depth below. The
-    last run of each depth stays open for the next batch: its values are held,
-    its dims are those of the last row seen.
+    changed is the first dimension in which a row differs from the one before. A
+    depth's runs of a batch are merged out of those of the depth below. The last
+    run of each depth stays open for the next batch: its values are held, its
+    dims are those of the last row seen.
     """
     deep, last, held = len(dims), None, {}
     for batch in batches:
         if not batch.num_rows:
             continue
         names = pa.Table.from_batches([last if last is not None else batch.select(dims).slice(0, 1), batch.select(dims)]).combine_chunks()
-        changed = np.full(len(names), deep)  # the first dimension that differs from the row before
-        for i in range(deep - 1, -1, -1):
-            code = names.column(i).combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy()
-            changed[1:][code[1:] != code[:-1]] = i
+        changed = np.concatenate(([deep], batch.column("changed").to_numpy()))
         if last is None:
+            changed[1] = deep
             held = {d: (np.zeros((len(sums), 1), np.int64), np.zeros((len(bits), 1), np.int64)) for d in range(least, deep + 1)}
         at, add, some = np.arange(1, len(names)), _longs(batch, sums), _longs(batch, bits)
         found = []
@@ -122,7 +122,17 @@ def _nodes(names: pa.Table, found: Sequence[tuple], dims: Sequence[str], sums: S
     return pa.RecordBatch.from_arrays([*labels, pa.array(depth), *[pa.array(x) for x in (*add, *some)]], names=[*dims, "depth", *sums, *bits])
 
 
-def qualified_rollup(events: DataFrame, dims: Sequence[str], sums: Sequence[str], account: str = "account", unknown: str = "unknown-account") -> DataFrame:
+def _changed(rows: DataFrame, dims: Sequence[str], dealt_by: int) -> DataFrame:
+    """rows in the order of dims, those that share the first ones in one task, with changed: the first dimension in which a row differs from the one before it."""
+    rest = dims[dealt_by:]
+    before = F.lag(F.struct(F.lit(1).alias("__any"), *rest)).over(Window.partitionBy(*dims[:dealt_by]).orderBy(*(rest or dims or [F.lit(0)])))
+    differs = F.when(F.col("__before").isNull(), 0)
+    for i, d in enumerate(rest):
+        differs = differs.when(~F.col(f"__before.`{d}`").eqNullSafe(F.col(d)), dealt_by + i)
+    return rows.withColumn("__before", before).withColumn("changed", differs.otherwise(len(dims))).drop("__before")
+
+
+def qualified_rollup(events: DataFrame | Callable[[], DataFrame], dims: Sequence[str], sums: Sequence[str], account: str = "account", unknown: str = "unknown-account", shares: int | None = None) -> DataFrame:
     """(dims, depth, path, events, sums, coverage, missing, quality, methods, sources) for each group at each depth, down from the total.
 
     events have the dims, the sums (whole numbers; null if no event of a group
@@ -132,35 +142,40 @@ def qualified_rollup(events: DataFrame, dims: Sequence[str], sums: Sequence[str]
     estimated, by one more method. It is complete if no event lacks anything; a
     group of the unknown account, and all below it, lacks the account.
 
-    Events that share the first two dimensions are one task's, in a sorted
-    stream of which it holds a batch. The nodes are made when they are asked
-    for; only events are staged.
+    events may be a function that makes them; what it stages is deleted when they
+    are dealt. Events that share the first two dimensions are in one of `shares`
+    (as many as shuffles have partitions), each a task's sorted stream of which
+    it holds a batch. The nodes are made when they are asked for; only events
+    are staged.
     """
+    spark = SparkSession.active() if callable(events) else events.sparkSession
+    first = min(_DEALT, len(dims))  # without dims there is only the total
     reported = F.coalesce(F.col("evidence") == REPORTED, F.lit(False))
     none = F.array().cast("array<string>")
     guessed = F.coalesce(F.col("heuristic").cast("bigint"), F.lit(0))
     methods = F.when(reported, none).otherwise(F.array(F.coalesce("evidence", F.lit("unknown"))))
-    rows = staged(
-        events.select(
+
+    def rows_of() -> DataFrame:
+        rows = events() if callable(events) else events
+        return rows.select(
             *dims, *[F.col(c).cast("bigint").alias(c) for c in sums], reported.cast("bigint").alias("measured"), guessed.alias("heuristic"),
             F.when(guessed > 0, F.array_append(methods, F.lit(UNSCHEDULED))).otherwise(methods).alias("methods"), F.coalesce("missing", none).alias("missing"), F.array("source").alias("sources"),
-        ),
-        "events",
-    )
+        )
+
+    rows = dealt(spark, rows_of, "events", dims[:first], shares or int(spark.conf.get("spark.sql.shuffle.partitions"))) if dims else staged(rows_of(), "events")
     values = {c: vocabulary(rows, c) for c in _SETS}
     values["missing"] = sorted({*values["missing"], "account"})
     bits = [f"{c}_{n}" for c in _SETS for n in range(len(_words(values[c])))]
     totals = ["events", *sums, "measured", "heuristic"]
     states = rows.select(*dims, F.lit(1).cast("bigint").alias("events"), *sums, "measured", "heuristic", *[b for c in _SETS for b in to_bits(c, values[c])])
-    dealt = min(_DEALT, len(dims))  # without dims there is only the total
     known = F.lit(0).cast("bigint")
     for i, c in enumerate(sums):
         known = known.bitwiseOR(F.when(F.col(c).isNotNull(), F.lit(1 << i)).otherwise(F.lit(0)).cast("bigint"))
     plain = states.select(*dims, *[F.coalesce(c, F.lit(0).cast("bigint")).alias(c) for c in totals], *bits, known.alias("known"))
     types = ", ".join([*(f"`{d}` {rows.schema[d].dataType.simpleString()}" for d in dims), "depth int", *(f"`{c}` bigint" for c in (*totals, *bits, "known"))])
-    deep = plain.repartition(*dims[:dealt]).sortWithinPartitions(*dims).mapInArrow(lambda batches: _runs(batches, dims, totals, [*bits, "known"], dealt), types)
+    deep = _changed(plain, dims, first).mapInArrow(lambda batches: _runs(batches, dims, totals, [*bits, "known"], first), types)
     out = deep.withColumns({c: F.when(F.col("known").bitwiseAND(F.lit(1 << i).cast("bigint")) != 0, F.col(c)) for i, c in enumerate(sums)}).drop("known")
-    for depth in range(dealt - 1, -1, -1):
+    for depth in range(first - 1, -1, -1):
         states = merged(states, dims[:depth], sums, values)
         part = states.select(*[F.col(d) if i < depth else F.lit(None).cast(rows.schema[d].dataType).alias(d) for i, d in enumerate(dims)], F.lit(depth).alias("depth"), *totals, *bits)
         out = out.unionByName(part)

@@ -18,8 +18,8 @@ def _cents(c: str):
     return F.round(F.col(c) * 100).cast("bigint")
 
 
-def occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Usage as it was read, duplicates included: a row for each line item."""
+def occurrences(spark: SparkSession, sf_dir: str, more: Sequence[str] = ()) -> DataFrame:
+    """Usage as it was read, duplicates included: a row for each line item, with more of its columns as they are."""
     return table(spark, sf_dir, "lineitem").select(
         F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")).alias("native_id"),
         "l_orderkey", "l_partkey", "l_suppkey",
@@ -28,7 +28,7 @@ def occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
         _cents("l_extendedprice").alias("output"),
         _cents("l_discount").alias("cache_read"),
         _cents("l_tax").alias("cache_write"),
-        "l_returnflag", "l_linestatus",
+        "l_returnflag", "l_linestatus", *more,
     )
 
 
@@ -44,9 +44,9 @@ occ AS (
 ORDER_SQL = ", ".join(OCCURRENCE_ORDER)
 
 
-def sessions(spark: SparkSession, sf_dir: str, more: Sequence[str] = ()) -> DataFrame:
-    """order key -> session, harness, account, project, and more columns of orders and customers as they are."""
-    orders, customer = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
+def sessions(spark: SparkSession, sf_dir: str, more: Sequence[str] = (), orders: DataFrame | None = None) -> DataFrame:
+    """order key -> session, harness, account, project, and more columns of orders and customers as they are; orders may be given as they are dealt."""
+    orders, customer = table(spark, sf_dir, "orders") if orders is None else orders, table(spark, sf_dir, "customer")
     nation = table(spark, sf_dir, "nation")
     region = table(spark, sf_dir, "region")
     out = orders.join(customer, orders.o_custkey == customer.c_custkey, "left").join(nation, F.col("c_nationkey") == F.col("n_nationkey"), "left").join(region, F.col("n_regionkey") == F.col("r_regionkey"), "left")

@@ -2,11 +2,14 @@
 
 import itertools
 import random
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 from meterlake.operators import attribution, batches, calibration, dedup, meter, qualified
+from meterlake.plans import QUERIES
+from meterlake.sources import staging
 
 
 def plain_batches(files, most_events, most_files):
@@ -175,3 +178,33 @@ def test_node_totals_beyond_a_long_are_an_error(spark):
     nodes = qualified.qualified_rollup(df, ["day", "account", "kind"], ["n"])
     with pytest.raises(Exception, match="Overflow|OVERFLOW|too large"):
         nodes.where("depth >= 2").collect()
+
+
+def test_kept_messages_as_with_their_counts(spark):
+    rng = random.Random(5)
+    rows = [(rng.randrange(6), rng.randrange(3), rng.randrange(4), rng.choice([None, 1, 2]), rng.choice([None, 1, 2]), rng.randrange(2), rng.randrange(2)) for _ in range(200)]
+    df = spark.createDataFrame(rows, "a int, b int, ts int, output int, input int, cache_read int, cache_write int").withColumn("id", F.concat_ws("-", "a", "b"))
+    order = ["ts", "output", "input", "cache_read", "cache_write"]
+    want = dedup.dedup_identities(df, "id", order).select(*df.columns)
+    got = dedup.kept_identities(df, ["a", "b"], order).select(*df.columns)
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+
+
+@pytest.mark.skipif(not Path("/root/testdata/sf0.001").exists(), reason="needs the sample tables")
+def test_no_event_is_shuffled_on_the_way_to_its_nodes(spark):
+    def shuffled():
+        stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), None)
+        return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+    folder = Path(staging.shared_dir(spark))
+    held, before, limit = set(folder.glob("*")), shuffled(), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for tables too large to broadcast
+    try:
+        nodes = QUERIES["AG-1_qualified_rollup"](spark, "/root/testdata/sf0.001").where("depth >= 2")
+        events = nodes.where("depth = 2").agg(F.sum("events")).first()[0]
+        assert nodes.count() > events
+        assert shuffled() - before < events
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    # What is staged on the way is gone, not only when the session ends.
+    assert [p.name.split("-")[0] for p in set(folder.glob("*")) - held] == ["events"]
